@@ -63,11 +63,6 @@ def mixed_date(value: str) -> str:
     )
 
 
-def date_format_label(value: str) -> str:
-    whens = " ".join(f"WHEN {value} RLIKE r'{p}' THEN '{label}'" for label, p in DATE_PATTERNS)
-    return f"CASE {whens} END"
-
-
 def boolean(value: str) -> str:
     text = f"lower({stripped(value)})"
     return (

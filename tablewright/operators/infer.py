@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.functions import sql as S
 from tablewright.functions.columns import TEMPORAL, fields, is_integral, type_name
-from tablewright.operators.profile import COLUMNS_PER_PASS, union_all
+from tablewright.operators.profile import union_all
 from tablewright.schemas import SEMANTIC_SCHEMA
 
 # Shares of the non-blank values that must fit.
 NUMERIC_SHARE = 0.90
 DATE_SHARE = 0.70
 
+# Columns tested by one aggregate. More of them make a generated method the JVM
+# will not compile; separate passes over other columns read no byte twice.
+COLUMNS_PER_PASS = 3
+
 
 def infer_schema(df: DataFrame, columns: Iterable[str] | None = None,
                  numeric_share: float = NUMERIC_SHARE, date_share: float = DATE_SHARE) -> DataFrame:
@@ -53,46 +57,58 @@ def infer_schema(df: DataFrame, columns: Iterable[str] | None = None,
 
 
 def _tests(df: DataFrame, chosen: list[T.StructField]) -> DataFrame:
-    aggregates, rows = [], []
+    """Per column the raw counts the decision needs.
+
+    Every text cell is trimmed and classified once, in projections below the
+    aggregate; the aggregate itself only counts small flags.
+    """
+    trimmed, flags, aggregates, rows = [], [], [], []
     for i, f in enumerate(chosen):
-        c, kind = S.quote(f.name), "native"
-        named_for_dates = any(k in f.name.lower() for k in ("date", "time"))
-        numeric = date_hits = None
-        boolean = "false"
-        aggregates.append(f"count_if({c} IS NULL) AS nulls_{i}")
-        values = f"count({c})"
+        c, t, kind = S.quote(f.name), f"t_{i}", "native"
+        numeric, boolean, dated = "0L", "false", False
+        trimmed.append(f"{c} AS {t}")
+        aggregates.append(f"count_if({t} IS NULL) AS nulls_{i}")
+        values = f"count({t})"
         if isinstance(f.dataType, T.StringType):
-            kind, text = "text", S.stripped(c)
-            values = f"count_if({text} <> '')"
-            number = S.currency_text(text)
-            numeric = f"count_if({text} <> '' AND {number} RLIKE r'{S.FLOAT_OR_NAN}')"
-            boolean = (f"coalesce(bool_and(CASE WHEN {text} <> '' THEN lower({text}) IN"
-                       f" ({S.tokens(S.BOOLEAN_FALSE + S.BOOLEAN_TRUE)}) END), false)")
-            date_hits = [f"count_if({text} RLIKE r'{p}')" for _, p in S.DATE_PATTERNS]
+            kind, dated = "text", True
+            trimmed[-1] = f"{S.stripped(c)} AS {t}"
+            flags += [
+                f"{t} <> '' AND {S.currency_text(t)} RLIKE r'{S.FLOAT_OR_NAN}' AS f_{i}",
+                f"CASE WHEN length({t}) IN (8, 10) THEN {_format_code(t)} END AS d_{i}",
+                f"CASE WHEN {t} <> '' THEN length({t}) <= 5 AND lower({t}) IN"
+                f" ({S.tokens(S.BOOLEAN_FALSE + S.BOOLEAN_TRUE)}) END AS b_{i}",
+            ]
+            values, numeric = f"count_if({t} <> '')", f"count_if(f_{i})"
+            boolean = f"coalesce(bool_and(b_{i}), false)"
         elif isinstance(f.dataType, T.BooleanType):
-            boolean = "true"
+            boolean = f"count({t}) >= 0"
         elif is_integral(f.dataType):
-            boolean = f"coalesce(bool_and({c} IN (0, 1)), false)"
-            if named_for_dates:
-                date_hits = [f"count_if(CAST({c} AS STRING) RLIKE r'{p}')" for _, p in S.DATE_PATTERNS]
+            boolean = f"coalesce(bool_and({t} IN (0, 1)), false)"
+            if any(k in f.name.lower() for k in ("date", "time")):
+                dated = True
+                flags.append(f"{_format_code(f'CAST({t} AS STRING)')} AS d_{i}")
         elif isinstance(f.dataType, TEMPORAL):
             kind = "temporal"
-        aggregates += [f"{values} AS values_{i}", f"{numeric or '0L'} AS numeric_{i}", f"{boolean} AS boolean_{i}"]
+        aggregates += [f"{values} AS values_{i}", f"{boolean} AS boolean_{i}"]
+        if numeric != "0L":
+            aggregates.append(f"{numeric} AS numeric_{i}")
+            numeric = f"numeric_{i}"
         hits = "CAST(array() AS array<struct<label:string,hits:bigint>>)"
-        if date_hits:
-            # The patterns exclude each other, so one count per pattern is the first-match count.
-            aggregates += [f"{h} AS date_{i}_{j}" for j, h in enumerate(date_hits)]
+        if dated:
+            aggregates += [f"count_if(d_{i} = {j}) AS date_{i}_{j}" for j in range(len(S.DATE_PATTERNS))]
             entries = ", ".join(f"named_struct('label', '{label}', 'hits', date_{i}_{j})"
                                 for j, (label, _) in enumerate(S.DATE_PATTERNS))
             hits = f"filter(array({entries}), e -> e.hits > 0)"
         rows.append(
             f"named_struct('column', {S.literal(f.name)}, 'original_type', {S.literal(type_name(f.dataType))},"
-            f" 'kind', '{kind}', 'nulls', nulls_{i}, 'values', values_{i}, 'numeric_hits', numeric_{i},"
+            f" 'kind', '{kind}', 'nulls', nulls_{i}, 'values', values_{i}, 'numeric_hits', {numeric},"
             f" 'all_boolean', boolean_{i}, 'date_hits', {hits})"
         )
-    constant = [a for a in aggregates if a.startswith(("0L AS", "false AS", "true AS"))]
-    wide = df.agg(*[F.expr(a) for a in aggregates if a not in constant])
-    for a in constant:
-        value, alias = a.split(" AS ")
-        wide = wide.withColumn(alias, F.expr(value))
+    wide = df.selectExpr(*trimmed).selectExpr("*", *flags).agg(*[F.expr(a) for a in aggregates])
     return wide.selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+def _format_code(text: str) -> str:
+    """Position of the first date pattern a text fits."""
+    whens = " ".join(f"WHEN {text} RLIKE r'{p}' THEN {j}" for j, (_, p) in enumerate(S.DATE_PATTERNS))
+    return f"CASE {whens} END"

@@ -11,8 +11,8 @@ from tablewright.functions.columns import by_type, fields, type_name
 from tablewright.functions.sql import literal, quote, stripped
 from tablewright.schemas import PROFILE_SCHEMA
 
-# Expressions per aggregate, to stay inside generated code on wide tables.
-COLUMNS_PER_PASS = 40
+# Columns per aggregate, to stay inside compiled code on wide tables.
+COLUMNS_PER_PASS = 16
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
@@ -20,7 +20,7 @@ def union_all(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def column_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """One row per column: counts, extremes and mean, from one scan per 40 columns."""
+    """One row per column: counts, extremes and mean, one scan per 16 columns."""
     chosen = fields(df, columns)
     passes = [chosen[i:i + COLUMNS_PER_PASS] for i in range(0, len(chosen), COLUMNS_PER_PASS)]
     return union_all(_stats_pass(df, p) for p in passes)
@@ -81,7 +81,7 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
 
 def top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5) -> DataFrame:
     """``(column, rank, value, n)``: the k most frequent values, ties by value."""
-    return union_all(_ranked(v, F.desc("n"), k).drop("sample_rank") for v in value_counts(df, columns))
+    return union_all(_ranked(v, F.desc("n"), k) for v in value_counts(df, columns))
 
 
 def _ranked(values: DataFrame, order, k: int) -> DataFrame:
@@ -94,29 +94,34 @@ def _ranked(values: DataFrame, order, k: int) -> DataFrame:
     )
 
 
+def _spread_values(values: DataFrame, k: int) -> DataFrame:
+    """``(column, unique_count, spread)``: distinct count and up to k values drawn by hash slot."""
+    slot = F.pmod(F.xxhash64("value"), F.lit(k))
+    smallest = [F.min(F.when(slot == i, F.col("value"))).cast("string") for i in range(k)]
+    return values.groupBy("column").agg(
+        F.count_if(F.col("n") > 0).alias("unique_count"),
+        F.array_compact(F.array(*smallest)).alias("spread"))
+
+
 def profile(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5,
             exact: bool = True) -> DataFrame:
     """The full column profile (``PROFILE_SCHEMA``), whatever the table size."""
     names = [f.name for f in fields(df, columns)]
     per_type = value_counts(df, names)
-    if exact:
-        uniques = union_all(
-            v.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count")) for v in per_type)
-    else:
-        uniques = distinct_counts(df, names, exact=False)
-    entry = F.struct("rank", "value")
-    values = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["value"])
+    # Both uses keep the same grouped counts, so their shuffle is planned once and reused.
+    counted = union_all(_spread_values(v, k) for v in per_type)
+    if not exact:
+        counted = counted.drop("unique_count").join(
+            F.broadcast(distinct_counts(df, names, exact=False)), "column")
+    values = F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"])
     top = union_all(_ranked(v, F.desc("n"), k) for v in per_type).groupBy("column").agg(
         values.alias("top_5_values"))
-    samples = union_all(_ranked(v, F.asc("value"), k) for v in per_type).groupBy("column").agg(
-        values.alias("sample_values"))
     # These frames hold one row per column of the table.
     stats = column_stats(df, names)
     nothing = F.array().cast("array<string>")
     return (
-        stats.join(F.broadcast(uniques), "column", "left")
+        stats.join(F.broadcast(counted), "column", "left")
         .join(F.broadcast(top), "column", "left")
-        .join(F.broadcast(samples), "column", "left")
         .select(
             "column", "dtype", "total_rows", "null_count",
             F.coalesce(F.round(F.try_divide("null_count", "total_rows"), 4), F.lit(0.0)).alias("null_rate"),
@@ -124,7 +129,8 @@ def profile(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5,
             F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"),
             "min", "max", F.round("mean", 4).alias("mean"),
             F.coalesce("top_5_values", nothing).alias("top_5_values"),
-            F.coalesce("sample_values", nothing).alias("sample_values"),
+            F.slice(F.array_distinct(F.concat(
+                F.coalesce("spread", nothing), F.coalesce("top_5_values", nothing))), 1, k).alias("sample_values"),
         )
         .to(PROFILE_SCHEMA)
     )

@@ -1,158 +1,165 @@
 """Exact interpolated quantiles without sorting or collecting a column.
 
-A mergeable sketch gives, per wanted rank, two values that should enclose it.
-Counting the rows below and inside each bracket proves whether they do (and
-widens the bracket if not), so the result never depends on the sketch's error.
-Only the distinct values inside the final brackets are ranked.
+A mergeable sketch of a tenth of the rows gives, per wanted rank, two values
+that should enclose it. Counting the rows up to each of them proves whether
+they do (and widens the bracket if not), so the result never depends on the
+sketch. Only values strictly inside a bracket are looked at again: a value held
+by a third of all rows ends up as an end point, where its count is enough.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.columns import fields
+from tablewright.functions.sql import quote
+from tablewright.operators.profile import union_all
+
+SEED = 7
+# Brackets counted by one aggregate: few enough for compiled code.
+BRACKETS_PER_PASS = 4
+# Distances from a wanted probability at which the sketch is read.
+SLACKS = (0.0005, 0.002, 0.005, 0.01, 0.025, 0.05, 0.1, 0.2)
 
 
 @dataclass
 class _Bracket:
     column: str
-    probability: float
-    rows: int            # non-null rows of the column
+    ranks: tuple[int, int]     # the 0-based ranks wanted, among the non-null rows
     low: Any
     high: Any
-    below: int = 0       # rows smaller than ``low``
-    inside: int = 0      # rows between ``low`` and ``high``, both included
+    # Rows up to the ends: smaller than low, up to low, smaller than high, up to high.
+    counts: tuple[int, int, int, int] = (0, 0, 0, 0)
+
+    def covers(self) -> bool:
+        return self.counts[0] <= self.ranks[0] and self.ranks[1] < self.counts[3]
+
+    def at(self, rank: int) -> Any:
+        """The value at a rank if it is an end point."""
+        if rank < self.counts[1]:
+            return self.low
+        return self.high if rank >= self.counts[2] else None
 
     @property
-    def position(self) -> float:
-        return self.probability * (self.rows - 1)
+    def inner_rows(self) -> int:
+        return max(0, self.counts[2] - self.counts[1])
 
-    def covers(self) -> bool:
-        return (self.below <= math.floor(self.position)
-                and math.ceil(self.position) < self.below + self.inside)
+    def is_open(self) -> bool:
+        return any(self.at(r) is None for r in self.ranks)
 
-    def where(self):
-        return F.col(self.column).between(F.lit(self.low), F.lit(self.high))
+    def inner(self) -> Column:
+        return (F.col(self.column) > F.lit(self.low)) & (F.col(self.column) < F.lit(self.high))
 
 
-def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities=(0.25, 0.75),
-                    accuracy: int = 10_000, rank_limit: int = 2_000_000,
+def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequence[float] = (0.25, 0.75),
+                    accuracy: int = 10_000, rank_limit: int = 500_000, share: float = 0.1,
                     ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles (``PERCENTILE_CONT``) of numeric columns."""
     names = [f.name for f in fields(df, columns)]
     if not names:
         return {}
-    slack = 2.0 / accuracy
-    grid = sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)} | {0.0, 1.0})
-    sketch = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(names)],
-        *[F.percentile_approx(c, grid, accuracy).alias(f"q_{i}") for i, c in enumerate(names)],
-    ).first()
+    grid = sorted({min(1.0, max(0.0, p + d * sign)) for p in probabilities for d in SLACKS for sign in (-1, 1)})
+    extremes = df.agg(*[a for i, c in enumerate(names) for a in (
+        F.count(c).alias(f"n_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"))]).first()
+    sketch = df.select(*names).sample(False, share, SEED).agg(*[a for i, c in enumerate(names) for a in (
+        F.count(c).alias(f"m_{i}"), F.percentile_approx(c, grid, accuracy).alias(f"q_{i}"))]).first()
 
-    brackets, extremes = [], {}
+    brackets: dict[tuple[str, float], _Bracket] = {}
     for i, c in enumerate(names):
-        if not sketch[f"n_{i}"]:
-            continue
-        at = dict(zip(grid, sketch[f"q_{i}"]))
-        extremes[c] = (at[0.0], at[1.0])
-        for p in probabilities:
-            brackets.append(_Bracket(c, p, sketch[f"n_{i}"],
-                                     at[max(0.0, p - slack)], at[min(1.0, p + slack)]))
-    _count(df, brackets)
-    missed = [b for b in brackets if not b.covers()]
-    if missed:
-        for b in missed:
-            b.low, b.high = extremes[b.column]
-        _count(df, missed)
-        for b in missed:
-            if not b.covers():
-                # The sketch's extremes were not the true ones either.
-                row = df.agg(F.min(b.column), F.max(b.column)).first()
-                b.low, b.high = row[0], row[1]
-        _count(df, missed)
-    _narrow(df, brackets, accuracy, rank_limit)
-
-    found = _ranked_values(df, brackets)
+        rows = extremes[f"n_{i}"]
+        # Four standard errors of a sample quantile, plus the sketch's own error.
+        needed = 2.0 / math.sqrt(max(1, sketch[f"m_{i}"])) + 2.0 / accuracy
+        slack = next((d for d in SLACKS if d >= needed), 1.0)
+        seen = dict(zip(grid, sketch[f"q_{i}"] or []))
+        for p in probabilities if rows else ():
+            position = p * (rows - 1)
+            brackets[c, p] = _Bracket(
+                c, (math.floor(position), math.ceil(position)),
+                seen[p - slack] if p - slack in seen else extremes[f"min_{i}"],
+                seen[p + slack] if p + slack in seen else extremes[f"max_{i}"])
+    _count(df, brackets.values())
+    missed = [b for b in brackets.values() if not b.covers()]
+    for b in missed:
+        i = names.index(b.column)
+        b.low, b.high = extremes[f"min_{i}"], extremes[f"max_{i}"]
+    _count(df, missed)
+    _narrow(df, [b for b in brackets.values() if b.is_open()], accuracy, rank_limit)
+    inner = _inner_values(df, {k: b for k, b in brackets.items() if b.is_open()})
+
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in names}
-    for i, b in enumerate(brackets):
-        lower = found[(i, math.floor(b.position))]
-        upper = found[(i, math.ceil(b.position))]
-        part = b.position - math.floor(b.position)
-        result[b.column][list(probabilities).index(b.probability)] = (
-            lower if part == 0 else lower + (upper - lower) * part)
+    for (c, p), b in brackets.items():
+        lower, upper = (float(inner[c, p, r] if b.at(r) is None else b.at(r)) for r in b.ranks)
+        part = p * (extremes[f"n_{names.index(c)}"] - 1) - b.ranks[0]
+        result[c][list(probabilities).index(p)] = lower if part == 0 else lower + (upper - lower) * part
     return result
 
 
-def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
-    if not brackets:
+def _count(df: DataFrame, brackets: Iterable[_Bracket]) -> None:
+    wanted = list(brackets)
+    if not wanted:
         return
-    row = df.agg(
-        *[F.count_if(F.col(b.column) < F.lit(b.low)).alias(f"b_{i}") for i, b in enumerate(brackets)],
-        *[F.count_if(b.where()).alias(f"i_{i}") for i, b in enumerate(brackets)],
-    ).first()
-    for i, b in enumerate(brackets):
-        b.below, b.inside = row[f"b_{i}"], row[f"i_{i}"]
+    chunks = [wanted[i:i + BRACKETS_PER_PASS] for i in range(0, len(wanted), BRACKETS_PER_PASS)]
+
+    def up_to(b: _Bracket) -> Column:
+        c = F.col(b.column)
+        return F.array(*[F.count_if(t) for t in (c < F.lit(b.low), c <= F.lit(b.low), c < F.lit(b.high),
+                                                 c <= F.lit(b.high))])
+    counted = union_all(
+        df.agg(F.array(*[up_to(b) for b in chunk]).alias("counts")).withColumn("chunk", F.lit(i))
+        for i, chunk in enumerate(chunks))
+    for row in counted.collect():
+        for b, counts in zip(chunks[row["chunk"]], row["counts"]):
+            b.counts = tuple(counts)
 
 
 def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int, rank_limit: int) -> None:
-    """Sketch again inside brackets too full to rank; each round shrinks them by ``accuracy``."""
-    pending = [b for b in brackets if b.inside > rank_limit and b.low != b.high]
+    """Sketch again inside brackets that hold too much; a round keeps about 4/accuracy of the rows."""
     slack = 2.0 / accuracy
+    pending = [b for b in brackets if b.inner_rows > rank_limit]
     while pending:
-        def local(b: _Bracket, shift: float) -> float:
-            return min(1.0, max(0.0, (b.position - b.below) / (b.inside - 1) + shift))
+        def share(b: _Bracket, rank: int, shift: float) -> float:
+            return min(1.0, max(0.0, (rank - b.counts[1]) / b.inner_rows + shift))
         row = df.agg(*[
-            F.percentile_approx(F.when(b.where(), F.col(b.column)), [local(b, -slack), local(b, slack)], accuracy)
-            .alias(f"q_{i}") for i, b in enumerate(pending)
-        ]).first()
-        tried = [_Bracket(b.column, b.probability, b.rows, *row[f"q_{i}"]) for i, b in enumerate(pending)]
+            F.percentile_approx(F.when(b.inner(), F.col(b.column)),
+                                [share(b, b.ranks[0], -slack), share(b, b.ranks[1], slack)], accuracy)
+            .alias(f"q_{i}") for i, b in enumerate(pending)]).first()
+        tried = [_Bracket(b.column, b.ranks, *row[f"q_{i}"]) for i, b in enumerate(pending)]
         _count(df, tried)
         again = []
         for b, t in zip(pending, tried):
-            # What stays full after this is a run of equal values: few distinct ones to rank.
-            if t.covers() and t.inside <= b.inside // 2:
-                b.low, b.high, b.below, b.inside = t.low, t.high, t.below, t.inside
-                if b.inside > rank_limit and b.low != b.high:
+            # A rank on the old end point stays outside the new bracket: keep that end.
+            if b.at(b.ranks[0]) is not None:
+                t.low, t.counts = b.low, (*b.counts[:2], *t.counts[2:])
+            if b.at(b.ranks[1]) is not None:
+                t.high, t.counts = b.high, (*t.counts[:2], *b.counts[2:])
+            if t.covers() and t.inner_rows < b.inner_rows:
+                b.low, b.high, b.counts = t.low, t.high, t.counts
+                if b.is_open() and b.inner_rows > rank_limit:
                     again.append(b)
         pending = again
 
 
-def _ranked_values(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
-    found: dict[tuple[int, int], float] = {}
-    open_brackets = []
-    for i, b in enumerate(brackets):
-        if b.low == b.high:
-            found[(i, math.floor(b.position))] = found[(i, math.ceil(b.position))] = float(b.low)
-        else:
-            open_brackets.append((i, b))
-    if not open_brackets:
-        return found
-    any_inside = open_brackets[0][1].where()
-    for _, b in open_brackets[1:]:
-        any_inside = any_inside | b.where()
-    cells = F.array_compact(F.array(*[
-        F.when(b.where(), F.struct(F.lit(i).alias("bracket"), F.col(b.column).cast("double").alias("value")))
-        for i, b in open_brackets
-    ]))
-    values = (
-        df.where(any_inside).select(F.inline(cells))
-        .groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("last", F.sum("n").over(W.partitionBy("bracket").orderBy("value")))
-    )
-    wanted = F.lit(False)
-    for i, b in open_brackets:
-        for rank in {math.floor(b.position), math.ceil(b.position)}:
-            offset = rank - b.below
-            wanted = wanted | ((F.col("bracket") == i) & (F.col("last") > offset)
-                               & (F.col("last") - F.col("n") <= offset))
-    for row in values.where(wanted).collect():
-        b = brackets[row["bracket"]]
-        for rank in (math.floor(b.position), math.ceil(b.position)):
-            if row["last"] - row["n"] <= rank - b.below < row["last"]:
-                found[(row["bracket"], rank)] = row["value"]
-    return found
+def _inner_values(df: DataFrame, brackets: dict) -> dict:
+    """Values at the ranks inside the brackets; at most ``rank_limit`` rows each reach the last step."""
+    if not brackets:
+        return {}
+    keys = list(brackets)
+    parts = []
+    for i, k in enumerate(keys):
+        b, c = brackets[k], quote(brackets[k].column)
+        picks = []
+        for r in b.ranks:
+            # Mid-rank probability: the discrete percentile is then exactly this row.
+            p = min(1.0, max(0.0, (r - b.counts[1] + 0.5) / b.inner_rows))
+            picks.append(F.expr(f"CAST(percentile_disc({p!r}D) WITHIN GROUP (ORDER BY {c}) AS DOUBLE)"))
+        parts.append(df.where(b.inner()).agg(F.array(*picks).alias("picked")).withColumn("bracket", F.lit(i)))
+    return {
+        (*keys[row["bracket"]], r): v
+        for row in union_all(parts).collect()
+        for r, v in zip(brackets[keys[row["bracket"]]].ranks, row["picked"])
+    }
