@@ -18,7 +18,8 @@ DATE_PATTERNS = (
     ("unix_epoch", r"^\d{10}$"),
 )
 
-WHITESPACE = r"' \t\n\r\f'"
+# Spark's string literals know no escape for vertical tab and form feed.
+WHITESPACE = r"' \t\n\r\u000B\u000C'"
 FLOAT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 FLOAT_OR_NAN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
@@ -75,13 +76,13 @@ def title_case(value: str) -> str:
     """Upper case after every non-letter, lower case elsewhere.
 
     ``initcap`` breaks words at spaces only, which is enough (and stays in
-    generated code) for text that holds nothing but letters and spaces.
+    generated code) for text of plain letters and spaces. A letter whose upper
+    case has several letters (``ß``) keeps only the first of them in upper case.
     """
-    pieces = (
-        f"array_join(transform(regexp_extract_all({value}, r'(\\p{{L}}+|\\P{{L}}+)', 1),"
-        " w -> concat(upper(left(w, 1)), lower(substr(w, 2)))), '')"
-    )
-    return f"CASE WHEN {value} RLIKE r'[^\\p{{L}} ]' THEN {pieces} ELSE initcap({value}) END"
+    first = "upper(left(w, 1))"
+    word = f"concat(left({first}, 1), lower(substr({first}, 2)), lower(substr(w, 2)))"
+    pieces = f"array_join(transform(regexp_extract_all({value}, r'(\\p{{L}}+|\\P{{L}}+)', 1), w -> {word}), '')"
+    return f"CASE WHEN {value} RLIKE r'[^A-Za-z ]' THEN {pieces} ELSE initcap({value}) END"
 
 
 def phone(value: str) -> str:
