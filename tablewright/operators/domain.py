@@ -38,7 +38,7 @@ def goal_tokens(goals: DataFrame, dataset: str = "dataset_id", goal: str = "goal
     return goals.select(dataset, F.explode(F.split(F.lower(F.col(goal)), r"\s+")).alias("token"))
 
 
-def domain_scores(tokens: DataFrame, datasets: DataFrame, dataset: str = "dataset_id") -> DataFrame:
+def domain_scores(tokens: DataFrame, dataset: str = "dataset_id") -> DataFrame:
     """``(dataset, domain, hits, score)`` for each dataset and domain with a keyword among its tokens.
 
     Tokens are cut down to keywords by a join with the fixed list before the
@@ -48,7 +48,6 @@ def domain_scores(tokens: DataFrame, datasets: DataFrame, dataset: str = "datase
     hits = tokens.join(words, "token").select(dataset, "domain", "priority", "token", "keyword_count").distinct()
     return (
         hits.groupBy(dataset, "domain", "priority", "keyword_count").agg(F.count(F.lit(1)).alias("hits"))
-        .join(datasets.select(dataset).distinct(), dataset, "left_semi")
         .select(dataset, "domain", "priority", "hits", (F.col("hits") / F.col("keyword_count")).alias("score")))
 
 
@@ -57,7 +56,7 @@ def detect_domains(tokens: DataFrame, datasets: DataFrame, dataset: str = "datas
     # At most one row per domain and dataset reaches this window.
     by_dataset = W.partitionBy(dataset).orderBy(F.desc("score"), "priority")
     best = (
-        domain_scores(tokens, datasets, dataset)
+        domain_scores(tokens, dataset)
         .withColumns({"_rank": F.row_number().over(by_dataset),
                       "_second": F.coalesce(F.lead("score").over(by_dataset), F.lit(0.0))})
         .where("_rank = 1")

@@ -14,6 +14,9 @@ from tablewright.schemas import PROFILE_SCHEMA
 # Columns per aggregate, to stay inside compiled code on wide tables.
 COLUMNS_PER_PASS = 16
 
+# Texts longer than this are grouped by digest.
+LONG_TEXT = 64
+
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -50,20 +53,48 @@ def _stats_pass(df: DataFrame, chosen: list[T.StructField]) -> DataFrame:
     return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
+def _text_key(value: str) -> str:
+    return f"CASE WHEN length({value}) > {LONG_TEXT} THEN sha2({value}, 256) ELSE {value} END"
+
+
 def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> list[DataFrame]:
     """``(column, value, n)`` of the non-null values, one frame per data type.
 
     Columns of the same type are unpivoted together and grouped in their own
     type: no cast to text before the shuffle, and repeated values are combined
-    on the map side, so a hot value costs one row per task.
+    on the map side, so a hot value costs one row per task. Texts over 64
+    characters are counted by their SHA-256 digest, so a document column does
+    not shuffle the documents.
     """
     wanted = [f.name for f in fields(df, columns)]
-    return [
-        df.select(*names).unpivot([], names, "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        for names in by_type(df, wanted).values()
-    ]
+    frames = []
+    for kind, names in by_type(df, wanted).items():
+        values = df.select(*names).unpivot([], names, "column", "value").where(F.col("value").isNotNull())
+        if kind == "string":
+            values = values.withColumn("value", F.expr(_text_key("value")))
+        frames.append(values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    return frames
+
+
+def _spelled(df: DataFrame, columns: Iterable[str], found: DataFrame) -> DataFrame:
+    """``(column, key, text)`` of the digests among a few found values per column."""
+    names = [f.name for f in fields(df, columns) if isinstance(f.dataType, T.StringType)]
+    keys = found.where(F.col("column").isin(*names) & (F.length("value") == 64)).select(
+        "column", F.col("value").alias("key")).distinct()
+    texts = df.select(*names).unpivot([], names, "column", "text").where(F.length("text") > LONG_TEXT)
+    # A handful of keys per column: the broadcast is bounded by the column count.
+    return (
+        texts.withColumn("key", F.expr("sha2(text, 256)")).join(F.broadcast(keys), ["column", "key"], "left_semi")
+        .groupBy("column", "key").agg(F.any_value("text").alias("text")))
+
+
+def _spell(df: DataFrame, columns: Iterable[str], found: DataFrame) -> DataFrame:
+    """Found values with the digests of long texts replaced by the texts."""
+    if not any(isinstance(f.dataType, T.StringType) for f in fields(df, columns)):
+        return found
+    texts = _spelled(df, columns, found).withColumnRenamed("key", "value")
+    return found.join(F.broadcast(texts), ["column", "value"], "left").withColumn(
+        "value", F.coalesce("text", "value")).drop("text")
 
 
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
@@ -81,7 +112,9 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
 
 def top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5) -> DataFrame:
     """``(column, rank, value, n)``: the k most frequent values, ties by value."""
-    return union_all(_ranked(v, F.desc("n"), k) for v in value_counts(df, columns))
+    names = [f.name for f in fields(df, columns)]
+    found = union_all(_ranked(v, F.desc("n"), k) for v in value_counts(df, names))
+    return _spell(df, names, found).select("column", "rank", "value", "n")
 
 
 def _ranked(values: DataFrame, order, k: int) -> DataFrame:
@@ -110,35 +143,55 @@ def profile(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5,
     per_type = value_counts(df, names)
     # Both uses keep the same grouped counts, so their shuffle is planned once and reused.
     counted = union_all(_spread_values(v, k) for v in per_type)
-    if not exact:
-        counted = counted.drop("unique_count").join(
-            F.broadcast(distinct_counts(df, names, exact=False)), "column")
-    values = F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda e: e["value"])
-    top = union_all(_ranked(v, F.desc("n"), k) for v in per_type).groupBy("column").agg(
-        values.alias("top_5_values"))
+    top = union_all(_ranked(v, F.desc("n"), k) for v in per_type)
+    # Ranks from k+1 on mark the spread values.
+    shown = top.select("column", "rank", "value").unionByName(counted.select(
+        "column", F.posexplode("spread").alias("_i", "value")).select(
+        "column", (F.col("_i") + k + 1).cast("long").alias("rank"), "value"))
+    shown = _spell(df, names, shown)
+    entries = F.sort_array(F.collect_list(F.struct("rank", "value")))
+    listed = shown.groupBy("column").agg(entries.alias("_shown"))
+    uniques = counted.select("column", "unique_count") if exact else distinct_counts(df, names, exact=False)
     # These frames hold one row per column of the table.
     stats = column_stats(df, names)
     nothing = F.array().cast("array<string>")
+
+    def values(test: str):
+        return F.expr(f"transform(filter(_shown, e -> e.rank {test}), e -> e.value)")
     return (
-        stats.join(F.broadcast(counted), "column", "left")
-        .join(F.broadcast(top), "column", "left")
+        stats.join(F.broadcast(uniques), "column", "left")
+        .join(F.broadcast(listed), "column", "left")
         .select(
             "column", "dtype", "total_rows", "null_count",
             F.coalesce(F.round(F.try_divide("null_count", "total_rows"), 4), F.lit(0.0)).alias("null_rate"),
             "blank_count",
             F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"),
             "min", "max", F.round("mean", 4).alias("mean"),
-            F.coalesce("top_5_values", nothing).alias("top_5_values"),
-            F.slice(F.array_distinct(F.concat(
-                F.coalesce("spread", nothing), F.coalesce("top_5_values", nothing))), 1, k).alias("sample_values"),
+            F.coalesce(values(f"<= {k}"), nothing).alias("top_5_values"),
+            F.coalesce(F.slice(F.array_distinct(F.concat(values(f"> {k}"), values(f"<= {k}"))), 1, k), nothing)
+            .alias("sample_values"),
         )
         .to(PROFILE_SCHEMA)
     )
 
 
+def row_digest(df: DataFrame, columns: Iterable[str] | None = None) -> list:
+    """Two independent 64-bit hashes of a row, with null flags (hashing skips nulls).
+
+    Two different rows among 10^12 share both with a probability of about 10^-15.
+    """
+    names = [f.name for f in fields(df, columns)]
+    cells = [x for c in names for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*cells), F.xxhash64(F.lit(len(names)), *reversed(cells))]
+
+
 def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """``(total_rows, distinct_rows, duplicate_row_count)`` from one grouped count."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    """``(total_rows, distinct_rows, duplicate_row_count)`` from one grouped count.
+
+    Rows are shuffled as 16-byte digests, combined on the map side.
+    """
+    first, second = row_digest(df)
+    groups = df.select(first.alias("_a"), second.alias("_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),

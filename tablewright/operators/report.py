@@ -15,10 +15,14 @@ def quality_report(checks: DataFrame, summary: DataFrame, explanations: DataFram
                    by: str = "run_id", gate: tuple[str, ...] = ("critical",)) -> DataFrame:
     """Verdict, checks, anomaly summary and explanations per run.
 
-    The nested lists hold checks and columns, never data rows, so their length
-    is bounded by the width of the tables.
+    The nested lists hold one entry per check and column, and one per anomalous
+    column: repeated rows are merged before they are listed, so a list is
+    bounded by the width of the tables.
     """
-    listed = checks.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(
+    entries = checks.groupBy(by, "check_name", "column_name").agg(
+        F.max("check_type").alias("check_type"), F.bool_and("passed").alias("passed"),
+        F.max("severity").alias("severity"), F.max("detail").alias("detail"))
+    listed = entries.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(
         "check_name", "column_name", "check_type", "passed", "severity", "detail"))).alias("checks"))
     found = summary.groupBy(by).agg(
         F.sum("anomaly_count").alias("anomaly_count"),

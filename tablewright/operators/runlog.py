@@ -63,7 +63,7 @@ def outcome(status: Column, retry_count: Column, max_retries: int = MAX_RETRIES)
         .otherwise("failed"))
 
 
-def pipeline_outcome(runs: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+def run_outcomes(runs: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     return runs.withColumn("outcome", outcome(F.col("status"), F.col("retry_count"), max_retries))
 
 

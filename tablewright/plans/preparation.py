@@ -16,6 +16,7 @@ from tablewright.operators import (
     infer, lineage as L, profile as A, report, runlog)
 from tablewright.operators.transforms import Step, TransformPlan
 from tablewright.schemas import CATALOGUE_SCHEMA, LINEAGE_SCHEMA, RUN_SCHEMA
+from tablewright.session import scratch_path
 from tablewright.sources.publish import RunPaths, promote, run_key
 
 
@@ -104,6 +105,11 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
         last = runlog.last_watermarks(known).where(F.col("watermark_column") == column).first()
         source = I.new_rows(source, column, last["watermark_value"] if last else None)
 
+    if source_type != "parquet":
+        # Text and database sources are read once; everything after scans columns.
+        landed = scratch_path(spark, "landed")
+        source.write.parquet(landed)
+        source = spark.read.parquet(landed)
     key = run_key(source, job.goal)
     if not job.force:
         prior = runlog.latest_success(state.runs(), key).first()

@@ -155,10 +155,10 @@ def last_watermarks(spark, sf):
     return RL.last_watermarks(_runs(spark, sf)).drop("watermark_column")
 
 
-@query("pipeline_outcome", f"SELECT run_id, CASE WHEN status = 'success' THEN 'publish' WHEN status = 'retrying' AND retry_count < 3 THEN 'retry'"
+@query("run_outcomes", f"SELECT run_id, CASE WHEN status = 'success' THEN 'publish' WHEN status = 'retrying' AND retry_count < 3 THEN 'retry'"
        f" ELSE 'failed' END AS outcome FROM ({_RUNS})")
-def pipeline_outcome(spark, sf):
-    return RL.pipeline_outcome(_runs(spark, sf)).select("run_id", "outcome")
+def run_outcomes(spark, sf):
+    return RL.run_outcomes(_runs(spark, sf)).select("run_id", "outcome")
 
 
 _CHECK_ROWS = ("SELECT CAST(l_orderkey AS VARCHAR) AS run_id, 'c' || l_linenumber AS check_name, l_returnflag <> 'R' AS passed,"
@@ -184,7 +184,7 @@ def run_metrics(spark, sf):
 
 
 @query("quality_report", f"WITH c AS ({_CHECK_ROWS}) SELECT run_id, NOT bool_or(NOT passed AND severity = 'critical') AS overall_passed,"
-       " count(*) AS check_count, count(*) FILTER (WHERE NOT passed) AS failed_count, count(*) AS listed, (SELECT count(*) FROM lineitem"
+       " count(*) AS check_count, count(*) FILTER (WHERE NOT passed) AS failed_count, count(DISTINCT check_name || column_name) AS listed, (SELECT count(*) FROM lineitem"
        " WHERE CAST(l_orderkey AS VARCHAR) = c.run_id AND l_quantity > 45) AS anomaly_count FROM c GROUP BY run_id")
 def quality_report(spark, sf):
     checks = _check_rows(spark, sf)
@@ -297,8 +297,8 @@ def _tokens(spark, sf):
 
 @query("domain_scores", _TOKENS_SQL + " SELECT dataset_id, domain, hits, score FROM s")
 def domain_scores(spark, sf):
-    datasets, tokens = _tokens(spark, sf)
-    return M.domain_scores(tokens, datasets).select("dataset_id", "domain", "hits", "score")
+    _, tokens = _tokens(spark, sf)
+    return M.domain_scores(tokens).select("dataset_id", "domain", "hits", "score")
 
 
 @query("domain_decisions", _DECIDED_SQL + " SELECT * FROM x")
@@ -321,7 +321,7 @@ def domain_rules(spark, sf):
        + ") AS k(domain, token, total)) SELECT doc_id, domain, count(*) AS hits, count(*) / any_value(total) AS score FROM t JOIN k USING (token) GROUP BY doc_id, domain")
 def document_domains(spark, sf):
     documents = table(spark, sf, "documents")
-    return M.domain_scores(M.goal_tokens(documents, "doc_id", "text"), documents, "doc_id").select("doc_id", "domain", "hits", "score")
+    return M.domain_scores(M.goal_tokens(documents, "doc_id", "text"), "doc_id").select("doc_id", "domain", "hits", "score")
 
 
 # --- catalogue, library, search, tests ------------------------------------------

@@ -94,7 +94,8 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, portable: b
         text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
         code = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     else:
-        code = F.xxhash64(*names)
+        # Null flags, because hashing skips nulls.
+        code = F.xxhash64(*[x for c in names for x in (F.col(c).isNull(), F.col(c))])
     return df.select(code.alias("_code")).agg(
         F.count(F.lit(1)).alias("row_count"), F.bit_xor("_code").alias("hash_xor"),
         F.sum(F.pmod("_code", F.lit(FINGERPRINT_MODULUS))).alias("hash_sum"))
