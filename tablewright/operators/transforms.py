@@ -177,7 +177,8 @@ _COLUMN_TRANSFORMS = [
     ColumnTransform("normalise_country", lambda df: C.name_tokens(df, "country"),
                     lambda f, **_: S.canonical(S.quote(f.name), R.COUNTRY_VARIANTS, S.quote(f.name))),
     ColumnTransform("normalise_boolean", lambda df: [
-        c for c in df.columns if c.lower().startswith(("is_", "has_"))], _boolean),
+        f.name for f in df.schema.fields
+        if f.name.lower().startswith(("is_", "has_")) and not isinstance(f.dataType, T.BooleanType)], _boolean),
     ColumnTransform("uppercase_vin", lambda df: C.name_tokens(df, "vin"),
                     lambda f, **_: f"upper({S.stripped(S.quote(f.name))})"),
     ColumnTransform("uppercase_registration", lambda df: C.name_tokens(df, "registration"),

@@ -22,11 +22,13 @@ def _list_keys(documents: DataFrame) -> list[str]:
             and isinstance(documents.schema[k].dataType.elementType, T.StructType)]
 
 
-def unwrap(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def unwrap(documents: DataFrame, keep: Sequence[str] = (), bare: bool | None = None) -> DataFrame:
     """The records inside the documents.
 
     A document's records are the first envelope list it holds, in the fixed
-    key order; a document without one is itself a record.
+    key order; a document without one is itself a record. ``bare`` says whether
+    such documents occur; by default one is looked for, because their columns
+    become part of the result.
     """
     keys = _list_keys(documents)
     parts, earlier = [], F.lit(True)
@@ -34,10 +36,10 @@ def unwrap(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         mine = documents.where(earlier & F.col(k).isNotNull())
         parts.append(mine.select(*keep, F.inline(k)))
         earlier = earlier & F.col(k).isNull()
-    bare = [c for c in documents.columns if c not in keys]
-    if bare and set(bare) - set(keep):
-        plain = documents.where(earlier).select(*bare)
-        if not keys or set(bare) - set(keep) <= _record_fields(documents, keys):
+    names = [c for c in documents.columns if c not in keys]
+    if names:
+        plain = documents.where(earlier).select(*names)
+        if not keys or (not plain.isEmpty() if bare is None else bare):
             parts.append(plain)
     result = parts[0]
     for p in parts[1:]:
@@ -45,10 +47,6 @@ def unwrap(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return result
 
 
-def _record_fields(documents: DataFrame, keys: list[str]) -> set[str]:
-    return {n for k in keys for n in documents.schema[k].dataType.elementType.names}
-
-
 def pagination(documents: DataFrame) -> DataFrame:
     """What an envelope says besides its records: one ``info`` struct row per document."""
     keys = _list_keys(documents)
