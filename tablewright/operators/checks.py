@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.operators.profile import column_stats, std_estimate, union_all
+from tablewright.operators.profile import column_stats, settle, std_estimate, union_all
 from tablewright.schemas import CHECK_SCHEMA
 
 # Pass limits.
@@ -42,7 +42,7 @@ def quality_checks(output: DataFrame, original: DataFrame, schema: DataFrame | N
                    max_null_increase: float = MAX_NULL_INCREASE, max_mean_shift: float = MAX_MEAN_SHIFT,
                    min_row_ratio: float = MIN_ROW_RATIO, min_row_ratio_dedup: float = MIN_ROW_RATIO_DEDUP,
                    ) -> DataFrame:
-    """All checks (``CHECK_SCHEMA``) from one pass over the output.
+    """All checks (``CHECK_SCHEMA``) from one pass over the output, made at once.
 
     ``original`` is a profile of the input (or its ``column_stats``), ``schema``
     the inferred types. Columns without a profile are skipped; see
@@ -50,7 +50,8 @@ def quality_checks(output: DataFrame, original: DataFrame, schema: DataFrame | N
     """
     deduped = any("dedup" in t.lower() for t in transformations)
     minimum = min_row_ratio_dedup if deduped else min_row_ratio
-    stats = column_stats(output)
+    # Every check reads the same few rows per column; settled, they are computed once.
+    stats, original = settle(column_stats(output)), settle(original)
 
     sizes = stats.select(F.col("total_rows").alias("n_out"), F.lit(None).cast("long").alias("n_in")).unionByName(
         original.select(F.lit(None).cast("long").alias("n_out"), F.col("total_rows").alias("n_in")))
@@ -89,9 +90,9 @@ def quality_checks(output: DataFrame, original: DataFrame, schema: DataFrame | N
     )
     parts = [volume, nulls, shift]
     if schema is not None:
-        types = F.broadcast(schema.select("column", "inferred_type").where("inferred_type <> ''"))
+        types = settle(schema.select("column", "inferred_type").where("inferred_type <> ''"))
         parts.append(_checks(
-            joined.join(types, "column"), "type_conformance", "schema", "error", F.col("column"),
+            joined.join(F.broadcast(types), "column"), "type_conformance", "schema", "error", F.col("column"),
             f"{_family('inferred_type', merge_temporal)} = {_family('dtype', merge_temporal)}",
             "map('type', inferred_type)", "map('type', dtype)",
             "format_string('Expected type %s, found %s.', inferred_type, dtype)",

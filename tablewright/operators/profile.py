@@ -76,25 +76,21 @@ def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> list[Da
     return frames
 
 
-def _spelled(df: DataFrame, columns: Iterable[str], found: DataFrame) -> DataFrame:
-    """``(column, key, text)`` of the digests among a few found values per column."""
-    names = [f.name for f in fields(df, columns) if isinstance(f.dataType, T.StringType)]
-    keys = found.where(F.col("column").isin(*names) & (F.length("value") == 64)).select(
-        "column", F.col("value").alias("key")).distinct()
-    texts = df.select(*names).unpivot([], names, "column", "text").where(F.length("text") > LONG_TEXT)
-    # A handful of keys per column: the broadcast is bounded by the column count.
-    return (
-        texts.withColumn("key", F.expr("sha2(text, 256)")).join(F.broadcast(keys), ["column", "key"], "left_semi")
-        .groupBy("column", "key").agg(F.any_value("text").alias("text")))
+def settle(df: DataFrame) -> DataFrame:
+    """A report-sized frame (a few rows per column) computed once, for use in several places."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def _spell(df: DataFrame, columns: Iterable[str], found: DataFrame) -> DataFrame:
-    """Found values with the digests of long texts replaced by the texts."""
-    if not any(isinstance(f.dataType, T.StringType) for f in fields(df, columns)):
-        return found
-    texts = _spelled(df, columns, found).withColumnRenamed("key", "value")
-    return found.join(F.broadcast(texts), ["column", "value"], "left").withColumn(
-        "value", F.coalesce("text", "value")).drop("text")
+def _spelled(df: DataFrame, columns: Iterable[str], values: Iterable[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """The long texts behind the digests among a few found ``(column, value)`` pairs."""
+    names = {f.name for f in fields(df, columns) if isinstance(f.dataType, T.StringType)}
+    digests = {v for c, v in values if c in names and v is not None and len(v) == 64}
+    if not digests:
+        return {}
+    texts = df.select(*names).unpivot([], sorted(names), "column", "text").where(F.length("text") > LONG_TEXT)
+    found = texts.withColumn("key", F.sha2("text", 256)).where(F.col("key").isin(*digests))
+    rows = found.groupBy("column", "key").agg(F.any_value("text").alias("text")).collect()
+    return {(r["column"], r["key"]): r["text"] for r in rows}
 
 
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
@@ -111,10 +107,14 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
 
 
 def top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5) -> DataFrame:
-    """``(column, rank, value, n)``: the k most frequent values, ties by value."""
+    """``(column, rank, value, n)``: the k most frequent values, ties by value. Runs at once."""
     names = [f.name for f in fields(df, columns)]
     found = union_all(_ranked(v, F.desc("n"), k) for v in value_counts(df, names))
-    return _spell(df, names, found).select("column", "rank", "value", "n")
+    rows = found.collect()
+    texts = _spelled(df, names, [(r["column"], r["value"]) for r in rows])
+    return df.sparkSession.createDataFrame(
+        [(r["column"], r["rank"], texts.get((r["column"], r["value"]), r["value"]), r["n"]) for r in rows],
+        "column string, rank long, value string, n long")
 
 
 def _ranked(values: DataFrame, order, k: int) -> DataFrame:
@@ -138,41 +138,56 @@ def _spread_values(values: DataFrame, k: int) -> DataFrame:
 
 def profile(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5,
             exact: bool = True) -> DataFrame:
-    """The full column profile (``PROFILE_SCHEMA``), whatever the table size."""
+    """The full column profile (``PROFILE_SCHEMA``), whatever the table size.
+
+    Runs at once, as one job, and keeps its result: some ten short values per
+    column come to the driver. Long texts among them are looked up afterwards.
+    """
     names = [f.name for f in fields(df, columns)]
+    entries: dict[str, dict] = {c: {"unique_count": 0, "top": {}, "spread": []} for c in names}
+    for row in _profile_rows(df, names, k, exact).collect():
+        entry = entries[row["column"]]
+        if row["stats"] is not None:
+            entry["stats"] = row["stats"]
+        if row["spread"] is not None:
+            entry["spread"] = row["spread"]
+        if row["unique_count"] is not None:
+            entry["unique_count"] = row["unique_count"]
+        if row["rank"] is not None:
+            entry["top"][row["rank"]] = row["value"]
+    texts = _spelled(df, names, [(c, v) for c, e in entries.items() for v in [*e["top"].values(), *e["spread"]]])
+    rows = []
+    for c, e in entries.items():
+        s = e["stats"]
+        top_values_ = [texts.get((c, v), v) for _, v in sorted(e["top"].items())]
+        spread = [texts.get((c, v), v) for v in e["spread"]]
+        rate = s["null_count"] / s["total_rows"] if s["total_rows"] else 0.0
+        rows.append((
+            c, s["dtype"], s["total_rows"], s["null_count"], rate, s["blank_count"], e["unique_count"], s["min"],
+            s["max"], s["mean"], top_values_, list(dict.fromkeys(spread + top_values_))[:k]))
+    settled = df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    return settled.withColumns({"null_rate": F.round("null_rate", 4), "mean": F.round("mean", 4)})
+
+
+def _profile_rows(df: DataFrame, names: list[str], k: int, exact: bool) -> DataFrame:
+    """A few rows per column: its statistics, its distinct count and spread values, its top values."""
     per_type = value_counts(df, names)
-    # Both uses keep the same grouped counts, so their shuffle is planned once and reused.
+    stats = column_stats(df, names)
+    # Both kinds of rows from one grouped count, whose shuffle is planned once and reused.
     counted = union_all(_spread_values(v, k) for v in per_type)
     top = union_all(_ranked(v, F.desc("n"), k) for v in per_type)
-    # Ranks from k+1 on mark the spread values.
-    shown = top.select("column", "rank", "value").unionByName(counted.select(
-        "column", F.posexplode("spread").alias("_i", "value")).select(
-        "column", (F.col("_i") + k + 1).cast("long").alias("rank"), "value"))
-    shown = _spell(df, names, shown)
-    entries = F.sort_array(F.collect_list(F.struct("rank", "value")))
-    listed = shown.groupBy("column").agg(entries.alias("_shown"))
-    uniques = counted.select("column", "unique_count") if exact else distinct_counts(df, names, exact=False)
-    # These frames hold one row per column of the table.
-    stats = column_stats(df, names)
-    nothing = F.array().cast("array<string>")
-
-    def values(test: str):
-        return F.expr(f"transform(filter(_shown, e -> e.rank {test}), e -> e.value)")
-    return (
-        stats.join(F.broadcast(uniques), "column", "left")
-        .join(F.broadcast(listed), "column", "left")
-        .select(
-            "column", "dtype", "total_rows", "null_count",
-            F.coalesce(F.round(F.try_divide("null_count", "total_rows"), 4), F.lit(0.0)).alias("null_rate"),
-            "blank_count",
-            F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"),
-            "min", "max", F.round("mean", 4).alias("mean"),
-            F.coalesce(values(f"<= {k}"), nothing).alias("top_5_values"),
-            F.coalesce(F.slice(F.array_distinct(F.concat(values(f"> {k}"), values(f"<= {k}"))), 1, k), nothing)
-            .alias("sample_values"),
-        )
-        .to(PROFILE_SCHEMA)
-    )
+    parts = [
+        stats.select("column", F.struct(*stats.columns[1:]).alias("stats")),
+        counted.select("column", "unique_count", "spread"),
+        top.select("column", "rank", "value"),
+    ]
+    if not exact:
+        parts[1] = parts[1].drop("unique_count")
+        parts.append(distinct_counts(df, names, exact=False))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
 
 def row_digest(df: DataFrame, columns: Iterable[str] | None = None) -> list:

@@ -64,29 +64,26 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequen
     if not names:
         return {}
     grid = sorted({min(1.0, max(0.0, p + d * sign)) for p in probabilities for d in SLACKS for sign in (-1, 1)})
-    extremes = df.agg(*[a for i, c in enumerate(names) for a in (
-        F.count(c).alias(f"n_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"))]).first()
     sketch = df.select(*names).sample(False, share, SEED).agg(*[a for i, c in enumerate(names) for a in (
         F.count(c).alias(f"m_{i}"), F.percentile_approx(c, grid, accuracy).alias(f"q_{i}"))]).first()
-
     brackets: dict[tuple[str, float], _Bracket] = {}
     for i, c in enumerate(names):
-        rows = extremes[f"n_{i}"]
         # Four standard errors of a sample quantile, plus the sketch's own error.
         needed = 2.0 / math.sqrt(max(1, sketch[f"m_{i}"])) + 2.0 / accuracy
         slack = next((d for d in SLACKS if d >= needed), 1.0)
         seen = dict(zip(grid, sketch[f"q_{i}"] or []))
-        for p in probabilities if rows else ():
-            position = p * (rows - 1)
-            brackets[c, p] = _Bracket(
-                c, (math.floor(position), math.ceil(position)),
-                seen[p - slack] if p - slack in seen else extremes[f"min_{i}"],
-                seen[p + slack] if p + slack in seen else extremes[f"max_{i}"])
-    _count(df, brackets.values())
+        for p in probabilities:
+            brackets[c, p] = _Bracket(c, (0, 0), seen.get(p - slack), seen.get(p + slack))
+    ends = {c: (0, None, None) for c in names}
+    _count(df, [b for b in brackets.values() if b.low is not None and b.high is not None], ends)
+    for (c, p), b in brackets.items():
+        position = p * max(0, ends[c][0] - 1)
+        b.ranks = (math.floor(position), math.ceil(position))
+    brackets = {(c, p): b for (c, p), b in brackets.items() if ends[c][0]}
+    # No sample to speak of, or a bracket beside the rank: the whole range holds it for certain.
     missed = [b for b in brackets.values() if not b.covers()]
     for b in missed:
-        i = names.index(b.column)
-        b.low, b.high = extremes[f"min_{i}"], extremes[f"max_{i}"]
+        b.low, b.high = ends[b.column][1:]
     _count(df, missed)
     _narrow(df, [b for b in brackets.values() if b.is_open()], accuracy, rank_limit)
     inner = _inner_values(df, {k: b for k, b in brackets.items() if b.is_open()})
@@ -94,27 +91,40 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequen
     result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in names}
     for (c, p), b in brackets.items():
         lower, upper = (float(inner[c, p, r] if b.at(r) is None else b.at(r)) for r in b.ranks)
-        part = p * (extremes[f"n_{names.index(c)}"] - 1) - b.ranks[0]
+        part = p * (ends[c][0] - 1) - b.ranks[0]
         result[c][list(probabilities).index(p)] = lower if part == 0 else lower + (upper - lower) * part
     return result
 
 
-def _count(df: DataFrame, brackets: Iterable[_Bracket]) -> None:
+def _count(df: DataFrame, brackets: Iterable[_Bracket], ends: dict[str, tuple] | None = None) -> None:
+    """Fill in the brackets' counts and, if asked, each column's row count and extremes, as one job."""
     wanted = list(brackets)
-    if not wanted:
-        return
     chunks = [wanted[i:i + BRACKETS_PER_PASS] for i in range(0, len(wanted), BRACKETS_PER_PASS)]
 
     def up_to(b: _Bracket) -> Column:
         c = F.col(b.column)
         return F.array(*[F.count_if(t) for t in (c < F.lit(b.low), c <= F.lit(b.low), c < F.lit(b.high),
                                                  c <= F.lit(b.high))])
-    counted = union_all(
+    parts = [
         df.agg(F.array(*[up_to(b) for b in chunk]).alias("counts")).withColumn("chunk", F.lit(i))
-        for i, chunk in enumerate(chunks))
-    for row in counted.collect():
-        for b, counts in zip(chunks[row["chunk"]], row["counts"]):
-            b.counts = tuple(counts)
+        for i, chunk in enumerate(chunks)]
+    if ends is not None:
+        cells = [a.alias(f"{kind}_{i}") for i, c in enumerate(ends) for kind, a in (
+            ("n", F.count(c)), ("min", F.min(c)), ("max", F.max(c)))]
+        parts.append(df.agg(*cells).select(F.struct("*").alias("ends")))
+    if not parts:
+        return
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    for row in whole.collect():
+        found = row.asDict()
+        if found.get("ends") is not None:
+            for i, c in enumerate(ends):
+                ends[c] = tuple(found["ends"][f"{kind}_{i}"] for kind in ("n", "min", "max"))
+        if found.get("counts") is not None:
+            for b, counts in zip(chunks[found["chunk"]], found["counts"]):
+                b.counts = tuple(counts)
 
 
 def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int, rank_limit: int) -> None:

@@ -79,11 +79,6 @@ class State:
         runlog.append_events(runlog.run_event(self.spark, **event), self.path("runs"))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """A frame of one row per column or check, computed once."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str, job: Preparation,
             state_dir: str, output_dir: str) -> Result:
     """Run a preparation; nothing appears under ``final`` unless its gate passes.
@@ -121,8 +116,8 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
                  retry_count=0, started_at=now)
     result = Result(run_id, "failed", domain=domain, transformations=plan.applied)
     try:
-        original = _settled(A.profile(source))
-        inferred = _settled(infer.infer_schema(source))
+        original = A.profile(source)
+        inferred = A.settle(infer.infer_schema(source))
         prior = state.catalogue().where(F.col("source_path") == source_path)
         stored = D.schema_rows(D.latest_schema(prior))
         current = inferred.select("column", F.col("inferred_type").alias("type"))
@@ -143,12 +138,12 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
 
         rules = R.rules_for(domain)["validation_rules"]
         targets = current.withColumn("inferred_type", F.col("type"))
-        checks = _settled(Q.quality_checks(written, original, targets, plan.applied, rules))
+        checks = A.settle(Q.quality_checks(written, original, targets, plan.applied, rules))
         watched = {r["column"] for r in Q.target_columns(checks, A.risk_columns(original)).collect()}
         keys = list(job.keys) or written.columns[:1]
         found = V.redact(N.detect_anomalies(written, keys, watched, job.pattern_mode),
                          R.rules_for(domain)["sensitive_columns"])
-        summary = _settled(N.anomaly_summary(found, keys))
+        summary = A.settle(N.anomaly_summary(found, keys))
         texts = N.explain_anomalies(summary, original)
         tag = F.lit(run_id)
         report.write_report(report.quality_report(
@@ -160,7 +155,7 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
             _finish(state, result, run_id, False)
             return result
 
-        after = _settled(A.profile(written))
+        after = A.profile(written)
         result.tests = column_tests.read_tests(column_tests.suggest_tests(after))
         newest = None
         if column is not None:
