@@ -5,12 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tablewright.functions.sql import quote
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters the name holds."""
+    return F.col(quote(name))
+
+
 def fields(df: DataFrame, columns: Iterable[str] | None = None) -> list[T.StructField]:
     if columns is None:
         return list(df.schema.fields)

@@ -28,7 +28,7 @@ def quartile_bounds(df: DataFrame, columns: Iterable[str] | None = None, exact:
     if exact:
         quartiles = exact_quantiles(df, names)
     else:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75]).alias(c) for c in names]).first()
+        row = df.agg(*[F.percentile_approx(C.col(c).cast("double"), [0.25, 0.75]).alias(c) for c in names]).first()
         quartiles = {c: row[c] or [None, None] for c in names}
     return {
         c: (q1, q3, q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
@@ -44,26 +44,26 @@ def bounds_frame(df: DataFrame, bounds: Bounds) -> DataFrame:
 
 def numeric_outliers(df: DataFrame, keys: Sequence[str], bounds: Bounds) -> DataFrame:
     """One row per cell outside its fences; the fences reach the scan as a filter."""
-    outside = {c: (F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high)) for c, (_, _, low, high) in bounds.items()}
+    outside = {c: (C.col(c) < F.lit(low)) | (C.col(c) > F.lit(high)) for c, (_, _, low, high) in bounds.items()}
     cells = F.array_compact(F.array(*[
         F.when(outside[c], F.struct(
-            F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
+            F.lit(c).alias("column"), C.col(c).cast("string").alias("value"),
             F.format_string("IQR outlier: value %s outside [%.2f, %.2f]",
-                            F.col(c).cast("string"), F.lit(low), F.lit(high)).alias("reason"),
+                            C.col(c).cast("string"), F.lit(low), F.lit(high)).alias("reason"),
             F.lit(low).alias("lower"), F.lit(high).alias("upper")))
         for c, (_, _, low, high) in bounds.items()
     ]))
     any_outside = F.lit(False)
     for test in outside.values():
         any_outside = any_outside | test
-    return df.where(any_outside).select(*keys, F.inline(cells))
+    return df.where(any_outside).select(*[C.col(k) for k in keys], F.inline(cells))
 
 
 def _shapes(df: DataFrame, columns: Sequence[str], keys: Sequence[str], mode: str) -> DataFrame:
-    texts = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *columns)
+    texts = df.select(*[C.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[C.col(c) for c in columns])
     ids = [f"_k{i}" for i in range(len(keys))]
     return (
-        texts.unpivot(ids, list(columns), "column", "value").where(F.col("value").isNotNull())
+        texts.unpivot(ids, [C.col(c) for c in columns], "column", "value").where(F.col("value").isNotNull())
         .withColumn("pattern", F.expr(pattern_key("value", mode)))
     )
 

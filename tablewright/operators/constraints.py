@@ -148,8 +148,8 @@ def lost_repeats(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Dat
 
 def lost_negative_rows(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     """``violation_count``: how many fewer rows are negative in the output."""
-    sides = before.select(F.col(column).alias("_c"), F.lit(1).alias("_w")).unionByName(
-        after.select(F.col(column).alias("_c"), F.lit(-1).alias("_w")))
+    sides = before.select(C.col(column).alias("_c"), F.lit(1).alias("_w")).unionByName(
+        after.select(C.col(column).alias("_c"), F.lit(-1).alias("_w")))
     lost = F.coalesce(F.sum(F.when(F.col("_c") < 0, F.col("_w"))), F.lit(0))
     return sides.agg(F.greatest(lost, F.lit(0)).alias("violation_count"))
 

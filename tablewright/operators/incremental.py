@@ -7,6 +7,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from tablewright.functions.columns import col
+
 
 def _bound(df: DataFrame, column: str, previous: Any) -> Column:
     return F.lit(previous).cast(df.schema[column].dataType)
@@ -25,10 +27,10 @@ def new_rows(df: DataFrame, column: str, previous: Any = None, lookback: str | N
         return df
     bound = _bound(df, column, previous)
     if lookback is None:
-        return df.where(F.col(column) > bound)
+        return df.where(col(column) > bound)
     if seen is None or not key:
         raise ValueError("a lookback needs the keys already seen")
-    again = df.where(F.col(column) >= bound - F.expr(lookback))
+    again = df.where(col(column) >= bound - F.expr(lookback))
     return again.join(seen.select(*key).distinct(), list(key), "left_anti")
 
 
@@ -37,12 +39,12 @@ def new_watermark(increment: DataFrame, column: str, previous: Any = None) -> Da
 
     Without new rows the previous value stays.
     """
-    newest = F.max(column)
+    newest = F.max(col(column))
     if previous is not None:
         newest = F.coalesce(F.greatest(newest, _bound(increment, column, previous)), _bound(increment, column, previous))
     return increment.agg(
         F.count(F.lit(1)).alias("new_row_count"), newest.cast("string").alias("watermark_value"),
-        F.count_if(F.col(column).isNull()).alias("null_watermarks"))
+        F.count_if(col(column).isNull()).alias("null_watermarks"))
 
 
 def observe_rows(df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, Observation]:
@@ -53,4 +55,4 @@ def observe_rows(df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, Ob
 
 def observe_watermark(df: DataFrame, column: str, name: str = "watermark") -> tuple[DataFrame, Observation]:
     """Row count and high-water mark from the same job that writes the increment."""
-    return observe_rows(df, name, F.max(column).cast("string").alias("watermark_value"))
+    return observe_rows(df, name, F.max(col(column)).cast("string").alias("watermark_value"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from tablewright.functions.columns import by_type, fields, type_name
+from tablewright.functions.columns import by_type, col, fields, type_name
 from tablewright.functions.sql import literal, quote, stripped
 from tablewright.schemas import PROFILE_SCHEMA
 
@@ -69,7 +69,7 @@ def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> list[Da
     wanted = [f.name for f in fields(df, columns)]
     frames = []
     for kind, names in by_type(df, wanted).items():
-        values = df.select(*names).unpivot([], names, "column", "value").where(F.col("value").isNotNull())
+        values = df.select(*[col(c) for c in names]).unpivot([], [col(c) for c in names], "column", "value").where(F.col("value").isNotNull())
         if kind == "string":
             values = values.withColumn("value", F.expr(_text_key("value")))
         frames.append(values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
@@ -83,11 +83,11 @@ def settle(df: DataFrame) -> DataFrame:
 
 def _spelled(df: DataFrame, columns: Iterable[str], values: Iterable[tuple[str, str]]) -> dict[tuple[str, str], str]:
     """The long texts behind the digests among a few found ``(column, value)`` pairs."""
-    names = {f.name for f in fields(df, columns) if isinstance(f.dataType, T.StringType)}
+    names = [f.name for f in fields(df, columns) if isinstance(f.dataType, T.StringType)]
     digests = {v for c, v in values if c in names and v is not None and len(v) == 64}
     if not digests:
         return {}
-    texts = df.select(*names).unpivot([], sorted(names), "column", "text").where(F.length("text") > LONG_TEXT)
+    texts = df.select(*[col(c) for c in names]).unpivot([], [col(c) for c in names], "column", "text").where(F.length("text") > LONG_TEXT)
     found = texts.withColumn("key", F.sha2("text", 256)).where(F.col("key").isin(*digests))
     rows = found.groupBy("column", "key").agg(F.any_value("text").alias("text")).collect()
     return {(r["column"], r["key"]): r["text"] for r in rows}
@@ -98,8 +98,8 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
     """``(column, unique_count)`` of the non-null values."""
     wanted = [f.name for f in fields(df, columns)]
     if not exact:
-        wide = df.agg(*[F.approx_count_distinct(c, rsd).alias(c) for c in wanted])
-        return wide.unpivot([], wanted, "column", "unique_count")
+        wide = df.agg(*[F.approx_count_distinct(col(c), rsd).alias(c) for c in wanted])
+        return wide.unpivot([], [col(c) for c in wanted], "column", "unique_count")
     return union_all(
         v.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
         for v in value_counts(df, wanted)
@@ -117,6 +117,16 @@ def top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5)
         "column string, rank long, value string, n long")
 
 
+def approx_top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5) -> DataFrame:
+    """``(column, rank, value, n)`` from a mergeable sketch: one pass, no shuffle of values, counts may be off."""
+    names = [f.name for f in fields(df, columns)]
+    wide = df.agg(*[F.expr(f"approx_top_k(CAST({quote(c)} AS STRING), {k})").alias(c) for c in names])
+    return wide.unpivot([], [col(c) for c in names], "column", "found").select(
+        "column", F.posexplode("found").alias("_i", "_item")).select(
+        "column", (F.col("_i") + 1).cast("long").alias("rank"), F.col("_item.item").alias("value"),
+        F.col("_item.count").alias("n"))
+
+
 def _ranked(values: DataFrame, order, k: int) -> DataFrame:
     # row_number <= k is limited within each task before the rows are shuffled.
     by_column = W.partitionBy("column").orderBy(order, F.asc("value"))
@@ -196,7 +206,7 @@ def row_digest(df: DataFrame, columns: Iterable[str] | None = None) -> list:
     Two different rows among 10^12 share both with a probability of about 10^-15.
     """
     names = [f.name for f in fields(df, columns)]
-    cells = [x for c in names for x in (F.col(c).isNull(), F.col(c))]
+    cells = [x for c in names for x in (col(c).isNull(), col(c))]
     return [F.xxhash64(*cells), F.xxhash64(F.lit(len(names)), *reversed(cells))]
 
 
@@ -229,7 +239,7 @@ def std_estimate(stats: DataFrame) -> DataFrame:
 
 def exact_std(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     names = list(columns)
-    return df.agg(*[F.stddev_samp(c).alias(c) for c in names]).unpivot([], names, "column", "std_estimate")
+    return df.agg(*[F.stddev_samp(col(c)).alias(c) for c in names]).unpivot([], [col(c) for c in names], "column", "std_estimate")
 
 
 def risk_columns(prof: DataFrame, null_rate: float = 0.10, value_range: float = 1000.0) -> DataFrame:

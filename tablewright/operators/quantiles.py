@@ -16,7 +16,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablewright.functions.columns import fields
+from tablewright.functions.columns import col, fields
 from tablewright.functions.sql import quote
 from tablewright.operators.profile import union_all
 
@@ -53,7 +53,7 @@ class _Bracket:
         return any(self.at(r) is None for r in self.ranks)
 
     def inner(self) -> Column:
-        return (F.col(self.column) > F.lit(self.low)) & (F.col(self.column) < F.lit(self.high))
+        return (col(self.column) > F.lit(self.low)) & (col(self.column) < F.lit(self.high))
 
 
 def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequence[float] = (0.25, 0.75),
@@ -64,8 +64,8 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequen
     if not names:
         return {}
     grid = sorted({min(1.0, max(0.0, p + d * sign)) for p in probabilities for d in SLACKS for sign in (-1, 1)})
-    sketch = df.select(*names).sample(False, share, SEED).agg(*[a for i, c in enumerate(names) for a in (
-        F.count(c).alias(f"m_{i}"), F.percentile_approx(c, grid, accuracy).alias(f"q_{i}"))]).first()
+    sketch = df.select(*[col(c) for c in names]).sample(False, share, SEED).agg(*[a for i, c in enumerate(names) for a in (
+        F.count(col(c)).alias(f"m_{i}"), F.percentile_approx(col(c), grid, accuracy).alias(f"q_{i}"))]).first()
     brackets: dict[tuple[str, float], _Bracket] = {}
     for i, c in enumerate(names):
         # Four standard errors of a sample quantile, plus the sketch's own error.
@@ -102,7 +102,7 @@ def _count(df: DataFrame, brackets: Iterable[_Bracket], ends: dict[str, tuple] |
     chunks = [wanted[i:i + BRACKETS_PER_PASS] for i in range(0, len(wanted), BRACKETS_PER_PASS)]
 
     def up_to(b: _Bracket) -> Column:
-        c = F.col(b.column)
+        c = col(b.column)
         return F.array(*[F.count_if(t) for t in (c < F.lit(b.low), c <= F.lit(b.low), c < F.lit(b.high),
                                                  c <= F.lit(b.high))])
     parts = [
@@ -110,7 +110,7 @@ def _count(df: DataFrame, brackets: Iterable[_Bracket], ends: dict[str, tuple] |
         for i, chunk in enumerate(chunks)]
     if ends is not None:
         cells = [a.alias(f"{kind}_{i}") for i, c in enumerate(ends) for kind, a in (
-            ("n", F.count(c)), ("min", F.min(c)), ("max", F.max(c)))]
+            ("n", F.count(col(c))), ("min", F.min(col(c))), ("max", F.max(col(c))))]
         parts.append(df.agg(*cells).select(F.struct("*").alias("ends")))
     if not parts:
         return
@@ -135,7 +135,7 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int, rank_limit:
         def share(b: _Bracket, rank: int, shift: float) -> float:
             return min(1.0, max(0.0, (rank - b.counts[1]) / b.inner_rows + shift))
         row = df.agg(*[
-            F.percentile_approx(F.when(b.inner(), F.col(b.column)),
+            F.percentile_approx(F.when(b.inner(), col(b.column)),
                                 [share(b, b.ranks[0], -slack), share(b, b.ranks[1], slack)], accuracy)
             .alias(f"q_{i}") for i, b in enumerate(pending)]).first()
         tried = [_Bracket(b.column, b.ranks, *row[f"q_{i}"]) for i, b in enumerate(pending)]

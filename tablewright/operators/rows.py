@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tablewright.functions.columns import fields
+from tablewright.functions.columns import col, fields
 from tablewright.functions.sql import literal, quote
 from tablewright.session import checkpoint_root
 
@@ -44,7 +44,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep_nu
     key unless ``keep_null_keys`` lets all those rows through.
     """
     def first(rows: DataFrame) -> DataFrame:
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+        rank = F.row_number().over(W.partitionBy(*[col(k) for k in keys]).orderBy(*[col(o) for o in order]))
         return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
     if not keep_null_keys:
@@ -55,7 +55,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep_nu
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each key by the order columns, largest first column first."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    rank = F.row_number().over(W.partitionBy(*[col(k) for k in keys]).orderBy(*[col(c).desc() for c in order]))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -66,9 +66,9 @@ def row_differences(before: DataFrame, after: DataFrame) -> DataFrame:
     row of the result.
     """
     tagged = before.withColumn("_side", F.lit(1)).unionByName(after.withColumn("_side", F.lit(-1)))
-    surplus = tagged.groupBy(*before.columns).agg(F.sum("_side").alias("_surplus")).where("_surplus <> 0")
+    surplus = tagged.groupBy(*[col(c) for c in before.columns]).agg(F.sum("_side").alias("_surplus")).where("_surplus <> 0")
     return surplus.select(
-        *before.columns,
+        *[col(c) for c in before.columns],
         F.greatest(F.col("_surplus"), F.lit(0)).alias("only_before"),
         F.greatest(-F.col("_surplus"), F.lit(0)).alias("only_after"))
 
@@ -79,16 +79,16 @@ def _paired(before: DataFrame, after: DataFrame, key: Sequence[str], columns: Se
     A union and one grouped aggregate instead of a join: repeated keys are
     combined on the map side and cannot multiply.
     """
-    before_cells = before.select(*key, *[F.col(c).alias(f"b_{c}") for c in columns],
+    before_cells = before.select(*[col(k) for k in key], *[col(c).alias(f"b_{c}") for c in columns],
                                  *[F.lit(None).cast(after.schema[c].dataType).alias(f"a_{c}") for c in columns],
                                  F.lit(0).alias("_side"))
-    after_cells = after.select(*key, *[F.lit(None).cast(before.schema[c].dataType).alias(f"b_{c}") for c in columns],
-                               *[F.col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_side"))
+    after_cells = after.select(*[col(k) for k in key], *[F.lit(None).cast(before.schema[c].dataType).alias(f"b_{c}") for c in columns],
+                               *[col(c).alias(f"a_{c}") for c in columns], F.lit(1).alias("_side"))
     cells = [f"{side}_{c}" for c in columns for side in "ba"]
-    return before_cells.unionByName(after_cells).groupBy(*key).agg(
+    return before_cells.unionByName(after_cells).groupBy(*[col(k) for k in key]).agg(
         F.count_if(F.col("_side") == 0).alias("_before"),
         F.count_if(F.col("_side") == 1).alias("_after"),
-        *[F.max(c).alias(c) for c in cells])
+        *[F.max(col(c)).alias(c) for c in cells])
 
 
 def change_summary(before: DataFrame, after: DataFrame, key: Sequence[str],

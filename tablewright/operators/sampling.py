@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tablewright.functions.columns import col
+
 # Sample size and the row count above which three buckets are drawn.
 SAMPLE_SIZE = 2000
 STRATIFIED_THRESHOLD = 50_000
@@ -23,7 +25,7 @@ def first_rows(df: DataFrame, order: Sequence[str | Column], n: int, total: int
     the bottleneck, so the candidates are first merged in hash groups.
     """
     if total is not None and total > MERGE_IN_GROUPS_ABOVE:
-        group = F.pmod(F.hash(*df.columns), F.lit(MERGE_GROUPS))
+        group = F.pmod(F.hash(*[col(c) for c in df.columns]), F.lit(MERGE_GROUPS))
         within = W.partitionBy("_group").orderBy(*order)
         df = (df.withColumn("_group", group).withColumn("_rank", F.row_number().over(within))
               .where(F.col("_rank") <= n).drop("_group", "_rank"))
@@ -35,7 +37,7 @@ def last_rows(df: DataFrame, order: Sequence[str], n: int, total: int | None = N
 
 
 def _row_digest(keys: Sequence[str], seed: int) -> Column:
-    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
+    text = F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed)))
     return F.md5(text)
 
 

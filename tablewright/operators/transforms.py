@@ -228,6 +228,18 @@ CASTS = {
 }
 
 
+def convert_by_rates(df: DataFrame, rates: DataFrame, columns: Sequence[str], currency: str) -> DataFrame:
+    """Amounts times the rate of their row's currency, null without a rate.
+
+    ``rates`` holds ``(currency, rate)``; whether it is broadcast is left to
+    the optimizer, which knows its size.
+    """
+    known = rates.select(F.col("currency").alias("_currency"), F.col("rate").cast("double").alias("_rate"))
+    names = {c: _currency(df.schema[c]) for c in columns}
+    joined = df.join(known, F.upper(C.col(currency)) == F.upper(F.col("_currency")), "left")
+    return joined.withColumns({c: F.expr(e) * F.col("_rate") for c, e in names.items()}).drop("_currency", "_rate")
+
+
 def transform(name: str) -> Any:
     known = TRANSFORMS.get(ALIASES.get(name, name))
     if known is None:

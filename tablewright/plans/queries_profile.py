@@ -95,6 +95,13 @@ def top5_values(spark, sf):
         A.top_values(table(spark, sf, "part"), ["p_name", "p_brand", "p_type", "p_size"]))
 
 
+@query("approx_top_values", "SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2"
+       " UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2")
+def approx_top_values(spark, sf):
+    # With no more distinct values than the sketch holds, its counts are exact.
+    return A.approx_top_values(table(spark, sf, "orders"), ["o_orderpriority", "o_orderstatus"]).drop("rank")
+
+
 @query("distinct_counts", "SELECT 'user_id' AS \"column\", count(DISTINCT user_id) AS unique_count FROM events"
        " UNION ALL SELECT 'event_type', count(DISTINCT event_type) FROM events"
        " UNION ALL SELECT 'value', count(DISTINCT value) FROM events"

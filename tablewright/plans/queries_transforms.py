@@ -35,6 +35,16 @@ def convert_currency(spark, sf):
     return usd.withColumn("unit_price_usd", F.round("unit_price_usd", 6))
 
 
+@query("convert_by_rates", "SELECT o_orderkey, round(o_totalprice * rate, 6) AS o_totalprice FROM orders LEFT JOIN"
+       " (SELECT o_orderstatus AS s, count(*) / 1000.0::DOUBLE AS rate FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1) ON s = o_orderstatus")
+def convert_by_rates(spark, sf):
+    orders = table(spark, sf, "orders")
+    rates = orders.where("o_orderstatus <> 'P'").groupBy(F.lower("o_orderstatus").alias("currency")).agg(
+        (F.count(F.lit(1)) / 1000.0).alias("rate"))
+    done = TR.convert_by_rates(orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), rates, ["o_totalprice"], "o_orderstatus")
+    return done.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
 @query("parse_failures", f"SELECT 'unit_price' AS \"column\", count(*) FILTER (WHERE unit_price IS NOT NULL AND ({_NUMBER_SQL}) IS NULL)"
        f" AS parse_failures FROM ({_PRICES_SQL})")
 def parse_failures(spark, sf):

@@ -148,3 +148,19 @@ def test_row_index_is_dense_and_ordered(spark):
     got = rows.with_row_index(df, ["g", "id"]).orderBy("row_index").collect()
     assert [r["row_index"] for r in got] == list(range(1000))
     assert [(r["g"], r["id"]) for r in got] == sorted((r["g"], r["id"]) for r in got)
+
+
+def test_awkward_column_names(spark):
+    df = spark.createDataFrame([(i, float(i), "a'b", f"{i}/01/2024") for i in range(1, 13)],
+                               ["the id", "a.b", "x`y", "day's date"])
+    prof = {r["column"]: r for r in A.profile(df).collect()}
+    assert prof["a.b"]["mean"] == 6.5 and prof["x`y"]["unique_count"] == 1
+    from tablewright.operators import infer, transforms as TR
+    assert infer.infer_schema(df).count() == 4
+    assert Q.quality_checks(df, A.profile(df), infer.infer_schema(df)).where("NOT passed AND check_name <> 'type_conformance'").count() == 0
+    assert N.detect_anomalies(df, ["the id"]).where("column = 'a.b'").count() == 0
+    assert A.duplicate_row_count(df).first()["duplicate_row_count"] == 0
+    assert A.top_values(df).where("column = 'x`y'").first()["n"] == 12
+    assert TR.apply_transform(df, "standardise_dates").where("`day's date` IS NULL").count() == 0
+    assert rows.change_summary(df, df, ["the id"]).where("changed_cells > 0").count() == 0
+    assert rows.keep_first(df, ["x`y"], ["a.b"]).first()["the id"] == 1

@@ -207,3 +207,15 @@ def test_library(spark):
 
 def test_scratch_follows_the_session(spark):
     assert scratch_path(spark, "x").startswith(checkpoint_root(spark))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tablewright.__main__ import main
+    source = str(tmp_path / "sales")
+    sales(spark, 200).coalesce(1).write.option("header", "true").csv(source)
+    steps = tmp_path / "steps.json"
+    steps.write_text(json.dumps([{"name": "standardise_dates"}, {"name": "normalise_boolean", "columns": ["is_returned"]}]))
+    code = main([source, "--dataset", "sales", "--steps", str(steps), "--state", str(tmp_path / "s"),
+                 "--output", str(tmp_path / "o"), "--key", "transaction_id"])
+    result = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert code == 0 and result["rows_output"] == 200 and result["transformations"] == ["standardise_dates", "normalise_boolean"]
