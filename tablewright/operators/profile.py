@@ -37,7 +37,9 @@ def _stats_pass(df: DataFrame, chosen: list[T.StructField]) -> DataFrame:
         blanks = "0L"
         low = high = mean = negatives = "NULL"
         if isinstance(f.dataType, T.NumericType):
-            aggregates += [f"min({c}) AS min_{i}", f"max({c}) AS max_{i}",
+            # Adding zero turns a negative zero, which may come first or last, into zero.
+            zero = f" + CAST(0 AS {f.dataType.simpleString()})" if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else ""
+            aggregates += [f"min({c}){zero} AS min_{i}", f"max({c}){zero} AS max_{i}",
                            f"avg(CAST({c} AS DOUBLE)) AS mean_{i}", f"count_if({c} < 0) AS negatives_{i}"]
             low, high, mean, negatives = f"min_{i}", f"max_{i}", f"mean_{i}", f"negatives_{i}"
         elif isinstance(f.dataType, T.StringType):

@@ -119,7 +119,7 @@ def anomaly_evidence(spark, sf):
 
 
 @query("anomaly_explanations", _EVENT_ANOMALIES + ", c AS (SELECT \"column\", count(*) AS n FROM a GROUP BY 1),"
-       " t AS (SELECT count(*) AS total, min(value) AS low, max(value) AS high FROM events)"
+       " t AS (SELECT count(*) AS total, min(value) + 0.0::DOUBLE AS low, max(value) + 0.0::DOUBLE AS high FROM events)"
        " SELECT c.\"column\", n AS anomaly_count, CASE WHEN c.\"column\" = 'value' THEN"
        " printf('%d of %d values of %s (%.2f%%) lie outside [%.2f, %.2f]; the column runs from %s to %s.', n, total, c.\"column\","
        " n * 100.0::DOUBLE / total, b.lower, b.upper, CAST(low AS VARCHAR), CAST(high AS VARCHAR))"

@@ -222,7 +222,7 @@ def incremental_lookback(spark, sf):
     return I.new_rows(events, "ts", "2024-01-20 00:00:00", "INTERVAL 2 DAYS", seen, ["event_id"]).select("event_id", "ts")
 
 
-@query("new_watermark", "SELECT count(*) AS new_row_count, max(o_orderkey)::VARCHAR AS watermark_value, 0::BIGINT AS null_watermarks"
+@query("new_watermark", "SELECT count(*) AS new_row_count, coalesce(max(o_orderkey), 9000)::VARCHAR AS watermark_value, 0::BIGINT AS null_watermarks"
        " FROM orders WHERE o_orderkey > 9000")
 def new_watermark(spark, sf):
     increment = I.new_rows(table(spark, sf, "orders"), "o_orderkey", 9000)
