@@ -18,6 +18,12 @@ def col(name: str) -> Column:
     return F.col(quote(name))
 
 
+def groupable(f: T.StructField) -> Column:
+    """The column in a form that can be grouped and hashed: maps and variants as JSON text."""
+    kind = f.dataType.simpleString()
+    return F.to_json(col(f.name)).alias(f.name) if "map<" in kind or "variant" in kind else col(f.name)
+
+
 def fields(df: DataFrame, columns: Iterable[str] | None = None) -> list[T.StructField]:
     if columns is None:
         return list(df.schema.fields)

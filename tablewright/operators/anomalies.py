@@ -120,7 +120,7 @@ def detect_anomalies(df: DataFrame, keys: Sequence[str], target_columns: Iterabl
     if texts:
         parts.append(rare_patterns(df, keys, texts, mode=mode))
     if not parts:
-        return df.select(*keys).limit(0).withColumns({
+        return df.select(*[C.col(k) for k in keys]).limit(0).withColumns({
             "column": F.lit(""), "value": F.lit(""), "reason": F.lit(""),
             "lower": F.lit(0.0), "upper": F.lit(0.0)})
     return union_all(parts)

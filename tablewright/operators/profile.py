@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from tablewright.functions.columns import by_type, col, fields, type_name
+from tablewright.functions.columns import by_type, col, fields, groupable, type_name
 from tablewright.functions.sql import literal, quote, stripped
 from tablewright.schemas import PROFILE_SCHEMA
 
@@ -68,9 +68,9 @@ def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> list[Da
     characters are counted by their SHA-256 digest, so a document column does
     not shuffle the documents.
     """
-    wanted = [f.name for f in fields(df, columns)]
+    df = df.select(*[groupable(f) for f in fields(df, columns)])
     frames = []
-    for kind, names in by_type(df, wanted).items():
+    for kind, names in by_type(df, df.columns).items():
         values = df.select(*[col(c) for c in names]).unpivot([], [col(c) for c in names], "column", "value").where(F.col("value").isNotNull())
         if kind == "string":
             values = values.withColumn("value", F.expr(_text_key("value")))
@@ -85,7 +85,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 def _spelled(df: DataFrame, columns: Iterable[str], values: Iterable[tuple[str, str]]) -> dict[tuple[str, str], str]:
     """The long texts behind the digests among a few found ``(column, value)`` pairs."""
-    names = [f.name for f in fields(df, columns) if isinstance(f.dataType, T.StringType)]
+    df = df.select(*[groupable(f) for f in fields(df, columns)])
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     digests = {v for c, v in values if c in names and v is not None and len(v) == 64}
     if not digests:
         return {}
@@ -100,7 +101,7 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
     """``(column, unique_count)`` of the non-null values."""
     wanted = [f.name for f in fields(df, columns)]
     if not exact:
-        wide = df.agg(*[F.approx_count_distinct(col(c), rsd).alias(c) for c in wanted])
+        wide = df.agg(*[F.approx_count_distinct(groupable(f), rsd).alias(f.name) for f in fields(df, wanted)])
         return wide.unpivot([], [col(c) for c in wanted], "column", "unique_count")
     return union_all(
         v.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
@@ -208,7 +209,7 @@ def row_digest(df: DataFrame, columns: Iterable[str] | None = None) -> list:
     Two different rows among 10^12 share both with a probability of about 10^-15.
     """
     names = [f.name for f in fields(df, columns)]
-    cells = [x for c in names for x in (col(c).isNull(), col(c))]
+    cells = [x for f in fields(df, names) for x in (col(f.name).isNull(), groupable(f))]
     return [F.xxhash64(*cells), F.xxhash64(F.lit(len(names)), *reversed(cells))]
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.functions.columns import col, type_name
+from tablewright.functions.columns import col, fields, groupable, type_name
 from tablewright.sources.files import list_files
 
 
@@ -95,7 +95,7 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, portable: b
         code = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     else:
         # Null flags, because hashing skips nulls.
-        code = F.xxhash64(*[x for c in names for x in (col(c).isNull(), col(c))])
+        code = F.xxhash64(*[x for f in fields(df, names) for x in (col(f.name).isNull(), groupable(f))])
     return df.select(code.alias("_code")).agg(
         F.count(F.lit(1)).alias("row_count"), F.bit_xor("_code").alias("hash_xor"),
         F.sum(F.pmod("_code", F.lit(FINGERPRINT_MODULUS))).alias("hash_sum"))

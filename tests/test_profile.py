@@ -153,3 +153,15 @@ def test_first_rows_merged_in_groups(spark):
     df = spark.range(5000).withColumn("k", F.lit(1))
     got = [r["id"] for r in S.first_rows(df, ["k", "id"], 7, total=10**9).collect()]
     assert got == list(range(7))
+
+
+def test_nested_columns(spark):
+    df = spark.sql("SELECT id, map('k', id % 2) AS m, array(id % 2, 1) AS a, named_struct('x', id % 3) AS s,"
+                   " parse_json('{\"k\": 1}') AS v, to_json(map('k', repeat('x', 80))) AS long FROM range(6)")
+    prof = by_column(A.profile(df))
+    assert {c: prof[c]["unique_count"] for c in ("m", "a", "s", "v", "long")} == {"m": 2, "a": 2, "s": 3, "v": 1, "long": 1}
+    assert prof["m"]["top_5_values"] == ['{"k":0}', '{"k":1}'] and len(prof["long"]["top_5_values"][0]) == 88
+    assert A.duplicate_row_count(df.drop("id", "s")).first()["duplicate_row_count"] == 4
+    assert A.distinct_counts(df, ["m"], exact=False).first()["unique_count"] == 2
+    from tablewright.sources.publish import fingerprint
+    assert fingerprint(df).first()["row_count"] == 6
