@@ -24,7 +24,7 @@ def keyword_frame(spark) -> DataFrame:
 def name_tokens(columns: DataFrame, dataset: str = "dataset_id", column: str = "column") -> DataFrame:
     """Lower-cased column names and their ``_``-separated parts."""
     name = F.lower(F.col(column))
-    parts = F.array_union(F.split(name, "_"), F.array(name))
+    parts = F.concat(F.split(name, "_"), F.array(name))
     return columns.select(dataset, F.explode(parts).alias("token"))
 
 
