@@ -18,8 +18,10 @@ from tablewright.llm import similar, text as tx
 from tablewright.llm.tables import store
 
 WORDS = 5
-#: A pair at the threshold of 0.8 shares no band in 9 of 10,000 cases, at 0.85 in 8 of a million.
-BANDS, ROWS = 20, 5
+#: Minima of a signature, bands, and minima of a band. Bands draw on the same minima in different choices: long bands
+#: keep apart documents that only share a passage, and many of them find pairs. A pair at a similarity of 0.85 shares
+#: no band in about 1 of 10,000 cases, at 0.8 in 5 of 1,000.
+SIGNATURE, BANDS, ROWS = 128, 56, 9
 
 
 def universal(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -37,13 +39,13 @@ def signatures(members: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def bands_of(signature: np.ndarray, bands: int) -> np.ndarray:
-    """A key for each band of each signature."""
-    rows = signature.shape[1] // bands
+def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of each signature: a hash of ``rows`` of its minima, chosen for each band."""
     keys = np.empty((len(signature), bands), np.uint64)
+    draw = np.random.default_rng(13)
     for b in range(bands):
         key = np.full(len(signature), b + 1, np.uint64)
-        for k in range(b * rows, (b + 1) * rows):
+        for k in draw.choice(signature.shape[1], rows, replace=False):
             key = tx.mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, k])
         keys[:, b] = key
     return keys.view(np.int64)
@@ -73,7 +75,7 @@ def shingle_sets(array: pa.Array, words: int) -> Iterator[tuple[int, int, np.nda
         yield at, end, np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.cumsum(lengths)
 
 
-def _sketch(words: int, bands: int, rows: int):
+def _sketch(words: int, signature: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, keys = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
@@ -82,7 +84,7 @@ def _sketch(words: int, bands: int, rows: int):
                 full = np.flatnonzero(np.diff(offsets))
                 if not len(full):
                     continue
-                found = bands_of(signatures(members, offsets[:-1][full], bands * rows), bands)
+                found = bands_of(signatures(members, offsets[:-1][full], signature), bands, rows)
                 low = np.add.reduceat(members, offsets[:-1][full])
                 high = np.add.reduceat(tx.mix(members ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[:-1][full])
                 for k, i in enumerate(full):
@@ -106,7 +108,8 @@ def _members(words: int, n: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, signature: int = SIGNATURE, bands: int = BANDS,
+                    rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text, ...).
 
     Two documents are linked when 100 * intersection >= percent * union of their
@@ -120,7 +123,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, band
     * empty table: no rows
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = store(docs.mapInArrow(_sketch(words, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketch")
+    sketch = store(docs.mapInArrow(_sketch(words, signature, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketch")
     named = sketch.where("digest is not null and doc_id is not null")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"),
                                           F.min("n_shingles").alias("size"))
@@ -129,9 +132,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, band
 
     def sets_of(ids: DataFrame) -> DataFrame:
         chosen = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return chosen.mapInArrow(_members(words, bands * rows), "id long, signature binary, members binary")
+        return chosen.mapInArrow(_members(words, signature), "id long, signature binary, members binary")
 
-    components = similar.linked(banded, sets_of, percent, bands * rows)
+    components = similar.linked(banded, sets_of, percent, signature)
     # Rows with one id but several texts tie the classes of those texts together.
     member_class = named.join(classes.select("digest", F.col("id").alias("class")), "digest").join(
         components.select(F.col("id").alias("class"), "component"), "class", "left").select(
