@@ -13,12 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tablewright.llm import minhash, similar, text as tx
+from tablewright.llm import signatures as sg, text as tx
+from tablewright.llm.similar import linked
 from tablewright.llm.tables import store
 
 #: Characters of a shingle.
 WIDTH = 8
-#: Minima of a signature, bands, and minima of a band; see :mod:`minhash`. Pairs at a similarity of 0.8 share no band in
+#: Minima of a signature, bands, and minima of a band; see :mod:`~tablewright.llm.minhash`. Pairs at a similarity of 0.8 share no band in
 #: about 5 of 1,000 cases, at 0.9 in 3 of 10,000.
 SIGNATURE, BANDS, ROWS = 40, 16, 5
 
@@ -71,17 +72,6 @@ def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return whole, tx.span_hashes(sums, heads[at], heads[stop]), starts, ends
 
 
-def fast_signatures(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Like :func:`minhash.signatures` with 32-bit hash functions, which are enough for the sets of one line."""
-    factors, summands = (x >> np.uint64(32) for x in minhash.universal(n))
-    factors, summands = factors.astype(np.uint32) | np.uint32(1), summands.astype(np.uint32)
-    base = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), n), np.uint32)
-    for k in range(n):
-        out[:, k] = np.minimum.reduceat(base * factors[k] + summands[k], starts)
-    return out
-
-
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -107,7 +97,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = (ends - starts)[pick]
             shingles = shingles[np.repeat(pick, ends - starts)]
             firsts = np.cumsum(count) - count
-            keys = minhash.bands_of(fast_signatures(shingles, firsts, SIGNATURE), BANDS, ROWS)
+            keys = sg.bands_of(sg.fast_signatures(shingles, firsts, SIGNATURE), BANDS, ROWS)
             ids = np.sort(full)
             back = np.empty(len(starts), np.int64)
             back[full] = whole.view(np.int64)
@@ -127,7 +117,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(shingles[starts[i]:ends[i]]) for i in chosen]
             if sets:
                 lengths = np.array([len(s) for s in sets])
-                signature = fast_signatures(np.concatenate(sets), np.cumsum(lengths) - lengths, SIGNATURE)
+                signature = sg.fast_signatures(np.concatenate(sets), np.cumsum(lengths) - lengths, SIGNATURE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(whole[chosen].view(np.int64)), pa.array([s.tobytes() for s in signature], pa.binary()),
                      pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "signature", "members"])
@@ -155,7 +145,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             _members, "id long, signature binary, members binary")
 
     banded = docs.mapInArrow(_bands, "id long, size long, band long")
-    components = similar.linked(banded, sets_of, percent, SIGNATURE)
+    components = linked(banded, sets_of, percent, SIGNATURE)
     # Only lines that stand twice or have a link need a decision.
     classes = first.join(components, "id", "left").where("n > 1 or component is not null").select(
         "id", "first", F.coalesce("component", "id").alias("component"))

@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablewright.llm import similar, text as tx
+from tablewright.llm import signatures as sg, text as tx
+from tablewright.llm.similar import connected_components, linked
 from tablewright.llm.tables import store
 
 WORDS = 5
@@ -24,33 +25,6 @@ WORDS = 5
 SIGNATURE, BANDS, ROWS = 128, 56, 9
 
 
-def universal(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and summands of ``n`` multiply-shift hash functions."""
-    drawn = np.random.default_rng(seed).integers(0, 2**64, (2, n), dtype=np.uint64)
-    return drawn[0] | np.uint64(1), drawn[1]
-
-
-def signatures(members: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """``n`` minima, as rows of uint32, for each run of ``members`` that begins at ``starts``."""
-    factors, summands = universal(n)
-    out = np.empty((len(starts), n), np.uint32)
-    for k in range(n):
-        out[:, k] = np.minimum.reduceat((members * factors[k] + summands[k]) >> np.uint64(32), starts)
-    return out
-
-
-def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band of each signature: a hash of ``rows`` of its minima, chosen for each band."""
-    keys = np.empty((len(signature), bands), np.uint64)
-    draw = np.random.default_rng(13)
-    for b in range(bands):
-        key = np.full(len(signature), b + 1, np.uint64)
-        for k in draw.choice(signature.shape[1], rows, replace=False):
-            key = tx.mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, k])
-        keys[:, b] = key
-    return keys.view(np.int64)
-
-
 def shingle_sets(array: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, members, offsets): the sorted distinct shingle hashes of each text, one after another."""
     for at, end, data, offsets in tx.byte_chunks(array):
@@ -84,7 +58,7 @@ def _sketch(words: int, signature: int, bands: int, rows: int):
                 full = np.flatnonzero(np.diff(offsets))
                 if not len(full):
                     continue
-                found = bands_of(signatures(members, offsets[:-1][full], signature), bands, rows)
+                found = sg.bands_of(sg.signatures(members, offsets[:-1][full], signature), bands, rows)
                 low = np.add.reduceat(members, offsets[:-1][full])
                 high = np.add.reduceat(tx.mix(members ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[:-1][full])
                 for k, i in enumerate(full):
@@ -100,7 +74,7 @@ def _members(words: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, members, offsets in shingle_sets(batch.column(1), words):
-                signature = signatures(members, offsets[:-1], n)
+                signature = sg.signatures(members, offsets[:-1], n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, end - at), pa.array([s.tobytes() for s in signature], pa.binary()),
                      pa.array([members[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())],
@@ -134,7 +108,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, sign
         chosen = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         return chosen.mapInArrow(_members(words, signature), "id long, signature binary, members binary")
 
-    components = similar.linked(banded, sets_of, percent, signature)
+    components = linked(banded, sets_of, percent, signature)
     # Rows with one id but several texts tie the classes of those texts together.
     member_class = named.join(classes.select("digest", F.col("id").alias("class")), "digest").join(
         components.select(F.col("id").alias("class"), "component"), "class", "left").select(
@@ -142,7 +116,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, sign
     by_id = store(member_class.groupBy("doc_id").agg(F.min("component").alias("low"), F.max("component").alias("high")), "members")
     ties = by_id.where("low < high")
     if not ties.isEmpty():
-        joined = similar.connected_components(member_class.join(ties.select("doc_id", "low"), "doc_id")
+        joined = connected_components(member_class.join(ties.select("doc_id", "low"), "doc_id")
                                               .select(F.col("component").alias("a"), F.col("low").alias("b")))
         by_id = by_id.join(joined.withColumnRenamed("id", "low").withColumnRenamed("component", "_tied"), "low", "left").withColumn(
             "low", F.coalesce("_tied", "low"))

@@ -79,6 +79,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float
     return met.mapInArrow(confirm, PAIR)
 
 
+def _with_common(open_bands: DataFrame) -> DataFrame:
+    """The open keys' items, each with all its open keys, of which there are no more than it has bands."""
+    own = open_bands.groupBy("id").agg(F.collect_list("band").alias("bands"))
+    return store(open_bands.join(own, "id").select("band", "id", "size", "company", "component", "bands"), "open")
+
+
 def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signature_length: int) -> DataFrame:
     """(id, component) of every item with a link.
 
@@ -99,18 +105,21 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     least_alike = s - 5 * (s * (1 - s) / signature_length) ** 0.5
     components, edges = None, None
     tried, pivots = 0, 1
-    open_bands = store(members.withColumn("component", F.col("id")), "open")
+    open_bands = _with_common(members.withColumn("component", F.col("id")))
     while True:
         order = Window.partitionBy("band").orderBy(F.desc("company"), "id")
         chosen = (open_bands.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= pivots)
                   .where(F.col("_rank") > tried)
                   .select("band", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"),
-                          F.col("company").alias("company_a")))
-        pairs = (chosen.join(open_bands, "band").where("component <> component_a")
-                 .where(f"100 * least(size, size_a) >= {percent} * greatest(size, size_a)")
-                 .select("a", F.col("id").alias("b")).distinct())
+                          F.col("bands").alias("bands_a")))
+        # A pair that shares several keys is made at the first of them only.
+        pairs = (chosen.join(open_bands, (chosen["band"] == open_bands["band"]) & (F.col("component") != F.col("component_a"))
+                             & (100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a"))
+                             & (chosen["band"] == F.array_min(F.array_intersect("bands", "bands_a"))))
+                 .select("a", F.col("id").alias("b")))
         # Of a pair that came both ways round one is enough.
-        pairs = store(pairs.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a < b"), ["a", "b"], "left_anti"), "pairs")
+        pairs = store(pairs.groupBy(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).agg(F.min("a").alias("a")).select(
+            "a", (F.when(F.col("a") == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))).alias("b")), "pairs")
         found = store(verified(pairs, sets, percent, least_alike), "links")
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
@@ -125,7 +134,7 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         left = state.where((F.col("_low") < F.col("_high")) & (F.col("_n") > pivots + 1)).select("band")
         if left.isEmpty():
             break
-        open_bands = store(now.join(left, "band"), "open")
+        open_bands = _with_common(now.join(left, "band"))
         tried, pivots = pivots, pivots * 8
     if components is None:
         return members.where("false").select("id", F.col("id").alias("component"))
