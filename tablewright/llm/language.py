@@ -76,7 +76,7 @@ class PartialMatching:
         joined = [[tx.LOWER[np.frombuffer(t.encode(), np.uint8)] for t in texts[name] if t] for name in self.names]
         for k in range(order + 1):
             each = [np.concatenate([grams(d, k + 1)[k:] for d in docs if len(d) > k] or [np.zeros(0, np.int64)]) for docs in joined]
-            keys = np.arange(256) if k == 0 else np.unique(np.concatenate(each))
+            keys = np.arange(256) if k == 0 else np.unique(np.concatenate(each or [np.zeros(0, np.int64)]))
             count = np.zeros((len(keys), n))
             for j, found in enumerate(each):
                 seen, times = np.unique(found, return_counts=True)
