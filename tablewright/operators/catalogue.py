@@ -83,21 +83,3 @@ def library_entry(spark, name: str, description: str, steps: str, tags: Sequence
                   embedding: Sequence[float] | None = None) -> DataFrame:
     row = (None, name, description, steps, list(tags), None if embedding is None else [float(x) for x in embedding])
     return spark.createDataFrame([row], LIBRARY_SCHEMA).withColumn("library_id", F.uuid())
-
-
-# The library entries every installation starts with.
-SEED_LIBRARY = (
-    ("gbp_to_usd_conversion", "Pound prices to dollars at a fixed rate", ("currency", "conversion", "financial")),
-    ("mixed_date_standardisation", "Mixed date spellings to dates", ("date", "normalisation", "parsing")),
-    ("dedup_by_id_column", "First row of each id", ("dedup", "id", "cleaning")),
-    ("negative_quantity_flag", "Negative quantities flagged as returns", ("retail", "quantity", "flag")),
-    ("currency_symbol_stripping", "Prices with symbols to numbers", ("currency", "cleaning", "numeric")),
-    ("null_fill_unknown_strings", "Missing texts filled with unknown", ("medical", "null", "filling")),
-    ("phone_number_normalisation", "Phone numbers to E.164", ("pii", "phone", "normalisation")),
-    ("title_case_name_columns", "Names, titles and departments in title case", ("employment", "string", "casing")),
-)
-
-
-def seed_library(spark) -> DataFrame:
-    rows = [(None, name, text, name, list(tags), None) for name, text, tags in SEED_LIBRARY]
-    return spark.createDataFrame(rows, LIBRARY_SCHEMA).withColumn("library_id", F.md5("name"))

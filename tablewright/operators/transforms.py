@@ -231,12 +231,16 @@ CASTS = {
 def convert_by_rates(df: DataFrame, rates: DataFrame, columns: Sequence[str], currency: str) -> DataFrame:
     """Amounts times the rate of their row's currency, null without a rate.
 
-    ``rates`` holds ``(currency, rate)``; whether it is broadcast is left to
-    the optimizer, which knows its size.
+    ``rates`` holds ``(currency, rate)``, in any case; whether it is broadcast is
+    left to the optimizer, which knows its size. A currency given twice counts
+    once, and raises an error if its rates differ.
     """
-    known = rates.select(F.col("currency").alias("_currency"), F.col("rate").cast("double").alias("_rate"))
+    rate = F.col("rate").cast("double")
+    known = rates.groupBy(F.upper("currency").alias("_currency")).agg(F.min(rate).alias("_rate"), F.max(rate).alias("_other")).select(
+        "_currency", F.when(F.col("_rate") != F.col("_other"), F.raise_error(F.concat(F.lit("different rates for "), "_currency")))
+        .otherwise(F.col("_rate")).cast("double").alias("_rate"))
     names = {c: _currency(df.schema[c]) for c in columns}
-    joined = df.join(known, F.upper(C.col(currency)) == F.upper(F.col("_currency")), "left")
+    joined = df.join(known, F.upper(C.col(currency)) == F.col("_currency"), "left")
     return joined.withColumns({c: F.expr(e) * F.col("_rate") for c, e in names.items()}).drop("_currency", "_rate")
 
 

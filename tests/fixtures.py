@@ -1,45 +1,35 @@
-"""Small tables with known defects."""
-
-import random
-from datetime import date, timedelta
-
-PRODUCTS = ["Headphones", "USB Hub", "Keyboard", "Mouse", "Monitor Stand", "Webcam", "Laptop Stand", "SSD", "RAM",
-            "Cable", "Adapter", "Lamp", "Organiser", "Mouse Pad", "Cleaner"]
-COUNTRIES = ["UK", "uk", "United Kingdom", "U.K.", "Germany", "GERMANY", "Deutschland", "France", "france",
-             "Netherlands", "The Netherlands", "Sweden", "SWEDEN"]
-PAYMENTS = ["credit_card", "debit_card", "paypal", "bank_transfer", "voucher"]
-
-
-def sales_rows(n=500, seed=42):
-    """Raw sales with repeated ids, symbols in prices, mixed dates, countries, flags and blanks."""
-    rnd = random.Random(seed)
-    rows = []
-    for i in range(n):
-        day = date(2024, 1, 1) + timedelta(days=rnd.randint(0, 364))
-        price = f"{rnd.uniform(4.99, 299.99):.2f}"
-        rows.append({
-            "transaction_id": f"tx-{i:05d}", "customer_id": f"CUST-{rnd.randint(1000, 9999)}",
-            "product_name": rnd.choice(PRODUCTS), "quantity": -rnd.randint(1, 5) if i in (47, 203) else rnd.randint(1, 10),
-            "unit_price_gbp": f"£{price}" if rnd.random() < 0.1 else price,
-            "transaction_date": day.strftime("%Y-%m-%d" if rnd.random() < 0.5 else "%d/%m/%Y"),
-            "country": rnd.choice(COUNTRIES), "payment_method": rnd.choice(PAYMENTS),
-            "discount_pct": "" if rnd.random() < 0.05 else f"{rnd.uniform(0, 30):.1f}",
-            "is_returned": rnd.choice(["True", "False", "1", "0"]),
-        })
-    for source, target in zip(rnd.sample(range(n // 2), n * 3 // 100), rnd.sample(range(n // 2, n), n * 3 // 100)):
-        rows[target]["transaction_id"] = rows[source]["transaction_id"]
-    return rows
+"""Small tables with known defects, made by Spark expressions from the row number."""
 
+from pyspark.sql import functions as F
 
-def sample_rows():
-    """Twenty clean sales rows."""
-    return [{
-        "transaction_id": f"tx-{i}", "quantity": i + 1, "unit_price_gbp": f"£{10.5 + i:.2f}",
-        "transaction_date": f"2024-01-{i + 1:02d}", "discount_pct": 1.5 * i, "is_returned": str(i % 3 == 0),
-    } for i in range(20)]
+# Goods, spellings of countries that the cleaning knows, ways to pay and to write a flag.
+GOODS = ("teapot", "wool blanket", "garden shears", "oak shelf", "bicycle bell", "candle", "rain coat")
+PLACES = ("Sweden", "uk", "Deutschland", "France", "SWEDEN", "UK", "Netherlands", "Germany", "france")
+WAYS = ("cash", "card", "invoice")
+FLAGS = ("0", "True", "1", "False")
+
+
+def _pick(values, number):
+    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
 
 
 def sales(spark, n=500):
-    """The raw sales with their columns in file order."""
-    rows = sales_rows(n)
-    return spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+    """Raw sales, all text but the quantity. Rows whose number ends in 37 take the id of the row before; every
+    ninth price has a sign; odd rows write the day first; every 21st discount is blank; every 150th quantity is negative."""
+    i = F.col("id")
+    day = F.date_add(F.lit("2023-03-01").cast("date"), (i * 11 % 300).cast("int"))
+    price = F.format_string("%d.%02d", 2 + i * 17 % 240, i * 31 % 100)
+    return spark.range(n).coalesce(1).select(
+        F.concat(F.lit("sale-"), F.lpad(F.when(i % 100 == 37, i - 1).otherwise(i).cast("string"), 6, "0")).alias("transaction_id"),
+        F.concat(F.lit("C"), (100 + i * 7 % 83).cast("string")).alias("customer_id"), _pick(GOODS, i * 5).alias("product_name"),
+        F.when(i % 150 == 149, F.lit(-2)).otherwise(1 + i % 6).cast("long").alias("quantity"),
+        F.when(i % 9 == 4, F.concat(F.lit("£"), price)).otherwise(price).alias("unit_price_gbp"),
+        F.when(i % 2 == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("transaction_date"),
+        _pick(PLACES, i).alias("country"), _pick(WAYS, i * 2).alias("payment_method"),
+        F.when(i % 21 == 20, F.lit("")).otherwise((i % 29).cast("string")).alias("discount_pct"), _pick(FLAGS, i * 3).alias("is_returned"))
+
+
+def sample_rows():
+    """Twenty clean sales rows."""
+    return [dict(transaction_id=f"sale-{k:03d}", quantity=2 * k + 1, unit_price_gbp=f"£{3 * k + 1}.25", transaction_date=f"2023-06-{30 - k}",
+                 discount_pct=k / 4, is_returned=("False", "True")[k % 2]) for k in range(20)]

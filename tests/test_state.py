@@ -195,14 +195,16 @@ def test_vectors(spark):
 
 
 def test_library(spark):
-    seed = K.seed_library(spark)
+    seed = K.library_entry(spark, "trim_codes", "Codes without outer blanks", "steps", ["code"]).unionByName(
+        K.library_entry(spark, "round_amounts", "Amounts to two places", "steps", ["money"]))
+    seed = seed.withColumn("library_id", F.md5("name"))
     entry = K.library_entry(spark, "new_one", "text", "steps", ["date"], [1.0]).withColumn("quality_passed", F.lit(True))
-    known = K.library_entry(spark, "dedup_by_id_column", "text", "steps", ["id"]).withColumn("quality_passed", F.lit(True))
+    known = K.library_entry(spark, "trim_codes", "text", "steps", ["id"]).withColumn("quality_passed", F.lit(True))
     failing = K.library_entry(spark, "other", "text", "steps", ["id"]).withColumn("quality_passed", F.lit(False))
     assert [r["name"] for r in K.new_entries(entry.unionByName(known).unionByName(failing), seed).collect()] == ["new_one"]
-    usage = K.usage_events(seed.where("name = 'dedup_by_id_column'"))
+    usage = K.usage_events(seed.where("name = 'trim_codes'"))
     counts = {r["name"]: r["use_count"] for r in K.with_use_count(seed, usage.union(usage)).collect()}
-    assert counts["dedup_by_id_column"] == 2 and counts["null_fill_unknown_strings"] == 0
+    assert counts["trim_codes"] == 2 and counts["round_amounts"] == 0
 
 
 def test_scratch_follows_the_session(spark):

@@ -150,3 +150,12 @@ def test_casts_and_parse_failures(spark):
     assert dict(typed.dtypes)["transaction_date"] == "date" and dict(typed.dtypes)["unit_price_gbp"] == "double"
     bad = spark.createDataFrame([("5",), ("five",), ("",), (None,)], "price string")
     assert TR.parse_failures(bad, "strip_currency_symbols").first()["parse_failures"] == 1
+
+
+def test_repeated_rates_keep_the_row_count(spark):
+    amounts = spark.createDataFrame([("GBP", 2.0), ("eur", 3.0), (None, 4.0)], "currency string, amount double")
+    rates = spark.createDataFrame([("gbp", 1.5), ("GBP", 1.5), ("EUR", 2.0)], "currency string, rate double")
+    out = TR.convert_by_rates(amounts, rates, ["amount"], "currency").collect()
+    assert sorted((r["amount"] is None, r["amount"]) for r in out) == [(False, 3.0), (False, 6.0), (True, None)]
+    with pytest.raises(Exception, match="different rates"):
+        TR.convert_by_rates(amounts, rates.union(spark.createDataFrame([("GBP", 9.0)], rates.schema)), ["amount"], "currency").collect()
