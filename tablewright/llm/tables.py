@@ -61,8 +61,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """At most ``limit`` labelled (text, n_chars, label) rows outside the held-out fold, chosen by a hash of their id.
 
     Texts of over ``longest`` characters and rows without text or label are passed
-    over, so at most ``limit * longest`` characters reach the driver. The choice
-    does not depend on how the tables are partitioned.
+    over, so at most ``limit * longest`` characters reach the driver. Of rows with one
+    id the least text counts. The choice does not depend on how the tables are partitioned.
     """
     names = set(docs.columns)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"),
@@ -70,6 +70,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     rows = rows.where(F.col("text").isNotNull() & (F.length("text") <= longest) & ~held_out())
     marks = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1))
     marks = marks.groupBy("doc_id").agg(F.min("_label").alias("_label"))
-    chosen = (rows.join(marks, "doc_id").withColumn("_order", F.xxhash64(F.lit(label), "doc_id"))
-              .orderBy("_order", "doc_id", "text").limit(limit))
-    return [(r["text"], r["n_chars"], r["_label"]) for r in chosen.collect()]
+    # Ids are chosen first: no text moves before its row is known to be in the sample, which is small enough to broadcast.
+    ids = rows.select("doc_id").join(marks, "doc_id").distinct().orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(limit)
+    chosen = rows.join(F.broadcast(store(ids, "sample")), "doc_id").groupBy("doc_id", "_label").agg(
+        F.min(F.struct("text", "n_chars")).alias("_row"))
+    return sorted(((r["_row"]["text"], r["_row"]["n_chars"], r["_label"]) for r in chosen.collect()),
+                  key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
