@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm import signatures as sg, text as tx
-from tablewright.llm.similar import connected_components, linked
+from tablewright.llm.similar import connected_components, few_ids, linked
 from tablewright.llm.tables import store
 
 WORDS = 5
@@ -49,39 +49,53 @@ def shingle_sets(array: pa.Array, words: int) -> Iterator[tuple[int, int, np.nda
         yield at, end, np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.cumsum(lengths)
 
 
-def _sketch(words: int, signature: int, bands: int, rows: int):
+def _sketch(words: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, keys = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
+            sizes, digests, found = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
             for at, end, members, offsets in shingle_sets(batch.column(1), words):
                 sizes[at:end] = np.diff(offsets)
                 full = np.flatnonzero(np.diff(offsets))
                 if not len(full):
                     continue
-                found = sg.bands_of(sg.signatures(members, offsets[:-1][full], signature), bands, rows)
+                minima = sg.signatures(members, offsets[:-1][full], length).astype(np.uint16)
                 low = np.add.reduceat(members, offsets[:-1][full])
                 high = np.add.reduceat(tx.mix(members ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[:-1][full])
                 for k, i in enumerate(full):
-                    keys[at + i] = found[k]
+                    found[at + i] = minima[k].tobytes()
                     digests[at + i] = low[k].tobytes() + high[k].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"])
+                [batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(found, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "signature"])
     return run
 
 
-def _members(words: int, n: int):
+def _bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                minima = np.stack([np.frombuffer(x, np.uint16) for x in batch.column(2).to_pylist()])
+                keys = sg.bands_of(minima.astype(np.uint32), bands, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(batch.column(1).to_numpy(), bands)),
+                     pa.array(keys.ravel())], names=["id", "size", "band"])
+    return run
+
+
+def _members(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, members, offsets in shingle_sets(batch.column(1), words):
-                signature = sg.signatures(members, offsets[:-1], n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), pa.array([s.tobytes() for s in signature], pa.binary()),
-                     pa.array([members[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())],
-                    names=["id", "signature", "members"])
+                    [batch.column(0).slice(at, end - at), pa.array([members[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())],
+                    names=["id", "content"])
     return run
 
 
+def _expand(contents: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(c, np.uint64) for c in contents]
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, signature: int = SIGNATURE, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text, ...).
@@ -97,18 +111,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, sign
     * empty table: no rows
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = store(docs.mapInArrow(_sketch(words, signature, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketch")
+    sketch = store(docs.mapInArrow(_sketch(words, signature), "doc_id long, n_shingles long, digest binary, signature binary"), "sketch")
     named = sketch.where("digest is not null and doc_id is not null")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"),
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"),
                                           F.min("n_shingles").alias("size"))
     classes = store(classes, "classes")
-    banded = classes.select("id", "size", F.explode("bands").alias("band"))
+    banded = classes.select("id", "size", "signature").mapInArrow(_bands(bands, rows), "id long, size long, band long")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        chosen = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return chosen.mapInArrow(_members(words, signature), "id long, signature binary, members binary")
+        few = few_ids(ids)
+        chosen = docs.join(few.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        members = chosen.mapInArrow(_members(words), "id long, content binary").dropDuplicates(["id"])
+        return classes.join(few, "id", "left_semi").dropDuplicates(["id"]).select("id", "signature").join(members, "id")
 
-    components = linked(banded, sets_of, percent, signature)
+    components = linked(banded, sets_of, percent, signature, _expand)
     # Rows with one id but several texts tie the classes of those texts together.
     member_class = named.join(classes.select("digest", F.col("id").alias("class")), "digest").join(
         components.select(F.col("id").alias("class"), "component"), "class", "left").select(

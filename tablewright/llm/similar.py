@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tablewright.llm.tables import store
 
 PAIR = "a long, b long"
+#: Ids that are broadcast at most.
+FEW = 2_000_000
+#: From contents to the sorted distinct 64-bit members of each.
+Expand = Callable[[list[bytes]], list[np.ndarray]]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -46,29 +50,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float, expand: Expand) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    ``sets`` holds id, signature and the sorted members as bytes, one row per id. A
-    pivot may be in very many pairs: its set is dealt out to as many groups as it
-    has 64s of pairs.
+    ``sets`` holds id, signature and content, one row per id; ``expand`` makes sorted
+    members of contents. A pivot may be in very many pairs: its content is dealt out to
+    as many groups as it has 64s of pairs.
     """
     share = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / 64).cast("int").alias("parts"))
     pivots = (share.join(sets.withColumnRenamed("id", "a"), "a")
-              .select("a", "signature", "members", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+              .select("a", "signature", "content", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     rest = (pairs.join(share, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-            .join(sets.select(F.col("id").alias("b"), F.col("signature").alias("signature_b"), F.col("members").alias("members_b")), "b"))
-    met = rest.join(pivots, ["a", "part"]).select("a", "b", "signature", "members", "signature_b", "members_b")
+            .join(sets.select(F.col("id").alias("b"), F.col("signature").alias("signature_b"), F.col("content").alias("content_b")), "b"))
+    met = rest.join(pivots, ["a", "part"]).select("a", "b", "signature", "content", "signature_b", "content_b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, *rows = (c.to_pylist() for c in batch.columns)
+            a, b, signature, content, signature_b, content_b = (c.to_pylist() for c in batch.columns)
+            near = [i for i, (x, y) in enumerate(zip(signature, signature_b))
+                    if np.count_nonzero(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= least_alike * (len(x) // 2)]
+            # Neighbouring pairs have the same pivot: each content is expanded once.
+            known: dict[bytes, int] = {}
+            for i in near:
+                known.setdefault(content[i], len(known))
+                known.setdefault(content_b[i], len(known))
+            members = expand(list(known))
             good = []
-            for i, (sx, mx, sy, my) in enumerate(zip(*rows)):
-                x, y = np.frombuffer(sx, np.uint32), np.frombuffer(sy, np.uint32)
-                if np.count_nonzero(x == y) < least_alike * len(x):
-                    continue
-                x, y = np.frombuffer(mx, np.uint64), np.frombuffer(my, np.uint64)
+            for i in near:
+                x, y = members[known[content[i]]], members[known[content_b[i]]]
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
@@ -79,19 +88,70 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float
     return met.mapInArrow(confirm, PAIR)
 
 
+def lone_members(sets: DataFrame, expand: Expand) -> DataFrame:
+    """(id, alone): how many members of each set are in no other set of ``sets``, of the sets that have any.
+
+    Members are told apart by 32 bits, so ``alone`` may be too small, never too large. A member
+    in very many sets is combined in the tasks before the shuffle.
+    """
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at in range(0, len(ids), 256):
+                members = expand(batch.column(1).slice(at, 256).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[at:at + 256], [len(m) for m in members])),
+                     pa.array((np.concatenate(members) >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["id", "member"])
+
+    own = sets.select("id", "content").mapInArrow(spread, "id long, member int").groupBy("member").agg(
+        F.min("id").alias("id"), F.max("id").alias("_other")).where("id = _other")
+    return own.groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def few_ids(ids: DataFrame) -> DataFrame:
+    """``ids``, a stored table of one long, broadcast while it has at most FEW rows (some tens of megabytes); shuffled beyond that."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def _with_common(open_bands: DataFrame) -> DataFrame:
     """The open keys' items, each with all its open keys, of which there are no more than it has bands."""
     own = open_bands.groupBy("id").agg(F.collect_list("band").alias("bands"))
-    return store(open_bands.join(own, "id").select("band", "id", "size", "company", "component", "bands"), "open")
+    return store(open_bands.join(own, "id"), "open")
+
+
+def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFrame:
+    """Pairs of the items of rank ``above`` + 1 to ``upto`` of each key with the items of other components under it."""
+    order = Window.partitionBy("band").orderBy(F.desc("company"), "id")
+    own = [c for c in ("size", "component", "core", "bands") if c in open_bands.columns]
+    chosen = (open_bands.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= upto).where(F.col("_rank") > above)
+              .select("band", F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in own]))
+    fits = ((chosen["band"] == open_bands["band"]) & (F.col("component") != F.col("component_a"))
+            & (100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")))
+    if "core" in own:
+        # No pair has more in common than the smaller core.
+        most = F.least("core", "core_a")
+        fits &= 100 * most >= percent * (F.col("size") + F.col("size_a") - most)
+    if "bands" in own:
+        # A pair that shares several keys is made at the first of them only.
+        fits &= chosen["band"] == F.array_min(F.array_intersect("bands", "bands_a"))
+    pairs = chosen.join(open_bands, fits).select("a", F.col("id").alias("b"))
+    # Of a pair that came both ways round one is enough.
+    return store(pairs.groupBy(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).agg(F.min("a").alias("a")).select(
+        "a", (F.when(F.col("a") == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))).alias("b")), "pairs")
 
 
-def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signature_length: int) -> DataFrame:
+def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signature_length: int, expand: Expand) -> DataFrame:
     """(id, component) of every item with a link.
 
     ``banded`` has id, size (members of its set) and band, a row for each band of an
     item. ``sets_of`` gets the ids that have candidates and returns id, signature
-    (uint32 bytes) and members (sorted uint64 bytes). The signatures rule out a pair
-    only when they agree less than five standard deviations below the threshold.
+    (uint16 bytes) and content, of which ``expand`` makes the sorted members. The
+    signatures rule out a pair only when they agree less than five standard
+    deviations below the threshold.
+
+    After the first round the members that one open item alone has are counted: they are in no
+    intersection, so an item with too many of them has no link, and a pair with
+    too many is not made. Near copies just under the threshold mostly fall out here.
     """
     # One exchange on the band serves both sides of the join.
     dealt = banded.select("id", "size", "band").repartition("band")
@@ -100,42 +160,41 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     members = store(dealt.join(shared.select("band", "company"), "band").distinct(), "bands")
     company = members.groupBy("id").agg(F.sum("company").alias("company"))
     members = members.drop("company").join(company, "id")
-    sets = store(sets_of(company.select("id")), "sets")
+    sets = store(sets_of(store(company.select("id"), "candidates")), "sets")
     s = percent / 100
     least_alike = s - 5 * (s * (1 - s) / signature_length) ** 0.5
     components, edges = None, None
-    tried, pivots = 0, 1
-    open_bands = _with_common(members.withColumn("component", F.col("id")))
+    tried, pivots, pruned = 0, 1, False
+    open_bands = store(members.withColumn("component", F.col("id")), "open")
     while True:
-        order = Window.partitionBy("band").orderBy(F.desc("company"), "id")
-        chosen = (open_bands.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= pivots)
-                  .where(F.col("_rank") > tried)
-                  .select("band", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"),
-                          F.col("bands").alias("bands_a")))
-        # A pair that shares several keys is made at the first of them only.
-        pairs = (chosen.join(open_bands, (chosen["band"] == open_bands["band"]) & (F.col("component") != F.col("component_a"))
-                             & (100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a"))
-                             & (chosen["band"] == F.array_min(F.array_intersect("bands", "bands_a"))))
-                 .select("a", F.col("id").alias("b")))
-        # Of a pair that came both ways round one is enough.
-        pairs = store(pairs.groupBy(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).agg(F.min("a").alias("a")).select(
-            "a", (F.when(F.col("a") == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))).alias("b")), "pairs")
-        found = store(verified(pairs, sets, percent, least_alike), "links")
+        pairs = _pairs(open_bands, tried, pivots, percent)
+        found = store(verified(pairs, sets, percent, least_alike, expand), "links")
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
             components = store(connected_components(edges), "components")
+        now = open_bands.drop("component", "bands")
         if components is not None:
-            now = members.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            now = now.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
-            now = members.withColumn("component", F.col("id"))
+            now = now.withColumn("component", F.col("id"))
         # A key is done when its items are one component or all of them have been pivots.
         state = now.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"),
                                         F.count("*").alias("_n"))
         left = state.where((F.col("_low") < F.col("_high")) & (F.col("_n") > pivots + 1)).select("band")
-        if left.isEmpty():
-            break
-        open_bands = _with_common(now.join(left, "band"))
-        tried, pivots = pivots, pivots * 8
+        now = now.join(left, "band")
+        if not pruned:
+            now = store(now, "left")
+            if now.isEmpty():
+                break
+            alone = lone_members(sets.join(now.select("id").distinct(), "id", "left_semi"), expand)
+            now = now.join(alone, "id", "left").withColumn("core", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+            now = now.where(100 * F.col("core") >= percent * F.col("size"))
+            # Ranks begin anew, as items are gone.
+            open_bands, tried, pivots, pruned = _with_common(now), 0, 8, True
+        else:
+            if left.isEmpty():
+                break
+            open_bands, tried, pivots = _with_common(now), pivots, pivots * 8
     if components is None:
         return members.where("false").select("id", F.col("id").alias("component"))
     return components
