@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm import signatures as sg, text as tx
-from tablewright.llm.similar import linked
+from tablewright.llm.similar import few_ids, linked
 from tablewright.llm.tables import store
 
 #: Characters of a shingle.
@@ -22,6 +22,10 @@ WIDTH = 8
 #: Minima of a signature, bands, and minima of a band; see :mod:`~tablewright.llm.minhash`. Pairs at a similarity of 0.8 share no band in
 #: about 5 of 1,000 cases, at 0.9 in 3 of 10,000.
 SIGNATURE, BANDS, ROWS = 40, 16, 5
+#: Line numbers or hashes, listed by document, that are broadcast at most; beyond that texts are shuffled to them.
+FEW_PLACES = 500_000
+
+_FACTORS = np.random.default_rng(31).integers(0, 2**64, 3, dtype=np.uint64) | np.uint64(1)
 
 
 def _normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +53,7 @@ def _normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.nda
 
 def _lines_of(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row of each line, number of each line in its text, bytes, offsets) of normal lines."""
-    for at, end, data, offsets in tx.byte_chunks(array):
+    for at, end, data, offsets in tx.byte_chunks(array, 1 << 18):
         starts, ends, rows = tx.lines(data, offsets)
         first = np.searchsorted(rows, np.arange(end - at))
         numbers = np.arange(len(rows)) - first[rows]
@@ -59,17 +63,37 @@ def _lines_of(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
 
 def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each whole line; shingle hashes of all lines and where those of each line begin and end."""
-    sums = tx.prefix_sums(data)
-    whole = tx.span_hashes(sums, bounds[:-1], bounds[1:])
+    whole = tx.span_hashes(tx.prefix_sums(data), bounds[:-1], bounds[1:])
     heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     edges = np.searchsorted(heads, bounds)
+    codes = data[heads[:-1]].astype(np.uint64)
+    width = np.diff(heads)
+    for k in range(1, 4):
+        more = np.flatnonzero(width > k)
+        codes[more] |= data[heads[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    # Windows of 2, 4 and 8 characters, each from two of half its length.
+    windows, half = codes, 1
+    for factor in _FACTORS:
+        windows = windows[:-half] * factor + windows[half:]
+        half *= 2
     length = np.diff(edges)
     count = np.maximum(length - WIDTH + 1, (length > 0).astype(np.int64))
     ends = np.cumsum(count)
     starts = ends - count
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(starts - edges[:-1], count)
-    stop = np.minimum(at + WIDTH, np.repeat(edges[1:], count))
-    return whole, tx.span_hashes(sums, heads[at], heads[stop]), starts, ends
+    shingles = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
+    long_line = length >= WIDTH
+    at = np.flatnonzero(np.repeat(long_line, count))
+    shingles[at] = tx.mix(windows[at - np.repeat((starts - edges[:-1])[long_line], count[long_line])])
+    short = (length > 0) & ~long_line
+    shingles[starts[short]] = tx.mix(whole[short])
+    return whole, shingles, starts, ends
+
+
+def _expand(contents: list[bytes]) -> list[np.ndarray]:
+    """The shingle sets of normal lines."""
+    bounds = np.cumsum([0, *map(len, contents)])
+    _, shingles, starts, ends = _shingles(np.frombuffer(b"".join(contents), np.uint8), bounds)
+    return [np.unique(shingles[a:b]) for a, b in zip(starts, ends)]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,20 +131,22 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature and set of the lines whose numbers are listed."""
+    """Signature and normal text of the lines whose hashes are listed."""
     for batch in batches:
-        wanted = batch.column(2).to_pylist()
-        for at, rows, numbers, data, bounds in _lines_of(batch.column(1)):
-            whole, shingles, starts, ends = _shingles(data, bounds)
-            first = np.searchsorted(rows, np.arange(rows[-1] + 1)) if len(rows) else []
-            chosen = [first[r] + k for r in range(len(first)) for k in wanted[at + r]]
-            sets = [np.unique(shingles[starts[i]:ends[i]]) for i in chosen]
-            if sets:
-                lengths = np.array([len(s) for s in sets])
-                signature = sg.fast_signatures(np.concatenate(sets), np.cumsum(lengths) - lengths, SIGNATURE)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[chosen].view(np.int64)), pa.array([s.tobytes() for s in signature], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "signature", "members"])
+        for at, rows, _, data, bounds in _lines_of(batch.column(0)):
+            whole = tx.span_hashes(tx.prefix_sums(data), bounds[:-1], bounds[1:]).view(np.int64)
+            listed = batch.column(1).slice(at, rows[-1] + 1).flatten().to_numpy()
+            whole, once = np.unique(np.where(np.diff(bounds) > 0, whole, 0), return_index=True)
+            wanted = np.isin(whole, listed) & (np.diff(bounds)[once] > 0)
+            whole, once = whole[wanted], once[wanted]
+            if not len(whole):
+                continue
+            contents = [data[bounds[i]:bounds[i + 1]].tobytes() for i in once]
+            _, shingles, starts, _ = _shingles(np.frombuffer(b"".join(contents), np.uint8), np.cumsum([0, *map(len, contents)]))
+            signature = sg.fast_signatures(shingles, starts, SIGNATURE).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(whole), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array(contents, pa.binary())],
+                names=["id", "signature", "content"])
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -138,14 +164,15 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = seen.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        # Each line is fetched where it stands first; its document is read once more.
-        places = first.join(ids, "id", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-            F.collect_set("first.line").alias("wanted"))
-        return docs.dropDuplicates(["doc_id"]).join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(
-            _members, "id long, signature binary, members binary")
+        # Each line is fetched where it stands first; the documents are read once more.
+        places = first.join(few_ids(ids), "id", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+            F.collect_set("id").alias("wanted"))
+        places = F.broadcast(places) if ids.count() <= FEW_PLACES else places
+        return docs.join(places, "doc_id").select("text", "wanted").mapInArrow(
+            _members, "id long, signature binary, content binary").dropDuplicates(["id"])
 
     banded = docs.mapInArrow(_bands, "id long, size long, band long")
-    components = linked(banded, sets_of, percent, SIGNATURE)
+    components = linked(banded, sets_of, percent, SIGNATURE, _expand)
     # Only lines that stand twice or have a link need a decision.
     classes = first.join(components, "id", "left").where("n > 1 or component is not null").select(
         "id", "first", F.coalesce("component", "id").alias("component"))
@@ -170,7 +197,9 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     See :func:`repeated_lines`. Null texts stay null; an empty table stays empty.
     """
-    gone = repeated_lines(docs, percent).withColumnRenamed("doc_id", "_gone_id")
+    gone = store(repeated_lines(docs, percent).withColumnRenamed("doc_id", "_gone_id"), "gone")
+    if (gone.agg(F.sum(F.size("gone") + 1)).first()[0] or 0) <= FEW_PLACES:
+        gone = F.broadcast(gone)
     rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
     rows = rows.select(F.col("text").cast("string").alias("_text_"), "gone", *[F.col(f"`{c}`") for c in docs.columns])
     schema = T.StructType(docs.schema.fields + [T.StructField("_clean", T.StringType()), T.StructField("_dropped", T.LongType())])
