@@ -43,6 +43,12 @@ def name_tokens(df: DataFrame, *keywords: str) -> list[str]:
     return [c for c in df.columns if set(re.split(r"[^a-z0-9]+", c.lower())) & set(keywords)]
 
 
+def name_words(df: DataFrame, exact: Iterable[str] = (), endings: tuple[str, ...] = ()) -> list[str]:
+    """Columns with a ``_``-separated word that is one of ``exact`` or ends in one of ``endings``."""
+    words = set(exact)
+    return [c for c in df.columns if any(w in words or (endings and w.endswith(endings)) for w in re.split(r"[^a-z0-9]+", c.lower()))]
+
+
 def id_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.lower().endswith("_id") or c.lower() == "id"]
 

@@ -107,9 +107,10 @@ def detect_anomalies(df: DataFrame, keys: Sequence[str], target_columns: Iterabl
                      mode: str = "letters", exact: bool = True) -> DataFrame:
     """All anomalous cells (keys, then ``ANOMALY_SCHEMA``) of numeric and text columns.
 
-    Rows are named by their key columns; unknown target columns are ignored.
+    Rows are named by their key columns; unknown target columns are ignored. No
+    target columns, or an empty list of them, means all.
     """
-    wanted = set(df.columns if target_columns is None else target_columns)
+    wanted = set(target_columns or ()) or set(df.columns)
     numbers = [c for c in C.numeric_columns(df) if c in wanted]
     texts = [c for c in C.string_columns(df) if c in wanted]
     parts = []
@@ -162,7 +163,7 @@ def anomaly_rates(anomalies: DataFrame, keys: Sequence[str], total_rows: int) ->
 
 def explain_anomalies(summary: DataFrame, prof: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """``(column, anomaly_count, explanation)``: a sentence from counts, fences and profile."""
-    joined = summary.join(F.broadcast(prof.select("column", "dtype", "total_rows", "null_rate", "min", "max")), "column")
+    joined = summary.join(F.broadcast(prof.select("column", "dtype", "total_rows", "null_rate", "min", "max")), "column", "left")
     if bounds is None:
         joined = joined.withColumns({"lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double")})
     else:

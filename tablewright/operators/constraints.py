@@ -130,10 +130,15 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def lost_null_rows(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``violation_count``: keys of rows holding a null that are gone from the output."""
+    """``violation_count``: keys of rows holding a null that are gone from the output; a null key equals a null key."""
     holes = " OR ".join(f"{S.quote(c)} IS NULL" for c in before.columns)
-    kept = after.select(*key).distinct()
-    gone = before.where(holes).select(*key).distinct().join(kept, list(key), "left_anti")
+    names = [f"_k{i}" for i in range(len(key))]
+    held = before.where(holes).select(*[C.col(k).alias(n) for k, n in zip(key, names)]).distinct()
+    kept = after.select(*[C.col(k).alias(f"{n}_") for k, n in zip(key, names)]).distinct()
+    same = F.lit(True)
+    for n in names:
+        same &= F.col(n).eqNullSafe(F.col(f"{n}_"))
+    gone = held.join(kept, same, "left_anti")
     return gone.agg(F.count(F.lit(1)).alias("violation_count"))
 
 

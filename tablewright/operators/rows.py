@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tablewright.functions.columns import col, fields
+from tablewright.functions.columns import col, fields, groupable
 from tablewright.functions.sql import literal, quote
 from tablewright.session import checkpoint_root
 
@@ -17,10 +17,11 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_index")
     The range-sorted rows are checkpointed once, so the numbering cannot move
     when a task is retried; each partition then adds the row count of those
     before it. Select the needed columns first: the checkpoint holds them all.
+    Rows that tie are ordered by a digest, so one value of many rows is split.
     """
     checkpoint_root(df.sparkSession)
     placed = (
-        df.orderBy(*order).checkpoint(eager=True)
+        df.orderBy(*order, F.xxhash64(*map(groupable, df.schema.fields))).checkpoint(eager=True)
         .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_place", 33))
         .withColumn("_within", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))

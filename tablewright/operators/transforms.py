@@ -158,11 +158,23 @@ def _renamed(name: str, rename: dict[str, str] | None = None, **_: Any) -> str:
     return (rename or {}).get(name, name)
 
 
+def _money_columns(df: DataFrame) -> list[str]:
+    """Text and number columns named for an amount of money; ``coffee_type`` is not one."""
+    named = C.name_words(df, ("fee", "fees"), ("price", "prices", "amount", "amounts", "cost", "costs", "total", "totals"))
+    return [f.name for f in C.fields(df, named) if isinstance(f.dataType, (T.StringType, T.NumericType))]
+
+
+def _date_columns(df: DataFrame) -> list[str]:
+    """Text, date and timestamp columns named for a day or time; a number such as ``overtime`` is not one."""
+    named = C.name_words(df, ("time", "times", "datetime", "timestamp"), ("date", "dates"))
+    return [f.name for f in C.fields(df, named) if isinstance(f.dataType, (T.StringType, *C.TEMPORAL))]
+
+
 _COLUMN_TRANSFORMS = [
     ColumnTransform("strip_currency_symbols",
-                    lambda df: C.name_contains(df, "price", "amount", "cost", "fee", "total"), _currency),
+                    _money_columns, _currency),
     ColumnTransform("convert_currency", lambda df: C.name_contains(df, "price", "amount"), _converted, _renamed),
-    ColumnTransform("standardise_dates", lambda df: C.name_contains(df, "date", "time"), _date),
+    ColumnTransform("standardise_dates", _date_columns, _date),
     ColumnTransform(
         "flag_negative_quantity", lambda df: C.name_contains(df, "qty", "quantity")[:1],
         lambda f, **_: f"coalesce({S.quote(f.name)} < 0, false)",

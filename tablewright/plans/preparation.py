@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright import rules as R
+from tablewright.functions import columns as C
 from tablewright.operators import (
     anomalies as N, catalogue as K, checks as Q, column_tests, constraints as V, domain as M, drift as D, incremental as I,
     infer, lineage as L, profile as A, report, runlog)
@@ -63,7 +64,10 @@ class State:
     def read(self, name: str, schema) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(self.path(name))
-        except AnalysisException:
+        except AnalysisException as error:
+            # Only a table that was never written counts as empty.
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:
@@ -105,7 +109,11 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
         landed = scratch_path(spark, "landed")
         source.write.parquet(landed)
         source = spark.read.parquet(landed)
-    key = run_key(source, job.goal)
+    if column is not None and last is not None and source.isEmpty():
+        return Result(run_id, "nothing_new", domain=domain, rows_input=0, rows_output=0)
+    key = run_key(source, job.goal, source_path, dataset, [(s.name, s.columns, sorted(s.params.items())) for s in job.steps], domain,
+                  list(job.keys), column, last["watermark_value"] if column is not None and last else None,
+                  job.drift_policy, job.gate, job.enforce_required, job.pattern_mode)
     if not job.force:
         prior = runlog.latest_success(state.runs(), key).first()
         if prior is not None:
@@ -141,10 +149,15 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
         checks = A.settle(Q.quality_checks(written, original, targets, plan.applied, rules))
         watched = {r["column"] for r in Q.target_columns(checks, A.risk_columns(original)).collect()}
         keys = list(job.keys) or written.columns[:1]
+        numbers = [c for c in C.numeric_columns(written) if not watched or c in watched]
+        bounds = N.bounds_frame(written, N.quartile_bounds(written, numbers) if numbers else {})
         found = V.redact(N.detect_anomalies(written, keys, watched, job.pattern_mode),
                          R.rules_for(domain)["sensitive_columns"])
         summary = A.settle(N.anomaly_summary(found, keys))
-        texts = N.explain_anomalies(summary, original)
+        after = A.profile(written)
+        hidden = F.lower("column").isin(*[c.lower() for c in R.rules_for(domain)["sensitive_columns"]])
+        texts = N.explain_anomalies(summary, after, bounds)
+        texts = texts.withColumn("explanation", F.when(hidden, F.lit("***")).otherwise(F.col("explanation")))
         tag = F.lit(run_id)
         report.write_report(report.quality_report(
             checks.withColumn("run_id", tag), summary.withColumn("run_id", tag),
@@ -155,7 +168,6 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
             _finish(state, result, run_id, False)
             return result
 
-        after = A.profile(written)
         result.tests = column_tests.read_tests(column_tests.suggest_tests(after))
         newest = None
         if column is not None:

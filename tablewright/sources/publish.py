@@ -101,8 +101,12 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None, portable: b
         F.sum(F.pmod("_code", F.lit(FINGERPRINT_MODULUS))).alias("hash_sum"))
 
 
-def run_key(df: DataFrame, goal: str) -> str:
-    """Key of (data, goal) under which an equal earlier run is found."""
+def run_key(df: DataFrame, goal: str, *settings: object) -> str:
+    """Key of (data, schema, goal, settings) under which an equal earlier run is found.
+
+    ``settings`` are values whose ``repr`` tells them apart: source, steps, domain, limits.
+    """
+    goal = repr((goal, df.schema.simpleString(), df.columns, *settings))
     row = fingerprint(df).select(F.sha2(F.concat_ws("|", *["row_count", "hash_xor", "hash_sum"]), 256).alias("d"),
                                  F.sha2(F.lit(goal), 256).alias("g")).first()
     return f"{row['d'][:16]}-{row['g'][:8]}"

@@ -221,3 +221,18 @@ def test_command_line(spark, tmp_path, capsys):
                  "--output", str(tmp_path / "o"), "--key", "transaction_id"])
     result = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert code == 0 and result["rows_output"] == 200 and result["transformations"] == ["standardise_dates", "normalise_boolean"]
+
+
+def test_run_key_holds_settings(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "USA"), (2, "UK")], "id int, country string")
+    where = (str(tmp_path / "s"), str(tmp_path / "o"))
+    plain = Preparation([], domain="unknown", keys=["id"], drift_policy="accept")
+    first = prepare(rows, "a", "parquet", "a", plain, *where)
+    assert prepare(rows, "a", "parquet", "a", plain, *where).cached
+    other = Preparation([Step("normalise_country")], domain="unknown", keys=["id"], drift_policy="accept")
+    assert not prepare(rows, "a", "parquet", "a", other, *where).cached
+    moved = prepare(rows.withColumnRenamed("country", "land"), "b", "parquet", "b", plain, *where)
+    assert not moved.cached and moved.run_id != first.run_id
+    marked = Preparation([], domain="unknown", keys=["id"], watermark_column="id", drift_policy="accept")
+    assert prepare(rows, "c", "parquet", "c", marked, *where).rows_output == 2
+    assert prepare(rows, "c", "parquet", "c", marked, *where).status == "nothing_new"

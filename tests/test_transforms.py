@@ -159,3 +159,11 @@ def test_repeated_rates_keep_the_row_count(spark):
     assert sorted((r["amount"] is None, r["amount"]) for r in out) == [(False, 3.0), (False, 6.0), (True, None)]
     with pytest.raises(Exception, match="different rates"):
         TR.convert_by_rates(amounts, rates.union(spark.createDataFrame([("GBP", 9.0)], rates.schema)), ["amount"], "currency").collect()
+
+
+def test_default_columns_are_whole_words_of_fitting_type(spark):
+    df = spark.createDataFrame([(1.5, "latte", "$2", "2024-01-02")],
+                               "overtime double, coffee_type string, service_fee string, order_date string")
+    row = TR.apply_transform(TR.apply_transform(df, "strip_currency_symbols"), "standardise_dates").first()
+    assert (row["overtime"], row["coffee_type"], row["service_fee"]) == (1.5, "latte", 2.0)
+    assert row["order_date"] == datetime.date(2024, 1, 2)
