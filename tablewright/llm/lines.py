@@ -22,6 +22,8 @@ WIDTH = 8
 #: Minima of a signature, bands, and minima of a band; see :mod:`~tablewright.llm.minhash`. Pairs at a similarity of 0.8 share no band in
 #: about 5 of 1,000 cases, at 0.9 in 3 of 10,000.
 SIGNATURE, BANDS, ROWS = 40, 16, 5
+#: Longs of the outline that tells pairs under the threshold before they are made.
+OUTLINE = 8
 #: Line numbers or hashes, listed by document, that are broadcast at most; beyond that texts are shuffled to them.
 FEW_PLACES = 500_000
 
@@ -172,7 +174,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             _members, "id long, signature binary, content binary").dropDuplicates(["id"])
 
     banded = docs.mapInArrow(_bands, "id long, size long, band long")
-    components = linked(banded, sets_of, percent, SIGNATURE, _expand)
+    components = linked(banded, sets_of, percent, SIGNATURE, _expand, OUTLINE)
     # Only lines that stand twice or have a link need a decision.
     classes = first.join(components, "id", "left").where("n > 1 or component is not null").select(
         "id", "first", F.coalesce("component", "id").alias("component"))

@@ -23,6 +23,8 @@ WORDS = 5
 #: keep apart documents that only share a passage, and many of them find pairs. A pair at a similarity of 0.85 shares
 #: no band in about 1 of 10,000 cases, at 0.8 in 5 of 1,000.
 SIGNATURE, BANDS, ROWS = 128, 56, 9
+#: Longs of the outline that tells pairs under the threshold before they are made.
+OUTLINE = 16
 
 
 def shingle_sets(array: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -124,7 +126,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, sign
         members = chosen.mapInArrow(_members(words), "id long, content binary").dropDuplicates(["id"])
         return classes.join(few, "id", "left_semi").dropDuplicates(["id"]).select("id", "signature").join(members, "id")
 
-    components = linked(banded, sets_of, percent, signature, _expand)
+    components = linked(banded, sets_of, percent, signature, _expand, OUTLINE)
     # Rows with one id but several texts tie the classes of those texts together.
     member_class = named.join(classes.select("digest", F.col("id").alias("class")), "digest").join(
         components.select(F.col("id").alias("class"), "component"), "class", "left").select(

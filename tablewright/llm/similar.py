@@ -88,24 +88,46 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float
     return met.mapInArrow(confirm, PAIR)
 
 
-def lone_members(sets: DataFrame, expand: Expand) -> DataFrame:
-    """(id, alone): how many members of each set are in no other set of ``sets``, of the sets that have any.
-
-    Members are told apart by 32 bits, so ``alone`` may be too small, never too large. A member
-    in very many sets is combined in the tasks before the shuffle.
+def outlines(sets: DataFrame, expand: Expand, words: int) -> DataFrame:
+    """(id, alone, mark_0, ...): how many members of each set are in no other set of ``sets``, and the parities of its other members.
+
+    Members are dealt to 64 * ``words`` places; a bit of the marks says whether an odd number of members
+    has its place. Two sets differ in at least as many members as their marks differ in
+    bits, and besides in those that each has alone. Members are told apart by 32 bits, which can
+    make this bound too low, never too high. A member in very many sets is
+    combined in the tasks before the shuffle.
     """
+    marks = [f"mark_{k}" for k in range(words)]
+    sets = sets.select("id", "content")
+
+    def distinct(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        ids = batch.column(0).to_numpy()
+        for at in range(0, len(ids), 256):
+            members = expand(batch.column(1).slice(at, 256).to_pylist())
+            yield ids[at:at + 256], [np.unique((m >> np.uint64(32)).astype(np.uint32)) for m in members]
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at in range(0, len(ids), 256):
-                members = expand(batch.column(1).slice(at, 256).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[at:at + 256], [len(m) for m in members])),
-                     pa.array((np.concatenate(members) >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["id", "member"])
-
-    own = sets.select("id", "content").mapInArrow(spread, "id long, member int").groupBy("member").agg(
+            for ids, members in distinct(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(m) for m in members])),
+                                                  pa.array(np.concatenate(members).view(np.int32))], names=["id", "member"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, members in distinct(batch):
+                odd = np.stack([np.bincount(m % np.uint32(64 * words), minlength=64 * words) & 1 for m in members]).astype(np.uint8)
+                bits = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(bits[:, k].copy()) for k in range(words)]], names=["id", *marks])
+
+    own = sets.mapInArrow(spread, "id long, member int").groupBy("member").agg(
         F.min("id").alias("id"), F.max("id").alias("_other")).where("id = _other")
-    return own.groupBy("id").agg(F.count("*").alias("alone"))
+    place = F.col("member").bitwiseAND(64 * words - 1)
+    own = own.select("id", F.shiftright(place, 6).alias("_word"), F.expr("shiftleft(1L, member & 63)").alias("_bit")).groupBy("id").agg(
+        F.count("*").alias("alone"), *[F.expr(f"bit_xor(if(_word = {k}, _bit, 0L))").alias(f"_own_{k}") for k in range(words)])
+    every = sets.mapInArrow(mark, ", ".join(["id long", *[f"{m} long" for m in marks]]))
+    return every.join(own, "id", "left").select(
+        "id", F.coalesce("alone", F.lit(0)).alias("alone"),
+        *[F.col(m).bitwiseXOR(F.coalesce(F.col(f"_own_{k}"), F.lit(0))).alias(m) for k, m in enumerate(marks)])
 
 
 def few_ids(ids: DataFrame) -> DataFrame:
@@ -122,15 +144,19 @@ def _with_common(open_bands: DataFrame) -> DataFrame:
 def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFrame:
     """Pairs of the items of rank ``above`` + 1 to ``upto`` of each key with the items of other components under it."""
     order = Window.partitionBy("band").orderBy(F.desc("company"), "id")
-    own = [c for c in ("size", "component", "core", "bands") if c in open_bands.columns]
+    marks = [c for c in open_bands.columns if c.startswith("mark_")]
+    own = [c for c in ("size", "component", "alone", "bands") if c in open_bands.columns] + marks
     chosen = (open_bands.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= upto).where(F.col("_rank") > above)
               .select("band", F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in own]))
     fits = ((chosen["band"] == open_bands["band"]) & (F.col("component") != F.col("component_a"))
             & (100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")))
-    if "core" in own:
-        # No pair has more in common than the smaller core.
-        most = F.least("core", "core_a")
+    if "alone" in own:
+        # No pair has more in common than either has not alone.
+        most = F.least(F.col("size") - F.col("alone"), F.col("size_a") - F.col("alone_a"))
         fits &= 100 * most >= percent * (F.col("size") + F.col("size_a") - most)
+        # Nor may it differ in more members than the threshold leaves.
+        differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_a"))) for m in marks), F.col("alone") + F.col("alone_a"))
+        fits &= (100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size_a"))
     if "bands" in own:
         # A pair that shares several keys is made at the first of them only.
         fits &= chosen["band"] == F.array_min(F.array_intersect("bands", "bands_a"))
@@ -140,7 +166,7 @@ def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFr
         "a", (F.when(F.col("a") == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))).alias("b")), "pairs")
 
 
-def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signature_length: int, expand: Expand) -> DataFrame:
+def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signature_length: int, expand: Expand, words: int) -> DataFrame:
     """(id, component) of every item with a link.
 
     ``banded`` has id, size (members of its set) and band, a row for each band of an
@@ -149,9 +175,9 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     signatures rule out a pair only when they agree less than five standard
     deviations below the threshold.
 
-    After the first round the members that one open item alone has are counted: they are in no
-    intersection, so an item with too many of them has no link, and a pair with
-    too many is not made. Near copies just under the threshold mostly fall out here.
+    After the first round the members that one open item alone has are counted, and the others outlined
+    in ``words`` longs (see :func:`outlines`): an item with too many members of its own has no link, and a pair
+    that must differ in too many is not made. Near copies just under the threshold mostly fall out here.
     """
     # One exchange on the band serves both sides of the join.
     dealt = banded.select("id", "size", "band").repartition("band")
@@ -186,9 +212,8 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
             now = store(now, "left")
             if now.isEmpty():
                 break
-            alone = lone_members(sets.join(now.select("id").distinct(), "id", "left_semi"), expand)
-            now = now.join(alone, "id", "left").withColumn("core", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
-            now = now.where(100 * F.col("core") >= percent * F.col("size"))
+            known = outlines(sets.join(now.select("id").distinct(), "id", "left_semi"), expand, words)
+            now = now.join(known, "id").where(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size"))
             # Ranks begin anew, as items are gone.
             open_bands, tried, pivots, pruned = _with_common(now), 0, 8, True
         else:
