@@ -95,7 +95,14 @@ def _scorer(key: str, vector: str, queries: Sequence[tuple[object, Sequence[floa
     return score
 
 
-def mean_vectors(df: DataFrame, group: str, vector: str, length: int) -> DataFrame:
-    """``(group, vector)``: component means, as one aggregate without exploding the vectors."""
-    means = [F.avg(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(length)]
-    return df.groupBy(group).agg(F.array(*means).alias(vector))
+def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """``(group, vector)``: component means of whole vectors, as one aggregate without exploding them.
+
+    Null vectors take no part; vectors of unequal lengths are an error.
+    """
+    length = F.array_size(F.col(vector))
+    shortest, longest = df.agg(F.min(length), F.max(length)).first()
+    if shortest != longest:
+        raise ValueError(f"{vector} holds vectors of {shortest} to {longest} components")
+    means = [F.avg(F.get(F.col(vector), F.lit(i)).cast("double")) for i in range(longest or 0)]
+    return df.groupBy(group).agg(F.array(*means).cast("array<double>").alias(vector))

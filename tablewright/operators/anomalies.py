@@ -11,12 +11,9 @@ from tablewright.functions.sql import literal, pattern_key, letter_pattern, quot
 from tablewright.operators.profile import union_all
 from tablewright.operators.quantiles import exact_quantiles
 
-# Fence factor, common shapes, evidence per column and in all.
+# Fence factor and common shapes.
 FENCE = 1.5
 COMMON_PATTERNS = 3
-NUMERIC_EVIDENCE = 50
-PATTERN_EVIDENCE = 20
-TOTAL_EVIDENCE = 100
 
 Bounds = Mapping[str, tuple[float, float, float, float]]
 
@@ -127,14 +124,12 @@ def detect_anomalies(df: DataFrame, keys: Sequence[str], target_columns: Iterabl
     return union_all(parts)
 
 
-def evidence(anomalies: DataFrame, keys: Sequence[str], total: int | None = TOTAL_EVIDENCE) -> DataFrame:
-    """The rows shown in a report: 50 outliers or 20 patterns per column, 100 in all."""
+def evidence(anomalies: DataFrame, keys: Sequence[str], per_column: int | None = None) -> DataFrame:
+    """Every anomalous cell, or the first ``per_column`` of each column in the order of the keys."""
+    if per_column is None:
+        return anomalies
     rank = F.row_number().over(W.partitionBy("column").orderBy(*keys, "value"))
-    limit = F.when(F.col("lower").isNull(), PATTERN_EVIDENCE).otherwise(NUMERIC_EVIDENCE)
-    # The plain limit first: it is applied within each task, before the shuffle.
-    shown = (anomalies.withColumn("_rank", rank).where(F.col("_rank") <= NUMERIC_EVIDENCE)
-             .where(F.col("_rank") <= limit).drop("_rank"))
-    return shown if total is None else shown.orderBy("column", *keys, "value").limit(total)
+    return anomalies.withColumn("_rank", rank).where(F.col("_rank") <= per_column).drop("_rank")
 
 
 def anomaly_summary(anomalies: DataFrame, keys: Sequence[str], examples: int = 5) -> DataFrame:

@@ -18,10 +18,10 @@ def new_rows(df: DataFrame, column: str, previous: Any = None, lookback: str | N
              seen: DataFrame | None = None, key: Sequence[str] = ()) -> DataFrame:
     """Rows after the previous watermark, everything if there is none.
 
-    The typed comparison is pushed down to the scan. Rows without a watermark
-    value come only with the first load. With ``lookback`` (an interval such as
-    ``INTERVAL 2 DAYS`` or a number) late and tied rows are read again and the
-    ``seen`` keys removed.
+    The typed comparison is pushed down to the scan. With ``lookback`` (an interval such
+    as ``INTERVAL 2 DAYS`` or a number) late and tied rows and rows without a watermark
+    value are read again and the ``seen`` keys removed. Without it rows that have no
+    watermark value come only with the first load.
     """
     if previous is None:
         return df
@@ -30,7 +30,7 @@ def new_rows(df: DataFrame, column: str, previous: Any = None, lookback: str | N
         return df.where(col(column) > bound)
     if seen is None or not key:
         raise ValueError("a lookback needs the keys already seen")
-    again = df.where(col(column) >= bound - F.expr(lookback))
+    again = df.where((col(column) >= bound - F.expr(lookback)) | col(column).isNull())
     return again.join(seen.select(*key).distinct(), list(key), "left_anti")
 
 

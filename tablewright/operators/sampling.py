@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tablewright.functions.columns import col
 
-# Sample size and the row count above which three buckets are drawn.
+# Fixed value: sample size.
 SAMPLE_SIZE = 2000
-STRATIFIED_THRESHOLD = 50_000
 
-# Above this many rows the per-task candidates of a top-n are merged in groups first.
-MERGE_IN_GROUPS_ABOVE = 100_000_000
+# The candidates of the tasks are merged in so many groups before the last merge.
 MERGE_GROUPS = 256
 
 
-def first_rows(df: DataFrame, order: Sequence[str | Column], n: int, total: int | None = None) -> DataFrame:
+def first_rows(df: DataFrame, order: Sequence[str | Column], n: int) -> DataFrame:
     """The first n rows in a given order.
 
-    Every task keeps n candidates. On very large tables their merge would be
-    the bottleneck, so the candidates are first merged in hash groups.
+    Every task keeps n candidates, groups of tasks merge theirs, and the last merge
+    gets n rows from each group, however many tasks there are.
     """
-    if total is not None and total > MERGE_IN_GROUPS_ABOVE:
-        group = F.pmod(F.hash(*[col(c) for c in df.columns]), F.lit(MERGE_GROUPS))
-        within = W.partitionBy("_group").orderBy(*order)
-        df = (df.withColumn("_group", group).withColumn("_rank", F.row_number().over(within))
-              .where(F.col("_rank") <= n).drop("_group", "_rank"))
-    return df.orderBy(*order).limit(n)
+    within = W.partitionBy("_group").orderBy(*order)
+    ranked = (df.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
+              .withColumn("_rank", F.row_number().over(within)).where(F.col("_rank") <= n))
+    return ranked.drop("_group", "_rank").orderBy(*order).limit(n)
 
 
-def last_rows(df: DataFrame, order: Sequence[str], n: int, total: int | None = None) -> DataFrame:
-    return first_rows(df, [F.desc(c) for c in order], n, total)
+def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    return first_rows(df, [F.desc(c) for c in order], n)
 
 
 def _row_digest(keys: Sequence[str], seed: int) -> Column:
@@ -41,40 +36,28 @@ def _row_digest(keys: Sequence[str], seed: int) -> Column:
     return F.md5(text)
 
 
-def hash_sample(df: DataFrame, keys: Sequence[str], n: int = SAMPLE_SIZE, seed: int = 42,
-                total: int | None = None) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, those with the smallest digest of their keys.
-
-    The digests are uniform, so with a known row count nearly all rows can be
-    dropped before the ordering by a cut-off far enough out to keep n rows.
-    The survivors are counted; without enough of them nothing is dropped.
-    """
+def hash_sample(df: DataFrame, keys: Sequence[str], n: int = SAMPLE_SIZE, seed: int = 42) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows, those with the smallest digest of their keys."""
     tagged = df.withColumn("_digest", _row_digest(keys, seed))
-    if total is not None and total > 20 * n:
-        share = (n + 10 * math.sqrt(n) + 100) / total
-        cut = tagged.where(F.col("_digest") < F.lit(f"{int(share * 16 ** 12):012x}"))
-        if cut.count() >= n:
-            tagged = cut
-    return tagged.orderBy("_digest", *keys).limit(n).drop("_digest")
+    return first_rows(tagged, ["_digest", *keys], n).drop("_digest")
 
 
-def three_bucket_sample(df: DataFrame, order: Sequence[str], n: int = SAMPLE_SIZE, seed: int = 42,
-                        total: int | None = None) -> DataFrame:
+def three_bucket_sample(df: DataFrame, order: Sequence[str], n: int = SAMPLE_SIZE, seed: int = 42) -> DataFrame:
     """Head, tail and hash-ordered thirds, without repeated rows."""
     third = n // 3
-    head = first_rows(df, list(order), third, total)
-    tail = last_rows(df, order, third, total)
-    middle = hash_sample(df, df.columns, n - 2 * third, seed, total)
+    head = first_rows(df, list(order), third)
+    tail = last_rows(df, order, third)
+    middle = hash_sample(df, df.columns, n - 2 * third, seed)
     return head.unionByName(tail).unionByName(middle).distinct()
 
 
-def sample(df: DataFrame, order: Sequence[str], n: int = SAMPLE_SIZE, seed: int = 42,
-           threshold: int = STRATIFIED_THRESHOLD) -> DataFrame:
-    """A hash sample of a small table, the three-bucket sample of a large one."""
-    total = df.count()
-    if total > threshold:
-        return three_bucket_sample(df, order, n, seed, total)
-    return hash_sample(df, df.columns, n, seed, total)
+def sample(df: DataFrame, order: Sequence[str], n: int = SAMPLE_SIZE, seed: int = 42, method: str = "hash") -> DataFrame:
+    """A sample by ``hash`` or by ``three_bucket``, whatever the size of the table."""
+    if method == "hash":
+        return hash_sample(df, df.columns, n, seed)
+    if method == "three_bucket":
+        return three_bucket_sample(df, order, n, seed)
+    raise ValueError(f"unknown sampling method: {method}")
 
 
 def fraction_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

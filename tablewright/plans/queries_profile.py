@@ -167,8 +167,7 @@ def tail_rows(spark, sf):
 
 @query("sample_hash", "SELECT * FROM orders ORDER BY md5(o_orderkey || '|42'), o_orderkey LIMIT 2000")
 def sample_hash(spark, sf):
-    orders = table(spark, sf, "orders")
-    return S.hash_sample(orders, ["o_orderkey"], 2000, 42, orders.count())
+    return S.hash_sample(table(spark, sf, "orders"), ["o_orderkey"], 2000, 42)
 
 
 _ORDER_TEXT = "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|42'"
@@ -181,7 +180,7 @@ _ORDER_TEXT = "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l
        f" (SELECT * FROM t ORDER BY md5({_ORDER_TEXT}), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 668))")
 def sample_three_bucket(spark, sf):
     keys = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return S.three_bucket_sample(keys, keys.columns, 2000, 42, keys.count())
+    return S.three_bucket_sample(keys, keys.columns, 2000, 42)
 
 
 _PRICE = ("CASE WHEN o_orderkey % 10 = 0 THEN concat('£', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {s}))"

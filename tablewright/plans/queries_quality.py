@@ -112,10 +112,10 @@ def anomaly_rates(spark, sf):
     return N.anomaly_rates(_event_anomalies(spark, sf), ["event_id"], table(spark, sf, "events").count())
 
 
-@query("anomaly_evidence", _EVENT_ANOMALIES + ", r AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY event_id, value) AS rn FROM a)"
-       " SELECT event_id, \"column\" FROM r WHERE rn <= CASE WHEN fenced THEN 50 ELSE 20 END ORDER BY \"column\", event_id LIMIT 100")
+@query("anomaly_evidence", _EVENT_ANOMALIES + " SELECT event_id, \"column\", CASE WHEN fenced THEN NULL ELSE value END AS text FROM a")
 def anomaly_evidence(spark, sf):
-    return N.evidence(_event_anomalies(spark, sf), ["event_id"]).select("event_id", "column")
+    cells = N.evidence(_event_anomalies(spark, sf), ["event_id"])
+    return cells.select("event_id", "column", F.when(F.col("lower").isNull(), F.col("value")).alias("text"))
 
 
 @query("anomaly_explanations", _EVENT_ANOMALIES + ", c AS (SELECT \"column\", count(*) AS n FROM a GROUP BY 1),"
@@ -139,11 +139,6 @@ def redacted_evidence(spark, sf):
     return V.redact(rare, ["p_name"]).select(F.col("p_partkey").alias("id"), "column", "value")
 
 
-@query("truncated_evidence", "SELECT doc_id, substring(text, 1, 40) AS evidence FROM documents")
-def truncated_evidence(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.substring(F.col("text").cast("string"), 1, 40).alias("evidence"))
-
-
 # --- checks -----------------------------------------------------------------
 
 _CHECKED = {"l_orderkey": "num", "l_quantity": "num", "l_extendedprice": "num", "price": "num", "flag": "text"}

@@ -363,7 +363,7 @@ _CENTRES = "SELECT label AS query, list(m ORDER BY i) AS centre FROM (SELECT lab
        " SELECT query, vec_id, round(sim, 4) AS similarity, rank FROM r WHERE rank <= 5")
 def nearest_vectors(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    centres = [(r["label"], r["embedding"]) for r in mean_vectors(vectors, "label", "embedding", 64).collect()]
+    centres = [(r["label"], r["embedding"]) for r in mean_vectors(vectors, "label", "embedding").collect()]
     return nearest(vectors, "vec_id", "embedding", sorted(centres), 5)
 
 
@@ -383,7 +383,7 @@ def _library(spark, sf):
 
 def _mean_vector(spark, sf):
     whole = table(spark, sf, "embeddings").withColumn("label", F.lit(0))
-    return mean_vectors(whole, "label", "embedding", 64).first()["embedding"]
+    return mean_vectors(whole, "label", "embedding").first()["embedding"]
 
 
 @query("catalogue_search", f"SELECT vec_id AS catalogue_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT q FROM ({_MEAN}))), 4) AS similarity"

@@ -128,13 +128,13 @@ def test_quantiles_of_nothing(spark):
     assert Z.exact_quantiles(df, ["v"])["v"] == [None, None]
 
 
-def test_hash_sample_size_and_cut(spark):
+def test_hash_sample_size(spark):
     df = spark.range(100).withColumn("y", F.lit("a"))
     assert S.hash_sample(df, ["id"], 50).count() == 50
     assert S.hash_sample(df, ["id"], 500).count() == 100
     large = spark.range(60_000)
-    cut = {r[0] for r in S.hash_sample(large, ["id"], 500, total=60_000).collect()}
-    assert cut == {r[0] for r in S.hash_sample(large, ["id"], 500).collect()}
+    drawn = {r[0] for r in S.hash_sample(large, ["id"], 500).collect()}
+    assert len(drawn) == 500 and drawn == {r[0] for r in S.hash_sample(large.repartition(5), ["id"], 500).collect()}
 
 
 def test_three_bucket_sample(spark):
@@ -144,14 +144,17 @@ def test_three_bucket_sample(spark):
     assert 0 in ids and 99 in ids and len(ids) == len(set(ids)) and len(ids) <= 30
 
 
-def test_sample_picks_three_buckets_above_the_threshold(spark):
-    ids = {r[0] for r in S.sample(spark.range(60_000), ["id"], 300).collect()}
+def test_sample_by_named_method(spark):
+    ids = {r[0] for r in S.sample(spark.range(60_000), ["id"], 300, method="three_bucket").collect()}
     assert set(range(100)) <= ids and set(range(59_900, 60_000)) <= ids and len(ids) <= 300
+    assert S.sample(spark.range(60_000), ["id"], 300).count() == 300
+    with pytest.raises(ValueError):
+        S.sample(spark.range(3), ["id"], method="other")
 
 
 def test_first_rows_merged_in_groups(spark):
-    df = spark.range(5000).withColumn("k", F.lit(1))
-    got = [r["id"] for r in S.first_rows(df, ["k", "id"], 7, total=10**9).collect()]
+    df = spark.range(5000).repartition(600).withColumn("k", F.lit(1))
+    got = [r["id"] for r in S.first_rows(df, ["k", "id"], 7).collect()]
     assert got == list(range(7))
 
 

@@ -70,11 +70,12 @@ def test_digit_mode_groups_ids(spark):
     assert N.rare_patterns(df, ["id"], ["t"], mode="letters_digits").count() == 0
 
 
-def test_evidence_is_capped_after_counting(spark):
+def test_evidence_holds_every_cell(spark):
     df = spark.range(1000).selectExpr("id", "CASE WHEN id < 100 THEN 1e6 + id ELSE CAST(id % 10 AS DOUBLE) END AS v")
     found = N.detect_anomalies(df, ["id"], ["v"])
     assert N.anomaly_summary(found, ["id"]).first()["anomaly_count"] == 100
-    assert N.evidence(found, ["id"]).count() == 50
+    assert N.evidence(found, ["id"]).count() == 100
+    assert N.evidence(found, ["id"], per_column=50).count() == 50
     rates = N.anomaly_rates(found, ["id"], 1000).first()
     assert (rates["anomaly_count"], rates["anomaly_rate"]) == (100, 0.1)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import sales
-from tablewright.functions.vectors import most_similar, nearest
+from tablewright.functions.vectors import mean_vectors, most_similar, nearest
 from tablewright.operators import catalogue as K, domain as M, incremental as I, runlog as RL
 from tablewright.operators.drift import DriftError
 from tablewright.operators.transforms import Step
@@ -236,3 +236,19 @@ def test_run_key_holds_settings(spark, tmp_path):
     marked = Preparation([], domain="unknown", keys=["id"], watermark_column="id", drift_policy="accept")
     assert prepare(rows, "c", "parquet", "c", marked, *where).rows_output == 2
     assert prepare(rows, "c", "parquet", "c", marked, *where).status == "nothing_new"
+
+
+def test_rows_without_watermark_come_with_a_lookback(spark):
+    df = spark.createDataFrame([(1, 10), (2, None), (3, 12), (4, None), (5, 9)], "id int, at int")
+    seen = spark.createDataFrame([(1,), (2,)], "id int")
+    new = I.new_rows(df, "at", 10, "1", seen, ["id"])
+    assert sorted(r["id"] for r in new.collect()) == [3, 4, 5]
+    assert I.new_watermark(new, "at", 10).first()["null_watermarks"] == 1
+
+
+def test_mean_vectors_are_whole(spark):
+    df = spark.createDataFrame([(1, [1.0] * 96), (1, [3.0] * 96), (2, None)], "g int, v array<double>")
+    found = {r["g"]: r["v"] for r in mean_vectors(df, "g", "v").collect()}
+    assert found[1] == [2.0] * 96
+    with pytest.raises(ValueError):
+        mean_vectors(df.unionByName(spark.createDataFrame([(3, [1.0])], "g int, v array<double>")), "g", "v")
