@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from tablewright.llm import language, lines, minhash, packing, pieces, quality, rules, search, toxicity, urls  # noqa: E402
+from tablewright.llm import language, lines, minhash, packing, pieces, quality, rules, search, similar, toxicity, urls  # noqa: E402
 from tablewright.llm.queries import URL_RULES, tokenizer_path  # noqa: E402
 from tablewright.llm.tables import held_out  # noqa: E402
 
@@ -307,3 +307,22 @@ def test_language_code_lengths_equal_a_plain_version(labelled, odd, none):
     assert all((r["lang_pred"] == "und") == (r["text"] is None or not any(c.isalpha() for c in r["text"])) for r in rows)
     assert language.identify(none).count() == 0
     assert {r["lang_pred"] for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_outlines_never_exceed_what_sets_differ_in(spark):
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 2**64, 120, dtype=np.uint64)
+    sets = {i: np.unique(np.concatenate([base[draw.random(120) > 0.1], draw.integers(0, 2**64, 6, dtype=np.uint64)])) for i in range(30)}
+    # Members that agree in the 32 bits by which they are told apart.
+    sets[30] = np.unique(np.append(sets[0], sets[0][:20] ^ np.uint64(1)))
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "id long, content binary")
+    found = {r["id"]: r for r in similar.outlines(df, minhash._expand, 4).collect()}
+    assert set(found) == set(sets)
+    exact = 0
+    for a in sets:
+        for b in range(a):
+            marks = sum(((found[a][f"mark_{k}"] ^ found[b][f"mark_{k}"]) & (2**64 - 1)).bit_count() for k in range(4))
+            bound, differ = found[a]["alone"] + found[b]["alone"] + marks, len(np.setxor1d(sets[a], sets[b]))
+            assert bound <= differ
+            exact += bound >= 0.8 * differ
+    assert exact > 300
