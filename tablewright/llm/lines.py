@@ -91,6 +91,24 @@ def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return whole, shingles, starts, ends
 
 
+def _distinct(shingles: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many of the ``count`` shingles of each line, one line after another, are different."""
+    numbers, bits = np.arange(len(count), dtype=np.uint64), max(len(count) - 1, 1).bit_length()
+    # The line's number and as much of the shingle as fits, in order: repeats are neighbours.
+    keys = (np.repeat(numbers, count) << np.uint64(64 - bits)) | (shingles >> np.uint64(bits))
+    keys.sort()
+    again = (keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - bits)).astype(np.int64)
+    # Whole shingles tell whether some were only alike as far as they fit; then the lines concerned are counted one by one.
+    whole = shingles ^ np.repeat(tx.mix(numbers + np.uint64(1)), count)
+    whole.sort()
+    if np.count_nonzero(whole[1:] == whole[:-1]) == len(again):
+        return count - np.bincount(again, minlength=len(count))
+    ends, out = np.cumsum(count), count.copy()
+    for i in np.unique(again).tolist():
+        out[i] = len(np.unique(shingles[ends[i] - count[i]:ends[i]]))
+    return out
+
+
 def _expand(contents: list[bytes]) -> list[np.ndarray]:
     """The shingle sets of normal lines."""
     bounds = np.cumsum([0, *map(len, contents)])
@@ -128,7 +146,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back = np.empty(len(starts), np.int64)
             back[full] = whole.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(back[ids], BANDS)), pa.array(np.repeat(count, BANDS)), pa.array(keys.ravel())],
+                [pa.array(np.repeat(back[ids], BANDS)), pa.array(np.repeat(_distinct(shingles, count), BANDS)), pa.array(keys.ravel())],
                 names=["id", "size", "band"])
 
 

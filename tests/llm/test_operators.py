@@ -146,6 +146,34 @@ def test_line_dedup_equals_brute_force(odd, none):
     assert lines.drop_repeated_lines(none).count() == 0
 
 
+def test_lines_that_repeat_themselves(spark):
+    """Separators and chants of several lengths: few shingles, each of them often."""
+    draw = np.random.default_rng(5)
+    words = [f"{'bcdfgh'[i % 6]}{'aeiou'[i % 5]}lk{i}" for i in range(40)]
+    texts = ["-" * 60, "-" * 100, "=" * 9, "=" * 300, "buy now " * 20, "buy now " * 35, "BUY  now " * 3, "ab" * 40, "ab" * 90, "tiny", "-" * 7]
+    for i in range(8):
+        line = [words[int(k)] for k in draw.integers(0, 40, 12)]
+        texts += [" ".join(line), " ".join(line * 2), " ".join(line * (3 + i)) + " end"]
+    rows = [(i, "\n".join([f"only in {i} {i * 7919}", t, "x" + t])) for i, t in enumerate(texts)]
+    sets = {(i, k): line_set(x) for i, t in rows for k, x in enumerate(t.split("\n"))}
+    found = components(sets, 80)
+    gone = {k for k in sets if found[k] != k}
+    assert (1, 1) in gone and (5, 1) in gone
+    plain = {r["doc_id"]: r["gone"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, k) for i, ks in plain.items() for k in ks} == gone
+
+
+def test_distinct_shingles_of_lines():
+    draw = np.random.default_rng(6)
+    count = draw.integers(1, 30, 500)
+    shingles = draw.integers(0, 12, count.sum(), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    parts = np.split(shingles, np.cumsum(count)[:-1])
+    assert lines._distinct(shingles, count).tolist() == [len(set(x.tolist())) for x in parts]
+    assert lines._distinct(shingles[:count[0]], count[:1]).tolist() == [len(set(parts[0].tolist()))]
+    low = shingles >> np.uint64(60)  # differ only in bits that do not fit beside the line's number
+    assert lines._distinct(low, count).tolist() == [len(set(x.tolist())) for x in np.split(low, np.cumsum(count)[:-1])]
+
+
 def test_packing_places_every_id_once(odd, none):
     from tokenizers import Tokenizer
 
