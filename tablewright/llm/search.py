@@ -80,6 +80,10 @@ def _best(k: int):
                 dim = row["dim"]
                 queries, ids = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 score = _scores(np.frombuffer(row["query_vectors"]).reshape(len(queries), dim), np.frombuffer(row["vectors"]).reshape(len(ids), dim))
+                # Rows with one id are one candidate, with its best score, before any is left out.
+                first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+                if len(first) < len(ids):
+                    ids, score = ids[first], np.maximum.reduceat(score, first, axis=1)
                 own = queries[:, None] == ids[None, :]
                 for i, q in enumerate(queries.tolist()):
                     line, others = score[i], np.flatnonzero(~own[i])
@@ -89,7 +93,7 @@ def _best(k: int):
                         others = others[line[others] >= least]
                     others = others[np.argsort(-line[others].astype(object) if line[others].min(initial=0) == _LOW else -line[others], kind="stable")]
                     merged: dict[int, int] = {}
-                    for s, v in held.get(q, []) + [(-int(line[j]), int(ids[j])) for j in others[:k + len(others) - len(np.unique(ids[others]))]]:
+                    for s, v in held.get(q, []) + [(-int(line[j]), int(ids[j])) for j in others[:k]]:
                         merged[v] = min(s, merged.get(v, s))
                     held[q] = sorted((s, v) for v, s in merged.items())[:k]
                 if len(held) > 100_000:

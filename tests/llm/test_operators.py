@@ -232,6 +232,18 @@ def test_search_equals_brute_force(spark):
     assert search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [4, 16, 4096])
+def test_search_with_repeated_candidates(spark, tile):
+    """Rows of one id take one place, however many of them are among the best."""
+    rows = [(0, 1), (1, 90), (1, 90), (2, 80), (3, 70), (4, 60), (5, 50), (6, 40)] + [(7, 30 + i) for i in range(70)] + [(8, 1), (8, 39)]
+    df = spark.createDataFrame([(i, [float(x)]) for i, x in rows], "vec_id long, embedding array<double>").coalesce(1)
+    best = {i: max(x for j, x in rows if j == i) for i in range(1, 9)}
+    for k in (1, 3, 5, 20):
+        found = search.top_k(df, F.col("vec_id") == 0, k, candidates=tile)
+        expected = sorted((-65536 * x, i) for i, x in best.items())[:k]
+        assert [(r["vec_id"], -r["score"]) for r in found.orderBy("rank").collect()] == [(i, s) for s, i in expected]
+
+
 def test_url_rules(spark):
     urls_ = [None, "", "no scheme", "http://a.ORG/x", "http://example.org/es/1", "https://m.example.org/en/19", "x://org", "x://org/?q", "x://.org/",
              "http://a.com/de/1#f", "http://a.com/fr/1", "http://notexample.org/es/", "http://a.com?u=://b.org/", "http://a.org:80/es/", "http://example.org/es/1"]
