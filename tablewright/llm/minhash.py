@@ -51,6 +51,13 @@ def shingle_sets(array: pa.Array, words: int) -> Iterator[tuple[int, int, np.nda
         yield at, end, np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.cumsum(lengths)
 
 
+def _digests(members: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """A digest of each set, from sums over its members."""
+    low = np.add.reduceat(members, starts)
+    high = np.add.reduceat(tx.mix(members ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+    return [x.tobytes() + y.tobytes() for x, y in zip(low, high)]
+
+
 def _sketch(words: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,11 +68,9 @@ def _sketch(words: int, length: int):
                 if not len(full):
                     continue
                 minima = sg.signatures(members, offsets[:-1][full], length).astype(np.uint16)
-                low = np.add.reduceat(members, offsets[:-1][full])
-                high = np.add.reduceat(tx.mix(members ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offsets[:-1][full])
-                for k, i in enumerate(full):
+                for k, (i, digest) in enumerate(zip(full, _digests(members, offsets[:-1][full]))):
                     found[at + i] = minima[k].tobytes()
-                    digests[at + i] = low[k].tobytes() + high[k].tobytes()
+                    digests[at + i] = digest
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(found, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "signature"])
@@ -87,10 +92,11 @@ def _bands(bands: int, rows: int):
 def _members(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, members, offsets in shingle_sets(batch.column(1), words):
+            for _, _, members, offsets in shingle_sets(batch.column(0), words):
+                full = np.flatnonzero(np.diff(offsets))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), pa.array([members[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())],
-                    names=["id", "content"])
+                    [pa.array(_digests(members, offsets[:-1][full]) if len(full) else [], pa.binary()),
+                     pa.array([members[offsets[i]:offsets[i + 1]].tobytes() for i in full], pa.binary())], names=["digest", "content"])
     return run
 
 
@@ -115,22 +121,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, sign
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = store(docs.mapInArrow(_sketch(words, signature), "doc_id long, n_shingles long, digest binary, signature binary"), "sketch")
     named = sketch.where("digest is not null and doc_id is not null")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"),
-                                          F.min("n_shingles").alias("size"))
+    # A class is named by its digest: one doc_id may have several texts, and each its own signature and set.
+    classes = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"),
+                                          F.min("n_shingles").alias("size")).withColumn("id", F.xxhash64("digest"))
     classes = store(classes, "classes")
     banded = classes.select("id", "size", "signature").mapInArrow(_bands(bands, rows), "id long, size long, band long")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        few = few_ids(ids)
-        chosen = docs.join(few.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        members = chosen.mapInArrow(_members(words), "id long, content binary").dropDuplicates(["id"])
-        return classes.join(few, "id", "left_semi").dropDuplicates(["id"]).select("id", "signature").join(members, "id")
+        chosen = classes.join(few_ids(ids), "id", "left_semi")
+        few = few_ids(store(chosen.select("doc_id").distinct(), "places"))
+        members = docs.join(few, "doc_id", "left_semi").select("text").mapInArrow(_members(words), "digest binary, content binary")
+        members = members.select(F.xxhash64("digest").alias("id"), "content").dropDuplicates(["id"])
+        return chosen.dropDuplicates(["id"]).select("id", "signature").join(members, "id")
 
     components = linked(banded, sets_of, percent, signature, _expand, OUTLINE)
+    # From here a component is named by its smallest doc_id.
+    components = components.join(classes.select("id", "doc_id"), "id")
+    least = components.groupBy("component").agg(F.min("doc_id").alias("least"))
+    components = components.join(least, "component").select("id", F.col("least").alias("component"))
     # Rows with one id but several texts tie the classes of those texts together.
-    member_class = named.join(classes.select("digest", F.col("id").alias("class")), "digest").join(
-        components.select(F.col("id").alias("class"), "component"), "class", "left").select(
-        "doc_id", F.coalesce("component", "class").alias("component"))
+    labels = classes.join(components, "id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
+    member_class = named.select("doc_id", "digest").join(labels, "digest").select("doc_id", "component")
     by_id = store(member_class.groupBy("doc_id").agg(F.min("component").alias("low"), F.max("component").alias("high")), "members")
     ties = by_id.where("low < high")
     if not ties.isEmpty():

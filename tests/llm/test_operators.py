@@ -124,6 +124,21 @@ def test_near_copies_without_a_common_centre(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == expected
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text of an id has its own links, and the id ties them together."""
+    rows = []
+    for k in range(6):
+        texts = [" ".join(f"{name}{k}_{i}" for i in range(80)) for name in ("one", "two", "three")]
+        at = 100 * k
+        rows += [(at + 50 + j, t) for j, t in enumerate(texts)] if k == 5 else [(at + 50, t) for t in texts]
+        rows += [(at + 60 + j if k % 2 else at + j, t.replace(f"_{40}", "_other")) for j, t in enumerate(texts)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 80).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        k, i = divmod(r["doc_id"], 100)
+        assert r["component_id"] == (500 + 50 + i % 10 if k == 5 else 100 * k + (50 if k % 2 else 0))
+
+
 def line_set(line):
     line = " ".join(re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), line))).strip(" ")
     return {line[i:i + 8] for i in range(max(len(line) - 7, 1))} if line else set()
