@@ -28,6 +28,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--domain")
     parser.add_argument("--key", action="append", default=[])
     parser.add_argument("--watermark", help="process only rows after the last run's value of this column")
+    parser.add_argument("--lookback", help="also read rows so far before that value, and rows without one, whose row key is new")
+    parser.add_argument("--row-key", action="append", default=[], help="source column of the row key; --key if not given")
     parser.add_argument("--drift", choices=("fail", "warn", "accept"), default="fail")
     parser.add_argument("--force", action="store_true", help="run even if an equal run has succeeded")
     parser.add_argument("--state", required=True)
@@ -39,7 +41,8 @@ def main(argv: list[str] | None = None) -> int:
             steps = [Step(s["name"], tuple(s["columns"]) if s.get("columns") else None, s.get("params", {}))
                      for s in json.load(f)]
     spark = build_session()
-    job = Preparation(steps, args.goal, args.domain, args.key, args.watermark, args.drift, force=args.force)
+    job = Preparation(steps, args.goal, args.domain, args.key, args.watermark, args.drift, force=args.force,
+                      lookback=args.lookback, row_key=args.row_key)
     result = prepare(open_source(spark, args.source, args.type), args.source, args.type, args.dataset, job,
                      args.state, args.output)
     print(json.dumps(dataclasses.asdict(result)))

@@ -35,6 +35,10 @@ class Preparation:
     enforce_required: bool = False
     pattern_mode: str = "letters"
     force: bool = False
+    #: How far before the last watermark rows are read again (an interval or a number), besides those without a watermark value.
+    lookback: str | None = None
+    #: Source columns that tell which rows were loaded before; ``keys`` if empty.
+    row_key: Sequence[str] = ()
 
 
 @dataclass
@@ -50,6 +54,8 @@ class Result:
     transformations: list[str] = field(default_factory=list)
     sql: str | None = None
     tests: list = field(default_factory=list)
+    #: Rows of the whole source that have no watermark value.
+    null_watermarks: int | None = None
 
 
 class State:
@@ -79,6 +85,15 @@ class State:
     def lineage(self) -> DataFrame:
         return self.read("lineage", LINEAGE_SCHEMA)
 
+    def seen(self, run_ids: Sequence[str], schema) -> DataFrame:
+        """The row keys that the runs took from their source."""
+        try:
+            return self.spark.read.schema(schema).parquet(*[self.path(f"seen/{i}") for i in run_ids])
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise ValueError("a lookback needs the row keys of all loads before; one of them kept none") from error
+
     def record(self, **event) -> None:
         runlog.append_events(runlog.run_event(self.spark, **event), self.path("runs"))
 
@@ -89,6 +104,11 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
 
     The source is scanned for the run key, the profile and inference, and the
     write; checks and anomalies read the written table.
+
+    With a watermark column a later load takes the rows after the last watermark.
+    Late and tied rows and rows without a watermark value come with it only if the
+    job has a ``lookback``; those whose row key an earlier load took are left out. The keys of
+    each load are kept under ``seen`` in the state.
     """
     spark = source.sparkSession
     state = State(spark, state_dir)
@@ -98,31 +118,38 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
 
     domain = job.domain or M.detect_domain(source, job.goal)["domain"]
     plan.check(domain, job.enforce_required)
-    column = job.watermark_column
+    column, row_key, seen, nulls = job.watermark_column, list(job.row_key or job.keys), None, None
+    if job.lookback is not None and (column is None or not row_key):
+        raise ValueError("a lookback needs a watermark column and a row key")
     if column is not None:
         known = state.runs().where(F.col("source_path") == source_path)
         last = runlog.last_watermarks(known).where(F.col("watermark_column") == column).first()
-        source = I.new_rows(source, column, last["watermark_value"] if last else None)
-
-    if source_type != "parquet":
-        # Text and database sources are read once; everything after scans columns.
+        names, nulls = source.columns, source.where(C.col(column).isNull()).count()
+        if last and job.lookback is not None and row_key:
+            loads = known.where("status = 'success'").where(F.col("watermark_column") == column).select("run_id").collect()
+            seen = state.seen([r["run_id"] for r in loads], source.select(*map(C.col, row_key)).schema)
+        source = I.new_rows(source, column, last["watermark_value"] if last else None, job.lookback, seen, row_key)
+        source = source.select(*map(C.col, names))
+
+    if source_type != "parquet" or seen is not None:
+        # Text and database sources, and the rows left by a lookback, are read once; everything after scans columns.
         landed = scratch_path(spark, "landed")
         source.write.parquet(landed)
         source = spark.read.parquet(landed)
     if column is not None and last is not None and source.isEmpty():
-        return Result(run_id, "nothing_new", domain=domain, rows_input=0, rows_output=0)
+        return Result(run_id, "nothing_new", domain=domain, rows_input=0, rows_output=0, null_watermarks=nulls)
     key = run_key(source, job.goal, source_path, dataset, [(s.name, s.columns, sorted(s.params.items())) for s in job.steps], domain,
                   list(job.keys), column, last["watermark_value"] if column is not None and last else None,
-                  job.drift_policy, job.gate, job.enforce_required, job.pattern_mode)
+                  job.drift_policy, job.gate, job.enforce_required, job.pattern_mode, *([job.lookback, row_key] if job.lookback is not None else []))
     if not job.force:
         prior = runlog.latest_success(state.runs(), key).first()
         if prior is not None:
             return Result(prior["run_id"], "success", True, prior["output_path"], domain,
-                          rows_input=prior["rows_input"], rows_output=prior["rows_output"])
+                          rows_input=prior["rows_input"], rows_output=prior["rows_output"], null_watermarks=nulls)
     now = datetime.datetime.now(datetime.timezone.utc)
     state.record(run_id=run_id, run_key=key, source_path=source_path, source_type=source_type, status="running",
                  retry_count=0, started_at=now)
-    result = Result(run_id, "failed", domain=domain, transformations=plan.applied)
+    result = Result(run_id, "failed", domain=domain, transformations=plan.applied, null_watermarks=nulls)
     try:
         original = A.profile(source)
         inferred = A.settle(infer.infer_schema(source))
@@ -137,10 +164,10 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
             result.sql = plan.to_sql(source, "source")
         except ValueError:
             result.sql = None
-        counted, seen = I.observe_rows(output, f"rows-{run_id}")
+        counted, observed = I.observe_rows(output, f"rows-{run_id}")
         counted.write.mode("overwrite").parquet(paths.data())
         written = spark.read.parquet(paths.data())
-        result.rows_output = seen.get["rows"]
+        result.rows_output = observed.get["rows"]
         first = original.first()
         result.rows_input = first["total_rows"] if first else 0
 
@@ -173,6 +200,8 @@ def prepare(source: DataFrame, source_path: str, source_type: str, dataset: str,
         if column is not None:
             row = I.new_watermark(source, column, last["watermark_value"] if last else None).first()
             newest = row["watermark_value"]
+            if row_key and set(row_key) <= set(source.columns):
+                source.select(*map(C.col, row_key)).distinct().write.parquet(state.path(f"seen/{run_id}"))
         promote(spark, paths.staging, paths.final)
         result.status, result.output_path = "success", paths.data(final=True)
         docs = K.column_docs(original, inferred)

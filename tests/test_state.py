@@ -82,6 +82,29 @@ def test_incremental_preparation(spark, tmp_path):
     assert mark == "2024-04-09"
 
 
+def test_incremental_preparation_with_a_lookback(spark, tmp_path):
+    def load(rows, lookback):
+        source = spark.createDataFrame([(at, i) for i, at in rows], "at int, id int")
+        job = Preparation([], domain="unknown", keys=["id"], watermark_column="at", drift_policy="accept", gate=(), lookback=lookback)
+        result = prepare(source, "t", "parquet", "t", job, str(tmp_path / "s"), str(tmp_path / "o"))
+        out = spark.read.parquet(result.output_path) if result.output_path else None
+        assert out is None or out.columns == ["at", "id"]
+        return result, sorted(r["id"] for r in out.collect()) if out else []
+
+    rows = [(1, 10), (2, None), (3, 20)]
+    result, ids = load(rows, "5")
+    assert ids == [1, 2, 3] and result.null_watermarks == 1
+    rows += [(4, 20), (5, 16), (6, None), (7, 3), (8, 21)]
+    result, ids = load(rows, "5")
+    assert ids == [4, 5, 6, 8] and result.null_watermarks == 2
+    result, ids = load(rows + [(9, 21)], None)
+    assert result.status == "nothing_new" and result.null_watermarks == 2
+    assert load(rows + [(9, 21)], "5")[1] == [9]
+    assert load(rows + [(9, 21)], "5")[0].status == "nothing_new"
+    with pytest.raises(ValueError):
+        prepare(spark.range(1), "u", "parquet", "u", Preparation([], lookback="1"), str(tmp_path / "s"), str(tmp_path / "o"))
+
+
 def test_watermark_is_typed(spark):
     df = spark.createDataFrame([(9,), (10,), (None,)], "n int")
     assert [r["n"] for r in I.new_rows(df, "n", 9).collect()] == [10]
