@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewright.llm import infill, language, lines, minhash, negatives, packing, pieces, quality, rules, search, statistics, toxicity, urls
+from tablewright.llm import infill, language, lines, maxent, minhash, negatives, packing, pieces, quality, rules, search, statistics, toxicity, urls
 from tablewright.llm.tables import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,12 @@ def op11(spark, sf_dir):
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+@query("op12_maxent_scores")
+def op12(spark, sf_dir):
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return maxent.score(_documents(spark, sf_dir), held)
+
+
 @query("op13_fill_in_middle", r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
 u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u,

@@ -7,6 +7,7 @@ per word. Null texts count as empty. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0xD6E8FEB86659FD93
 _BYTE = np.random.default_rng(20_240_607).integers(1, 2**64, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
+#: The lowest bytes of a word, by how many.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def byte_chunks(array: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -77,6 +80,20 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
 
 
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit name of each byte span, as two words: up to 15 bytes are their own name, with their number; longer spans have a digest."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    # Eight bytes from any place on, first byte lowest.
+    wide = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
+    low = wide[starts] & _FIRST[np.minimum(size, 8)]
+    high = (wide[starts + 8 * (size > 8)] & _FIRST[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 15).astype(np.uint64) << np.uint64(56))
+    for i in np.flatnonzero(size > 15).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]], digest_size=16).digest()
+        low[i], high[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little") | 1 << 63
+    return high, low
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the words: runs of bytes that are not white space."""
     if not len(data):
