@@ -1,21 +1,22 @@
 """Fuzzy line de-duplication over all documents.
 
 Lines are sets of character shingles. MinHash signatures and many short bands
-propose pairs, exact Jaccard similarity decides, and one line of each connected
-component stays: the first in order of document id and line number.
+propose pairs, exact Jaccard similarity decides, distributed union-find makes
+components, and one line of each stays: the first in order of document and line number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm import signatures as sg, text as tx
-from tablewright.llm.similar import few_ids, linked
-from tablewright.llm.tables import store
+from tablewright.llm.caches import Recent
+from tablewright.llm.similar import linked, shared_bands, union_find
+from tablewright.llm.tables import BITS, bit_map, discard, has_bit, store
 
 #: Characters of a shingle.
 WIDTH = 8
@@ -24,33 +25,32 @@ WIDTH = 8
 SIGNATURE, BANDS, ROWS = 40, 16, 5
 #: Longs of the outline that tells pairs under the threshold before they are made.
 OUTLINE = 8
-#: Line numbers or hashes, listed by document, that are broadcast at most; beyond that texts are shuffled to them.
-FEW_PLACES = 500_000
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Spreads line numbers over the bit map; small enough for no product to overflow.
+_STRIDE = 40_503
+#: White space as one space, A-Z in lower case.
+_PLAIN = np.where(tx.IS_SPACE, np.uint8(32), tx.LOWER)
 _FACTORS = np.random.default_rng(31).integers(0, 2**64, 3, dtype=np.uint64) | np.uint64(1)
 
 
-def _normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines in lower case without outer white space and with single spaces, as bytes and offsets."""
-    data = np.where(tx.IS_SPACE[data], np.uint8(32), tx.LOWER[data])
-    keep = np.ones(len(data), bool)
+def _normal(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines in lower case without outer white space and with single spaces, one after another, as bytes and offsets."""
+    breaks = np.concatenate([np.flatnonzero(data == 0x0A), offsets])
+    data = _PLAIN[data]
+    solid = data != 32
+    keep = solid.copy()
     if len(data):
-        keep[1:] = ~((data[1:] == 32) & (data[:-1] == 32))
+        # The first of a run of white space stays, unless a line ends within the run or beside it.
+        keep[1:] |= solid[:-1]
+        at = np.flatnonzero(solid)
+        last = np.searchsorted(at, breaks)
+        edge = np.where(last > 0, at[np.maximum(last - 1, 0)] + 1, 0) if len(at) else np.zeros(1, np.int64)
+        edge = edge[edge < len(data)]
+        keep[edge[~solid[edge]]] = False
     inside = np.zeros(len(data) + 1, np.int64)
     np.cumsum(keep, out=inside[1:])
-    # Outer white space is at most one space at each end by now.
-    solid = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(data != 32, out=solid[1:])
-    full = solid[ends] > solid[starts]
-    first = np.searchsorted(solid, solid[starts], "right") - 1
-    last = np.searchsorted(solid, solid[ends], "left")
-    first, last = np.where(full, first, starts), np.where(full, last, starts)
-    take = np.zeros(len(data) + 1, np.int64)
-    np.add.at(take, first, 1)
-    np.add.at(take, last, -1)
-    keep &= np.cumsum(take)[:-1] > 0
-    inside[1:] = np.cumsum(keep)
-    return data[keep], np.append(inside[first], inside[last[-1:]] if len(last) else 0)
+    return data[keep], np.append(inside[starts], inside[-1])
 
 
 def _lines_of(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -59,147 +59,161 @@ def _lines_of(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         starts, ends, rows = tx.lines(data, offsets)
         first = np.searchsorted(rows, np.arange(end - at))
         numbers = np.arange(len(rows)) - first[rows]
-        data, bounds = _normal(data, starts, ends, rows)
+        data, bounds = _normal(data, starts, offsets)
         yield at, rows, numbers, data, bounds
 
 
-def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each whole line; shingle hashes of all lines and where those of each line begin and end."""
-    whole = tx.span_hashes(tx.prefix_sums(data), bounds[:-1], bounds[1:])
-    heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    edges = np.searchsorted(heads, bounds)
-    codes = data[heads[:-1]].astype(np.uint64)
-    width = np.diff(heads)
-    for k in range(1, 4):
-        more = np.flatnonzero(width > k)
-        codes[more] |= data[heads[more] + k].astype(np.uint64) << np.uint64(8 * k)
-    # Windows of 2, 4 and 8 characters, each from two of half its length.
+def _names(data: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the name of the lines ``which``, and a hash of it."""
+    hi, lo = tx.span_names(data, bounds[which], bounds[which + 1])
+    return hi, lo, tx.mix(hi * _ODD + tx.mix(lo))
+
+
+def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines, and where those of each line begin and end; a line of fewer characters is one shingle."""
+    if (data < 0x80).all():
+        codes, edges = data.astype(np.uint64), bounds
+    else:
+        heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        edges = np.searchsorted(heads, bounds)
+        codes = data[heads[:-1]].astype(np.uint64)
+        width = np.diff(heads)
+        for k in range(1, 4):
+            more = np.flatnonzero(width > k)
+            codes[more] |= data[heads[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    # Windows of 2, 4 and 8 characters, each from two of half its length, at every character.
     windows, half = codes, 1
     for factor in _FACTORS:
-        windows = windows[:-half] * factor + windows[half:]
-        half *= 2
+        wider = windows * factor
+        wider[:-half] += windows[half:]
+        windows, half = wider, half * 2
     length = np.diff(edges)
+    whole = np.ones(len(codes), bool)
+    long_line = np.flatnonzero(length >= WIDTH)
+    for k in range(1, WIDTH):
+        whole[edges[1:][long_line] - k] = False
+    short = np.flatnonzero((length > 0) & (length < WIDTH))
+    if len(short):
+        # One shingle at the first character, which is the line's name.
+        for k in range(1, WIDTH - 1):
+            whole[(edges[:-1][short] + k)[length[short] > k]] = False
+        windows[edges[:-1][short]] = _names(data, bounds, short)[2]
     count = np.maximum(length - WIDTH + 1, (length > 0).astype(np.int64))
     ends = np.cumsum(count)
-    starts = ends - count
-    shingles = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
-    long_line = length >= WIDTH
-    at = np.flatnonzero(np.repeat(long_line, count))
-    shingles[at] = tx.mix(windows[at - np.repeat((starts - edges[:-1])[long_line], count[long_line])])
-    short = (length > 0) & ~long_line
-    shingles[starts[short]] = tx.mix(whole[short])
-    return whole, shingles, starts, ends
-
-
-def _distinct(shingles: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """How many of the ``count`` shingles of each line, one line after another, are different."""
-    numbers, bits = np.arange(len(count), dtype=np.uint64), max(len(count) - 1, 1).bit_length()
-    # The line's number and as much of the shingle as fits, in order: repeats are neighbours.
-    keys = (np.repeat(numbers, count) << np.uint64(64 - bits)) | (shingles >> np.uint64(bits))
-    keys.sort()
-    again = (keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - bits)).astype(np.int64)
-    # Whole shingles tell whether some were only alike as far as they fit; then the lines concerned are counted one by one.
-    whole = shingles ^ np.repeat(tx.mix(numbers + np.uint64(1)), count)
-    whole.sort()
-    if np.count_nonzero(whole[1:] == whole[:-1]) == len(again):
-        return count - np.bincount(again, minlength=len(count))
-    ends, out = np.cumsum(count), count.copy()
-    for i in np.unique(again).tolist():
-        out[i] = len(np.unique(shingles[ends[i] - count[i]:ends[i]]))
-    return out
+    return tx.mix(windows[whole]), ends - count, ends
 
 
 def _expand(contents: list[bytes]) -> list[np.ndarray]:
     """The shingle sets of normal lines."""
     bounds = np.cumsum([0, *map(len, contents)])
-    _, shingles, starts, ends = _shingles(np.frombuffer(b"".join(contents), np.uint8), bounds)
+    shingles, starts, ends = _shingles(np.frombuffer(b"".join(contents), np.uint8), bounds)
     return [np.unique(shingles[a:b]) for a, b in zip(starts, ends)]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for at, rows, numbers, data, bounds in _lines_of(batch.column(1)):
+        keys = batch.select(["doc_id", "version"])
+        for at, rows, numbers, data, bounds in _lines_of(batch.column(2)):
             full = np.flatnonzero(np.diff(bounds))
-            whole = tx.span_hashes(tx.prefix_sums(data), bounds[:-1][full], bounds[1:][full])
+            hi, lo, name = _names(data, bounds, full)
+            owner = keys.take(pa.array(at + rows[full]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(whole.view(np.int64)), ids.take(pa.array(at + rows[full])), pa.array(numbers[full].astype(np.int32))],
-                names=["id", "doc_id", "line"])
+                [*owner.columns, pa.array(numbers[full].astype(np.int32)), *[pa.array(x.view(np.int64)) for x in (hi, lo, name)]],
+                names=["doc_id", "version", "line", "hi", "lo", "name"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The lines that this task has met of late: a common line is banded once in a task, not once for each document.
+    met = Recent(lambda key: None, 500_000)
     for batch in batches:
-        for _, _, _, data, bounds in _lines_of(batch.column(1)):
+        for _, _, _, data, bounds in _lines_of(batch.column(0)):
             full = np.flatnonzero(np.diff(bounds))
             if not len(full):
                 continue
-            whole, shingles, starts, ends = _shingles(data, bounds)
-            whole, once = np.unique(whole[full], return_index=True)
-            full = full[once]
+            hi, lo, name = _names(data, bounds, full)
+            new = []
+            for i, key in enumerate(zip(hi.tolist(), lo.tolist())):
+                if key not in met and key not in met.older:
+                    met[key]
+                    new.append(i)
+            if not new:
+                continue
+            shingles, starts, ends = _shingles(data, bounds)
+            count = (ends - starts)[full[new]]
             pick = np.zeros(len(starts), bool)
-            pick[full] = True
-            count = (ends - starts)[pick]
+            pick[full[new]] = True
             shingles = shingles[np.repeat(pick, ends - starts)]
-            firsts = np.cumsum(count) - count
-            keys = sg.bands_of(sg.fast_signatures(shingles, firsts, SIGNATURE), BANDS, ROWS)
-            ids = np.sort(full)
-            back = np.empty(len(starts), np.int64)
-            back[full] = whole.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(back[ids], BANDS)), pa.array(np.repeat(_distinct(shingles, count), BANDS)), pa.array(keys.ravel())],
-                names=["id", "size", "band"])
+            keys = sg.bands_of(sg.fast_signatures(shingles, np.cumsum(count) - count, SIGNATURE), BANDS, ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[new].view(np.int64), BANDS)), pa.array(keys.ravel())], names=["id", "band"])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature and normal text of the lines whose hashes are listed."""
-    for batch in batches:
-        for at, rows, _, data, bounds in _lines_of(batch.column(0)):
-            whole = tx.span_hashes(tx.prefix_sums(data), bounds[:-1], bounds[1:]).view(np.int64)
-            listed = batch.column(1).slice(at, rows[-1] + 1).flatten().to_numpy()
-            whole, once = np.unique(np.where(np.diff(bounds) > 0, whole, 0), return_index=True)
-            wanted = np.isin(whole, listed) & (np.diff(bounds)[once] > 0)
-            whole, once = whole[wanted], once[wanted]
-            if not len(whole):
-                continue
-            contents = [data[bounds[i]:bounds[i + 1]].tobytes() for i in once]
-            _, shingles, starts, _ = _shingles(np.frombuffer(b"".join(contents), np.uint8), np.cumsum([0, *map(len, contents)]))
-            signature = sg.fast_signatures(shingles, starts, SIGNATURE).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(whole), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array(contents, pa.binary())],
-                names=["id", "signature", "content"])
+def _spot(key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Place of a line in the bit map; :func:`repeated_lines` has the same in SQL."""
+    most = np.int64((1 << BITS) - 1)
+    return (key & most) ^ ((line.astype(np.int64) * _STRIDE) & most)
+
+
+def _contents(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Signature and normal text of the lines whose place has a bit."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(3).to_numpy()
+            for at, rows, numbers, data, bounds in _lines_of(batch.column(2)):
+                which = np.flatnonzero((np.diff(bounds) > 0) & has_bit(bits.value, _spot(key[at + rows], numbers)))
+                if not len(which):
+                    continue
+                contents = [data[bounds[i]:bounds[i + 1]].tobytes() for i in which]
+                shingles, starts, _ = _shingles(np.frombuffer(b"".join(contents), np.uint8), np.cumsum([0, *map(len, contents)]))
+                signature = sg.fast_signatures(shingles, starts, SIGNATURE).astype(np.uint16)
+                owner = batch.select([0, 1]).take(pa.array(at + rows[which]))
+                yield pa.RecordBatch.from_arrays(
+                    [*owner.columns, pa.array(numbers[which].astype(np.int32)), pa.array([x.tobytes() for x in signature], pa.binary()),
+                     pa.array(contents, pa.binary())], names=["doc_id", "version", "line", "signature", "content"])
+    return run
+
+
+PLACE = ["doc_id", "version", "line"]
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines to drop of each document, from 0, in order.
+    """(doc_id, version, gone): the numbers of the lines to drop of each text, from 0, in order.
 
     Two lines are linked when the sets of their 8-character shingles, in lower case with
     single spaces, have 100 * intersection >= percent * union; a shorter line is one
-    shingle. Of each component the line with the smallest (doc_id, number) stays.
+    shingle. Of each component the line with the smallest (doc_id, version, number) stays; version is the
+    xxhash64 of the text, so rows with one doc_id and different texts are documents of their own,
+    and rows with the same of both are one document.
 
-    Lines without a word, and documents without id or text, are left alone. Rows
-    with one doc_id count as one document. Lines are told apart by 64-bit hashes.
+    Lines without a word, and documents without id or text, are left alone. Lines are
+    told apart by their bytes or, over 15 bytes, by 128-bit digests.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    seen = store(docs.mapInArrow(_occurrences, "id long, doc_id long, line int"), "lines")
-    first = seen.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        # Each line is fetched where it stands first; the documents are read once more.
-        places = first.join(few_ids(ids), "id", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-            F.collect_set("id").alias("wanted"))
-        places = F.broadcast(places) if ids.count() <= FEW_PLACES else places
-        return docs.join(places, "doc_id").select("text", "wanted").mapInArrow(
-            _members, "id long, signature binary, content binary").dropDuplicates(["id"])
-
-    banded = docs.mapInArrow(_bands, "id long, size long, band long")
-    components = linked(banded, sets_of, percent, SIGNATURE, _expand, OUTLINE)
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where(
+        "doc_id is not null and text is not null")
+    seen = store(docs.mapInArrow(_occurrences, "doc_id long, version long, line int, hi long, lo long, name long"), "lines")
+    bands = shared_bands(docs.select("text").mapInArrow(_bands, "id long, band long"))
+    # Lines with a candidate get numbers, and their text is fetched from where they stand first.
+    wanted = bands.select(F.col("id").alias("name")).distinct()
+    numbered = seen.join(wanted, "name", "left_semi").groupBy("hi", "lo").agg(F.min(F.struct(*PLACE)).alias("first"), F.min("name").alias("name"))
+    numbered = store(numbered.select("hi", "lo", "name", "first.*", F.monotonically_increasing_id().alias("id")), "numbered")
+    key = F.xxhash64("doc_id", "version")
+    most = (1 << BITS) - 1
+    spot = key.bitwiseAND(most).bitwiseXOR((F.col("line").cast("long") * _STRIDE).bitwiseAND(most))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(numbered, spot))
+    found = docs.select("doc_id", "version", "text", key.alias("key")).mapInArrow(
+        _contents(bits), "doc_id long, version long, line int, signature binary, content binary")
+    sets = store(numbered.select("id", *PLACE).join(found, PLACE).dropDuplicates(["id"]).select("id", "signature", "content"), "sets")
+    members = store(bands.withColumnRenamed("id", "name").join(numbered.select("name", "id"), "name").select("id", "band"), "members")
+    discard(bands)
+    components = linked(members, sets, percent, SIGNATURE, _expand, OUTLINE, union_find)
+    linked_lines = numbered.join(components, "id").select("hi", "lo", "component")
     # Only lines that stand twice or have a link need a decision.
-    classes = first.join(components, "id", "left").where("n > 1 or component is not null").select(
-        "id", "first", F.coalesce("component", "id").alias("component"))
-    keepers = classes.groupBy("component").agg(F.min("first").alias("keeper"))
-    decided = classes.join(keepers, "component").select("id", "keeper")
-    gone = seen.join(decided, "id").where(F.struct("doc_id", "line") != F.col("keeper"))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    first = seen.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
+    classes = first.join(linked_lines, ["hi", "lo"], "left").where("n > 1 or component is not null")
+    keepers = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
+    decided = classes.join(keepers, "component", "left").select("hi", "lo", F.coalesce("keeper", "first").alias("keeper"))
+    gone = seen.join(decided, ["hi", "lo"]).where(F.struct(*PLACE) != F.col("keeper"))
+    return gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,18 +223,20 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for t, g in zip(texts, (g and set(g) for g in gone))]
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(made, pa.string()),
                                           pa.array([len(g or ()) for g in gone], pa.int64())],
-                                         names=[*batch.schema.names[2:], "_clean", "_dropped"])
+                                         names=[*batch.schema.names[2:], "clean", "dropped"])
 
 
-def drop_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with ``text`` free of repeated lines and two more columns: _clean (the new text) and _dropped (lines dropped).
+def drop_repeated_lines(docs: DataFrame, percent: int = 80, clean: str = "_clean", dropped: str = "_dropped") -> DataFrame:
+    """``docs`` with two more columns: ``clean`` (the text without repeated lines) and ``dropped`` (how many they were).
 
-    See :func:`repeated_lines`. Null texts stay null; an empty table stays empty.
+    See :func:`repeated_lines`. Columns of ``docs`` with one of these names are replaced. Null texts
+    stay null; empty texts, and texts of any length, are cut as a whole; an empty table stays empty.
     """
-    gone = store(repeated_lines(docs, percent).withColumnRenamed("doc_id", "_gone_id"), "gone")
-    if (gone.agg(F.sum(F.size("gone") + 1)).first()[0] or 0) <= FEW_PLACES:
-        gone = F.broadcast(gone)
-    rows = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
-    rows = rows.select(F.col("text").cast("string").alias("_text_"), "gone", *[F.col(f"`{c}`") for c in docs.columns])
-    schema = T.StructType(docs.schema.fields + [T.StructField("_clean", T.StringType()), T.StructField("_dropped", T.LongType())])
-    return rows.mapInArrow(_without, schema)
+    gone = store(repeated_lines(docs, percent), "gone")
+    kept = [c for c in docs.columns if c not in (clean, dropped)]
+    ref = [F.col(f"`{c.replace('`', '``')}`") for c in kept]
+    rows = docs.select(F.struct(*ref).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
+    rows = rows.withColumn("version", F.xxhash64("_text")).join(gone, ["doc_id", "version"], "left").select("_text", "gone", "_row")
+    schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("clean", T.StringType()), T.StructField("dropped", T.LongType())])
+    made = rows.mapInArrow(_without, schema)
+    return made.select("_row.*", F.col("clean").alias(clean), F.col("dropped").alias(dropped))

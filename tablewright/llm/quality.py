@@ -52,7 +52,8 @@ def features(array: pa.Array, n_chars: np.ndarray) -> list[tuple[np.ndarray, np.
         chars = n_chars[at:end]
         chars = np.where(chars >= 0, chars, tx.sums_of((data & 0xC0) != 0x80, offsets))
         dense = np.column_stack([shares, np.log1p(counts["n_words"]) / 5, np.log1p(chars) / 8])
-        out.append((np.searchsorted(owner, np.arange(n + 1)), keys % BUCKETS, value / np.maximum(length, 1e-9)[owner], dense))
+        out.append((np.searchsorted(owner, np.arange(n + 1)), (keys % BUCKETS).astype(np.int32),
+                    (value / np.maximum(length, 1e-9)[owner]).astype(np.float32), dense))
     return out
 
 

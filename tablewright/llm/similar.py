@@ -2,12 +2,12 @@
 
 Items come with band keys. Items that share a band key are candidates. Within a
 band key the items already known to be connected need no more pairs, so work goes
-in rounds: the items with the most company act as pivots, every item outside a
-pivot's component is checked against it, components are joined, and keys whose
-items are all in one component are done. The number of pivots grows eightfold
-each round until every pair of different components has been checked or joined.
-The components therefore equal those of all candidate pairs, while a group of
-thousands of copies costs a few checks for each of them.
+in rounds: the first items of a key act as pivots, every item outside a pivot's
+component is checked against it, components are joined, and keys whose items are
+all in one component are done. The number of pivots grows eightfold each round until
+every pair of different components has been checked or joined. The components
+therefore equal those of all candidate pairs, while a group of thousands of copies
+costs a few checks for each of them.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.llm.tables import store
+from tablewright.llm.tables import discard, store
 
 PAIR = "a long, b long"
-#: Ids that are broadcast at most.
-FEW = 2_000_000
+#: Items of one band key that meet its pivots in one group.
+PART = 4096
+#: Edges that one task joins at most when it finishes the components.
+LAST = 2_000_000
 #: From contents to the sorted distinct 64-bit members of each.
 Expand = Callable[[list[bytes]], list[np.ndarray]]
 
@@ -34,7 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     one) and small-star (each node hands its smaller ones) until nothing changes.
     """
     edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, last = None, edges
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -43,6 +45,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         met = edges.join(least, "a")
         edges = store(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                       .union(least.select("a", "m")).distinct(), "edges")
+        discard(last)
+        last = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
@@ -50,6 +54,54 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of a task: every end with the smallest one it is joined to there."""
+    ends = [np.zeros((2, 0), np.int64)] + [np.stack([batch.column(k).to_numpy() for k in (0, 1)]) for batch in batches]
+    edges = np.concatenate(ends, axis=1)
+    nodes, where = np.unique(edges, return_inverse=True)
+    a, b = where.reshape(edges.shape)
+    root = np.arange(len(nodes))
+    while len(a):
+        # Each root is hung below the smallest root that an edge joins it to; then all paths are cut short.
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = low < high
+        a, b, low, high = a[open_], b[open_], low[open_], high[open_]
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["id", "root"])
+
+
+def union_find(edges: DataFrame) -> DataFrame:
+    """(id, component) for every end of ``edges`` (a, b), as :func:`connected_components`, by distributed union-find.
+
+    Each task joins its edges to a forest; an end that has roots in several tasks gets the
+    smallest, and its other roots are joined to that one in the next round. Edges need no
+    common key, so an end with very many edges is dealt over all tasks. What is left of the
+    edges goes to one task when LAST of them fit, else they are dealt anew; when a round
+    does not halve them, large-star and small-star finish.
+    """
+    edges = store(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    left, found = edges.count(), None
+    while left:
+        dealt = edges.coalesce(1) if left <= LAST else edges.repartition(-(-left // LAST), "a")
+        forest = store(dealt.mapInArrow(_forests, "id long, root long"), "forest")
+        label = store(forest.groupBy("id").agg(F.min("root").alias("component")), "roots")
+        links = store(forest.join(label, "id").where("root <> component").select(F.col("root").alias("a"), F.col("component").alias("b")).distinct(), "edges")
+        if found is None:
+            found = label
+        else:
+            moved = label.toDF("component", "_to")
+            found = found.join(moved, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+        before, left = left, links.count()
+        discard(edges, forest)
+        edges = links
+        if left > LAST and 2 * left > before:
+            moved = connected_components(edges).toDF("component", "_to")
+            return found.join(moved, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")) if found is None else found
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float, expand: Expand) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
@@ -89,7 +141,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float
 
 
 def outlines(sets: DataFrame, expand: Expand, words: int) -> DataFrame:
-    """(id, alone, mark_0, ...): how many members of each set are in no other set of ``sets``, and the parities of its other members.
+    """(id, size, alone, mark_0, ...): members of each set, how many of them are in no other set of ``sets``, and the parities of the others.
 
     Members are dealt to 64 * ``words`` places; a bit of the marks says whether an odd number of members
     has its place. Two sets differ in at least as many members as their marks differ in
@@ -100,39 +152,50 @@ def outlines(sets: DataFrame, expand: Expand, words: int) -> DataFrame:
     marks = [f"mark_{k}" for k in range(words)]
     sets = sets.select("id", "content")
 
-    def distinct(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    def distinct(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[int]]]:
         ids = batch.column(0).to_numpy()
         for at in range(0, len(ids), 256):
             members = expand(batch.column(1).slice(at, 256).to_pylist())
-            yield ids[at:at + 256], [np.unique((m >> np.uint64(32)).astype(np.uint32)) for m in members]
+            yield ids[at:at + 256], [np.unique((m >> np.uint64(32)).astype(np.uint32)) for m in members], [len(m) for m in members]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, members in distinct(batch):
+            for ids, members, _ in distinct(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(m) for m in members])),
                                                   pa.array(np.concatenate(members).view(np.int32))], names=["id", "member"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, members in distinct(batch):
+            for ids, members, sizes in distinct(batch):
                 odd = np.stack([np.bincount(m % np.uint32(64 * words), minlength=64 * words) & 1 for m in members]).astype(np.uint8)
                 bits = np.packbits(odd, axis=1, bitorder="little").view("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(bits[:, k].copy()) for k in range(words)]], names=["id", *marks])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), *[pa.array(bits[:, k].copy()) for k in range(words)]],
+                                                 names=["id", "size", *marks])
 
     own = sets.mapInArrow(spread, "id long, member int").groupBy("member").agg(
         F.min("id").alias("id"), F.max("id").alias("_other")).where("id = _other")
     place = F.col("member").bitwiseAND(64 * words - 1)
     own = own.select("id", F.shiftright(place, 6).alias("_word"), F.expr("shiftleft(1L, member & 63)").alias("_bit")).groupBy("id").agg(
         F.count("*").alias("alone"), *[F.expr(f"bit_xor(if(_word = {k}, _bit, 0L))").alias(f"_own_{k}") for k in range(words)])
-    every = sets.mapInArrow(mark, ", ".join(["id long", *[f"{m} long" for m in marks]]))
+    every = sets.mapInArrow(mark, ", ".join(["id long", "size long", *[f"{m} long" for m in marks]]))
     return every.join(own, "id", "left").select(
-        "id", F.coalesce("alone", F.lit(0)).alias("alone"),
+        "id", "size", F.coalesce("alone", F.lit(0)).alias("alone"),
         *[F.col(m).bitwiseXOR(F.coalesce(F.col(f"_own_{k}"), F.lit(0))).alias(m) for k, m in enumerate(marks)])
 
 
-def few_ids(ids: DataFrame) -> DataFrame:
-    """``ids``, a stored table of one long, broadcast while it has at most FEW rows (some tens of megabytes); shuffled beyond that."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+def shared_bands(banded: DataFrame) -> DataFrame:
+    """The rows (id, band) of ``banded`` whose band key has another id, in a stored table."""
+    # One exchange serves both sides: they read the same two columns.
+    dealt = banded.select("id", "band").repartition("band")
+    shared = dealt.groupBy("band").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low < _high").select("band")
+    return store(dealt.join(shared, "band", "left_semi").select("id", "band"), "bands")
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Each item of a key with the smallest item of the key."""
+    dealt = members.repartition("band")
+    low = dealt.groupBy("band").agg(F.min("id").alias("a"))
+    return store(dealt.join(low, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
 
 
 def _with_common(open_bands: DataFrame) -> DataFrame:
@@ -142,36 +205,39 @@ def _with_common(open_bands: DataFrame) -> DataFrame:
 
 
 def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFrame:
-    """Pairs of the items of rank ``above`` + 1 to ``upto`` of each key with the items of other components under it."""
-    order = Window.partitionBy("band").orderBy(F.desc("company"), "id")
+    """Pairs of the items of rank ``above`` + 1 to ``upto`` of each key with the items of other components under it.
+
+    A key with many items is dealt to parts of about PART items, and its pivots to all of them.
+    """
+    order = Window.partitionBy("band").orderBy("id")
     marks = [c for c in open_bands.columns if c.startswith("mark_")]
-    own = [c for c in ("size", "component", "alone", "bands") if c in open_bands.columns] + marks
+    own = ["size", "component", "alone", "bands", *marks]
+    parts = F.ceil(F.col("_n") / PART).cast("int")
     chosen = (open_bands.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= upto).where(F.col("_rank") > above)
-              .select("band", F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in own]))
-    fits = ((chosen["band"] == open_bands["band"]) & (F.col("component") != F.col("component_a"))
+              .select("band", F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_a") for c in own]))
+    rest = open_bands.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    fits = ((chosen["band"] == rest["band"]) & (chosen["part"] == rest["part"]) & (F.col("component") != F.col("component_a"))
             & (100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")))
-    if "alone" in own:
-        # No pair has more in common than either has not alone.
-        most = F.least(F.col("size") - F.col("alone"), F.col("size_a") - F.col("alone_a"))
-        fits &= 100 * most >= percent * (F.col("size") + F.col("size_a") - most)
-        # Nor may it differ in more members than the threshold leaves.
-        differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_a"))) for m in marks), F.col("alone") + F.col("alone_a"))
-        fits &= (100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size_a"))
-    if "bands" in own:
-        # A pair that shares several keys is made at the first of them only.
-        fits &= chosen["band"] == F.array_min(F.array_intersect("bands", "bands_a"))
-    pairs = chosen.join(open_bands, fits).select("a", F.col("id").alias("b"))
+    # No pair has more in common than either has not alone.
+    most = F.least(F.col("size") - F.col("alone"), F.col("size_a") - F.col("alone_a"))
+    fits &= 100 * most >= percent * (F.col("size") + F.col("size_a") - most)
+    # Nor may it differ in more members than the threshold leaves.
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_a"))) for m in marks), F.col("alone") + F.col("alone_a"))
+    fits &= (100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size_a"))
+    # A pair that shares several keys is made at the first of them only.
+    fits &= chosen["band"] == F.array_min(F.array_intersect("bands", "bands_a"))
+    pairs = chosen.join(rest, fits).select("a", F.col("id").alias("b"))
     # Of a pair that came both ways round one is enough.
     return store(pairs.groupBy(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).agg(F.min("a").alias("a")).select(
         "a", (F.when(F.col("a") == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))).alias("b")), "pairs")
 
 
-def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signature_length: int, expand: Expand, words: int) -> DataFrame:
-    """(id, component) of every item with a link.
+def linked(members: DataFrame, sets: DataFrame, percent: int, signature_length: int, expand: Expand, words: int,
+           components_of: Callable[[DataFrame], DataFrame] = connected_components) -> DataFrame:
+    """(id, component) of every item with a link; component is the smallest id.
 
-    ``banded`` has id, size (members of its set) and band, a row for each band of an
-    item. ``sets_of`` gets the ids that have candidates and returns id, signature
-    (uint16 bytes) and content, of which ``expand`` makes the sorted members. The
+    ``members`` are the (id, band) of keys with several items (:func:`shared_bands`), ``sets`` has id, signature
+    (uint16 bytes) and content of these items, of which ``expand`` makes the sorted members; both are stored tables. The
     signatures rule out a pair only when they agree less than five standard
     deviations below the threshold.
 
@@ -179,47 +245,42 @@ def linked(banded: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     in ``words`` longs (see :func:`outlines`): an item with too many members of its own has no link, and a pair
     that must differ in too many is not made. Near copies just under the threshold mostly fall out here.
     """
-    # One exchange on the band serves both sides of the join.
-    dealt = banded.select("id", "size", "band").repartition("band")
-    shared = dealt.groupBy("band").agg(F.min("id").alias("_low"), F.max("id").alias("_high"),
-                                      F.count("*").alias("company")).where("_low < _high")
-    members = store(dealt.join(shared.select("band", "company"), "band").distinct(), "bands")
-    company = members.groupBy("id").agg(F.sum("company").alias("company"))
-    members = members.drop("company").join(company, "id")
-    sets = store(sets_of(store(company.select("id"), "candidates")), "sets")
     s = percent / 100
     least_alike = s - 5 * (s * (1 - s) / signature_length) ** 0.5
-    components, edges = None, None
-    tried, pivots, pruned = 0, 1, False
-    open_bands = store(members.withColumn("component", F.col("id")), "open")
+    components, edges, open_bands = None, None, None
+    tried, pivots = 0, 1
     while True:
-        pairs = _pairs(open_bands, tried, pivots, percent)
+        pairs = _first_pairs(members) if open_bands is None else _pairs(open_bands, tried, pivots, percent)
         found = store(verified(pairs, sets, percent, least_alike, expand), "links")
+        discard(pairs)
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
-            components = store(connected_components(edges), "components")
-        now = open_bands.drop("component", "bands")
+            discard(components)
+            components = store(components_of(edges), "components")
+        now = members if open_bands is None else open_bands.drop("component", "bands", "_n")
         if components is not None:
             now = now.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
             now = now.withColumn("component", F.col("id"))
         # A key is done when its items are one component or all of them have been pivots.
-        state = now.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"),
-                                        F.count("*").alias("_n"))
-        left = state.where((F.col("_low") < F.col("_high")) & (F.col("_n") > pivots + 1)).select("band")
+        state = now.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"))
+        left = state.where((F.col("_low") < F.col("_high")) & (F.col("_n") > pivots + 1)).select("band", "_n")
         now = now.join(left, "band")
-        if not pruned:
-            now = store(now, "left")
+        if open_bands is None:
+            now = store(now.drop("_n"), "left")
             if now.isEmpty():
                 break
             known = outlines(sets.join(now.select("id").distinct(), "id", "left_semi"), expand, words)
             now = now.join(known, "id").where(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size"))
             # Ranks begin anew, as items are gone.
-            open_bands, tried, pivots, pruned = _with_common(now), 0, 8, True
+            now = now.join(now.groupBy("band").agg(F.count("*").alias("_n")), "band")
+            open_bands, tried, pivots = _with_common(now), 0, 8
         else:
-            if left.isEmpty():
-                break
+            before = open_bands
             open_bands, tried, pivots = _with_common(now), pivots, pivots * 8
+            discard(before)
+            if open_bands.isEmpty():
+                break
     if components is None:
         return members.where("false").select("id", F.col("id").alias("component"))
     return components

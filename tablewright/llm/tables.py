@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,7 +16,50 @@ def store(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that :func:`store` wrote, once what was made of them is written itself."""
+    for df in tables:
+        if df is not None:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever the case of its letters."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+#: Bits of a :func:`bit_map`: 8 MB, whatever the table.
+BITS = 26
+
+
+def bit_map(places: DataFrame, place: Column) -> np.ndarray:
+    """A bit for each place (a long from 0 to 2^BITS - 1) that a row of ``places`` has, as 64-bit words.
+
+    Tells most rows that a join would drop, before anything of them moves; the join itself still
+    decides. Only the words, of which there are at most 2^(BITS - 6), come to the driver.
+    """
+    words = places.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(_p & 63 as int)))").alias("bits")).toArrow()
+    found = np.zeros(1 << (BITS - 6), np.uint64)
+    found[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return found
+
+
+def has_bit(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,5 +118,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     ids = rows.select("doc_id").join(marks, "doc_id").distinct().orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(limit)
     chosen = rows.join(F.broadcast(store(ids, "sample")), "doc_id").groupBy("doc_id", "_label").agg(
         F.min(F.struct("text", "n_chars")).alias("_row"))
-    return sorted(((r["_row"]["text"], r["_row"]["n_chars"], r["_label"]) for r in chosen.collect()),
-                  key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
+    found = chosen.select("_row.text", "_row.n_chars", "_label").toArrow()
+    return sorted(zip(*(c.to_pylist() for c in found.columns)), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))

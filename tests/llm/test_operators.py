@@ -178,17 +178,6 @@ def test_lines_that_repeat_themselves(spark):
     assert {(i, k) for i, ks in plain.items() for k in ks} == gone
 
 
-def test_distinct_shingles_of_lines():
-    draw = np.random.default_rng(6)
-    count = draw.integers(1, 30, 500)
-    shingles = draw.integers(0, 12, count.sum(), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    parts = np.split(shingles, np.cumsum(count)[:-1])
-    assert lines._distinct(shingles, count).tolist() == [len(set(x.tolist())) for x in parts]
-    assert lines._distinct(shingles[:count[0]], count[:1]).tolist() == [len(set(parts[0].tolist()))]
-    low = shingles >> np.uint64(60)  # differ only in bits that do not fit beside the line's number
-    assert lines._distinct(low, count).tolist() == [len(set(x.tolist())) for x in np.split(low, np.cumsum(count)[:-1])]
-
-
 def test_packing_places_every_id_once(odd, none):
     from tokenizers import Tokenizer
 
