@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewright.llm import lines, minhash, packing, quality, rules
 from tablewright.llm.queries import tokenizer_path
-from tablewright.llm.tables import read_table, store
+from tablewright.llm.tables import read_table, store, unused
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines, and documents of which no word is left; n_chars follows the new text."""
-    clean = lines.drop_repeated_lines(docs)
-    clean = clean.where((F.col("_dropped") == 0) | F.col("_clean").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("_dropped") > 0
+    text, dropped = unused(docs, "_clean", "_dropped")
+    clean = lines.drop_repeated_lines(docs, clean=text, dropped=dropped)
+    clean = clean.where((F.col(dropped) == 0) | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.col(dropped) > 0
+    own = {c: F.col(f"`{c.replace('`', '``')}`") for c in docs.columns}
     return clean.select(*[
-        F.when(changed, F.col("_clean")).otherwise(F.col("text")).alias("text") if c == "text" else
-        F.when(changed, F.char_length("_clean").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
+        F.when(changed, F.col(text)).otherwise(own[c]).alias(c) if c == "text" else
+        F.when(changed, F.char_length(text).cast("long")).otherwise(own[c]).alias(c) if c == "n_chars" else own[c]
         for c in docs.columns])
 
 
