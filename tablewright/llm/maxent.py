@@ -47,6 +47,8 @@ END_HI, END_LO = 0x7F << 56, 0
 START = FREQUENT + ENDINGS
 _WIDTH = START + 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Ending of a word by its last two bytes; a word of one byte counts it twice.
+_ENDING_OF = (tx.mix((np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * _ODD) % np.uint64(ENDINGS)).astype(np.int64)
 
 
 @dataclass
@@ -76,8 +78,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     hi[at], lo[at] = tx.span_names(data, starts, ends)
     ending = np.zeros(total, np.int64)
     if len(starts):
-        last, before = data[ends - 1].astype(np.uint64), data[np.maximum(ends - 2, starts)].astype(np.uint64)
-        ending[at] = (tx.mix(last * np.uint64(257) + before + np.uint64(1)) % np.uint64(ENDINGS)).astype(np.int64)
+        ending[at] = _ENDING_OF[(data[ends - 1].astype(np.int64) << 8) | data[np.maximum(ends - 2, starts)]]
     return Tokens(hi, lo, ending, np.arange(total) - np.repeat(bounds[:-1], per_text), bounds)
 
 
@@ -160,18 +161,16 @@ class MaxEnt:
         return z
 
     def class_scores(self, rows: np.ndarray) -> np.ndarray:
-        z = self.w.classes[rows[0]]
+        z = np.take(self.w.classes, rows[0], axis=0)
         for r in rows[1:]:
-            z += self.w.classes[r]
+            z += np.take(self.w.classes, r, axis=0)
         z += self.w.classes[CLASS_ROWS] + self.no_class
         return z
 
     def word_scores(self, rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-        z = self.w.words[rows[0]]
-        for r in rows[1:]:
-            z += self.w.words[r]
-        z += self.w.words[WORD_ROWS + group]
-        z += self.no_word[group]
+        z = np.take(self.w.words[WORD_ROWS:] + self.no_word, group, axis=0)
+        for r in rows:
+            z += np.take(self.w.words, r, axis=0)
         return z
 
     def log_probabilities(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -196,14 +195,14 @@ class MaxEnt:
         return out
 
     @staticmethod
-    def _sums(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Sums of runs of lines: short runs line by line, all at once, and each long run by itself."""
-        total, length = lines[starts], ends - starts
+    def _sums(lines: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums of the lines that runs of ``order`` name: short runs line by line, all at once, and each long run by itself."""
+        total, length = np.take(lines, order[starts], axis=0), ends - starts
         for i in np.flatnonzero(length > 12).tolist():
-            total[i] = lines[starts[i]:ends[i]].sum(axis=0)
+            total[i] = np.take(lines, order[starts[i]:ends[i]], axis=0).sum(axis=0)
         left, k = np.flatnonzero((length > 1) & (length <= 12)), 1
         while len(left):
-            total[left] += lines[starts[left] + k]
+            total[left] += np.take(lines, order[starts[left] + k], axis=0)
             k += 1
             left = left[length[left] > k]
         return total
@@ -217,11 +216,11 @@ class MaxEnt:
         starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
         ends = np.append(starts[1:], len(found))
         used = found[starts]
-        total = MaxEnt._sums(slope[order % len(slope)], starts, ends)
+        total = MaxEnt._sums(slope, order % len(slope), starts, ends)
         met[used] += np.einsum("ij,ij->i", total, total) / total.shape[1]
         seen[used] += (ends - starts).astype(np.float32)
         total *= (RATE / np.sqrt(met[used] + 1e-6))[:, None]
-        total += weights[used]
+        total += np.take(weights, used, axis=0)
         weights[used] = np.clip(total, -LIMIT, LIMIT, out=total)
 
     def learn(self, ids: np.ndarray, place: np.ndarray, class_seen: np.ndarray, word_seen: np.ndarray) -> None:
