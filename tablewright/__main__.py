@@ -31,6 +31,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--lookback", help="also read rows so far before that value, and rows without one, whose row key is new")
     parser.add_argument("--row-key", action="append", default=[], help="source column of the row key; --key if not given")
     parser.add_argument("--drift", choices=("fail", "warn", "accept"), default="fail")
+    parser.add_argument("--allow-missing", action="store_true", help="run without transforms that the domain requires")
+    parser.add_argument("--only-after", action="store_true", help="leave out rows that tie with the last watermark or have none")
     parser.add_argument("--force", action="store_true", help="run even if an equal run has succeeded")
     parser.add_argument("--state", required=True)
     parser.add_argument("--output", required=True)
@@ -42,11 +44,11 @@ def main(argv: list[str] | None = None) -> int:
                      for s in json.load(f)]
     spark = build_session()
     job = Preparation(steps, args.goal, args.domain, args.key, args.watermark, args.drift, force=args.force,
-                      lookback=args.lookback, row_key=args.row_key)
+                      enforce_required=not args.allow_missing, lookback=False if args.only_after else args.lookback, row_key=args.row_key)
     result = prepare(open_source(spark, args.source, args.type), args.source, args.type, args.dataset, job,
                      args.state, args.output)
     print(json.dumps(dataclasses.asdict(result)))
-    return 0 if result.status == "success" else 1
+    return 0 if result.status in ("success", "nothing_new") else 1
 
 
 if __name__ == "__main__":

@@ -101,18 +101,20 @@ def rare_patterns(df: DataFrame, keys: Sequence[str], columns: Sequence[str], k:
 
 
 def detect_anomalies(df: DataFrame, keys: Sequence[str], target_columns: Iterable[str] | None = None,
-                     mode: str = "letters", exact: bool = True) -> DataFrame:
+                     mode: str = "letters", exact: bool = True, bounds: Bounds | None = None) -> DataFrame:
     """All anomalous cells (keys, then ``ANOMALY_SCHEMA``) of numeric and text columns.
 
     Rows are named by their key columns; unknown target columns are ignored. No
-    target columns, or an empty list of them, means all.
+    target columns, or an empty list of them, means all. ``bounds`` are the fences of the numeric columns, if they are known.
     """
     wanted = set(target_columns or ()) or set(df.columns)
     numbers = [c for c in C.numeric_columns(df) if c in wanted]
     texts = [c for c in C.string_columns(df) if c in wanted]
     parts = []
     if numbers:
-        bounds = quartile_bounds(df, numbers, exact)
+        if bounds is None:
+            bounds = quartile_bounds(df, numbers, exact)
+        bounds = {c: b for c, b in bounds.items() if c in numbers}
         if bounds:
             parts.append(numeric_outliers(df, keys, bounds))
     if texts:

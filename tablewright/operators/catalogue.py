@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,14 +10,15 @@ from tablewright.functions.vectors import most_similar
 from tablewright.schemas import CATALOGUE_SCHEMA, LIBRARY_SCHEMA
 
 
-def column_docs(prof: DataFrame, schema: DataFrame | None = None) -> DataFrame:
-    """``(column, type, description)``: one sentence per column from its profile."""
+def column_docs(prof: DataFrame, schema: DataFrame | None = None, sensitive: Iterable[str] = ()) -> DataFrame:
+    """``(column, type, description)``: one sentence per column from its profile; of sensitive columns without their values."""
     rows = prof.withColumn("type", F.col("dtype"))
     if schema is not None:
         rows = rows.join(F.broadcast(schema.select("column", "inferred_type")), "column", "left").withColumn(
             "type", F.coalesce("inferred_type", "dtype"))
     base = F.format_string("%s column, %.2f%% null, %d distinct values", "type", F.col("null_rate") * 100, "unique_count")
-    span = F.when(F.col("min").isNotNull(), F.format_string(", from %s to %s", "min", "max")).otherwise("")
+    hidden = F.lower("column").isin(*[c.lower() for c in sensitive])
+    span = F.when(F.col("min").isNotNull() & ~hidden, F.format_string(", from %s to %s", "min", "max")).otherwise("")
     return rows.select("column", "type", F.concat(base, span, F.lit(".")).alias("description"))
 
 

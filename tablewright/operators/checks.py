@@ -108,6 +108,15 @@ def quality_checks(output: DataFrame, original: DataFrame, schema: DataFrame | N
     return union_all(parts).to(CHECK_SCHEMA)
 
 
+def rule_checks(violations: DataFrame) -> DataFrame:
+    """Checks (``CHECK_SCHEMA``) from ``(name, column, violation_count, passed)`` of domain rules and forbidden changes."""
+    return violations.select(
+        F.col("name").alias("check_name"), F.lit("domain").alias("check_type"), F.col("column").alias("column_name"), "passed",
+        F.lit("error").alias("severity"), F.create_map(F.lit("violation_count"), F.lit("0")).alias("expected"),
+        F.create_map(F.lit("violation_count"), F.col("violation_count").cast("string")).alias("actual"),
+        F.format_string("%d rows violate %s.", "violation_count", "name").alias("detail")).to(CHECK_SCHEMA)
+
+
 def unprofiled_columns(output: DataFrame, original: DataFrame) -> list[str]:
     known = {r["column"] for r in original.select("column").collect()}
     return [c for c in output.columns if c not in known]

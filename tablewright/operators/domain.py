@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright import rules as R
-from tablewright.operators.constraints import applicable
+from tablewright.operators.constraints import match_rules, table_columns
 
 # Decision limits.
 MIN_SCORE = 0.30
@@ -52,26 +52,32 @@ def domain_scores(tokens: DataFrame, dataset: str = "dataset_id") -> DataFrame:
 
 
 def detect_domains(tokens: DataFrame, datasets: DataFrame, dataset: str = "dataset_id") -> DataFrame:
-    """One row per dataset: domain (or ``unknown``), confidence, method, low-confidence flag."""
-    # At most one row per domain and dataset reaches this window.
-    by_dataset = W.partitionBy(dataset).orderBy(F.desc("score"), "priority")
-    best = (
-        domain_scores(tokens, dataset)
-        .withColumns({"_rank": F.row_number().over(by_dataset),
-                      "_second": F.coalesce(F.lead("score").over(by_dataset), F.lit(0.0))})
-        .where("_rank = 1")
-        .select(dataset, F.col("domain").alias("_domain"), "hits", "score",
-                (F.col("score") - F.col("_second")).alias("gap")))
+    """One row per dataset: domain (or ``unknown``), confidence, method, low-confidence flag.
+
+    Keywords among the tokens are gathered by one grouped set, bounded by the fixed list, and
+    datasets without any come as rows of the same group; everything after works on a dataset's own array.
+    """
+    words = F.broadcast(keyword_frame(tokens.sparkSession))
+    found = tokens.join(words, "token").select(dataset, F.struct("priority", "token").alias("_hit"))
+    none = datasets.select(dataset, F.lit(None).cast(found.schema["_hit"].dataType).alias("_hit"))
+    hits = found.unionByName(none).groupBy(dataset).agg(F.collect_set("_hit").alias("_hits"))
+
+    def scored(i: int, domain: str, keywords: int) -> Column:
+        n = F.size(F.filter("_hits", lambda h: h["priority"] == i))
+        return F.struct((-n / keywords).alias("loss"), F.lit(i).alias("priority"), n.alias("hits"), F.lit(domain).alias("domain"))
+
+    ranked = F.array_sort(F.array(*[scored(i, d, len(words_)) for i, (d, words_) in enumerate(R.DOMAIN_KEYWORDS.items())]))
+    best = hits.withColumn("_ranked", ranked).select(
+        dataset, F.expr("_ranked[0].domain").alias("_domain"), F.expr("_ranked[0].hits").alias("hits"),
+        F.expr("-_ranked[0].loss").alias("score"), F.expr("_ranked[1].loss - _ranked[0].loss").alias("gap"))
     sure = ((F.col("score") >= MIN_SCORE) | (F.col("hits") >= MIN_HITS)) & (F.col("gap") >= MIN_GAP)
     confidence = F.round(F.least(F.lit(MAX_CONFIDENCE), F.col("score") * 2 + F.col("gap")), 3)
-    return (
-        datasets.select(dataset).distinct().join(best, dataset, "left")
-        .select(
-            dataset,
-            F.when(sure, F.col("_domain")).otherwise("unknown").alias("domain"),
-            F.when(sure, confidence).otherwise(0.0).alias("confidence"),
-            F.when(sure, "keyword_heuristic").otherwise("ambiguous").alias("method"),
-            (~F.coalesce(sure & (confidence >= LOW_CONFIDENCE), F.lit(False))).alias("low_confidence")))
+    return best.select(
+        dataset,
+        F.when(sure, F.col("_domain")).otherwise("unknown").alias("domain"),
+        F.when(sure, confidence).otherwise(0.0).alias("confidence"),
+        F.when(sure, "keyword_heuristic").otherwise("ambiguous").alias("method"),
+        (~F.coalesce(sure & (confidence >= LOW_CONFIDENCE), F.lit(False))).alias("low_confidence"))
 
 
 def detect_domain(df: DataFrame, goal: str = "", samples: DataFrame | None = None) -> dict:
@@ -85,9 +91,24 @@ def detect_domain(df: DataFrame, goal: str = "", samples: DataFrame | None = Non
     return detect_domains(tokens, one).first().asDict()
 
 
-def rule_assignments(df: DataFrame, domain: str) -> list[tuple[str, str]]:
-    """``(rule, column)`` pairs a domain's rules give for one table."""
-    return applicable(df, R.rules_for(domain)["validation_rules"])
+def rule_assignments(columns: DataFrame, domains: DataFrame) -> DataFrame:
+    """``(dataset, domain, rule, column)``: the rules of each dataset's domain with the columns they are about.
+
+    ``columns`` are :func:`~tablewright.operators.constraints.table_columns` of any number of datasets,
+    ``domains`` is (dataset, domain).
+    """
+    rules = F.broadcast(rules_frame(columns.sparkSession).where("kind = 'validation_rules'").select("domain", F.col("name").alias("rule")))
+    wanted = domains.select("dataset", "domain").join(rules, "domain")
+    return match_rules(columns, wanted.select("dataset", "rule")).join(domains.select("dataset", "domain"), "dataset").select(
+        "dataset", "domain", "rule", "column", "position")
+
+
+def table_rules(df: DataFrame, domain: str) -> list[tuple[str, str]]:
+    """``(rule, column)`` of one table, in the order of the domain's rules and the table's columns."""
+    one = df.sparkSession.createDataFrame([("table", domain)], "dataset string, domain string")
+    order = {n: i for i, n in enumerate(R.rules_for(domain)["validation_rules"])}
+    rows = rule_assignments(table_columns(df), one).collect()
+    return [(r["rule"], r["column"]) for r in sorted(rows, key=lambda r: (order[r["rule"]], r["position"]))]
 
 
 def rules_frame(spark) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
@@ -18,20 +19,28 @@ def new_rows(df: DataFrame, column: str, previous: Any = None, lookback: str | N
              seen: DataFrame | None = None, key: Sequence[str] = ()) -> DataFrame:
     """Rows after the previous watermark, everything if there is none.
 
-    The typed comparison is pushed down to the scan. With ``lookback`` (an interval such
-    as ``INTERVAL 2 DAYS`` or a number) late and tied rows and rows without a watermark
-    value are read again and the ``seen`` keys removed. Without it rows that have no
-    watermark value come only with the first load.
+    The typed comparison is pushed down to the scan. With the keys ``seen`` by earlier loads, rows that tie with
+    the watermark and rows without a watermark value are read again and those with a seen key left out (a null in a key
+    equals a null); ``lookback`` (an interval such as ``INTERVAL 2 DAYS`` or a number) reads
+    late rows so far back too. Without the keys only rows after the watermark come.
     """
     if previous is None:
         return df
     bound = _bound(df, column, previous)
-    if lookback is None:
-        return df.where(col(column) > bound)
     if seen is None or not key:
-        raise ValueError("a lookback needs the keys already seen")
-    again = df.where((col(column) >= bound - F.expr(lookback)) | col(column).isNull())
-    return again.join(seen.select(*key).distinct(), list(key), "left_anti")
+        if lookback is not None:
+            raise ValueError("a lookback needs the keys already seen")
+        return df.where(col(column) > bound)
+    low = bound if lookback is None else bound - F.expr(lookback)
+    again = df.where((col(column) >= low) | col(column).isNull())
+    names = [f"_seen_{i}" for i in range(len(key))]
+    known = seen.select(*[col(k).alias(n) for k, n in zip(key, names)]).distinct()
+    return again.join(known, reduce(lambda x, y: x & y, [col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names)]), "left_anti")
+
+
+def old_rows(column: str, df: DataFrame, previous: Any) -> Column:
+    """An aggregate: rows at or before the previous watermark, or without a watermark value."""
+    return F.count_if((col(column) <= _bound(df, column, previous)) | col(column).isNull())
 
 
 def new_watermark(increment: DataFrame, column: str, previous: Any = None) -> DataFrame:

@@ -81,6 +81,13 @@ RUN_SCHEMA = T.StructType([
     T.StructField("event_time", T.TimestampType()),
 ])
 
+DOMAIN_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("domain", T.StringType()),
+    T.StructField("confidence", T.DoubleType()),
+    T.StructField("method", T.StringType()),
+])
+
 CATALOGUE_SCHEMA = T.StructType([
     T.StructField("catalogue_id", T.StringType()),
     T.StructField("dataset_name", T.StringType()),

@@ -30,6 +30,9 @@ class RunPaths:
     def data(self, final: bool = False) -> str:
         return f"{self.final if final else self.staging}/data"
 
+    def anomalies(self, final: bool = False) -> str:
+        return f"{self.final if final else self.staging}/anomalies"
+
     def report(self, final: bool = False) -> str:
         return f"{self.final if final else self.staging}/quality_report"
 

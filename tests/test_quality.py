@@ -115,6 +115,43 @@ def test_constraints(spark):
     assert got == {"icd_format": 1, "vin_length": 1, "year_range": 1, "hours_range": 1, "no_future_hire_date": 1}
 
 
+def test_rules_meet_columns_of_many_datasets(spark):
+    from tablewright.operators import domain as M
+    one = spark.createDataFrame([(1.0, "a", "GBP", 1, True, "x")], "Unit_Price double, Country string, currency string, qty int, is_return boolean, page string")
+    other = spark.createDataFrame([(1, "A12", 3, "t", -1)], "patient_age int, diagnosis_code string, quantity int, ward string, note int")
+    columns = A.union_all([V.table_columns(one, "one"), V.table_columns(other, "other")])
+    domains = spark.createDataFrame([("one", "retail"), ("other", "medical"), ("none", "unknown")], "dataset string, domain string")
+    found = {(r["dataset"], r["rule"], r["column"]) for r in M.rule_assignments(columns, domains).collect()}
+    assert found == {("one", "unit_price_non_negative", "Unit_Price"), ("one", "quantity_check", "qty"), ("one", "country_canonical", "Country"),
+                     ("other", "no_negative_ages", "patient_age"), ("other", "icd_format", "diagnosis_code"),
+                     ("other", "null_filled", "diagnosis_code"), ("other", "null_filled", "ward")}
+    every = sorted({r[0] for r in V.RULE_COLUMNS})
+    wanted = spark.createDataFrame([(d, r) for d in ("one", "other") for r in every], "dataset string, rule string")
+    joined = {(r["dataset"], r["rule"], r["column"]) for r in V.match_rules(columns, wanted).collect()}
+    assert joined == {(d, *p) for d, df in (("one", one), ("other", other)) for p in V.applicable(df, every)}
+
+
+def test_lost_rows_are_counted_by_key(spark):
+    before = spark.createDataFrame([(1, None, "a"), (1, None, "b"), (2, "x", None), (2, "x", "c"), (None, None, "d")], "k int, u string, v string")
+    after = spark.createDataFrame([(1, "filled", "a"), (2, "x", "c")], "k int, u string, v string")
+    assert V.lost_null_rows(before, after, ["k"]).first()["violation_count"] == 2      # one of key 1, and the null key
+    assert V.lost_null_rows(before, after, ["k"], least=1).first()["violation_count"] == 1
+    assert V.lost_repeats(before, after, ["k"]).first()["violation_count"] == 2
+    assert V.lost_repeats(before, after, ["k"], least=1).first()["violation_count"] == 0
+
+
+def test_change_summary_of_maps_texts_and_types(spark):
+    before = spark.sql("SELECT id AS k, map('a', id, 'b', 1L) AS m, repeat(concat('long ', id), 2000) AS t, '5.50' AS n, '2024-01-02' AS d,"
+                       " if(id = 1, NULL, id) AS x, 'true' AS b FROM range(6)")
+    after = spark.sql("SELECT id AS k, map('b', 1L, 'a', if(id = 2, 9L, id)) AS m, repeat(concat('long ', if(id = 3, 33, id)), 2000) AS t,"
+                      " if(id = 4, 5.25D, 5.5D) AS n, DATE'2024-01-02' AS d, if(id = 5, NULL, id) AS x, true AS b FROM range(6)")
+    got = {r["column"]: (r["changed_cells"], r["set_to_null"]) for r in rows.change_summary(before, after, ["k"]).collect()}
+    assert got == {"m": (1, 0), "t": (1, 0), "n": (1, 0), "d": (0, 0), "x": (2, 1), "b": (0, 0)}
+    plan = rows.change_summary(before, after, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = plan[:plan.index("Union")]
+    assert "t#" not in shuffled.split("Aggregate [_k0")[1].split("\n")[0]
+
+
 def test_column_tests(spark):
     df = spark.createDataFrame([(1, "x", True), (2, "x", False), (3, None, True)], "id int, t string, b boolean")
     tests = CT.read_tests(CT.suggest_tests(A.profile(df)))

@@ -96,15 +96,58 @@ def test_incremental_preparation_with_a_lookback(spark, tmp_path):
     assert ids == [1, 2, 3] and result.null_watermarks == 1
     rows += [(4, 20), (5, 16), (6, None), (7, 3), (8, 21)]
     result, ids = load(rows, "5")
-    assert ids == [4, 5, 6, 8] and result.null_watermarks == 2
-    result, ids = load(rows + [(9, 21)], None)
-    assert result.status == "nothing_new" and result.null_watermarks == 2
-    assert load(rows + [(9, 21)], "5")[1] == [9]
-    assert load(rows + [(9, 21)], "5")[0].status == "nothing_new"
+    assert ids == [4, 5, 6, 8] and result.null_watermarks == 2 and result.late_rows == 1
+    result, ids = load(rows + [(9, 21)], False)
+    assert result.status == "nothing_new" and result.null_watermarks == 2 and result.late_rows == 2
+    # Without a lookback rows that tie with the watermark, and rows without one, come by their key.
+    result, ids = load(rows + [(9, 21), (12, None)], None)
+    assert ids == [9, 12] and result.late_rows == 1
+    rows += [(9, 21), (12, None), (10, 21)]
+    assert load(rows, "5")[1] == [10]
+    assert load(rows, "5")[0].status == "nothing_new"
     with pytest.raises(ValueError):
         prepare(spark.range(1), "u", "parquet", "u", Preparation([], lookback="1"), str(tmp_path / "s"), str(tmp_path / "o"))
 
 
+def test_nulls_in_watermark_and_key_come_once(spark):
+    rows = spark.createDataFrame([(1, 10), (None, 10), (2, None), (None, None), (3, 11)], "id int, at int")
+    seen = rows.where("id IS NULL OR id = 2")
+    assert sorted(r["id"] for r in I.new_rows(rows, "at", 10, None, seen, ["id"]).collect()) == [1, 3]
+    assert I.new_rows(rows, "at", 10, "1", seen, ["id", "at"]).count() == 2
+
+
+def test_rules_and_cells_of_a_run_are_stored(spark, tmp_path):
+    rows = [(i, -5.0 if i < 3 else 10.0 + i % 4, "UK" if i % 2 else "Atlantis", f"2024-01-{1 + i % 28:02d}", 1 + i % 5, f"C-{i}") for i in range(60)]
+    rows += [(60, 9999.0, "UK", "someday", 2, "odd!")]
+    source = spark.createDataFrame(rows, "order_id int, unit_price double, country string, order_date string, quantity int, customer_id string")
+    job = Preparation([], domain="retail", keys=["order_id"], enforce_required=False)
+    result = prepare(source, "t", "csv", "t", job, str(tmp_path / "s"), str(tmp_path / "o"))
+    state = State(spark, str(tmp_path / "s"))
+    found = {(r["name"], r["column"]): r["violation_count"] for r in spark.read.parquet(state.path("rule_results")).collect()}
+    assert found == {("unit_price_non_negative", "unit_price"): 3, ("date_iso8601", "order_date"): 1, ("country_canonical", "country"): 30,
+                     ("drop_null_rows", None): 0, ("drop_negative_quantity_rows", "quantity"): 0}
+    assert ("country_canonical", "country", 30) in result.violations and result.status == "success"
+    cells = spark.read.parquet(f"{tmp_path}/o/{result.run_id}/final/anomalies")
+    assert cells.where("column = 'unit_price' AND order_id = 60").count() == 1
+    assert cells.where("column = 'customer_id' AND value <> '***'").count() == 0
+    report = spark.read.json(f"{tmp_path}/o/{result.run_id}/final/quality_report").first()
+    assert any(c["check_name"] == "country_canonical" and not c["passed"] for c in report["checks"])
+    entry = state.catalogue().first()["column_descriptions"]
+    assert "from" in entry["unit_price"] and "from" not in entry["customer_id"]
+    with pytest.raises(ValueError):
+        prepare(source, "t", "csv", "t", Preparation([], domain="retail", keys=["order_id"]), str(tmp_path / "s"), str(tmp_path / "o"))
+
+
+def test_a_failure_after_publishing_is_on_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "append_entry", lambda *a: (_ for _ in ()).throw(OSError("no catalogue")))
+    args = (spark.range(5), "t", "parquet", "t", Preparation([], domain="unknown", keys=["id"]), str(tmp_path / "s"), str(tmp_path / "o"))
+    with pytest.raises(OSError):
+        prepare(*args)
+    run = State(spark, str(tmp_path / "s")).runs().first()
+    assert run["status"] == "catalogue_pending" and spark.read.parquet(run["output_path"]).count() == 5
+    assert RL.run_outcomes(State(spark, str(tmp_path / "s")).runs()).first()["outcome"] == "publish"
+
+
 def test_watermark_is_typed(spark):
     df = spark.createDataFrame([(9,), (10,), (None,)], "n int")
     assert [r["n"] for r in I.new_rows(df, "n", 9).collect()] == [10]
