@@ -39,7 +39,7 @@ LIMIT = 15.0
 #: Rows of weights that travel together.
 BLOCK = 512
 #: Bytes of text that are worked on at once; a longer text alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 #: Name of the token that ends a text: no word has this length byte.
 END_HI, END_LO = 0x7F << 56, 0
@@ -252,7 +252,7 @@ COUNTS = "hi long, lo long, ending int, n long"
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in tx.byte_chunks(batch.column(0), 2 * CHUNK):
+        for _, _, data, offsets in tx.byte_chunks(batch.column(0), 4 * CHUNK):
             t = tokens(data, offsets)
             order = np.argsort(t.keys)
             hi, lo = t.hi[order], t.lo[order]
