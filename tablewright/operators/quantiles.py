@@ -1,175 +1,151 @@
-"""Exact interpolated quantiles without sorting or collecting a column.
+"""Exact interpolated quantiles by radix selection, without sorting or collecting a column.
 
-A mergeable sketch of a tenth of the rows gives, per wanted rank, two values
-that should enclose it. Counting the rows up to each of them proves whether
-they do (and widens the bracket if not), so the result never depends on the
-sketch. Only values strictly inside a bracket are looked at again: a value held
-by a third of all rows ends up as an end point, where its count is enough.
+Every number has a 64-bit key in the order of the numbers. A round counts the rows of all
+columns by 16 bits of their keys, finds the bucket that holds each wanted rank, and the
+next round looks at those buckets only. Four rounds read every bit, whatever
+the values are; a bucket with one value ends sooner. Memory is bounded by the buckets of
+a round, and a value held by a third of all rows is one bucket like any other.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
-from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tablewright.functions.columns import col, fields
+from tablewright.functions.columns import col, fields, is_integral
 from tablewright.functions.sql import quote
-from tablewright.operators.profile import union_all
-
-SEED = 7
-# Brackets counted by one aggregate: few enough for compiled code.
-BRACKETS_PER_PASS = 4
-# Distances from a wanted probability at which the sketch is read.
-SLACKS = (0.0005, 0.002, 0.005, 0.01, 0.025, 0.05, 0.1, 0.2)
-
-
-@dataclass
-class _Bracket:
-    column: str
-    ranks: tuple[int, int]     # the 0-based ranks wanted, among the non-null rows
-    low: Any
-    high: Any
-    # Rows up to the ends: smaller than low, up to low, smaller than high, up to high.
-    counts: tuple[int, int, int, int] = (0, 0, 0, 0)
-
-    def covers(self) -> bool:
-        return self.counts[0] <= self.ranks[0] and self.ranks[1] < self.counts[3]
-
-    def at(self, rank: int) -> Any:
-        """The value at a rank if it is an end point."""
-        if rank < self.counts[1]:
-            return self.low
-        return self.high if rank >= self.counts[2] else None
-
-    @property
-    def inner_rows(self) -> int:
-        return max(0, self.counts[2] - self.counts[1])
-
-    def is_open(self) -> bool:
-        return any(self.at(r) is None for r in self.ranks)
-
-    def inner(self) -> Column:
-        return (col(self.column) > F.lit(self.low)) & (col(self.column) < F.lit(self.high))
-
-
-def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequence[float] = (0.25, 0.75),
-                    accuracy: int = 10_000, rank_limit: int = 500_000, share: float = 0.1,
-                    ) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles (``PERCENTILE_CONT``) of numeric columns."""
-    names = [f.name for f in fields(df, columns)]
-    if not names:
+
+#: Bits of a key that one round counts by.
+DIGIT = 16
+# Fixed values of 64-bit floating point: bits of the fraction, offset of the exponent, least normal and least positive number.
+FRACTION, OFFSET, NORMAL, LEAST = 52, 1023, 2.2250738585072014e-308, 5e-324
+_TOP = -(1 << 63)
+_NAN = (1 << 63) - 1
+
+
+def _whole(f: T.StructField) -> bool:
+    return is_integral(f.dataType) and not (isinstance(f.dataType, T.DecimalType) and f.dataType.precision > 18)
+
+
+def float_key(values: DataFrame, name: str, key: str) -> DataFrame:
+    """Adds ``key``: a long in the order of the doubles in ``name``; both zeros are 0, and no number is above nan.
+
+    For positive numbers it is the number's own 64 bits, put together from exponent and fraction:
+    powers of two and quotients by them are exact.
+    """
+    size, power = F.abs(col(name)), F.pow(F.lit(2.0), F.col("_power").cast("double"))
+    low, high = F.pow(F.lit(2.0), F.col("_guess").cast("double")), F.pow(F.lit(2.0), (F.col("_guess") + 1).cast("double"))
+    rows = values.withColumn("_size", size)
+    # The logarithm may be off by one beside a power of two.
+    rows = rows.withColumn("_guess", F.floor(F.log2(F.when((F.col("_size") >= NORMAL) & (F.col("_size") < math.inf), F.col("_size")))).cast("int"))
+    rows = rows.withColumn("_power", F.col("_guess") + F.when(F.col("_size") < low, -1).when(F.col("_size") >= high, 1).otherwise(0))
+    normal = (F.col("_power") + OFFSET).cast("long") * F.lit(1 << FRACTION) + ((F.col("_size") / power - 1.0) * F.lit(float(1 << FRACTION))).cast("long")
+    bits = (F.when(F.col("_size") < NORMAL, (F.col("_size") / F.lit(LEAST)).cast("long"))
+            .when(F.col("_size") == math.inf, F.lit((2 * OFFSET + 1) << FRACTION)).otherwise(normal))
+    made = F.when(F.isnan(name), F.lit(_NAN)).when(col(name) < 0, -bits).otherwise(bits)
+    return rows.withColumn(key, F.when(col(name).isNotNull(), made)).drop("_size", "_guess", "_power")
+
+
+def key_value(key: int, whole: bool, scale: int = 0) -> float:
+    """The number of a key."""
+    if whole:
+        return key / 10**scale if scale else float(key)
+    if key == _NAN:
+        return math.nan
+    number = struct.unpack("<d", struct.pack("<q", abs(key)))[0]
+    return -number if key < 0 else number
+
+
+def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequence[float] = (0.25, 0.75)) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles (``PERCENTILE_CONT``) of numeric columns; null without a value.
+
+    One scan a round for all columns. Later rounds filter by the ranges that the wanted buckets span, which reaches the scan.
+    """
+    chosen = fields(df, columns)
+    if not chosen:
         return {}
-    grid = sorted({min(1.0, max(0.0, p + d * sign)) for p in probabilities for d in SLACKS for sign in (-1, 1)})
-    sketch = df.select(*[col(c) for c in names]).sample(False, share, SEED).agg(*[a for i, c in enumerate(names) for a in (
-        F.count(col(c)).alias(f"m_{i}"), F.percentile_approx(col(c), grid, accuracy).alias(f"q_{i}"))]).first()
-    brackets: dict[tuple[str, float], _Bracket] = {}
-    for i, c in enumerate(names):
-        # Four standard errors of a sample quantile, plus the sketch's own error.
-        needed = 2.0 / math.sqrt(max(1, sketch[f"m_{i}"])) + 2.0 / accuracy
-        slack = next((d for d in SLACKS if d >= needed), 1.0)
-        seen = dict(zip(grid, sketch[f"q_{i}"] or []))
+    ranks = F.array_sort(F.array_distinct(F.concat(*[
+        F.array(F.floor(F.lit(float(p)) * (F.col("total") - 1)).cast("long"), F.ceil(F.lit(float(p)) * (F.col("total") - 1)).cast("long"))
+        for p in probabilities])))
+    found: dict[int, dict[int, int]] = {i: {} for i in range(len(chosen))}
+    totals: dict[int, int] = {}
+    #: Open buckets: column, least and greatest key in it, rows before it, the ranks it holds.
+    open_: list[tuple[int, int, int, int, list[int]]] = []
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        rows = _keys(df, chosen, open_ if totals else None)
+        if totals:
+            spans = df.sparkSession.createDataFrame([(i, low >> (shift + DIGIT), before, held) for i, low, _, before, held in open_],
+                                                    "i int, prefix long, before long, held array<long>")
+            # As many rows as there are open buckets: two for each column and probability at most.
+            rows = rows.withColumn("prefix", F.shiftright("key", shift + DIGIT)).join(F.broadcast(spans), ["i", "prefix"])
+            rows = rows.groupBy("i", "prefix", F.shiftright("key", shift).alias("digit"))
+            counts = rows.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"),
+                              F.any_value("before").alias("before"), F.any_value("held").alias("held"))
+            counts = counts.withColumn("total", F.lit(0).cast("long"))
+        else:
+            counts = rows.groupBy("i", F.shiftright("key", shift).alias("digit")).agg(
+                F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+            counts = counts.withColumn("total", F.sum("n").over(W.partitionBy("i"))).withColumns(
+                {"prefix": F.lit(0).cast("long"), "before": F.lit(0).cast("long"), "held": ranks})
+        # 2^16 buckets of a column at most are put in order by one task.
+        upto = F.col("before") + F.sum("n").over(W.partitionBy("i", "prefix").orderBy("digit").rowsBetween(W.unboundedPreceding, 0))
+        counts = counts.withColumn("upto", upto)
+        held = F.filter("held", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+        hit = counts.withColumn("held", held).where(F.size("held") > 0).select("i", "low", "high", (F.col("upto") - F.col("n")).alias("before"), "held", "total")
+        open_ = []
+        for r in hit.collect():
+            totals.setdefault(r["i"], r["total"])
+            if r["low"] == r["high"]:
+                found[r["i"]].update(dict.fromkeys(r["held"], r["low"]))
+            else:
+                open_.append((r["i"], r["low"], r["high"], r["before"], list(r["held"])))
+        if not open_:
+            break
+    result: dict[str, list[float | None]] = {}
+    for i, f in enumerate(chosen):
+        result[f.name] = []
         for p in probabilities:
-            brackets[c, p] = _Bracket(c, (0, 0), seen.get(p - slack), seen.get(p + slack))
-    ends = {c: (0, None, None) for c in names}
-    _count(df, [b for b in brackets.values() if b.low is not None and b.high is not None], ends)
-    for (c, p), b in brackets.items():
-        position = p * max(0, ends[c][0] - 1)
-        b.ranks = (math.floor(position), math.ceil(position))
-    brackets = {(c, p): b for (c, p), b in brackets.items() if ends[c][0]}
-    # No sample to speak of, or a bracket beside the rank: the whole range holds it for certain.
-    missed = [b for b in brackets.values() if not b.covers()]
-    for b in missed:
-        b.low, b.high = ends[b.column][1:]
-    _count(df, missed)
-    _narrow(df, [b for b in brackets.values() if b.is_open()], accuracy, rank_limit)
-    inner = _inner_values(df, {k: b for k, b in brackets.items() if b.is_open()})
-
-    result: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in names}
-    for (c, p), b in brackets.items():
-        lower, upper = (float(inner[c, p, r] if b.at(r) is None else b.at(r)) for r in b.ranks)
-        part = p * (ends[c][0] - 1) - b.ranks[0]
-        result[c][list(probabilities).index(p)] = lower if part == 0 else lower + (upper - lower) * part
+            if i not in totals:
+                result[f.name].append(None)
+                continue
+            position = p * (totals[i] - 1)
+            scale = f.dataType.scale if isinstance(f.dataType, T.DecimalType) else 0
+            lower, upper = (key_value(found[i][r], _is_long(f), scale) for r in (math.floor(position), math.ceil(position)))
+            part = position - math.floor(position)
+            result[f.name].append(lower if part == 0 or lower == upper else lower + (upper - lower) * part)
     return result
 
 
-def _count(df: DataFrame, brackets: Iterable[_Bracket], ends: dict[str, tuple] | None = None) -> None:
-    """Fill in the brackets' counts and, if asked, each column's row count and extremes, as one job."""
-    wanted = list(brackets)
-    chunks = [wanted[i:i + BRACKETS_PER_PASS] for i in range(0, len(wanted), BRACKETS_PER_PASS)]
-
-    def up_to(b: _Bracket) -> Column:
-        c = col(b.column)
-        return F.array(*[F.count_if(t) for t in (c < F.lit(b.low), c <= F.lit(b.low), c < F.lit(b.high),
-                                                 c <= F.lit(b.high))])
-    parts = [
-        df.agg(F.array(*[up_to(b) for b in chunk]).alias("counts")).withColumn("chunk", F.lit(i))
-        for i, chunk in enumerate(chunks)]
-    if ends is not None:
-        cells = [a.alias(f"{kind}_{i}") for i, c in enumerate(ends) for kind, a in (
-            ("n", F.count(col(c))), ("min", F.min(col(c))), ("max", F.max(col(c))))]
-        parts.append(df.agg(*cells).select(F.struct("*").alias("ends")))
-    if not parts:
-        return
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    for row in whole.collect():
-        found = row.asDict()
-        if found.get("ends") is not None:
-            for i, c in enumerate(ends):
-                ends[c] = tuple(found["ends"][f"{kind}_{i}"] for kind in ("n", "min", "max"))
-        if found.get("counts") is not None:
-            for b, counts in zip(chunks[found["chunk"]], found["counts"]):
-                b.counts = tuple(counts)
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int, rank_limit: int) -> None:
-    """Sketch again inside brackets that hold too much; a round keeps about 4/accuracy of the rows."""
-    slack = 2.0 / accuracy
-    pending = [b for b in brackets if b.inner_rows > rank_limit]
-    while pending:
-        def share(b: _Bracket, rank: int, shift: float) -> float:
-            return min(1.0, max(0.0, (rank - b.counts[1]) / b.inner_rows + shift))
-        row = df.agg(*[
-            F.percentile_approx(F.when(b.inner(), col(b.column)),
-                                [share(b, b.ranks[0], -slack), share(b, b.ranks[1], slack)], accuracy)
-            .alias(f"q_{i}") for i, b in enumerate(pending)]).first()
-        tried = [_Bracket(b.column, b.ranks, *row[f"q_{i}"]) for i, b in enumerate(pending)]
-        _count(df, tried)
-        again = []
-        for b, t in zip(pending, tried):
-            # A rank on the old end point stays outside the new bracket: keep that end.
-            if b.at(b.ranks[0]) is not None:
-                t.low, t.counts = b.low, (*b.counts[:2], *t.counts[2:])
-            if b.at(b.ranks[1]) is not None:
-                t.high, t.counts = b.high, (*t.counts[:2], *b.counts[2:])
-            if t.covers() and t.inner_rows < b.inner_rows:
-                b.low, b.high, b.counts = t.low, t.high, t.counts
-                if b.is_open() and b.inner_rows > rank_limit:
-                    again.append(b)
-        pending = again
-
-
-def _inner_values(df: DataFrame, brackets: dict) -> dict:
-    """Values at the ranks inside the brackets; at most ``rank_limit`` rows each reach the last step."""
-    if not brackets:
-        return {}
-    keys = list(brackets)
-    parts = []
-    for i, k in enumerate(keys):
-        b, c = brackets[k], quote(brackets[k].column)
-        picks = []
-        for r in b.ranks:
-            # Mid-rank probability: the discrete percentile is then exactly this row.
-            p = min(1.0, max(0.0, (r - b.counts[1] + 0.5) / b.inner_rows))
-            picks.append(F.expr(f"CAST(percentile_disc({p!r}D) WITHIN GROUP (ORDER BY {c}) AS DOUBLE)"))
-        parts.append(df.where(b.inner()).agg(F.array(*picks).alias("picked")).withColumn("bracket", F.lit(i)))
-    return {
-        (*keys[row["bracket"]], r): v
-        for row in union_all(parts).collect()
-        for r, v in zip(brackets[keys[row["bracket"]]].ranks, row["picked"])
-    }
+def _is_long(f: T.StructField) -> bool:
+    return _whole(f) or isinstance(f.dataType, T.DecimalType) and f.dataType.precision <= 18
+
+
+def _keys(df: DataFrame, chosen: list[T.StructField], spans: list[tuple] | None) -> DataFrame:
+    """``(i, key)`` of the cells that are not null, of all columns in one scan; with ``spans`` only of cells within them."""
+    cells, anywhere = [], F.lit(False)
+    for i, f in enumerate(chosen):
+        c, wanted = col(f.name), col(f.name).isNotNull()
+        scale = f.dataType.scale if isinstance(f.dataType, T.DecimalType) else 0
+        if spans is not None:
+            wanted = F.lit(False)
+            for _, low, high, _, _ in (s for s in spans if s[0] == i):
+                wanted = wanted | c.between(*(_end(f, k) for k in (low, high)))
+        anywhere = anywhere | wanted
+        number = F.when(wanted, c)
+        whole = (F.expr(f"CAST(CAST({quote(f.name)} * 1e{scale}BD AS DECIMAL(38,0)) AS BIGINT)") if scale else c.cast("long")) if _is_long(f) else None
+        cells.append(F.struct(F.lit(i).alias("i"), (F.lit(None).cast("double") if whole is not None else number.cast("double")).alias("number"),
+                              (F.lit(None).cast("long") if whole is None else F.when(wanted, whole)).alias("whole")))
+    values = df.where(anywhere).select(F.inline(F.array(*cells))).where("number IS NOT NULL OR whole IS NOT NULL")
+    return float_key(values, "number", "_bits").select("i", F.coalesce("whole", "_bits").alias("key"))
+
+
+def _end(f: T.StructField, key: int) -> Column:
+    """The value of a key as a literal of the column's type."""
+    if isinstance(f.dataType, T.DecimalType) and _is_long(f):
+        return F.lit(key).cast("decimal(38,0)").cast(T.DecimalType(38, f.dataType.scale)) / F.lit(10**f.dataType.scale) if f.dataType.scale else F.lit(key).cast(f.dataType)
+    if _whole(f):
+        return F.lit(key)
+    return F.lit(key_value(key, False)).cast("double")

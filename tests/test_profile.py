@@ -102,25 +102,52 @@ def test_number_spellings(spark, text, numeric):
     assert (got["inferred_type"] == "DOUBLE") == numeric
 
 
-def check_quantiles(spark, values, **options):
+def check_quantiles(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
-    got = Z.exact_quantiles(df, ["v"], (0.0, 0.25, 0.5, 0.75, 1.0), **options)["v"]
+    got = Z.exact_quantiles(df, ["v"], (0.0, 0.25, 0.5, 0.75, 1.0))["v"]
     want = np.quantile(np.array([v for v in values if v is not None]), [0.0, 0.25, 0.5, 0.75, 1.0])
     assert got == pytest.approx(list(want), rel=1e-12, abs=1e-12)
 
 
 def test_quantiles_with_a_hot_value(spark):
     rnd = random.Random(3)
-    values = [7.0] * 4000 + [rnd.gauss(7, 3) for _ in range(8000)] + [None] * 10
-    check_quantiles(spark, values)
-    # A coarse sketch and a low limit force widening and narrowing.
-    check_quantiles(spark, values, accuracy=50, rank_limit=100)
+    check_quantiles(spark, [7.0] * 4000 + [rnd.gauss(7, 3) for _ in range(8000)] + [None] * 10)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6) | st.sampled_from([0.0, 1.0]), min_size=1, max_size=60))
 def test_quantiles_of_anything(spark, values):
-    check_quantiles(spark, [v + 0.0 for v in values], accuracy=10, rank_limit=5)
+    check_quantiles(spark, [v + 0.0 for v in values])
+
+
+def test_keys_are_in_the_order_of_the_numbers(spark):
+    rnd = np.random.default_rng(2)
+    bits = rnd.integers(0, 2**64, 3000, dtype=np.uint64).view(np.float64)
+    powers = [x for e in range(-1074, 1024, 7) for x in (2.0**e, np.nextafter(2.0**e, 0), np.nextafter(2.0**e, np.inf))]
+    values = [float(v) for v in [*bits[np.isfinite(bits)], *powers, 0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308]]
+    values += [-v for v in values] + [np.inf, -np.inf]
+    got = Z.float_key(spark.createDataFrame([(v,) for v in values], "v double"), "v", "key").collect()
+    for r in got:
+        assert Z.key_value(r["key"], False) == r["v"]
+    assert [r["v"] for r in sorted(got, key=lambda r: r["key"])] == sorted(values)
+    assert Z.float_key(spark.createDataFrame([(float("nan"),), (None,)], "v double"), "v", "key").collect()[0]["key"] == 2**63 - 1
+
+
+def test_a_million_values_within_a_hair(spark):
+    df = spark.range(1_000_000).selectExpr("1D + id * 2.220446049250313E-16 AS v", "id + 9007199254740993L AS w", "CAST(id AS DECIMAL(12,2)) / 100 AS d")
+    df = df.selectExpr("v", "w", "CAST(d AS DECIMAL(14,2)) AS d")
+    got = Z.exact_quantiles(df, ["v", "w", "d"], (0.25, 0.5))
+    grid = 1 + np.arange(1_000_000) * 2.220446049250313e-16
+    assert got["v"] == pytest.approx(list(np.quantile(grid, [0.25, 0.5])), rel=0, abs=2.3e-16)
+    assert got["w"] == [9007199254740993 + 249_999.75, 9007199254740993 + 499_999.5]
+    assert got["d"] == pytest.approx(list(np.quantile(np.round(np.arange(1_000_000) / 100, 2), [0.25, 0.5])), abs=1e-9)
+
+
+def test_a_round_reads_all_columns_in_one_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id * 0.5D AS x", "id * 2 AS y").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    text = Z._keys(df, df.schema.fields, [(1, 0, 4607182418800017408, 0, [1])])._jdf.queryExecution().toString()
+    assert text.split("== Physical Plan ==")[1].count("FileScan") == 1 and "PushedFilters: [" in text and "GreaterThanOrEqual(x," in text
 
 
 def test_quantiles_of_nothing(spark):
