@@ -116,12 +116,3 @@ def letter_pattern(value: str, mode: str = "letters") -> str:
         return f"translate({value}, '{LETTERS}{DIGITS}', '{'A' * 52}{'9' * 10}')"
     raise ValueError(f"unknown pattern mode: {mode}")
 
-
-def pattern_key(value: str, mode: str = "letters") -> str:
-    """The shape itself, or its SHA-256 digest when it is longer than 64 characters.
-
-    Keys stay short whatever the texts are, so counting shapes of a document
-    column does not shuffle the documents.
-    """
-    shape = letter_pattern(value, mode)
-    return f"CASE WHEN length({value}) > 64 THEN sha2({shape}, 256) ELSE {shape} END"

@@ -7,9 +7,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tablewright.functions import columns as C
-from tablewright.functions.sql import literal, pattern_key, letter_pattern, quote
+from tablewright.functions.sql import letter_pattern
 from tablewright.operators.profile import union_all
 from tablewright.operators.quantiles import exact_quantiles
+from tablewright.operators.texts import KEY, digest, first_texts
 
 # Fence factor and common shapes.
 FENCE = 1.5
@@ -61,39 +62,23 @@ def _shapes(df: DataFrame, columns: Sequence[str], keys: Sequence[str], mode: st
     ids = [f"_k{i}" for i in range(len(keys))]
     return (
         texts.unpivot(ids, [C.col(c) for c in columns], "column", "value").where(F.col("value").isNotNull())
-        .withColumn("pattern", F.expr(pattern_key("value", mode)))
+        .withColumn("pattern", F.expr(letter_pattern("value", mode)))
     )
 
 
-def pattern_counts(df: DataFrame, columns: Sequence[str], mode: str = "letters") -> DataFrame:
-    """``(column, pattern, n)``; shapes over 64 characters stand as their digest."""
-    return _shapes(df, columns, [], mode).groupBy("column", "pattern").agg(F.count(F.lit(1)).alias("n"))
-
-
 def common_patterns(df: DataFrame, columns: Sequence[str], k: int = COMMON_PATTERNS,
                     mode: str = "letters") -> DataFrame:
-    """``(column, rank, pattern, n)``: the k most frequent shapes, ties by shape."""
-    by_column = W.partitionBy("column").orderBy(F.desc("n"), F.asc("pattern"))
-    return (
-        pattern_counts(df, columns, mode)
-        .withColumn("rank", F.row_number().over(by_column)).where(F.col("rank") <= k)
-        .select("column", F.col("rank").cast("long").alias("rank"), "pattern", "n"))
-
-
-def pattern_texts(df: DataFrame, columns: Sequence[str], common: DataFrame, mode: str = "letters") -> DataFrame:
-    """The common patterns with the shape spelled out where it was digested."""
-    shapes = _shapes(df, columns, [], mode).join(F.broadcast(common), ["column", "pattern"], "left_semi")
-    spelled = shapes.groupBy("column", "pattern").agg(
-        F.any_value(F.expr(letter_pattern("value", mode))).alias("shape"))
-    return common.join(F.broadcast(spelled), ["column", "pattern"])
+    """``(column, rank, pattern, n)``: the k most frequent shapes, ties by shape. Runs at once; shapes of any length are whole."""
+    shapes = _shapes(df, columns, [], mode).select("column", F.col("pattern").alias("value"))
+    return df.sparkSession.createDataFrame(first_texts(shapes, k), "column string, rank long, pattern string, n long")
 
 
 def rare_patterns(df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: int = COMMON_PATTERNS,
                   mode: str = "letters") -> DataFrame:
     """One row per text cell whose shape is not among its column's k common ones."""
-    # k short keys per column: the broadcast is bounded by the column count.
-    common = F.broadcast(common_patterns(df, columns, k, mode).select("column", "pattern"))
-    rare = _shapes(df, columns, keys, mode).join(common, ["column", "pattern"], "left_anti")
+    # k digests per column: the broadcast is bounded by the column count.
+    common = F.broadcast(common_patterns(df, columns, k, mode).select("column", *digest("pattern")))
+    rare = _shapes(df, columns, keys, mode).select("*", *digest("pattern")).join(common, ["column", *KEY], "left_anti")
     return rare.select(
         *[F.col(f"_k{i}").alias(name) for i, name in enumerate(keys)], "column", "value",
         F.concat(F.lit("Unusual pattern for column '"), "column", F.lit("'")).alias("reason"),

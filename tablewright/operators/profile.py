@@ -9,14 +9,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tablewright.functions.columns import by_type, col, fields, groupable, type_name
 from tablewright.functions.sql import literal, quote, stripped
+from tablewright.operators.texts import first_texts, ranked, settled, text_counts
 from tablewright.schemas import PROFILE_SCHEMA
 
 # Columns per aggregate, to stay inside compiled code on wide tables.
 COLUMNS_PER_PASS = 16
 
-# Texts longer than this are grouped by digest.
-LONG_TEXT = 64
-
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -55,27 +53,23 @@ def _stats_pass(df: DataFrame, chosen: list[T.StructField]) -> DataFrame:
     return wide.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _text_key(value: str) -> str:
-    return f"CASE WHEN length({value}) > {LONG_TEXT} THEN sha2({value}, 256) ELSE {value} END"
+def typed_values(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """``(column, value)`` of the non-null values, one frame per data type."""
+    df = df.select(*[groupable(f) for f in fields(df, columns)])
+    return {kind: df.select(*[col(c) for c in names]).unpivot([], [col(c) for c in names], "column", "value").where(F.col("value").isNotNull())
+            for kind, names in by_type(df, df.columns).items()}
 
 
-def value_counts(df: DataFrame, columns: Iterable[str] | None = None) -> list[DataFrame]:
-    """``(column, value, n)`` of the non-null values, one frame per data type.
+def value_counts(values: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``(column, value, n)`` of the distinct values of each type; of texts as in :func:`~tablewright.operators.texts.text_counts`.
 
     Columns of the same type are unpivoted together and grouped in their own
     type: no cast to text before the shuffle, and repeated values are combined
-    on the map side, so a hot value costs one row per task. Texts over 64
-    characters are counted by their SHA-256 digest, so a document column does
-    not shuffle the documents.
+    on the map side, so a hot value costs one row per task. Texts are counted by digest and first
+    characters, so a document column does not shuffle the documents.
     """
-    df = df.select(*[groupable(f) for f in fields(df, columns)])
-    frames = []
-    for kind, names in by_type(df, df.columns).items():
-        values = df.select(*[col(c) for c in names]).unpivot([], [col(c) for c in names], "column", "value").where(F.col("value").isNotNull())
-        if kind == "string":
-            values = values.withColumn("value", F.expr(_text_key("value")))
-        frames.append(values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    return frames
+    return {kind: text_counts(v) if kind == "string" else v.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+            for kind, v in values.items()}
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -83,19 +77,6 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def _spelled(df: DataFrame, columns: Iterable[str], values: Iterable[tuple[str, str]]) -> dict[tuple[str, str], str]:
-    """The long texts behind the digests among a few found ``(column, value)`` pairs."""
-    df = df.select(*[groupable(f) for f in fields(df, columns)])
-    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    digests = {v for c, v in values if c in names and v is not None and len(v) == 64}
-    if not digests:
-        return {}
-    texts = df.select(*[col(c) for c in names]).unpivot([], [col(c) for c in names], "column", "text").where(F.length("text") > LONG_TEXT)
-    found = texts.withColumn("key", F.sha2("text", 256)).where(F.col("key").isin(*digests))
-    rows = found.groupBy("column", "key").agg(F.any_value("text").alias("text")).collect()
-    return {(r["column"], r["key"]): r["text"] for r in rows}
-
-
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
                     exact: bool = True, rsd: float = 0.02) -> DataFrame:
     """``(column, unique_count)`` of the non-null values."""
@@ -105,19 +86,27 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None,
         return wide.unpivot([], [col(c) for c in wanted], "column", "unique_count")
     return union_all(
         v.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
-        for v in value_counts(df, wanted)
+        for v in value_counts(typed_values(df, wanted)).values()
     )
 
 
 def top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5) -> DataFrame:
     """``(column, rank, value, n)``: the k most frequent values, ties by value. Runs at once."""
-    names = [f.name for f in fields(df, columns)]
-    found = union_all(_ranked(v, F.desc("n"), k) for v in value_counts(df, names))
-    rows = found.collect()
-    texts = _spelled(df, names, [(r["column"], r["value"]) for r in rows])
-    return df.sparkSession.createDataFrame(
-        [(r["column"], r["rank"], texts.get((r["column"], r["value"]), r["value"]), r["n"]) for r in rows],
-        "column string, rank long, value string, n long")
+    return _picked(df, columns, k, True)
+
+
+def sample_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5) -> DataFrame:
+    """``(column, rank, value, n)``: the k smallest distinct values, whole, with their number. Runs at once."""
+    return _picked(df, columns, k, False)
+
+
+def _picked(df: DataFrame, columns: Iterable[str] | None, k: int, frequent: bool) -> DataFrame:
+    values = typed_values(df, columns)
+    rows = [r for kind in values if kind == "string" for r in first_texts(values[kind], k, frequent)]
+    others = value_counts({kind: v for kind, v in values.items() if kind != "string"})
+    if others:
+        rows += [tuple(r) for r in union_all(_ranked(v, k, frequent) for v in others.values()).collect()]
+    return df.sparkSession.createDataFrame(rows, "column string, rank long, value string, n long")
 
 
 def approx_top_values(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5) -> DataFrame:
@@ -130,76 +119,74 @@ def approx_top_values(df: DataFrame, columns: Iterable[str] | None = None, k: in
         F.col("_item.count").alias("n"))
 
 
-def _ranked(values: DataFrame, order, k: int) -> DataFrame:
+def _ranked(counts: DataFrame, k: int, frequent: bool) -> DataFrame:
     # row_number <= k is limited within each task before the rows are shuffled.
-    by_column = W.partitionBy("column").orderBy(order, F.asc("value"))
+    by_column = W.partitionBy("column").orderBy(*([F.desc("n")] if frequent else []), F.asc("value"))
     return (
-        values.withColumn("rank", F.row_number().over(by_column)).where(F.col("rank") <= k)
+        counts.withColumn("rank", F.row_number().over(by_column)).where(F.col("rank") <= k)
         .select("column", F.col("rank").cast("long").alias("rank"),
                 F.col("value").cast("string").alias("value"), "n")
     )
 
 
-def _spread_values(values: DataFrame, k: int) -> DataFrame:
-    """``(column, unique_count, spread)``: distinct count and up to k values drawn by hash slot."""
-    slot = F.pmod(F.xxhash64("value"), F.lit(k))
-    smallest = [F.min(F.when(slot == i, F.col("value"))).cast("string") for i in range(k)]
-    return values.groupBy("column").agg(
-        F.count_if(F.col("n") > 0).alias("unique_count"),
-        F.array_compact(F.array(*smallest)).alias("spread"))
-
-
 def profile(df: DataFrame, columns: Iterable[str] | None = None, k: int = 5,
             exact: bool = True) -> DataFrame:
     """The full column profile (``PROFILE_SCHEMA``), whatever the table size.
 
-    Runs at once, as one job, and keeps its result: some ten short values per
-    column come to the driver. Long texts among them are looked up afterwards.
+    Runs at once and keeps its result: some ten values per column come to the driver. Top values are the most frequent, ties by value, and sample
+    values the smallest distinct ones; texts among them are whole. With ``exact=False`` everything comes from the
+    sketches of :mod:`~tablewright.operators.sketches`, which shuffle no values.
     """
     names = [f.name for f in fields(df, columns)]
-    entries: dict[str, dict] = {c: {"unique_count": 0, "top": {}, "spread": []} for c in names}
-    for row in _profile_rows(df, names, k, exact).collect():
-        entry = entries[row["column"]]
+    if not exact:
+        from tablewright.operators import sketches
+
+        return sketches.sketch_profile(sketches.sketch(df, names), k)
+    values = typed_values(df, names)
+    counts = value_counts(values)
+    stats, unique, top, least = {}, dict.fromkeys(names, 0), {c: [] for c in names}, {c: [] for c in names}
+    texts: dict[bool, list] = {True: [], False: []}
+    for row in _profile_rows(df, names, counts, k).collect():
         if row["stats"] is not None:
-            entry["stats"] = row["stats"]
-        if row["spread"] is not None:
-            entry["spread"] = row["spread"]
-        if row["unique_count"] is not None:
-            entry["unique_count"] = row["unique_count"]
-        if row["rank"] is not None:
-            entry["top"][row["rank"]] = row["value"]
-    texts = _spelled(df, names, [(c, v) for c, e in entries.items() for v in [*e["top"].values(), *e["spread"]]])
+            stats[row["column"]] = row["stats"]
+        elif row["unique_count"] is not None:
+            unique[row["column"]] = row["unique_count"]
+        elif row["head"] is not None:
+            texts[row["frequent"]].append(row)
+        else:
+            (top if row["frequent"] else least)[row["column"]].append((row["rank"], row["value"]))
+    for frequent, found in texts.items():
+        if found:
+            for c, picked in settled(values["string"], counts["string"], found, k, frequent).items():
+                (top if frequent else least)[c] = [(i, text) for i, (text, _) in enumerate(picked)]
     rows = []
-    for c, e in entries.items():
-        s = e["stats"]
-        top_values_ = [texts.get((c, v), v) for _, v in sorted(e["top"].items())]
-        spread = [texts.get((c, v), v) for v in e["spread"]]
+    for c in names:
+        s = stats[c]
         rate = s["null_count"] / s["total_rows"] if s["total_rows"] else 0.0
         rows.append((
-            c, s["dtype"], s["total_rows"], s["null_count"], rate, s["blank_count"], e["unique_count"], s["min"],
-            s["max"], s["mean"], top_values_, list(dict.fromkeys(spread + top_values_))[:k]))
-    settled = df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
-    return settled.withColumns({"null_rate": F.round("null_rate", 4), "mean": F.round("mean", 4)})
+            c, s["dtype"], s["total_rows"], s["null_count"], rate, s["blank_count"], unique[c], s["min"],
+            s["max"], s["mean"], [v for _, v in sorted(top[c], key=lambda x: x[0])], [v for _, v in sorted(least[c], key=lambda x: x[0])]))
+    made = df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    return made.withColumns({"null_rate": F.round("null_rate", 4), "mean": F.round("mean", 4)})
 
 
-def _profile_rows(df: DataFrame, names: list[str], k: int, exact: bool) -> DataFrame:
-    """A few rows per column: its statistics, its distinct count and spread values, its top values."""
-    per_type = value_counts(df, names)
+def _profile_rows(df: DataFrame, names: list[str], counts: dict[str, DataFrame], k: int) -> DataFrame:
+    """A few rows per column: its statistics, its distinct count, its top and its smallest values."""
     stats = column_stats(df, names)
-    # Both kinds of rows from one grouped count, whose shuffle is planned once and reused.
-    counted = union_all(_spread_values(v, k) for v in per_type)
-    top = union_all(_ranked(v, F.desc("n"), k) for v in per_type)
-    parts = [
-        stats.select("column", F.struct(*stats.columns[1:]).alias("stats")),
-        counted.select("column", "unique_count", "spread"),
-        top.select("column", "rank", "value"),
-    ]
-    if not exact:
-        parts[1] = parts[1].drop("unique_count")
-        parts.append(distinct_counts(df, names, exact=False))
+    parts = [stats.select("column", F.struct(*stats.columns[1:]).alias("stats"))]
+    # All kinds of rows come from one grouped count, whose shuffle is planned once and reused.
+    for kind, c in counts.items():
+        parts.append(c.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("unique_count")))
+        for frequent in (True, False):
+            picked = ranked(c, k, frequent) if kind == "string" else _ranked(c, k, frequent)
+            parts.append(picked.withColumn("frequent", F.lit(frequent)).withColumn("rank", F.col("rank").cast("long")))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part, allowMissingColumns=True)
+    for name, kind in (("unique_count", "long"), ("head", "string"), ("value", "string"), ("_a", "long"), ("_b", "long"), ("frequent", "boolean"),
+                       ("rank", "long"), ("n", "long")):
+        if name not in whole.columns:
+            whole = whole.withColumn(name, F.lit(None).cast(kind))
     return whole
 
 

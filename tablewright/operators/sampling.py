@@ -58,8 +58,3 @@ def sample(df: DataFrame, order: Sequence[str], n: int = SAMPLE_SIZE, seed: int
     if method == "three_bucket":
         return three_bucket_sample(df, order, n, seed)
     raise ValueError(f"unknown sampling method: {method}")
-
-
-def fraction_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Cheap Bernoulli sample; its size is only approximate."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)

@@ -95,6 +95,28 @@ def top5_values(spark, sf):
         A.top_values(table(spark, sf, "part"), ["p_name", "p_brand", "p_type", "p_size"]))
 
 
+def _least_sql(source: str, columns: list[str], prefix: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{prefix}{c}' AS \"column\", rank, value, n FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n,"
+        f" row_number() OVER (ORDER BY {c}) AS rank FROM {source} WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 5" for c in columns)
+
+
+@query("sample_values", _least_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"], "d_")
+       + " UNION ALL " + _least_sql("conversations", ["conv_id", "turn", "role", "text"], "c_"))
+def sample_values(spark, sf):
+    found = [A.sample_values(table(spark, sf, t)).withColumn("column", F.concat(F.lit(p), "column"))
+             for t, p in (("documents", "d_"), ("conversations", "c_"))]
+    return found[0].unionByName(found[1])
+
+
+@query("top_texts", _top_sql("documents", ["text", "source"]) + " UNION ALL " + _top_sql("benchmark", ["text"]).replace("'text' AS", "'benchmark' AS")
+       + " UNION ALL " + _top_sql("conversations", ["role", "text"]).replace("'text' AS", "'turn_text' AS"))
+def top_texts(spark, sf):
+    return A.top_values(table(spark, sf, "documents"), ["text", "source"]).unionByName(
+        A.top_values(table(spark, sf, "benchmark").select(F.col("text").alias("benchmark")))).unionByName(
+        A.top_values(table(spark, sf, "conversations").select("role", F.col("text").alias("turn_text"))))
+
+
 @query("approx_top_values", "SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 2"
        " UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2")
 def approx_top_values(spark, sf):
@@ -316,8 +338,7 @@ def latest_schema(spark, sf):
 
 
 def _shape(c: str) -> str:
-    s = f"regexp_replace({c}, '[a-zA-Z]', 'A', 'g')"
-    return f"CASE WHEN length({c}) > 64 THEN sha256({s}) ELSE {s} END"
+    return f"regexp_replace({c}, '[a-zA-Z]', 'A', 'g')"
 
 
 def _patterns_sql(source: str, columns: list[str]) -> str:
@@ -334,7 +355,7 @@ def string_patterns(spark, sf):
         N.common_patterns(table(spark, sf, "supplier"), ["s_name"]))
 
 
-@query("text_patterns", _patterns_sql("conversations", ["role", "text"]))
+@query("text_patterns", _patterns_sql("conversations", ["role", "text"]) + " UNION ALL " + _patterns_sql("documents", ["text", "lang", "source"]).replace("'text' AS", "'document' AS"))
 def text_patterns(spark, sf):
-    turns = table(spark, sf, "conversations")
-    return N.common_patterns(turns, string_columns(turns))
+    turns, documents = table(spark, sf, "conversations"), table(spark, sf, "documents").withColumnRenamed("text", "document")
+    return N.common_patterns(turns, string_columns(turns)).unionByName(N.common_patterns(documents, string_columns(documents)))

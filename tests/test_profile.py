@@ -49,6 +49,21 @@ def test_long_texts_are_counted_by_digest_and_shown_whole(spark):
     assert A.top_values(df).orderBy("rank").first()["value"] == long
 
 
+def test_texts_that_agree_in_their_first_characters(spark):
+    same = "the same beginning of all the texts, " * 3
+    texts = [same + c for c in "hgfedcba"] + ["zz", "zz", "yy", "yy"] + [same + "b"] * 2 + [same + "g"] * 2
+    df = spark.createDataFrame([(t, t[::-1]) for t in texts], "t string, back string").repartition(5)
+    for k in (1, 2, 3, 5, 20):
+        count = {t: texts.count(t) for t in texts}
+        top = [r["value"] for r in A.top_values(df, ["t"], k).orderBy("rank").collect()]
+        assert top == sorted(count, key=lambda t: (-count[t], t))[:k]
+        rows = A.sample_values(df, ["t", "back"], k).orderBy("column", "rank").collect()
+        assert [r["value"] for r in rows if r["column"] == "t"] == sorted(count)[:k]
+        assert [r["value"] for r in rows if r["column"] == "back"] == sorted(t[::-1] for t in count)[:k]
+    row = by_column(A.profile(df))["t"]
+    assert row["top_5_values"] == sorted(count, key=lambda t: (-count[t], t))[:5] and row["sample_values"] == sorted(count)[:5]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a int, b string")
     prof = by_column(A.profile(df))
