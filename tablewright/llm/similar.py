@@ -185,10 +185,10 @@ def outlines(sets: DataFrame, expand: Expand, words: int) -> DataFrame:
 
 def shared_bands(banded: DataFrame) -> DataFrame:
     """The rows (id, band) of ``banded`` whose band key has another id, in a stored table."""
-    # One exchange serves both sides: they read the same two columns.
-    dealt = banded.select("id", "band").repartition("band")
-    shared = dealt.groupBy("band").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low < _high").select("band")
-    return store(dealt.join(shared, "band", "left_semi").select("id", "band"), "bands")
+    # One exchange and one sort: a join with the counted keys would make and move all rows twice.
+    every = Window.partitionBy("band")
+    marked = banded.select("id", "band").withColumns({"_low": F.min("id").over(every), "_high": F.max("id").over(every)})
+    return store(marked.where("_low < _high").select("id", "band"), "bands")
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
