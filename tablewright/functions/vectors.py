@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-# Query vectors scored in one scan; more are taken in further scans.
-QUERIES_PER_SCAN = 256
+from tablewright.functions.columns import col
+
+# Rows and queries that meet in one cell on average.
+CELL_ROWS, CELL_QUERIES = 32_768, 2048
 
 
 def cosine_to(vector: str, query: Sequence[float]) -> Column:
@@ -31,66 +34,70 @@ def most_similar(df: DataFrame, vector: str, query: Sequence[float], k: int = 5,
         .withColumn("similarity", F.round("_similarity", 4)).drop("_similarity"))
 
 
-def nearest(df: DataFrame, key: str, vector: str, queries: Sequence[tuple[object, Sequence[float]]],
+def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame | Sequence[tuple[object, Sequence[float]]],
             k: int = 5) -> DataFrame:
     """``(query, key, similarity, rank)``: the k nearest rows of each query vector, ties by key.
 
-    Each task scores its rows a batch at a time against all query vectors and
-    passes on k rows per query, so no row-query pairs are shuffled.
+    ``queries`` is a frame of any size whose first two columns are the query's name and
+    its vector, or a short list of such pairs. Blocks of queries meet blocks of rows on a grid of cells; a cell passes on k
+    rows for each of its queries, so no row-query pairs are shuffled, and neither side is held whole
+    anywhere. Null and zero vectors, and those of another length than the query's, are nobody's neighbours.
     """
-    if not queries:
-        raise ValueError("no query vectors")
-    key_type = df.schema[key].dataType.simpleString()
-    label_type = df.sparkSession.createDataFrame([(queries[0][0],)]).schema[0].dataType.simpleString()
-    schema = f"query {label_type}, `{key}` {key_type}, _similarity double"
-    best = None
-    for i in range(0, len(queries), QUERIES_PER_SCAN):
-        part = df.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(
-            _scorer(key, vector, queries[i:i + QUERIES_PER_SCAN], k), schema)
-        best = part if best is None else best.unionByName(part)
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("_similarity"), F.asc(key)))
+    if not isinstance(queries, DataFrame):
+        if not queries:
+            raise ValueError("no query vectors")
+        queries = df.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in queries])
+    label, asked = queries.columns[:2]
+    rows = df.select(col(key).alias("_key"), col(vector).cast("array<double>").alias("_vector")).where("_vector IS NOT NULL")
+    wanted = queries.select(col(label).alias("query"), col(asked).cast("array<double>").alias("_asked")).where("_asked IS NOT NULL")
+    n_rows, n_queries = rows.count(), wanted.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    across = max(-(-n_queries // CELL_QUERIES), 1)
+    down = max(-(-n_rows // CELL_ROWS), min(-(-2 * cores // across), -(-n_rows // 256)), 1)
+    left = (wanted.withColumn("_size", F.size("_asked")).withColumn("_across", F.pmod(F.xxhash64("query", "_asked"), F.lit(across)).cast("int"))
+            .withColumn("_down", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))))
+    right = (rows.withColumn("_size", F.size("_vector")).withColumn("_down", F.pmod(F.xxhash64("_key", "_vector"), F.lit(down)).cast("int"))
+             .withColumn("_across", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))))
+    cell = ["_size", "_across", "_down"]
+    schema = T.StructType([wanted.schema["query"], rows.schema["_key"], T.StructField("_similarity", T.DoubleType())])
+    best = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell(k), schema)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("_similarity"), F.asc("_key")))
     return (
         best.withColumn("rank", rank).where(F.col("rank") <= k)
-        .select("query", key, F.round("_similarity", 4).alias("similarity"), F.col("rank").cast("long").alias("rank")))
-
-
-def _scorer(key: str, vector: str, queries: Sequence[tuple[object, Sequence[float]]], k: int):
-    labels = [q for q, _ in queries]
-    matrix = np.array([v for _, v in queries], dtype=np.float64)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object)) for _ in labels]
-        key_type = label_type = None
-        for batch in batches:
-            keys = batch.column(0)
-            key_type = keys.type
-            values = batch.column(1)
-            rows = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
-            lengths = np.linalg.norm(rows, axis=1)
-            lengths[lengths == 0] = np.nan
+        .select("query", F.col("_key").alias(key), F.round("_similarity", 4).alias("similarity"), F.col("rank").cast("long").alias("rank")))
+
+
+def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    rows = values.reshape(-1, size) if size else np.zeros((len(column), 0))
+    lengths = np.linalg.norm(rows, axis=1)
+    lengths[lengths == 0] = np.nan
+    return rows / lengths[:, None]
+
+
+def _cell(k: int):
+    def score(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        size = key[0].as_py()
+        queries, names = asked.column("query"), rows.column("_key")
+        matrix, vectors = _matrix(asked.column("_asked"), size), _matrix(rows.column("_vector"), size)
+        # Ties go to the smaller key: rows are put in its order once, and sorts are stable.
+        order = pc.sort_indices(names).to_numpy() if len(rows) else np.zeros(0, np.int64)
+        vectors, picked, scores = vectors[order], [], []
+        for at in range(0, len(matrix), 512):
             # Rounded so that equal vectors tie whatever the order of summation.
-            scores = np.round((rows @ matrix.T) / lengths[:, None], 10)
-            names = np.array(keys.to_pylist(), dtype=object)
-            for j in range(len(labels)):
-                s, n = kept[j]
-                good = ~np.isnan(scores[:, j])
-                s, n = np.concatenate([s, scores[good, j]]), np.concatenate([n, names[good]])
-                if len(s) > k:
+            found = np.round(matrix[at:at + 512] @ vectors.T, 10)
+            for j, line in enumerate(found):
+                good = np.flatnonzero(~np.isnan(line))
+                if len(good) > k:
                     # Everything tied with the k-th score stays until the key decides.
-                    near = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    s, n = s[near], n[near]
-                    order = sorted(range(len(s)), key=lambda i: (-s[i], n[i]))[:k]
-                    s, n = s[order], n[order]
-                kept[j] = (s, n)
-        if key_type is None:
-            return
-        queries_out = [labels[j] for j, (s, _) in enumerate(kept) for _ in s]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(queries_out, type=label_type),
-            pa.array([n for _, names in kept for n in names], type=key_type),
-            pa.array([float(x) for s, _ in kept for x in s], type=pa.float64()),
-        ], names=["query", key, "_similarity"])
+                    least = np.partition(line[good], len(good) - k)[len(good) - k]
+                    good = good[line[good] >= least]
+                good = good[np.argsort(-line[good], kind="stable")][:k]
+                picked += [(at + j, i) for i in good.tolist()]
+                scores += line[good].tolist()
+        who = pa.array([q for q, _ in picked], pa.int64())
+        which = pa.array([int(order[i]) for _, i in picked], pa.int64())
+        return pa.Table.from_arrays([queries.take(who), names.take(which), pa.array(scores, pa.float64())], names=["query", "_key", "_similarity"])
 
     return score
 

@@ -1,4 +1,4 @@
-"""Semantic type inference over whole columns, in one aggregate."""
+"""Semantic type inference over whole columns, in one scan."""
 
 from __future__ import annotations
 
@@ -7,19 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.functions import sql as S
-from tablewright.functions.columns import TEMPORAL, fields, is_integral, type_name
-from tablewright.operators.profile import union_all
+from tablewright.functions.columns import TEMPORAL, col, fields, is_integral, type_name
 from tablewright.schemas import SEMANTIC_SCHEMA
 
 # Shares of the non-blank values that must fit.
 NUMERIC_SHARE = 0.90
 DATE_SHARE = 0.70
 
-# Columns tested by one aggregate. More of them make a generated method the JVM
-# will not compile; separate passes over other columns read no byte twice.
-COLUMNS_PER_PASS = 3
-
-
 def infer_schema(df: DataFrame, columns: Iterable[str] | None = None,
                  numeric_share: float = NUMERIC_SHARE, date_share: float = DATE_SHARE) -> DataFrame:
     """One row per column (``SEMANTIC_SCHEMA``): numeric, then date, then boolean, then as it is.
@@ -28,8 +22,7 @@ def infer_schema(df: DataFrame, columns: Iterable[str] | None = None,
     time; native numbers and temporal columns need no cast.
     """
     chosen = fields(df, columns)
-    passes = [chosen[i:i + COLUMNS_PER_PASS] for i in range(0, len(chosen), COLUMNS_PER_PASS)]
-    tests = union_all(_tests(df, p) for p in passes)
+    tests = _tests(df, chosen)
     filled = "values > 0"
     as_text = "kind = 'text'"
     numeric = f"{filled} AND {as_text} AND try_divide(numeric_hits, values) >= {numeric_share}"
@@ -56,56 +49,53 @@ def infer_schema(df: DataFrame, columns: Iterable[str] | None = None,
     )
 
 
+# What one cell is, as a number: nothing, blank, or the sum of what its text could be.
+_NULL, _BLANK, _VALUE, _NUMERIC, _BOOLEAN, _FORMAT = 0, 1, 2, 4, 8, 16
+
+
 def _tests(df: DataFrame, chosen: list[T.StructField]) -> DataFrame:
-    """Per column the raw counts the decision needs.
+    """Per column the raw counts the decision needs, from one scan however many columns there are.
 
-    Every text cell is trimmed and classified once, in projections below the
-    aggregate; the aggregate itself only counts small flags.
+    Every cell becomes a row (position, kind, text) that never leaves its task: it is trimmed and classified
+    once, by code that does not grow with the columns, and what is shuffled are the counts of the few dozen classes of each column.
     """
-    trimmed, flags, aggregates, rows = [], [], [], []
+    cells = []
     for i, f in enumerate(chosen):
-        c, t, kind = S.quote(f.name), f"t_{i}", "native"
-        numeric, boolean, dated = "0L", "false", False
-        trimmed.append(f"{c} AS {t}")
-        aggregates.append(f"count_if({t} IS NULL) AS nulls_{i}")
-        values = f"count({t})"
+        c = col(f.name)
         if isinstance(f.dataType, T.StringType):
-            kind, dated = "text", True
-            trimmed[-1] = f"{S.stripped(c)} AS {t}"
-            flags += [
-                f"{t} <> '' AND {S.currency_text(t)} RLIKE r'{S.FLOAT_OR_NAN}' AS f_{i}",
-                f"CASE WHEN length({t}) IN (8, 10) THEN {_format_code(t)} END AS d_{i}",
-                f"CASE WHEN {t} <> '' THEN length({t}) <= 5 AND lower({t}) IN"
-                f" ({S.tokens(S.BOOLEAN_FALSE + S.BOOLEAN_TRUE)}) END AS b_{i}",
-            ]
-            values, numeric = f"count_if({t} <> '')", f"count_if(f_{i})"
-            boolean = f"coalesce(bool_and(b_{i}), false)"
+            kind, text = "text", c
         elif isinstance(f.dataType, T.BooleanType):
-            boolean = f"count({t}) >= 0"
+            kind, text = "flag", F.when(c.isNotNull(), "true")
         elif is_integral(f.dataType):
-            boolean = f"coalesce(bool_and({t} IN (0, 1)), false)"
-            if any(k in f.name.lower() for k in ("date", "time")):
-                dated = True
-                flags.append(f"{_format_code(f'CAST({t} AS STRING)')} AS d_{i}")
-        elif isinstance(f.dataType, TEMPORAL):
-            kind = "temporal"
-        aggregates += [f"{values} AS values_{i}", f"{boolean} AS boolean_{i}"]
-        if numeric != "0L":
-            aggregates.append(f"{numeric} AS numeric_{i}")
-            numeric = f"numeric_{i}"
-        hits = "CAST(array() AS array<struct<label:string,hits:bigint>>)"
-        if dated:
-            aggregates += [f"count_if(d_{i} = {j}) AS date_{i}_{j}" for j in range(len(S.DATE_PATTERNS))]
-            entries = ", ".join(f"named_struct('label', '{label}', 'hits', date_{i}_{j})"
-                                for j, (label, _) in enumerate(S.DATE_PATTERNS))
-            hits = f"filter(array({entries}), e -> e.hits > 0)"
-        rows.append(
-            f"named_struct('column', {S.literal(f.name)}, 'original_type', {S.literal(type_name(f.dataType))},"
-            f" 'kind', '{kind}', 'nulls', nulls_{i}, 'values', values_{i}, 'numeric_hits', {numeric},"
-            f" 'all_boolean', boolean_{i}, 'date_hits', {hits})"
-        )
-    wide = df.selectExpr(*trimmed).selectExpr("*", *flags).agg(*[F.expr(a) for a in aggregates])
-    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
+            # A whole number speaks of a date only if its name does.
+            kind, text = "dated" if any(k in f.name.lower() for k in ("date", "time")) else "whole", c.cast("string")
+        else:
+            kind, text = "temporal" if isinstance(f.dataType, TEMPORAL) else "native", F.when(c.isNotNull(), "x")
+        cells.append(F.struct(F.lit(i).alias("i"), F.lit(kind).alias("cell"), text.alias("text")))
+    rows = df.select(F.inline(F.array(*cells))).select("i", "cell", F.expr(S.stripped("text")).alias("t"))
+    format_ = f"CASE WHEN cell IN ('text', 'dated') AND (cell = 'dated' OR length(t) IN (8, 10)) THEN {_format_code('t')} END"
+    numeric = f"cell = 'text' AND {S.currency_text('t')} RLIKE r'{S.FLOAT_OR_NAN}'"
+    boolean = (f"CASE cell WHEN 'text' THEN length(t) <= 5 AND lower(t) IN ({S.tokens(S.BOOLEAN_FALSE + S.BOOLEAN_TRUE)})"
+               " WHEN 'flag' THEN true WHEN 'whole' THEN t IN ('0', '1') WHEN 'dated' THEN t IN ('0', '1') ELSE false END")
+    code = (f"CASE WHEN t IS NULL THEN {_NULL} WHEN t = '' THEN {_BLANK} ELSE {_VALUE} + if({numeric}, {_NUMERIC}, 0) + if({boolean}, {_BOOLEAN}, 0)"
+            f" + {_FORMAT} * coalesce({format_} + 1, 0) END")
+    counts = rows.select("i", F.expr(code).alias("code")).groupBy("i", "code").agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame(
+        [(i, f.name, type_name(f.dataType), "text" if isinstance(f.dataType, T.StringType) else "temporal" if isinstance(f.dataType, TEMPORAL) else "native",
+          isinstance(f.dataType, T.BooleanType)) for i, f in enumerate(chosen)], "i int, column string, original_type string, kind string, flag boolean")
+    hits = [f"named_struct('label', '{label}', 'hits', sum(if(code >= {_FORMAT} AND code div {_FORMAT} = {j + 1}, n, 0L)))"
+            for j, (label, _) in enumerate(S.DATE_PATTERNS)]
+    tested = counts.groupBy("i").agg(
+        F.expr(f"sum(if(code = {_NULL}, n, 0L))").alias("nulls"), F.expr(f"sum(if(code >= {_VALUE}, n, 0L))").alias("values"),
+        F.expr(f"sum(if(code & {_NUMERIC} > 0, n, 0L))").alias("numeric_hits"), F.expr(f"sum(if(code & {_BOOLEAN} > 0, n, 0L))").alias("boolean_hits"),
+        F.expr(f"filter(array({', '.join(hits)}), e -> e.hits > 0)").alias("date_hits"))
+    whole = F.broadcast(names).join(tested, "i", "left")
+    none = "CAST(array() AS array<struct<label:string,hits:bigint>>)"
+    return whole.select(
+        "column", "original_type", "kind", F.coalesce("nulls", F.lit(0)).alias("nulls"), F.coalesce("values", F.lit(0)).alias("values"),
+        F.coalesce("numeric_hits", F.lit(0)).alias("numeric_hits"),
+        (F.col("flag") | F.coalesce((F.col("values") > 0) & (F.col("boolean_hits") == F.col("values")), F.lit(False))).alias("all_boolean"),
+        F.expr(f"coalesce(date_hits, {none})").alias("date_hits"))
 
 
 def _format_code(text: str) -> str:
