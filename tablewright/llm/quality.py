@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm import statistics as st, text as tx
-from tablewright.llm.tables import labelled_sample, with_columns
+from tablewright.llm.tables import fit_sample, labelled_sample, with_columns
 
 SAMPLE, LONGEST = 6000, 20_000
 #: Hash buckets, of which words and shapes share all; dense features come after them.
@@ -139,10 +139,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     score or predicted are replaced. An empty table stays empty.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", sample, longest)))
+    model = spark.sparkContext.broadcast(fit_sample(labelled_sample(docs, labels, "quality", sample, longest), lambda rows: vars(train(rows))))
 
     def work():
-        machine = model.value
+        machine = FactorisationMachine(0)
+        vars(machine).update(model.value)
 
         def run(array: pa.Array, n_chars: pa.Array) -> dict[str, np.ndarray]:
             found = machine.scores(features(array, n_chars.to_numpy(zero_copy_only=False)))

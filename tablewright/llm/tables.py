@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -101,11 +102,11 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int) -> list[tuple[str, int, int]]:
-    """At most ``limit`` labelled (text, n_chars, label) rows outside the held-out fold, chosen by a hash of their id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, longest: int) -> DataFrame:
+    """At most ``limit`` labelled rows (text, n_chars, label) outside the held-out fold, chosen by a hash of their id.
 
     Texts of over ``longest`` characters and rows without text or label are passed
-    over, so at most ``limit * longest`` characters reach the driver. Of rows with one
+    over, so the sample has at most ``limit * longest`` characters. Of rows with one
     id the least text counts. The choice does not depend on how the tables are partitioned.
     """
     names = set(docs.columns)
@@ -118,5 +119,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     ids = rows.select("doc_id").join(marks, "doc_id").distinct().orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(limit)
     chosen = rows.join(F.broadcast(store(ids, "sample")), "doc_id").groupBy("doc_id", "_label").agg(
         F.min(F.struct("text", "n_chars")).alias("_row"))
-    found = chosen.select("_row.text", "_row.n_chars", "_label").toArrow()
-    return sorted(zip(*(c.to_pylist() for c in found.columns)), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
+    return chosen.select("_row.text", "_row.n_chars", F.col("_label").alias("label"))
+
+
+def fit_sample(sample: DataFrame, fit: Callable[[list[tuple[str, int | None, int]]], object]) -> object:
+    """What ``fit`` makes of the rows of a bounded sample, in their order by value.
+
+    One task holds the sample and returns the model alone, so that neither texts nor features reach the driver.
+    ``fit`` returns arrays and plain values: a worker's classes need not be those of the driver.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])

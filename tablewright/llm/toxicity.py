@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from tablewright.llm.tables import labelled_sample, with_columns
+from tablewright.llm.tables import fit_sample, labelled_sample, with_columns
 
 SAMPLE, LONGEST = 6000, 20_000
 THRESHOLD = 0.3
@@ -144,6 +144,13 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(min(margin, 50), -50)))
 
 
+def learned(rows: list[tuple[str, int, int]]) -> tuple[dict, set, np.ndarray]:
+    """Weights, harmless phrases and curve of the lexicon that has learned the rows."""
+    lexicon = Lexicon()
+    lexicon.learn(rows)
+    return lexicon.weights, lexicon.harmless, lexicon.curve
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted.
 
@@ -153,12 +160,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     without an entry. Null ids and repeated rows are scored like others; columns named
     score or predicted are replaced. An empty table stays empty.
     """
-    lexicon = Lexicon()
-    lexicon.learn(labelled_sample(docs, labels, "toxic", sample, longest))
-    model = docs.sparkSession.sparkContext.broadcast(lexicon)
+    model = docs.sparkSession.sparkContext.broadcast(fit_sample(labelled_sample(docs, labels, "toxic", sample, longest), learned))
 
     def work():
-        known = model.value
+        known = Lexicon()
+        known.weights, known.harmless, known.curve = model.value
         automaton = known.automaton()
 
         def run(array: pa.Array) -> dict[str, np.ndarray]:
