@@ -35,9 +35,10 @@ def _converted(f: T.StructField, rate: float = DEFAULT_RATE, **_: Any) -> str:
     return f"({_currency(f)}) * {float(rate)!r}D"
 
 
-def _date(f: T.StructField, **_: Any) -> str:
+def _date(f: T.StructField, keep_time: bool = False, **_: Any) -> str:
+    """The day; with ``keep_time`` a timestamp stays as it is."""
     if isinstance(f.dataType, C.TEMPORAL):
-        return f"to_date({S.quote(f.name)})"
+        return S.quote(f.name) if keep_time else f"to_date({S.quote(f.name)})"
     return S.mixed_date(_as_text(f))
 
 
@@ -88,7 +89,7 @@ class ColumnTransform:
 
 @dataclass(frozen=True)
 class DedupById:
-    """Keep the first row per id; the order columns decide which is first."""
+    """Keep the first row per id; the order columns decide which is first. Rows without an id are not repeats of each other."""
 
     name: str = "dedup_by_id"
 
@@ -96,12 +97,12 @@ class DedupById:
         return list(columns) if columns is not None else C.id_columns(df)[:1]
 
     def apply(self, df: DataFrame, columns: Iterable[str] | None = None, order: Sequence[str] = (),
-              keep_null_keys: bool = False) -> DataFrame:
+              keep_null_keys: bool = True) -> DataFrame:
         keys = self._keys(df, columns)
         return keep_first(df, keys, list(order) or df.columns, keep_null_keys) if keys else df
 
     def sql(self, df: DataFrame, source: str, columns: Iterable[str] | None = None, order: Sequence[str] = (),
-            keep_null_keys: bool = False) -> str:
+            keep_null_keys: bool = True) -> str:
         keys = self._keys(df, columns)
         if not keys:
             return f"SELECT * FROM {source}"
@@ -150,6 +151,47 @@ class RegisteredTransform:
         return [(i, o) for o in self.outputs for i in self.inputs]
 
 
+@dataclass(frozen=True)
+class ArrowTransform:
+    """A user function from Arrow arrays of the declared inputs to arrays of the declared outputs, a batch at a time.
+
+    Only the inputs are handed over; other columns pass by. ``outputs`` are columns in DDL form, which
+    replace columns of the same name. Lineage follows from the declaration.
+    """
+
+    name: str
+    fn: Callable[..., Sequence[Any]]
+    inputs: tuple[str, ...]
+    outputs: T.StructType
+
+    def apply(self, df: DataFrame, columns: Sequence[str] | None = None, **params: Any) -> DataFrame:
+        given = list(columns) if columns is not None else list(self.inputs)
+        if len(given) != len(self.inputs):
+            raise ValueError(f"{self.name} takes {len(self.inputs)} columns")
+        C.fields(df, given)
+        made = [f.name for f in self.outputs]
+        kept = [c for c in df.columns if c not in made]
+        # Inputs come after the kept columns, under names of their own.
+        rows = df.select(*[C.col(c) for c in kept], *[C.col(c).alias(f"_input_{i}_") for i, c in enumerate(given)])
+        schema = T.StructType([*df.select(*[C.col(c) for c in kept]).schema.fields, *self.outputs.fields])
+        fn, n, names = self.fn, len(kept), [*kept, *made]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                arrays = fn(*batch.columns[n:], **params)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[a if isinstance(a, pa.Array) else pa.array(a) for a in arrays]], names=names)
+
+        return rows.mapInArrow(run, schema)
+
+    def sql(self, df: DataFrame, source: str, columns: None = None, **params: Any) -> str:
+        raise ValueError(f"{self.name} is a registered function without a SQL form")
+
+    def edges(self, df: DataFrame, columns: Sequence[str] | None = None, **_: Any) -> list[tuple[str, str]]:
+        return [(i, f.name) for f in self.outputs for i in (columns or self.inputs)]
+
+
 def _strings_named(*keywords: str) -> Callable[[DataFrame], list[str]]:
     return lambda df: [c for c in C.name_contains(df, *keywords) if c in C.string_columns(df)]
 
@@ -269,6 +311,13 @@ def register_transform(name: str, fn: Callable[..., DataFrame], inputs: Sequence
     TRANSFORMS[name] = RegisteredTransform(name, fn, tuple(inputs), tuple(outputs))
 
 
+def register_arrow_transform(name: str, fn: Callable[..., Sequence[Any]], inputs: Sequence[str], outputs: str) -> None:
+    """Make a function on Arrow arrays available by name: ``fn(*inputs, **params)`` returns one array for each column of ``outputs`` (DDL)."""
+    if name in TRANSFORMS and not isinstance(TRANSFORMS[name], ArrowTransform):
+        raise ValueError(f"{name} is a transform already")
+    TRANSFORMS[name] = ArrowTransform(name, fn, tuple(inputs), T._parse_datatype_string(outputs))
+
+
 def apply_transform(df: DataFrame, name: str, columns: Iterable[str] | None = None, **params: Any) -> DataFrame:
     return transform(name).apply(df, columns, **params)
 

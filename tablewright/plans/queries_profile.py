@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import string_columns
-from tablewright.operators import anomalies as N, drift as D, infer, profile as A, rows, sampling as S
+from tablewright.functions.columns import col, string_columns
+from tablewright.functions.sql import quote
+from tablewright.operators import anomalies as N, drift as D, infer, profile as A, rows, sampling as S, sketches as K
+from tablewright.operators.transforms import ColumnTransform
 from tablewright.plans.registry import query, table
 
 LINEITEM = {
@@ -132,6 +134,25 @@ def distinct_counts(spark, sf):
     return A.distinct_counts(table(spark, sf, "events"), ["user_id", "event_type", "value", "props"])
 
 
+_SKETCHED = {"l_returnflag": "STRING", "l_linestatus": "STRING", "l_quantity": "DOUBLE", "l_discount": "DOUBLE", "l_tax": "DOUBLE", "l_linenumber": "INT"}
+
+
+@query("sketch_profile", profile_sql("lineitem", _SKETCHED))
+def sketch_profile(spark, sf):
+    # Three loads of the table, each profiled by itself; only their states are merged.
+    lines = table(spark, sf, "lineitem")
+    states = A.union_all(K.sketch(lines.where(F.col("l_orderkey") % 3 == r), list(_SKETCHED)) for r in range(3))
+    return _flat(K.sketch_profile(K.merge_sketches(states)))
+
+
+@query("quoted_columns", "SELECT o_orderkey AS \"order key\", o_totalprice AS \"price (gbp)\", o_orderstatus AS \"a.b`c\", 'é' || o_orderpriority AS \"Ünïcode, name\" FROM orders")
+def quoted_columns(spark, sf):
+    names = {"o_orderkey": "order key", "o_totalprice": "price (gbp)", "o_orderstatus": "a.b`c", "o_orderpriority": "Ünïcode, name"}
+    odd = table(spark, sf, "orders").select(*[col(c).alias(n) for c, n in names.items()])
+    # Names of any kind go through a projection by name and a column transform.
+    return ColumnTransform("marked", lambda df: ["Ünïcode, name"], lambda f: f"concat('é', {quote(f.name)})").apply(odd.select(*map(col, names.values())))
+
+
 @query("duplicate_rows", "SELECT count(*) AS total_rows,"
        " (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS distinct_rows,"
        " count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))"

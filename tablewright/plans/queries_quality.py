@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tablewright.operators import (
-    anomalies as N, checks as Q, constraints as V, infer, profile as A, rows, transforms as TR)
+    anomalies as N, checks as Q, constraints as V, domain as M, infer, profile as A, rows, transforms as TR)
 from tablewright.plans.registry import query, table
 from tablewright.rules import COUNTRY_VARIANTS, CURRENCY_CODES
 
@@ -346,6 +346,45 @@ def sensitive_columns(spark, sf):
     return V.sensitive_columns(columns)
 
 
+_LINE_SHOP = ("l_orderkey, l_extendedprice - 1500 AS unit_price, l_quantity - 3 AS quantity, l_linenumber = 1 AS is_return,"
+              " CASE WHEN l_returnflag = 'A' THEN 'UK' ELSE 'Atlantis' END AS country, {d} AS ship_date")
+_ORDER_PAY = "o_orderkey % 500 AS transaction_id, o_totalprice - 20000 AS amount, CASE WHEN o_orderkey % 11 = 0 THEN 'gbp' ELSE 'GBP' END AS currency, {d} AS order_date"
+
+
+def _domain_rule(dataset: str, name: str, column: str, test: str, source: str) -> str:
+    return f"SELECT '{dataset}' AS dataset, * FROM ({_rule(name, column, test, source)})"
+
+
+_LINE_SHOP_SQL = "SELECT " + _LINE_SHOP.format(d="strftime(l_shipdate, '%d/%m/%Y')") + " FROM lineitem"
+_ORDER_PAY_SQL = "SELECT " + _ORDER_PAY.format(d="strftime(o_orderdate, '%Y-%m-%d')") + " FROM orders"
+
+
+@query("domain_checks", " UNION ALL ".join([
+    _domain_rule("lineitem", "unit_price_non_negative", "unit_price", "unit_price < 0", _LINE_SHOP_SQL),
+    _domain_rule("lineitem", "quantity_check", "quantity", "quantity < 0 AND NOT is_return", _LINE_SHOP_SQL),
+    _domain_rule("lineitem", "date_iso8601", "ship_date", "true", _LINE_SHOP_SQL),
+    _domain_rule("lineitem", "country_canonical", "country", "country <> 'UK'", _LINE_SHOP_SQL),
+    _domain_rule("orders", "amount_non_negative", "amount", "amount < 0", _ORDER_PAY_SQL),
+    _domain_rule("orders", "currency_code_format", "currency", "currency <> 'GBP'", _ORDER_PAY_SQL),
+    _domain_rule("orders", "date_iso8601", "order_date", "false", _ORDER_PAY_SQL),
+    f"SELECT 'orders', 'transaction_id_unique', 'transaction_id', count(*), count(*) = 0 FROM (SELECT 1 FROM ({_ORDER_PAY_SQL}) GROUP BY transaction_id HAVING count(*) > 1)"]))
+def domain_checks(spark, sf):
+    from tablewright.plans.queries_profile import _split
+    tables = {"lineitem": table(spark, sf, "lineitem").selectExpr(*_split(_LINE_SHOP.format(d="date_format(l_shipdate, 'dd/MM/yyyy')"))),
+              "orders": table(spark, sf, "orders").selectExpr(*_split(_ORDER_PAY.format(d="date_format(o_orderdate, 'yyyy-MM-dd')")))}
+    domains = spark.createDataFrame([("lineitem", "retail"), ("orders", "financial")], "dataset string, domain string")
+    # Rules meet the columns of all datasets in one join; each table is then read once for all its rules.
+    matched = M.rule_assignments(A.union_all([V.table_columns(df, name) for name, df in tables.items()]), domains).collect()
+    parts = []
+    for name, df in tables.items():
+        mine = {}
+        for r in matched:
+            if r["dataset"] == name:
+                mine.setdefault(r["rule"], []).append(r["column"])
+        parts.append(V.evaluate(df, mine, columns=mine).select(F.lit(name).alias("dataset"), "*"))
+    return A.union_all(parts)
+
+
 # --- comparisons ------------------------------------------------------------
 
 @query("referential_integrity",

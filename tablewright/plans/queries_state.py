@@ -6,8 +6,10 @@ from pyspark.sql import functions as F, types as T
 
 from tablewright.functions.vectors import mean_vectors, nearest
 from tablewright.operators import (
-    anomalies as N, catalogue as K, checks as Q, column_tests as CT, constraints as V, domain as M, incremental as I,
+    anomalies as N, catalogue as K, checks as Q, column_tests as CT, constraints as V, domain as M, drift as D, incremental as I,
     infer, profile as A, report as RP, runlog as RL)
+from tablewright.operators.transforms import Step
+from tablewright.plans.preparation import Preparation, State, prepare
 from tablewright.plans.registry import query, table
 from tablewright.rules import DOMAIN_KEYWORDS, DOMAIN_RULES
 from tablewright.session import scratch_path
@@ -241,6 +243,23 @@ def stream_incremental(spark, sf):
     return spark.read.parquet(f"{root}/out").select("event_id", "event_type", "value")
 
 
+@query("stream_late_rows", "WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS line FROM events)"
+       " SELECT event_id, event_type, value, false AS late FROM events UNION ALL"
+       " SELECT event_id, event_type, value, true FROM events, m WHERE ts < line UNION ALL"
+       " SELECT event_id + 1000000000, event_type, value, ts < line FROM events, m")
+def stream_late_rows(spark, sf):
+    root = scratch_path(spark, "late")
+    events = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    again = events.withColumn("event_id", F.col("event_id") + 1_000_000_000)
+    run = ST.split_late(f"{root}/out", f"{root}/late", f"{root}/state", "ts", ["event_id"])
+    # Three deliveries: all events, all of them again (repeats, or late by now), and as many others, of which the last day is in time.
+    for part in (events, events, again):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        ST.ingest_split(ST.new_file_rows(spark, f"{root}/in", events.schema), run, f"{root}/checkpoint").awaitTermination()
+    found = [spark.read.schema(events.schema).parquet(f"{root}/{p}").withColumn("late", F.lit(p == "late")) for p in ("out", "late")]
+    return found[0].unionByName(found[1]).select("event_id", "event_type", "value", "late")
+
+
 @query("stream_gate", "SELECT 'target' AS place, count(*) AS n FROM orders UNION ALL SELECT 'checks', 1 + 6 + 3 FROM orders GROUP BY 1")
 def stream_gate(spark, sf):
     root = scratch_path(spark, "gate")
@@ -253,6 +272,76 @@ def stream_gate(spark, sf):
         for p in ("target", "checks")])
 
 
+# --- whole runs -------------------------------------------------------------------
+
+
+def _prepared(spark, root, source, job, name="orders"):
+    return prepare(source, name, "parquet", name, job, f"{root}/state", f"{root}/out")
+
+
+def _outcomes(spark, rows):
+    return spark.createDataFrame(rows, "step string, status string, cached boolean, rows_input long, rows_output long")
+
+
+@query("cache_hits", "WITH n AS (SELECT count(*) AS a, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS b FROM orders)"
+       " SELECT 'first' AS step, 'success' AS status, false AS cached, a AS rows_input, a AS rows_output FROM n UNION ALL"
+       " SELECT 'same', 'success', true, a, a FROM n UNION ALL SELECT 'other rows', 'success', false, b, b FROM n")
+def cache_hits(spark, sf):
+    root, orders = scratch_path(spark, "hits"), table(spark, sf, "orders")
+    job = Preparation([], domain="unknown", keys=["o_orderkey"], drift_policy="accept", gate=())
+    rows = []
+    # The order of the rows makes no other data.
+    for step, source in (("first", orders), ("same", orders.repartition(3)), ("other rows", orders.where("o_orderkey % 2 = 0"))):
+        r = _prepared(spark, root, source, job)
+        rows.append((step, r.status, r.cached, r.rows_input, r.rows_output))
+    return _outcomes(spark, rows)
+
+
+@query("watermark_after_publish", "WITH d AS (SELECT *, o_orderkey % 3 AS load FROM orders) SELECT 'refused' AS step, 'failed' AS status, CAST(NULL AS VARCHAR) AS watermark,"
+       " count(*) FILTER (WHERE load = 0) AS rows_input FROM d UNION ALL"
+       " SELECT 'taken', 'success', CAST(max(o_orderkey) FILTER (WHERE load = 0) AS VARCHAR), count(*) FILTER (WHERE load = 0) FROM d UNION ALL"
+       " SELECT 'next', 'success', CAST(max(o_orderkey) AS VARCHAR), count(*) FILTER (WHERE o_orderkey > (SELECT max(o_orderkey) FROM d WHERE load = 0)) FROM d"
+       " HAVING count(*) FILTER (WHERE o_orderkey > (SELECT max(o_orderkey) FROM d WHERE load = 0)) > 0")
+def watermark_after_publish(spark, sf):
+    root, orders = scratch_path(spark, "marks"), table(spark, sf, "orders")
+    first, rows = orders.where("o_orderkey % 3 = 0"), []
+
+    def load(step, source, steps, gate):
+        job = Preparation(steps, domain="unknown", keys=["o_orderkey"], watermark_column="o_orderkey", drift_policy="accept", gate=gate)
+        result = _prepared(spark, root, source, job)
+        if result.status != "nothing_new":
+            mark = RL.last_watermarks(State(spark, f"{root}/state").runs()).first()
+            rows.append((step, result.status, mark["watermark_value"] if mark else None, result.rows_input))
+
+    # A load that its gate refuses leaves the watermark where it was, so the next one takes the same rows.
+    load("refused", first, [Step("dedup_by_id", ("o_orderstatus",), {"order": ("o_orderkey",)})], ("critical",))
+    load("taken", first, [], ("critical",))
+    load("next", orders, [], ())
+    return spark.createDataFrame(rows, "step string, status string, watermark string, rows_input long")
+
+
+@query("drift_gate", "SELECT policy, CASE WHEN change <> 'same' AND change <> 'added' AND policy = 'fail' THEN 'refused' WHEN change = 'same' THEN 'none'"
+       " WHEN change = 'added' THEN 'warning' ELSE 'critical' END AS outcome, change, (SELECT count(*) FROM customer) AS rows FROM"
+       " (SELECT unnest(['fail', 'warn', 'accept']) AS policy), (SELECT unnest(['same', 'added', 'dropped', 'retyped']) AS change)")
+def drift_gate(spark, sf):
+    customer = table(spark, sf, "customer")
+    kinds = {"same": customer, "added": customer.withColumn("extra", F.lit(1)), "dropped": customer.drop("c_acctbal"),
+             "retyped": customer.withColumn("c_acctbal", F.col("c_acctbal").cast("string"))}
+
+    def schema(df):
+        return A.column_stats(df).select("column", F.col("dtype").alias("type"))
+    rows, n = [], customer.count()
+    for change, df in kinds.items():
+        summary = A.settle(D.drift_summary(D.compare_schemas(schema(customer), schema(df))))
+        for policy in ("fail", "warn", "accept"):
+            try:
+                outcome = D.drift_gate(summary, policy)
+            except D.DriftError:
+                outcome = "refused"
+            rows.append((policy, outcome, change, n))
+    return spark.createDataFrame(rows, "policy string, outcome string, change string, rows long")
+
+
 # --- domains: orders read as datasets whose columns depend on their priority -------
 
 _SETS = {
@@ -363,8 +452,8 @@ _CENTRES = "SELECT label AS query, list(m ORDER BY i) AS centre FROM (SELECT lab
        " SELECT query, vec_id, round(sim, 4) AS similarity, rank FROM r WHERE rank <= 5")
 def nearest_vectors(spark, sf):
     vectors = table(spark, sf, "embeddings")
-    centres = [(r["label"], r["embedding"]) for r in mean_vectors(vectors, "label", "embedding").collect()]
-    return nearest(vectors, "vec_id", "embedding", sorted(centres), 5)
+    centres = mean_vectors(vectors, "label", "embedding").select(F.col("label").alias("query"), "embedding")
+    return nearest(vectors, "vec_id", "embedding", centres, 5)
 
 
 _MEAN = "SELECT list(m ORDER BY i) AS q FROM (SELECT i, avg(v::DOUBLE) AS m FROM (SELECT unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings) GROUP BY i)"
@@ -386,6 +475,16 @@ def _mean_vector(spark, sf):
     return mean_vectors(whole, "label", "embedding").first()["embedding"]
 
 
+@query("nearest_many", "WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id,"
+       " round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 10) AS sim FROM embeddings CROSS JOIN q),"
+       " r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS rank FROM s)"
+       " SELECT query, vec_id, round(sim, 4) AS similarity, rank FROM r WHERE rank <= 4")
+def nearest_many(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    return nearest(vectors, "vec_id", "embedding", asked, 4)
+
+
 @query("catalogue_search", f"SELECT vec_id AS catalogue_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT q FROM ({_MEAN}))), 4) AS similarity"
        " FROM embeddings ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], "
        f"(SELECT q FROM ({_MEAN}))), 10) DESC, vec_id LIMIT 5")

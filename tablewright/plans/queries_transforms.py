@@ -308,3 +308,21 @@ def columns_by_keyword(spark, sf):
     orders = table(spark, sf, "orders")
     return orders.select("o_orderkey", *name_contains(orders, "price", "date"), *[
         c for c in string_columns(orders) if c not in name_contains(orders, "price", "date")])
+
+
+def _check_digit(keys, modulus=97):
+    """Two check digits of each whole number, as ISO 7064 has them for a modulus of 97."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = keys.to_numpy(zero_copy_only=False).astype(np.int64)
+    digits = modulus + 1 - (values % modulus) * 100 % modulus
+    return [pa.array(digits), pa.array([f"{v}-{d:02d}" for v, d in zip(values.tolist(), digits.tolist())])]
+
+
+@query("registered_transform", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, 98 - (l_partkey % 97) * 100 % 97 AS check_digits,"
+       " l_partkey || '-' || lpad(CAST(98 - (l_partkey % 97) * 100 % 97 AS VARCHAR), 2, '0') AS checked_key FROM lineitem")
+def registered_transform(spark, sf):
+    TR.register_arrow_transform("check_digits", _check_digit, ["l_partkey"], "check_digits BIGINT, checked_key STRING")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return TR.apply_transform(lines, "check_digits")

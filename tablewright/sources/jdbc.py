@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,10 +23,23 @@ def jdbc_url(connection: str) -> str:
     return f"jdbc:{connection}"
 
 
+def split_credentials(url: str) -> tuple[str, str | None, str | None]:
+    """A JDBC address without ``user:password@``, which the driver does not read there, and both of them."""
+    head, mark, rest = url.partition("://")
+    host, slash, tail = rest.partition("/")
+    given, at, place = host.rpartition("@")
+    if not at:
+        return url, None, None
+    user, colon, password = given.partition(":")
+    return f"{head}{mark}{place}{slash}{tail}", unquote(user), unquote(password) if colon else None
+
+
 def jdbc_options(connection: str, table: str, partition_column: str | None = None, lower: object = None,
                  upper: object = None, partitions: int | None = None, **properties: str) -> dict[str, str]:
     """Reader options; with a partition column the table is read in parallel ranges."""
-    options = {"url": jdbc_url(connection), "dbtable": table, "fetchsize": "10000", **properties}
+    url, user, password = split_credentials(jdbc_url(connection))
+    given = {k: v for k, v in (("user", user), ("password", password)) if v is not None}
+    options = {"url": url, "dbtable": table, "fetchsize": "10000", **given, **properties}
     if partition_column is not None:
         if lower is None or upper is None or not partitions:
             raise ValueError("a partition column needs its bounds and a partition count")

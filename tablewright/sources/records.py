@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablewright.rules import ENVELOPE_KEYS
 
@@ -31,20 +31,32 @@ def unwrap(documents: DataFrame, keep: Sequence[str] = (), bare: bool | None = N
     become part of the result.
     """
     keys = _list_keys(documents)
-    parts, earlier = [], F.lit(True)
-    for k in keys:
-        mine = documents.where(earlier & F.col(k).isNotNull())
-        parts.append(mine.select(*keep, F.inline(k)))
-        earlier = earlier & F.col(k).isNull()
     names = [c for c in documents.columns if c not in keys]
-    if names:
-        plain = documents.where(earlier).select(*names)
-        if not keys or (not plain.isEmpty() if bare is None else bare):
-            parts.append(plain)
-    result = parts[0]
+    held = {k: documents.select(*keep, F.inline(k)) for k in keys}
+    enveloped = F.lit(False)
+    for k in keys:
+        enveloped = enveloped | F.col(k).isNotNull()
+    lone = bool(names) and (not keys or (not documents.where(~enveloped).isEmpty() if bare is None else bare))
+    parts = [*held.values(), *([documents.select(*names)] if lone else [])]
+    # What the records of all envelopes have in common is known without reading any.
+    schema = parts[0]
     for p in parts[1:]:
-        result = result.unionByName(p, allowMissingColumns=True)
-    return result
+        schema = schema.unionByName(p, allowMissingColumns=True)
+    fields_ = [f for f in schema.schema.fields if f.name not in keep]
+
+    def record(cell: Callable[[str], Column], known: set[str]) -> Column:
+        return F.struct(*[(cell(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields_])
+
+    lists = [_as_records(k, held[k], record, keep) for k in keys]
+    if lone:
+        lists.append(F.array(record(lambda n: F.col(n), set(names))))
+    # One pass: each document gives the first list it holds.
+    return documents.select(*keep, F.inline(F.coalesce(*lists)))
+
+
+def _as_records(key: str, part: DataFrame, record: Callable[[Callable[[str], Column], set[str]], Column], keep: Sequence[str]) -> Column:
+    known = {c for c in part.columns if c not in keep}
+    return F.transform(key, lambda r: record(lambda n: r[n], known))
 
 
 def pagination(documents: DataFrame) -> DataFrame:
