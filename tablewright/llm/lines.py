@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tablewright.llm import signatures as sg, text as tx
 from tablewright.llm.caches import Recent
 from tablewright.llm.similar import linked, shared_bands, union_find
-from tablewright.llm.tables import BITS, bit_map, discard, has_bit, store
+from tablewright.llm.tables import BITS, bit_map, discard, frugal, has_bit, store
 
 #: Characters of a shingle.
 WIDTH = 8
@@ -124,7 +124,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     # The lines that this task has met of late: a common line is banded once in a task, not once for each document.
-    met = Recent(lambda key: None, 500_000)
+    met = Recent(lambda key: None, 50_000)
     for batch in batches:
         for _, _, _, data, bounds in _lines_of(batch.column(0)):
             full = np.flatnonzero(np.diff(bounds))
@@ -190,8 +190,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where(
         "doc_id is not null and text is not null")
-    seen = store(docs.mapInArrow(_occurrences, "doc_id long, version long, line int, hi long, lo long, name long"), "lines")
-    bands = shared_bands(docs.select("text").mapInArrow(_bands, "id long, band long"))
+    seen = store(docs.mapInArrow(frugal(_occurrences), "doc_id long, version long, line int, hi long, lo long, name long"), "lines")
+    bands = shared_bands(docs.select("text").mapInArrow(frugal(_bands), "id long, band long"))
     # Lines with a candidate get numbers, and their text is fetched from where they stand first.
     wanted = bands.select(F.col("id").alias("name")).distinct()
     numbered = seen.join(wanted, "name", "left_semi").groupBy("hi", "lo").agg(F.min(F.struct(*PLACE)).alias("first"), F.min("name").alias("name"))
@@ -201,7 +201,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     spot = key.bitwiseAND(most).bitwiseXOR((F.col("line").cast("long") * _STRIDE).bitwiseAND(most))
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(numbered, spot))
     found = docs.select("doc_id", "version", "text", key.alias("key")).mapInArrow(
-        _contents(bits), "doc_id long, version long, line int, signature binary, content binary")
+        frugal(_contents(bits)), "doc_id long, version long, line int, signature binary, content binary")
     sets = store(numbered.select("id", *PLACE).join(found, PLACE).dropDuplicates(["id"]).select("id", "signature", "content"), "sets")
     members = store(bands.withColumnRenamed("id", "name").join(numbered.select("name", "id"), "name").select("id", "band"), "members")
     discard(bands)
@@ -238,5 +238,5 @@ def drop_repeated_lines(docs: DataFrame, percent: int = 80, clean: str = "_clean
     rows = docs.select(F.struct(*ref).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"))
     rows = rows.withColumn("version", F.xxhash64("_text")).join(gone, ["doc_id", "version"], "left").select("_text", "gone", "_row")
     schema = T.StructType([T.StructField("_row", rows.schema["_row"].dataType), T.StructField("clean", T.StringType()), T.StructField("dropped", T.LongType())])
-    made = rows.mapInArrow(_without, schema)
+    made = rows.mapInArrow(frugal(_without), schema)
     return made.select("_row.*", F.col("clean").alias(clean), F.col("dropped").alias(dropped))

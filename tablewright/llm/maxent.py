@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.llm import text as tx
 from tablewright.llm.language import KeyTable
-from tablewright.llm.tables import store
+from tablewright.llm.tables import frugal, store
 
 #: Words with features of their own in classes of SLOTS, and classes of all other words, by their last letters.
 FREQUENT, SLOTS, ENDINGS = 2048, 64, 64
@@ -265,7 +265,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(hi, lo, ending, n) of every distinct token of the texts, in a stored table; the end token is one of them."""
-    found = docs.select("_text").mapInArrow(_count, COUNTS)
+    found = docs.select("_text").mapInArrow(frugal(_count), COUNTS)
     return store(found.groupBy("hi", "lo").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "counts")
 
 
@@ -386,7 +386,7 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Weights:
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 3))],
                                                      names=["part", "block", "seen", "met", "change"])
 
-        updates = split.where(F.col("_round") == number).select("_text").mapInArrow(learn, _UPDATE)
+        updates = split.where(F.col("_round") == number).select("_text").mapInArrow(frugal(learn), _UPDATE)
         merged = updates.groupBy("part", "block").applyInArrow(_merge, _UPDATE).toArrow()
         weights = Weights(weights.classes.copy(), weights.words.copy(), weights.class_met.copy(), weights.word_met.copy())
         for r in merged.to_pylist():
@@ -457,7 +457,7 @@ def score(docs: DataFrame, held_out: Column, head: int = HEAD, rounds: int = ROU
                     names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "model", "tail"])
                 row += end - at
 
-    scored = store(docs.select("doc_id", "_text", "held_out").mapInArrow(measure, _SCORED), "scored")
+    scored = store(docs.select("doc_id", "_text", "held_out").mapInArrow(frugal(measure), _SCORED), "scored")
     tail = scored.select("row", F.inline("tail")).toDF("row", "hi", "lo", "times")
     met = tail.join(rest.select("hi", "lo", "n"), ["hi", "lo"])
     sums = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("_log"), F.sum("times").alias("_known"))

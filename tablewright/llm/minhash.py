@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm import signatures as sg, text as tx
 from tablewright.llm.similar import connected_components, linked, shared_bands
-from tablewright.llm.tables import BITS, bit_map, has_bit, store, unused
+from tablewright.llm.tables import BITS, bit_map, frugal, has_bit, store, unused
 
 WORDS = 5
 #: Minima of a signature, bands, and minima of a band. Bands draw on the same minima in different choices: long bands
@@ -117,7 +117,7 @@ def _components(docs: DataFrame, percent: int, words: int, signature: int, bands
 
     A group is named by a number of its own; its component is the smallest number reachable by links.
     """
-    sketch = store(docs.mapInArrow(_sketch(words, signature), "doc_id long, version long, n_shingles long, digest binary, signature binary"), "sketch")
+    sketch = store(docs.mapInArrow(frugal(_sketch(words, signature)), "doc_id long, version long, n_shingles long, digest binary, signature binary"), "sketch")
     named = sketch.where("digest is not null and doc_id is not null")
     classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "version")).alias("_first"), F.first("signature").alias("signature"))
     classes = store(classes.select("digest", "_first.*", "signature", F.monotonically_increasing_id().alias("id")), "classes")
@@ -126,7 +126,7 @@ def _components(docs: DataFrame, percent: int, words: int, signature: int, bands
     spot = F.xxhash64("doc_id", "version").bitwiseAND((1 << BITS) - 1)
     bits = docs.sparkSession.sparkContext.broadcast(bit_map(chosen, spot))
     members = docs.select("doc_id", "text", "version", spot.alias("spot")).where("doc_id is not null and text is not null").mapInArrow(
-        _members(words, bits), "doc_id long, version long, digest binary, content binary")
+        frugal(_members(words, bits)), "doc_id long, version long, digest binary, content binary")
     sets = store(chosen.join(members, ["doc_id", "version", "digest"]).dropDuplicates(["id"]).select("id", "signature", "content"), "sets")
     found = linked(banded, sets, percent, signature, _expand, OUTLINE)
     return sketch, classes.select("id", "digest", "doc_id").join(found, "id", "left").select(

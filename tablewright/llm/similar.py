@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablewright.llm.tables import discard, store
+from tablewright.llm.tables import discard, frugal, store
 
 PAIR = "a long, b long"
 #: Items of one band key that meet its pivots in one group.
@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(confirm, PAIR)
+    return met.mapInArrow(frugal(confirm), PAIR)
 
 
 def outlines(sets: DataFrame, expand: Expand, words: int) -> DataFrame:

@@ -67,6 +67,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def frugal(work: Work) -> Work:
+    """``work``, giving Arrow's unused memory back when a task ends: workers live on, and the next stage needs it elsewhere."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def with_columns(df: DataFrame, column: str, fields: list[T.StructField],
                  work: Callable[[], Callable[..., dict[str, object]]], keep: str | None = None, also: Column | None = None) -> DataFrame:
     """Adds columns made from a text column, an Arrow batch at a time.
@@ -94,7 +106,7 @@ def with_columns(df: DataFrame, column: str, fields: list[T.StructField],
             else:
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(made[n]) for n in names], names=kept + names)
 
-    return source.mapInArrow(apply, schema)
+    return source.mapInArrow(frugal(apply), schema)
 
 
 def held_out(doc_id="doc_id"):
@@ -133,5 +145,5 @@ def fit_sample(sample: DataFrame, fit: Callable[[list[tuple[str, int | None, int
         rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(frugal(run), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit([])
