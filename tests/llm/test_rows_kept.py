@@ -136,3 +136,12 @@ def test_bits_and_discarded_tables(spark):
     stored = store(df, "bits")
     discard(stored, None)
     assert "PATH_NOT_FOUND" in str(pytest.raises(Exception, lambda: spark.read.parquet(stored._stored_at)).value)
+
+
+def test_no_local_checkpoints_or_cross_joins():
+    import pathlib
+
+    import tablewright.llm
+    for path in pathlib.Path(tablewright.llm.__file__).parent.glob("*.py"):
+        text = path.read_text()
+        assert "localCheckpoint" not in text and "crossJoin" not in text, path
