@@ -57,8 +57,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    each = places.withColumn("suffix", F.explode(F.array_distinct(suffixes))).withColumn(
-        "cut", F.explode(F.filter(lengths.scalar(), lambda n: n <= F.length("path"))))
+    each = places.withColumn("suffix", F.explode(F.array_distinct(suffixes))).withColumn("lengths", lengths.scalar()).withColumn(
+        "cut", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
     expression = F.concat("suffix", F.expr("substring(path, 1, cut)"))
     each = each.select("host", "path", "cut", F.sha2(expression, 256).alias("_full"))
     each = each.withColumn("short", F.substring("_full", 1, SHORT))
