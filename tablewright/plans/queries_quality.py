@@ -409,23 +409,23 @@ _CHANGED = ("count(*) FILTER (WHERE o_orderkey % 3 = 0 AND o_totalprice >= 20000
        f"WITH s AS (SELECT {_CHANGED} FROM orders) SELECT 'o_orderstatus' AS \"column\", status_changes AS changed_cells, 0::BIGINT AS set_to_null,"
        " kept AS compared_rows, 0::BIGINT AS ambiguous_keys, gone AS removed_keys, 0::BIGINT AS added_keys FROM s"
        " UNION ALL SELECT 'o_totalprice', price_nulls, price_nulls, kept, 0, gone, 0 FROM s"
-       " UNION ALL SELECT 'o_custkey', 0, 0, kept, 0, gone, 0 FROM s")
+       " UNION ALL SELECT c, 0, 0, kept, 0, gone, 0 FROM s, (SELECT unnest(['o_custkey', 'o_orderdate', 'o_orderpriority', 'tags']) AS c)")
 def change_summary(spark, sf):
-    before = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    before = table(spark, sf, "orders").withColumn("tags", F.create_map(F.lit("key"), "o_orderkey", F.lit("customer"), "o_custkey"))
     after = before.where("o_totalprice >= 20000").selectExpr(
         "o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus",
-        "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice", "o_custkey")
+        "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice", "CAST(o_custkey AS STRING) AS o_custkey",
+        "o_orderdate", "o_orderpriority", "map('customer', o_custkey, 'key', o_orderkey) AS tags")
     return rows.change_summary(before, after, ["o_orderkey"])
 
 
 @query("row_differences",
-       "WITH b AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL),"
-       " a AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)"
-       " SELECT l_orderkey, l_linenumber, b.n - coalesce(a.n, 0) AS only_before, 0::BIGINT AS only_after FROM b LEFT JOIN a"
-       " USING (l_orderkey, l_linenumber) WHERE b.n <> coalesce(a.n, 0)")
+       "WITH b AS (SELECT *, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT *, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL)"
+       " SELECT b.* EXCLUDE (n), b.n AS only_before, 0::BIGINT AS only_after FROM b WHERE l_returnflag = 'R'"
+       " UNION ALL SELECT a.* EXCLUDE (n), 0, 0 FROM a WHERE n < 0")
 def row_differences(spark, sf):
     lines = table(spark, sf, "lineitem")
-    return rows.row_differences(lines.select(*KEY), lines.where("l_returnflag <> 'R'").select(*KEY))
+    return rows.row_differences(lines, lines.where("l_returnflag <> 'R'"))
 
 
 @query("row_index", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS row_index FROM orders")

@@ -19,11 +19,10 @@ from tablewright.streaming import gate as G, ingest as ST
 # --- sources and sinks --------------------------------------------------------
 
 
-@query("csv_scan", "SELECT o_orderkey::INT AS o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+@query("csv_scan", "SELECT o_orderkey::INT AS o_orderkey, o_custkey::INT AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def csv_scan(spark, sf):
     path = scratch_path(spark, "csv")
-    table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate").write.option(
-        "header", "true").option("sep", ";").csv(path)
+    table(spark, sf, "orders").write.option("header", "true").option("sep", ";").option("compression", "gzip").csv(path)
     read = files.read_csv(spark, path, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSS")
     return read.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
@@ -420,23 +419,23 @@ def _docs_sql(t: str, columns: dict[str, str]) -> str:
     parts = []
     for c, k in columns.items():
         base = f"printf('%s column, %.2f%% null, %d distinct values', '{k}', 0.0::DOUBLE, count(DISTINCT {c}))"
-        span = f" || printf(', from %s to %s', min({c})::VARCHAR, max({c})::VARCHAR)" if k in ("BIGINT", "INT") else ""
+        span = f" || printf(', from %s to %s', min({c})::VARCHAR, max({c})::VARCHAR)" if k in ("BIGINT", "INT", "DOUBLE") else ""
         parts.append(f"SELECT '{c}' AS \"column\", '{k}' AS type, {base}{span} || '.' AS description FROM {t}")
     return " UNION ALL ".join(parts)
 
 
-_PART = {"p_partkey": "BIGINT", "p_name": "STRING", "p_brand": "STRING", "p_type": "STRING", "p_size": "INT"}
+_PART = {"p_partkey": "BIGINT", "p_name": "STRING", "p_brand": "STRING", "p_type": "STRING", "p_size": "INT", "p_retailprice": "DOUBLE"}
 
 
 @query("column_docs", _docs_sql("part", _PART))
 def column_docs(spark, sf):
-    part = table(spark, sf, "part").drop("p_retailprice")
+    part = table(spark, sf, "part")
     return K.column_docs(A.profile(part), infer.infer_schema(part))
 
 
 @query("catalogue_register", f"SELECT 'part' AS dataset_name, \"column\", type, description, (SELECT count(*) FROM part) AS row_count FROM ({_docs_sql('part', _PART)})")
 def catalogue_register(spark, sf):
-    part = table(spark, sf, "part").drop("p_retailprice")
+    part = table(spark, sf, "part")
     path = scratch_path(spark, "catalogue")
     K.append_entry(K.catalogue_entry(column_docs(spark, sf), "part", "part", "parquet", part.count(), "r1", [1.0, 0.0]), path)
     entry = spark.read.parquet(path)

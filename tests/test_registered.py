@@ -58,3 +58,16 @@ def test_ids_without_a_value_are_not_repeats(spark):
     times = spark.sql("SELECT TIMESTAMP'2024-01-02 03:04:05' AS event_time")
     assert TR.apply_transform(times, "standardise_dates", keep_time=True).first()["event_time"].hour == 3
     assert TR.apply_transform(times, "standardise_dates").schema[0].dataType.simpleString() == "date"
+
+
+def test_headers_of_compressed_and_nested_files(spark, tmp_path):
+    from tablewright.sources import files
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
+    for folder, sep, compression in (("one", ";", "gzip"), ("two/deep", "|", "none"), ("three", "\t", "bzip2")):
+        df.coalesce(1).write.option("header", "true").option("sep", sep).option("compression", compression).csv(str(tmp_path / "t" / folder))
+    expected = {"one": ";", "two": "|", "three": "\t"}
+    for found in (files.detect_delimiters(spark, str(tmp_path / "t"), "part-*"),):
+        got = {r["path"].split("/t/")[1].split("/")[0]: r["delimiter"] for r in found.collect()}
+        assert got == expected
+    lines = {r["path"].split("/t/")[1].split("/")[0]: r["header"] for r in files._spark_first_lines(spark, str(tmp_path / "t"), "part-*").collect()}
+    assert lines == {"one": "a;b", "two": "a|b", "three": "a\tb"}
