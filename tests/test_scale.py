@@ -65,7 +65,7 @@ def test_rare_patterns_join_is_a_bounded_broadcast(hot):
 def test_no_pairs_in_vector_search(spark, data_dir):
     vectors = spark.read.parquet(f"{data_dir}/embeddings.parquet")
     text = plan(nearest(vectors, "vec_id", "embedding", [(1, [1.0] * 64), (2, [-1.0] * 64)], 3))
-    assert "MapInArrow" in text and "NestedLoopJoin" not in text and "CartesianProduct" not in text
+    assert "FlatMapCoGroupsInArrow" in text and "NestedLoopJoin" not in text and "CartesianProduct" not in text
 
 
 def test_domain_scores_cut_tokens_before_the_shuffle(spark, hot):
