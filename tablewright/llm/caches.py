@@ -31,3 +31,8 @@ def kept(name: str, make: Callable):
     if not hasattr(holder, name):
         setattr(holder, name, make())
     return getattr(holder, name)
+
+
+def forget() -> None:
+    """Lets go of what other work has kept in this worker: a worker outlives the stage that filled its memory."""
+    sys.modules.pop("_tablewright_kept", None)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tablewright.llm.caches import forget
 from tablewright.session import scratch_path, table_path
 
 
@@ -71,8 +72,12 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def frugal(work: Work) -> Work:
-    """``work``, giving Arrow's unused memory back when a task ends: workers live on, and the next stage needs it elsewhere."""
+    """``work`` in a worker that other work may have filled: what that kept goes first, and Arrow's unused memory is given back at the end.
+
+    Not for work that keeps something itself from task to task.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         yield from work(batches)
         pa.default_memory_pool().release_unused()
 
