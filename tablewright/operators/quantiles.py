@@ -74,13 +74,14 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequen
     totals: dict[int, int] = {}
     #: Open buckets: column, least and greatest key in it, rows before it, the ranks it holds.
     open_: list[tuple[int, int, int, int, list[int]]] = []
-    for shift in range(64 - DIGIT, -1, -DIGIT):
+    before_, shift = 64, 64 - DIGIT
+    while True:
         rows = _keys(df, chosen, open_ if totals else None)
         if totals:
-            spans = df.sparkSession.createDataFrame([(i, low >> (shift + DIGIT), before, held) for i, low, _, before, held in open_],
+            spans = df.sparkSession.createDataFrame([(i, low >> before_, before, held) for i, low, _, before, held in open_],
                                                     "i int, prefix long, before long, held array<long>")
             # As many rows as there are open buckets: two for each column and probability at most.
-            rows = rows.withColumn("prefix", F.shiftright("key", shift + DIGIT)).join(F.broadcast(spans), ["i", "prefix"])
+            rows = rows.withColumn("prefix", F.shiftright("key", before_)).join(F.broadcast(spans), ["i", "prefix"])
             rows = rows.groupBy("i", "prefix", F.shiftright("key", shift).alias("digit"))
             counts = rows.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"),
                               F.any_value("before").alias("before"), F.any_value("held").alias("held"))
@@ -94,16 +95,19 @@ def exact_quantiles(df: DataFrame, columns: Iterable[str], probabilities: Sequen
         upto = F.col("before") + F.sum("n").over(W.partitionBy("i", "prefix").orderBy("digit").rowsBetween(W.unboundedPreceding, 0))
         counts = counts.withColumn("upto", upto)
         held = F.filter("held", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
-        hit = counts.withColumn("held", held).where(F.size("held") > 0).select("i", "low", "high", (F.col("upto") - F.col("n")).alias("before"), "held", "total")
-        open_ = []
+        hit = counts.withColumn("held", held).where(F.size("held") > 0).select("i", "low", "high", (F.col("upto") - F.col("n")).alias("before"), "held", "total", "n")
+        open_, left = [], 0
         for r in hit.collect():
             totals.setdefault(r["i"], r["total"])
             if r["low"] == r["high"]:
                 found[r["i"]].update(dict.fromkeys(r["held"], r["low"]))
             else:
                 open_.append((r["i"], r["low"], r["high"], r["before"], list(r["held"])))
+                left += r["n"]
         if not open_:
             break
+        # So many rows have no more keys than a round has buckets: all bits that are left make one round.
+        before_, shift = shift, 0 if left <= 1 << DIGIT else shift - DIGIT
     result: dict[str, list[float | None]] = {}
     for i, f in enumerate(chosen):
         result[f.name] = []
