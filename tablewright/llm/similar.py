@@ -117,7 +117,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float
     met = rest.join(pivots, ["a", "part"]).select("a", "b", "signature", "content", "signature_b", "content_b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Some pairs at a time: the members of a batch's contents take many times the room of the contents.
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             a, b, signature, content, signature_b, content_b = (c.to_pylist() for c in batch.columns)
             near = [i for i, (x, y) in enumerate(zip(signature, signature_b))
                     if np.count_nonzero(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= least_alike * (len(x) // 2)]
