@@ -5,7 +5,8 @@ band key the items already known to be connected need no more pairs, so work goe
 in rounds: the first items of a key act as pivots, every item outside a pivot's
 component is checked against it, components are joined, and keys whose items are
 all in one component are done. The number of pivots grows eightfold each round until
-every pair of different components has been checked or joined. The components
+every pair of different components has been checked or joined, and all items are
+pivots once few pairs are left. The components
 therefore equal those of all candidate pairs, while a group of thousands of copies
 costs a few checks for each of them.
 """
@@ -23,6 +24,8 @@ from tablewright.llm.tables import discard, frugal, store
 PAIR = "a long, b long"
 #: Items of one band key that meet its pivots in one group.
 PART = 4096
+#: So many pairs that share an open key are checked in one round, without pivots first.
+EVERY = 1 << 22
 #: Edges that one task joins at most when it finishes the components.
 LAST = 2_000_000
 #: From contents to the sorted distinct 64-bit members of each.
@@ -194,15 +197,27 @@ def shared_bands(banded: DataFrame) -> DataFrame:
 
 def _first_pairs(members: DataFrame) -> DataFrame:
     """Each item of a key with the smallest item of the key."""
-    dealt = members.repartition("band")
-    low = dealt.groupBy("band").agg(F.min("id").alias("a"))
-    return store(dealt.join(low, "band").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    low = F.min("id").over(Window.partitionBy("band"))
+    return store(members.select(low.alias("a"), F.col("id").alias("b")).where("a <> b").distinct(), "pairs")
 
 
-def _with_common(open_bands: DataFrame) -> DataFrame:
-    """The open keys' items, each with all its open keys, of which there are no more than it has bands."""
-    own = open_bands.groupBy("id").agg(F.collect_list("band").alias("bands"))
-    return store(open_bands.join(own, "id"), "open")
+def _open(members: DataFrame, components: DataFrame | None, most: int, label: str) -> DataFrame:
+    """The (id, band, component, _n) of keys that have over ``most`` items, _n in all, and several components."""
+    # A window over narrow rows: joins with the counted keys would make and move all rows twice.
+    every = Window.partitionBy("band")
+    own = members.select("id", "band")
+    if components is None:
+        own = own.withColumn("component", F.col("id"))
+    else:
+        own = own.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    state = own.withColumns({"_low": F.min("component").over(every), "_high": F.max("component").over(every), "_n": F.count("*").over(every)})
+    return store(state.where((F.col("_low") < F.col("_high")) & (F.col("_n") > most)).drop("_low", "_high"), label)
+
+
+def _with_common(open_bands: DataFrame, known: DataFrame) -> DataFrame:
+    """The open keys' items, each with its outline and all its open keys, of which there are no more than it has bands."""
+    own = open_bands.groupBy("id").agg(F.collect_list("band").alias("bands")).join(known, "id")
+    return open_bands.join(own, "id")
 
 
 def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFrame:
@@ -248,40 +263,37 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, signature_length:
     """
     s = percent / 100
     least_alike = s - 5 * (s * (1 - s) / signature_length) ** 0.5
-    components, edges, open_bands = None, None, None
+    components, edges, open_bands, known = None, None, None, None
     tried, pivots = 0, 1
     while True:
-        pairs = _first_pairs(members) if open_bands is None else _pairs(open_bands, tried, pivots, percent)
+        met = None if known is None else store(_with_common(open_bands, known), "met")
+        pairs = _first_pairs(members) if met is None else _pairs(met, tried, pivots, percent)
+        discard(met)
         found = store(verified(pairs, sets, percent, least_alike, expand), "links")
         discard(pairs)
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
             discard(components)
             components = store(components_of(edges), "components")
-        now = members if open_bands is None else open_bands.drop("component", "bands", "_n")
-        if components is not None:
-            now = now.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            now = now.withColumn("component", F.col("id"))
         # A key is done when its items are one component or all of them have been pivots.
-        state = now.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n"))
-        left = state.where((F.col("_low") < F.col("_high")) & (F.col("_n") > pivots + 1)).select("band", "_n")
-        now = now.join(left, "band")
-        if open_bands is None:
-            now = store(now.drop("_n"), "left")
-            if now.isEmpty():
+        before, open_bands = open_bands, _open(members if known is None else open_bands, components, pivots + 1, "open")
+        discard(before)
+        tried = pivots
+        if known is None:
+            if open_bands.isEmpty():
                 break
-            known = outlines(sets.join(now.select("id").distinct(), "id", "left_semi"), expand, words)
-            now = now.join(known, "id").where(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size"))
+            known = outlines(sets.join(open_bands.select("id").distinct(), "id", "left_semi"), expand, words)
+            known = store(known.where(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size")), "outlines")
             # Ranks begin anew, as items are gone.
-            now = now.join(now.groupBy("band").agg(F.count("*").alias("_n")), "band")
-            open_bands, tried, pivots = _with_common(now), 0, 8
-        else:
-            before = open_bands
-            open_bands, tried, pivots = _with_common(now), pivots, pivots * 8
+            before, open_bands = open_bands, _open(open_bands.join(known, "id", "left_semi"), components, 1, "open")
             discard(before)
-            if open_bands.isEmpty():
-                break
+            tried, pivots = 0, 1
+        # Each row stands for the pairs with the others of its key.
+        n, left, longest = open_bands.agg(F.count("*"), F.sum(F.col("_n") - 1), F.max("_n")).first()
+        if not n:
+            discard(known)
+            break
+        pivots = longest if left <= 2 * EVERY else pivots * 8
     if components is None:
         return members.where("false").select("id", F.col("id").alias("component"))
     return components
