@@ -55,9 +55,13 @@ def word_ids(path: str) -> Recent:
     def of_stretch(stretch: str) -> bytes:
         if "<|" in stretch:  # may be a special token, which is found before anything else
             return np.array(tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        if stretch.isascii() and stretch.isalpha():  # one part, as most are
+            return parts[stretch.lower()]
         if printable(stretch):
             return b"".join(map(parts.__getitem__, plain(stretch.lower())))
         if latin(stretch):
+            if stretch.isalpha():
+                return parts[stretch.lower().translate(as_bytes)]
             return b"".join([parts[p.translate(as_bytes)] for p in plain(stretch.lower())])
         return b"".join([parts[p] for p, _ in cut(normalise(stretch))])
 
