@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablewright.llm import signatures as sg, text as tx
-from tablewright.llm.similar import connected_components, linked, shared_bands
+from tablewright.llm.similar import connected_components, linked, shared_bands, union_find
 from tablewright.llm.tables import BITS, bit_map, frugal, has_bit, store, unused
 
 WORDS = 5
@@ -128,7 +128,7 @@ def _components(docs: DataFrame, percent: int, words: int, signature: int, bands
     members = docs.select("doc_id", "text", "version", spot.alias("spot")).where("doc_id is not null and text is not null").mapInArrow(
         frugal(_members(words, bits)), "doc_id long, version long, digest binary, content binary")
     sets = store(chosen.join(members, ["doc_id", "version", "digest"]).dropDuplicates(["id"]).select("id", "signature", "content"), "sets")
-    found = linked(banded, sets, percent, signature, _expand, OUTLINE)
+    found = linked(banded, sets, percent, signature, _expand, OUTLINE, union_find)
     return sketch, classes.select("id", "digest", "doc_id").join(found, "id", "left").select(
         "digest", "doc_id", F.coalesce("component", "id").alias("component"))
 

@@ -26,6 +26,8 @@ PAIR = "a long, b long"
 PART = 4096
 #: So many pairs that share an open key are checked in one round, without pivots first.
 EVERY = 1 << 22
+#: The same once a round of several pivots has joined what is alike: few of the pairs are left to be made then.
+MOST = 1 << 26
 #: Edges that one task joins at most when it finishes the components.
 LAST = 2_000_000
 #: From contents to the sorted distinct 64-bit members of each.
@@ -84,11 +86,19 @@ def union_find(edges: DataFrame) -> DataFrame:
     edges goes to one task when LAST of them fit, else they are dealt anew; when a round
     does not halve them, large-star and small-star finish.
     """
-    edges = store(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    edges = store(edges.where("a <> b").select("a", "b"), "edges")
     left, found = edges.count(), None
     while left:
         dealt = edges.coalesce(1) if left <= LAST else edges.repartition(-(-left // LAST), "a")
         forest = store(dealt.mapInArrow(_forests, "id long, root long"), "forest")
+        if left <= LAST:
+            # All edges that are left have met: each end is there once, with its smallest.
+            discard(edges)
+            last = forest.withColumnRenamed("root", "component")
+            if found is None:
+                return last
+            moved = last.toDF("component", "_to")
+            return found.join(moved, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
         label = store(forest.groupBy("id").agg(F.min("root").alias("component")), "roots")
         links = store(forest.join(label, "id").where("root <> component").select(F.col("root").alias("a"), F.col("component").alias("b")).distinct(), "edges")
         if found is None:
@@ -187,12 +197,33 @@ def outlines(sets: DataFrame, expand: Expand, words: int) -> DataFrame:
         *[F.col(m).bitwiseXOR(F.coalesce(F.col(f"_own_{k}"), F.lit(0))).alias(m) for k, m in enumerate(marks)])
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, band) in order of band those whose key has another id; rows with the id of a key's first row count once."""
+    last, first, told = None, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, bands = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        begins = np.append(True, bands[1:] != bands[:-1])
+        at, key = np.flatnonzero(begins), np.cumsum(begins) - 1
+        heads, goes_on = ids[at], last is not None and bool(bands[0] == last)
+        if goes_on:
+            heads[0] = first
+        keep = ids != heads[key]
+        shared = np.zeros(len(at), bool)
+        shared[key[keep]] = True
+        # The first row of a key that goes on came with an earlier batch, and went with one if the key was known to be shared.
+        late = int(goes_on and shared[0] and not told)
+        keep[at[goes_on:][shared[goes_on:]]] = True
+        last, told, first = bands[-1], shared[-1] or (told and goes_on and len(at) == 1), heads[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(heads[:late], ids[keep])), pa.array(np.append(bands[:late], bands[keep]))], names=["id", "band"])
+
+
 def shared_bands(banded: DataFrame) -> DataFrame:
-    """The rows (id, band) of ``banded`` whose band key has another id, in a stored table."""
-    # One exchange and one sort: a join with the counted keys would make and move all rows twice.
-    every = Window.partitionBy("band")
-    marked = banded.select("id", "band").withColumns({"_low": F.min("id").over(every), "_high": F.max("id").over(every)})
-    return store(marked.where("_low < _high").select("id", "band"), "bands")
+    """The rows (id, band) of ``banded`` whose band key has another id, in a stored table; some rows that repeat another are left out."""
+    # One exchange and one sort, then a scan that holds no key's rows: nearly all keys have one row.
+    dealt = banded.select("id", "band").repartition("band").sortWithinPartitions("band")
+    return store(dealt.mapInArrow(frugal(_shared), "id long, band long"), "bands")
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
@@ -241,7 +272,8 @@ def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFr
     differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_a"))) for m in marks), F.col("alone") + F.col("alone_a"))
     fits &= (100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size_a"))
     # A pair that shares several keys is made at the first of them only.
-    fits &= chosen["band"] == F.array_min(F.array_intersect("bands", "bands_a"))
+    # Not as an equality, which Spark would also put before the cheaper conditions.
+    fits &= F.array_min(F.array_intersect("bands", "bands_a")) >= chosen["band"]
     pairs = chosen.join(rest, fits).select("a", F.col("id").alias("b"))
     # Of a pair that came both ways round one is enough.
     return store(pairs.groupBy(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).agg(F.min("a").alias("a")).select(
@@ -293,7 +325,7 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, signature_length:
         if not n:
             discard(known)
             break
-        pivots = longest if left <= 2 * EVERY else pivots * 8
+        pivots = longest if left <= 2 * (EVERY if tried < 8 else MOST) else pivots * 8
     if components is None:
         return members.where("false").select("id", F.col("id").alias("component"))
     return components
