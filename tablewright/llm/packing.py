@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tablewright.llm.caches import Recent, kept
-from tablewright.llm.tables import store
+from tablewright.llm.tables import frugal, store
 
 CAPACITY = 4096
 END = 2
@@ -50,7 +50,7 @@ def word_ids(path: str) -> Recent:
         ids = [t.id for t in model.tokenize(part)]
         return pack_ids(f"<{len(ids)}I", *ids)
 
-    parts = Recent(of_part, 400_000)
+    parts = Recent(of_part, 200_000)
 
     def of_stretch(stretch: str) -> bytes:
         if "<|" in stretch:  # may be a special token, which is found before anything else
@@ -181,4 +181,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                 names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     return ranked.mapInArrow(
-        place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        frugal(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

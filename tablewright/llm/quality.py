@@ -7,6 +7,8 @@ squares identity makes the score linear in the number of features.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -15,6 +17,8 @@ from tablewright.llm import statistics as st, text as tx
 from tablewright.llm.tables import fit_sample, labelled_sample, with_columns
 
 SAMPLE, LONGEST = 6000, 20_000
+#: Bytes of the texts that are worked on at a time: arrays over their words and bytes take a hundred times the room.
+RUN = 1 << 18
 #: Hash buckets, of which words and shapes share all; dense features come after them.
 BUCKETS, RANK = 1 << 16, 8
 EPOCHS, BATCH, RATE, DECAY = 5, 32, 0.05, 1e-5
@@ -31,14 +35,14 @@ def _shape_codes() -> np.ndarray:
     return code
 
 
-def features(array: pa.Array, n_chars: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def features(array: pa.Array, n_chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(rows' first entries, bucket of each entry, its value, dense features) for runs of texts.
 
     Entries of a text have a Euclidean length of 1. ``n_chars`` is taken where it is
     not negative, else the text's length.
     """
-    code, out = _shape_codes(), []
-    for at, end, data, offsets in tx.byte_chunks(array):
+    code = _shape_codes()
+    for at, end, data, offsets in tx.byte_chunks(array, RUN):
         n = end - at
         starts, ends, rows = tx.words(data, offsets)
         hashes = tx.span_hashes(tx.prefix_sums(data), starts, ends)
@@ -52,9 +56,8 @@ def features(array: pa.Array, n_chars: np.ndarray) -> list[tuple[np.ndarray, np.
         chars = n_chars[at:end]
         chars = np.where(chars >= 0, chars, tx.sums_of((data & 0xC0) != 0x80, offsets))
         dense = np.column_stack([shares, np.log1p(counts["n_words"]) / 5, np.log1p(chars) / 8])
-        out.append((np.searchsorted(owner, np.arange(n + 1)), (keys % BUCKETS).astype(np.int32),
-                    (value / np.maximum(length, 1e-9)[owner]).astype(np.float32), dense))
-    return out
+        yield (np.searchsorted(owner, np.arange(n + 1)), (keys % BUCKETS).astype(np.int32),
+               (value / np.maximum(length, 1e-9)[owner]).astype(np.float32), dense)
 
 
 class FactorisationMachine:
@@ -115,6 +118,7 @@ class FactorisationMachine:
                 self.bias -= RATE * error.sum() / np.sqrt(seen_b)
 
     def scores(self, parts) -> np.ndarray:
+        """Of runs of texts one after another: the entries of one run take many times the room of its texts."""
         found = [self.margins(*self.entries(*p), len(p[3]))[0] for p in parts]
         return 1 / (1 + np.exp(-np.clip(np.concatenate(found), -50, 50))) if found else np.zeros(0)
 
@@ -125,7 +129,7 @@ def train(rows: list[tuple[str, int, int]]) -> FactorisationMachine:
     machine.vectors *= bool(rows)
     if rows:
         chars = np.array([-1 if r[1] is None else r[1] for r in rows], np.int64)
-        machine.fit(features(pa.array([r[0] for r in rows], pa.string()), chars), np.array([r[2] for r in rows], float))
+        machine.fit(list(features(pa.array([r[0] for r in rows], pa.string()), chars)), np.array([r[2] for r in rows], float))
     return machine
 
 

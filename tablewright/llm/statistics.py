@@ -61,7 +61,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndar
 
 def of_texts(array: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """:func:`statistics` of an Arrow column; nulls count as empty."""
-    parts = [statistics(data, offsets) for _, _, data, offsets in tx.byte_chunks(array)]
+    parts = [statistics(data, offsets) for _, _, data, offsets in tx.byte_chunks(array, 1 << 18)]
     if not parts:
         return {c: np.zeros(0, np.int64) for c in COUNTS}, np.zeros((0, len(SHARES)))
     return {c: np.concatenate([p[0][c] for p in parts]) for c in COUNTS}, np.concatenate([p[1] for p in parts])

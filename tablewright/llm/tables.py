@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tablewright.llm.caches import forget
+from tablewright.llm.caches import forget, give_back
 from tablewright.session import scratch_path, table_path
 
 
@@ -72,14 +72,15 @@ Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def frugal(work: Work) -> Work:
-    """``work`` in a worker that other work may have filled: what that kept goes first, and Arrow's unused memory is given back at the end.
+    """``work`` in a worker that other work may have filled: what that kept goes first, and unused memory is given back then and at the end.
 
     Not for work that keeps something itself from task to task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        give_back()
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -102,7 +103,8 @@ def with_columns(df: DataFrame, column: str, fields: list[T.StructField],
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = work()
-        for batch in batches:
+        # Some rows at a time: what is made of a batch, and the rows of it that stay, take room beside it.
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             made = run(*batch.columns[len(kept):])
             columns = batch.columns[:len(kept)]
             if keep:
