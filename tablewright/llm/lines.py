@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm import signatures as sg, text as tx
 from tablewright.llm.caches import Recent
-from tablewright.llm.similar import linked, shared_bands, union_find
+from tablewright.llm.similar import BUCKET, linked, packed, shared_packed_bands, union_find
 from tablewright.llm.tables import BITS, bit_map, discard, frugal, has_bit, store
 
 #: Characters of a shingle.
@@ -122,7 +122,23 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "version", "line", "hi", "lo", "name"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bands(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed rows of the lines' names and band keys; see :func:`~tablewright.llm.similar.packed`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bands, n = [], [], 0
+        for name, keys in _banded(batches):
+            ids.append(np.repeat(name, BANDS))
+            bands.append(keys.ravel())
+            n += len(ids[-1])
+            if n >= 1 << 20:
+                yield packed(np.concatenate(ids), np.concatenate(bands), buckets)
+                ids, bands, n = [], [], 0
+        if n:
+            yield packed(np.concatenate(ids), np.concatenate(bands), buckets)
+    return run
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     # The lines that this task has met of late: a common line is banded once in a task, not once for each document.
     met = Recent(lambda key: None, 50_000)
     for batch in batches:
@@ -143,8 +159,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = np.zeros(len(starts), bool)
             pick[full[new]] = True
             shingles = shingles[np.repeat(pick, ends - starts)]
-            keys = sg.bands_of(sg.fast_signatures(shingles, np.cumsum(count) - count, SIGNATURE), BANDS, ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[new].view(np.int64), BANDS)), pa.array(keys.ravel())], names=["id", "band"])
+            yield name[new].view(np.int64), sg.bands_of(sg.fast_signatures(shingles, np.cumsum(count) - count, SIGNATURE), BANDS, ROWS)
 
 
 def _spot(key: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -158,13 +173,24 @@ def _contents(bits) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(3).to_numpy()
-            for at, rows, numbers, data, bounds in _lines_of(batch.column(2)):
-                which = np.flatnonzero((np.diff(bounds) > 0) & has_bit(bits.value, _spot(key[at + rows], numbers)))
+            for at, end, data, offsets in tx.byte_chunks(batch.column(2), 1 << 18):
+                starts, ends, rows = tx.lines(data, offsets)
+                first = np.searchsorted(rows, np.arange(end - at))
+                numbers = np.arange(len(rows)) - first[rows]
+                which = np.flatnonzero((ends > starts) & has_bit(bits.value, _spot(key[at + rows], numbers)))
+                if not len(which):
+                    continue
+                # Only these lines are made normal: they follow one another without line feeds, as texts do.
+                size = ends[which] - starts[which]
+                edges = np.append(0, np.cumsum(size))
+                data, bounds = _normal(data[np.arange(edges[-1]) + np.repeat(starts[which] - edges[:-1], size)], edges[:-1], edges)
+                full = np.flatnonzero(np.diff(bounds))
+                which = which[full]
                 if not len(which):
                     continue
-                contents = [data[bounds[i]:bounds[i + 1]].tobytes() for i in which]
+                contents = [data[bounds[i]:bounds[i + 1]].tobytes() for i in full]
                 shingles, starts, _ = _shingles(np.frombuffer(b"".join(contents), np.uint8), np.cumsum([0, *map(len, contents)]))
-                signature = sg.fast_signatures(shingles, starts, SIGNATURE).astype(np.uint16)
+                signature = np.ascontiguousarray(sg.fast_signatures(shingles, starts, SIGNATURE).astype(np.uint16))
                 owner = batch.select([0, 1]).take(pa.array(at + rows[which]))
                 yield pa.RecordBatch.from_arrays(
                     [*owner.columns, pa.array(numbers[which].astype(np.int32)), pa.array([x.tobytes() for x in signature], pa.binary()),
@@ -191,7 +217,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where(
         "doc_id is not null and text is not null")
     seen = store(docs.mapInArrow(frugal(_occurrences), "doc_id long, version long, line int, hi long, lo long, name long"), "lines")
-    bands = shared_bands(docs.select("text").mapInArrow(frugal(_bands), "id long, band long"))
+    buckets = -(-seen.count() * BANDS // BUCKET) or 1
+    bands = shared_packed_bands(docs.select("text").mapInArrow(frugal(_bands(buckets)), "bucket long, pairs binary"))
     # Lines with a candidate get numbers, and their text is fetched from where they stand first.
     wanted = bands.select(F.col("id").alias("name")).distinct()
     numbered = seen.join(wanted, "name", "left_semi").groupBy("hi", "lo").agg(F.min(F.struct(*PLACE)).alias("first"), F.min("name").alias("name"))
@@ -209,7 +236,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     linked_lines = numbered.join(components, "id").select("hi", "lo", "component")
     # Only lines that stand twice or have a link need a decision.
     first = seen.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
-    classes = first.join(linked_lines, ["hi", "lo"], "left").where("n > 1 or component is not null")
+    classes = store(first.join(linked_lines, ["hi", "lo"], "left").where("n > 1 or component is not null").drop("n"), "classes")
     keepers = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
     decided = classes.join(keepers, "component", "left").select("hi", "lo", F.coalesce("keeper", "first").alias("keeper"))
     gone = seen.join(decided, ["hi", "lo"]).where(F.struct(*PLACE) != F.col("keeper"))

@@ -29,8 +29,8 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     for b in range(bands):
         key = np.full(len(signature), b + 1, np.uint64)
         for k in draw.choice(signature.shape[1], rows, replace=False):
-            key = tx.mix(key * np.uint64(0x9E3779B97F4A7C15) + signature[:, k])
-        keys[:, b] = key
+            key = key * np.uint64(0x9E3779B97F4A7C15) + signature[:, k]
+        keys[:, b] = tx.mix(key)
     return keys.view(np.int64)
 
 
@@ -39,7 +39,10 @@ def fast_signatures(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndar
     factors, summands = (x >> np.uint64(32) for x in universal(n))
     factors, summands = factors.astype(np.uint32) | np.uint32(1), summands.astype(np.uint32)
     base = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), n), np.uint32)
+    # Each minimum in a row of its own, from one buffer.
+    out, hashed = np.empty((n, len(starts)), np.uint32), np.empty_like(base)
     for k in range(n):
-        out[:, k] = np.minimum.reduceat(base * factors[k] + summands[k], starts)
-    return out
+        np.multiply(base, factors[k], out=hashed)
+        np.add(hashed, summands[k], out=hashed)
+        np.minimum.reduceat(hashed, starts, out=out[k])
+    return out.T

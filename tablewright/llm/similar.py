@@ -133,8 +133,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float
         # Some pairs at a time: the members of a batch's contents take many times the room of the contents.
         for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
             a, b, signature, content, signature_b, content_b = (c.to_pylist() for c in batch.columns)
-            near = [i for i, (x, y) in enumerate(zip(signature, signature_b))
-                    if np.count_nonzero(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= least_alike * (len(x) // 2)]
+            ours, theirs = (np.frombuffer(b"".join(c), np.uint16).reshape(len(a), -1) for c in (signature, signature_b))
+            near = np.flatnonzero((ours == theirs).sum(axis=1) >= least_alike * ours.shape[1]).tolist()
             # Neighbouring pairs have the same pivot: each content is expanded once.
             known: dict[bytes, int] = {}
             for i in near:
@@ -146,7 +146,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, least_alike: float
                 x, y = members[known[content[i]]], members[known[content_b[i]]]
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                both = np.concatenate([x, y])
+                both.sort()
+                common = np.count_nonzero(both[1:] == both[:-1])
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
@@ -226,6 +228,94 @@ def shared_bands(banded: DataFrame) -> DataFrame:
     return store(dealt.mapInArrow(frugal(_shared), "id long, band long"), "bands")
 
 
+#: Rows (id, band) of a bucket, and of one packed row of it.
+BUCKET, PACK = 1 << 18, 256
+
+
+def packed(ids: np.ndarray, bands: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, pairs) with up to PACK pairs of id and band key in each row; keys, which are hashes, fall into ``buckets`` ranges."""
+    bucket = ((bands.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    pairs, bucket = np.stack([ids[order], bands[order]], axis=1), bucket[order]
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)])
+    size = np.diff(np.append(begins, len(bucket)))
+    rows = -(-size // PACK)
+    cuts = np.repeat(begins, rows) + PACK * (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows))
+    offsets = (16 * np.append(cuts, len(bucket))).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cuts].astype(np.int64)), pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(pairs)])],
+        names=["bucket", "pairs"])
+
+
+class _Keys:
+    """The band keys of a bucket met so far: the first id of each, and whether its row was given out."""
+
+    def __init__(self) -> None:
+        self.keys, self.first, self.told = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def shared(self, pairs: np.ndarray, more: bool) -> pa.RecordBatch:
+        """The rows of ``pairs`` and earlier ones known to share their key only now; the keys are kept if ``more`` pairs follow."""
+        pairs = pairs[np.argsort(pairs[:, 1])]
+        ids, bands = pairs[:, 0], pairs[:, 1]
+        begins = np.append(True, bands[1:] != bands[:-1])
+        at, key = np.flatnonzero(begins), np.cumsum(begins) - 1
+        own, heads, told = bands[at], ids[at], np.zeros(len(at), bool)
+        old = np.zeros(len(at), bool)
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            old = self.keys[place] == own
+            heads, told = np.where(old, self.first[place], heads), old & self.told[place]
+        keep = ids != heads[key]
+        found = np.zeros(len(at), bool)
+        found[key[keep]] = True
+        late = found & ~told
+        if more:
+            if old.any():
+                self.told[place[old]] |= found[old]
+            keys = np.concatenate([self.keys, own[~old]])
+            order = np.argsort(keys, kind="stable")
+            self.keys = keys[order]
+            self.first = np.concatenate([self.first, heads[~old]])[order]
+            self.told = np.concatenate([self.told, found[~old]])[order]
+        ids, bands = np.concatenate([heads[late], ids[keep]]), np.concatenate([own[late], bands[keep]])
+        order = np.lexsort((ids, bands))
+        ids, bands = ids[order], bands[order]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (bands[1:] != bands[:-1]))[:len(ids)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(bands[new])], names=["id", "band"])
+
+
+def _shared_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows in order of bucket the (id, band) whose key has another id."""
+    last, waiting, n, known = None, [], 0, _Keys()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        buckets, column = batch.column(0).to_numpy(), batch.column(1)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+        pairs = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(np.int64).reshape(-1, 2)
+        ends = (offsets - offsets[0]) // 16
+        begins = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+        for a, z in zip(begins, np.append(begins[1:], len(buckets))):
+            if buckets[a] != last:
+                if waiting:
+                    yield known.shared(np.concatenate(waiting), False)
+                last, waiting, n, known = buckets[a], [], 0, _Keys()
+            elif n >= 2 * BUCKET:
+                # A bucket with a very frequent key: its rows go as they come, only its keys stay.
+                yield known.shared(np.concatenate(waiting), True)
+                waiting, n = [], 0
+            waiting.append(pairs[ends[a]:ends[z]])
+            n += len(waiting[-1])
+    if waiting:
+        yield known.shared(np.concatenate(waiting), False)
+
+
+def shared_packed_bands(rows: DataFrame) -> DataFrame:
+    """:func:`shared_bands` of rows made by :func:`packed`, which Spark deals and sorts by bucket only."""
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return store(dealt.mapInArrow(frugal(_shared_packed), "id long, band long"), "bands")
+
+
 def _first_pairs(members: DataFrame) -> DataFrame:
     """Each item of a key with the smallest item of the key."""
     low = F.min("id").over(Window.partitionBy("band"))
@@ -252,8 +342,9 @@ def _with_common(open_bands: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFrame:
-    """Pairs of the items of rank ``above`` + 1 to ``upto`` of each key with the items of other components under it.
+    """Pairs of the items of rank ``above`` + 1 to ``upto`` of each key with the items of other components that follow under it.
 
+    Items before them were pivots earlier, or are in the same round: each pair is made once, with its smaller id as pivot.
     A key with many items is dealt to parts of about PART items, and its pivots to all of them.
     """
     order = Window.partitionBy("band").orderBy("id")
@@ -263,7 +354,8 @@ def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFr
     chosen = (open_bands.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= upto).where(F.col("_rank") > above)
               .select("band", F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_a") for c in own]))
     rest = open_bands.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    fits = ((chosen["band"] == rest["band"]) & (chosen["part"] == rest["part"]) & (F.col("component") != F.col("component_a"))
+    fits = ((chosen["band"] == rest["band"]) & (chosen["part"] == rest["part"]) & (rest["id"] > F.col("a"))
+            & (F.col("component") != F.col("component_a"))
             & (100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")))
     # No pair has more in common than either has not alone.
     most = F.least(F.col("size") - F.col("alone"), F.col("size_a") - F.col("alone_a"))
@@ -274,10 +366,8 @@ def _pairs(open_bands: DataFrame, above: int, upto: int, percent: int) -> DataFr
     # A pair that shares several keys is made at the first of them only.
     # Not as an equality, which Spark would also put before the cheaper conditions.
     fits &= F.array_min(F.array_intersect("bands", "bands_a")) >= chosen["band"]
-    pairs = chosen.join(rest, fits).select("a", F.col("id").alias("b"))
-    # Of a pair that came both ways round one is enough.
-    return store(pairs.groupBy(F.least("a", "b").alias("_low"), F.greatest("a", "b").alias("_high")).agg(F.min("a").alias("a")).select(
-        "a", (F.when(F.col("a") == F.col("_low"), F.col("_high")).otherwise(F.col("_low"))).alias("b")), "pairs")
+    # An item may stand twice under a key.
+    return store(chosen.join(rest, fits).select("a", F.col("id").alias("b")).distinct(), "pairs")
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int, signature_length: int, expand: Expand, words: int,

@@ -88,9 +88,12 @@ def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     wide = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
     low = wide[starts] & _FIRST[np.minimum(size, 8)]
     high = (wide[starts + 8 * (size > 8)] & _FIRST[np.clip(size - 8, 0, 7)]) | (np.minimum(size, 15).astype(np.uint64) << np.uint64(56))
-    for i in np.flatnonzero(size > 15).tolist():
-        digest = hashlib.blake2b(data[starts[i]:ends[i]], digest_size=16).digest()
-        low[i], high[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little") | 1 << 63
+    long_ = np.flatnonzero(size > 15)
+    if len(long_):
+        view = memoryview(padded)
+        digests = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[long_].tolist(), ends[long_].tolist())])
+        halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        low[long_], high[long_] = halves[:, 0], halves[:, 1] | np.uint64(1 << 63)
     return high, low
 
 
