@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.llm import signatures as sg, text as tx
-from tablewright.llm.caches import Recent
 from tablewright.llm.similar import BUCKET, linked, packed, shared_packed_bands, union_find
 from tablewright.llm.tables import BITS, bit_map, discard, frugal, has_bit, store
 
@@ -43,14 +42,14 @@ def _normal(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[
     if len(data):
         # The first of a run of white space stays, unless a line ends within the run or beside it.
         keep[1:] |= solid[:-1]
-        at = np.flatnonzero(solid)
-        last = np.searchsorted(at, breaks)
-        edge = np.where(last > 0, at[np.maximum(last - 1, 0)] + 1, 0) if len(at) else np.zeros(1, np.int64)
-        edge = edge[edge < len(data)]
+        first = np.flatnonzero(keep & ~solid)
+        # Where the run begins that a line's end is in, or that goes on behind it.
+        run = np.searchsorted(first, np.where(breaks > 0, breaks - 1, 0), "right") - 1
+        open_ = (breaks > 0) & ~solid[breaks - 1]
+        edge = np.append(first[run[open_ & (run >= 0)]], breaks[~open_ & (breaks < len(data))])
         keep[edge[~solid[edge]]] = False
-    inside = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(keep, out=inside[1:])
-    return data[keep], np.append(inside[starts], inside[-1])
+    gone = np.flatnonzero(~keep)
+    return data[keep], np.append(starts - np.searchsorted(gone, starts), len(data) - len(gone))
 
 
 def _lines_of(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -71,16 +70,17 @@ def _names(data: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.
 
 def _shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingle hashes of all lines, and where those of each line begin and end; a line of fewer characters is one shingle."""
-    if (data < 0x80).all():
-        codes, edges = data.astype(np.uint64), bounds
-    else:
-        heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-        edges = np.searchsorted(heads, bounds)
-        codes = data[heads[:-1]].astype(np.uint64)
-        width = np.diff(heads)
-        for k in range(1, 4):
-            more = np.flatnonzero(width > k)
-            codes[more] |= data[heads[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    follows = (data & 0xC0) == 0x80
+    at = np.flatnonzero(follows)
+    codes, edges = data[~follows].astype(np.uint64) if len(at) else data.astype(np.uint64), bounds - np.searchsorted(at, bounds)
+    if len(at):
+        # Bytes that go on with a character, by how far they are from its first one, which has no such byte before it but those counted.
+        n = np.arange(len(at))
+        head = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), n, 0))
+        place, k = at[head] - 1 - head, n - head + 1
+        for width in range(1, 4):
+            more = np.flatnonzero((k == width) & (place >= 0))
+            codes[place[more]] |= data[at[more]].astype(np.uint64) << np.uint64(8 * width)
     # Windows of 2, 4 and 8 characters, each from two of half its length, at every character.
     windows, half = codes, 1
     for factor in _FACTORS:
@@ -107,7 +107,7 @@ def _expand(contents: list[bytes]) -> list[np.ndarray]:
     """The shingle sets of normal lines."""
     bounds = np.cumsum([0, *map(len, contents)])
     shingles, starts, ends = _shingles(np.frombuffer(b"".join(contents), np.uint8), bounds)
-    return [np.unique(shingles[a:b]) for a, b in zip(starts, ends)]
+    return [tx.distinct(shingles[a:b]) for a, b in zip(starts, ends)]
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def _bands(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     # The lines that this task has met of late: a common line is banded once in a task, not once for each document.
-    met = Recent(lambda key: None, 50_000)
+    met, older = set(), set()
     for batch in batches:
         for _, _, _, data, bounds in _lines_of(batch.column(0)):
             full = np.flatnonzero(np.diff(bounds))
@@ -149,17 +149,24 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             hi, lo, name = _names(data, bounds, full)
             new = []
             for i, key in enumerate(zip(hi.tolist(), lo.tolist())):
-                if key not in met and key not in met.older:
-                    met[key]
-                    new.append(i)
+                if key not in met:
+                    met.add(key)
+                    if key not in older:
+                        new.append(i)
+            if len(met) >= 50_000:
+                met, older = set(), met
             if not new:
                 continue
-            shingles, starts, ends = _shingles(data, bounds)
-            count = (ends - starts)[full[new]]
-            pick = np.zeros(len(starts), bool)
-            pick[full[new]] = True
-            shingles = shingles[np.repeat(pick, ends - starts)]
-            yield name[new].view(np.int64), sg.bands_of(sg.fast_signatures(shingles, np.cumsum(count) - count, SIGNATURE), BANDS, ROWS)
+            # Only these lines are cut into shingles.
+            which = full[new]
+            if len(which) < len(full):
+                size = bounds[which + 1] - bounds[which]
+                edges = np.append(0, np.cumsum(size))
+                data, bounds = data[np.arange(edges[-1]) + np.repeat(bounds[which] - edges[:-1], size)], edges
+            else:
+                bounds = np.append(bounds[which], bounds[-1])
+            shingles, starts, _ = _shingles(data, bounds)
+            yield name[new].view(np.int64), sg.bands_of(sg.fast_signatures(shingles, starts, SIGNATURE), BANDS, ROWS)
 
 
 def _spot(key: np.ndarray, line: np.ndarray) -> np.ndarray:

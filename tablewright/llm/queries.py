@@ -44,8 +44,9 @@ def op1(spark, sf_dir):
 
 @query("op2_line_dedup")
 def op2(spark, sf_dir):
-    found = lines.drop_repeated_lines(_documents(spark, sf_dir))
-    return found.select("doc_id", F.col("_dropped").alias("n_dropped"), F.sha2("_clean", 256).alias("text_sha256"))
+    # The new text in the place of the old one, which need not be carried along.
+    found = lines.drop_repeated_lines(_documents(spark, sf_dir), clean="text")
+    return found.select("doc_id", F.col("_dropped").alias("n_dropped"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("op3_toxicity")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tablewright.llm import text as tx
 from tablewright.llm.tables import discard, frugal, store
 
 PAIR = "a long, b long"
@@ -172,13 +173,20 @@ def outlines(sets: DataFrame, expand: Expand, words: int) -> DataFrame:
         ids = batch.column(0).to_numpy()
         for at in range(0, len(ids), 256):
             members = expand(batch.column(1).slice(at, 256).to_pylist())
-            yield ids[at:at + 256], [np.unique((m >> np.uint64(32)).astype(np.uint32)) for m in members], [len(m) for m in members]
+            yield ids[at:at + 256], [tx.distinct((m >> np.uint64(32)).astype(np.uint32)) for m in members], [len(m) for m in members]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, keys, n = [], [], 0
         for batch in batches:
             for ids, members, _ in distinct(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(m) for m in members])),
-                                                  pa.array(np.concatenate(members).view(np.int32))], names=["id", "member"])
+                owners.append(np.repeat(ids, [len(m) for m in members]))
+                keys.append(np.concatenate(members).astype(np.uint64) << np.uint64(32))
+                n += len(keys[-1])
+                if n >= 1 << 20:
+                    yield packed(*_first_and_last(np.concatenate(owners), np.concatenate(keys).view(np.int64)), buckets)
+                    owners, keys, n = [], [], 0
+        if n:
+            yield packed(*_first_and_last(np.concatenate(owners), np.concatenate(keys).view(np.int64)), buckets)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +196,10 @@ def outlines(sets: DataFrame, expand: Expand, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), *[pa.array(bits[:, k].copy()) for k in range(words)]],
                                                  names=["id", "size", *marks])
 
-    own = sets.mapInArrow(spread, "id long, member int").groupBy("member").agg(
-        F.min("id").alias("id"), F.max("id").alias("_other")).where("id = _other")
+    # A set has no more members than its content has bytes.
+    buckets = -(-(sets.agg(F.sum(F.octet_length("content"))).first()[0] or 0) // BUCKET) or 1
+    dealt = sets.mapInArrow(spread, "bucket long, pairs binary").repartition("bucket").sortWithinPartitions("bucket")
+    own = dealt.mapInArrow(frugal(_alone), "id long, member int")
     place = F.col("member").bitwiseAND(64 * words - 1)
     own = own.select("id", F.shiftright(place, 6).alias("_word"), F.expr("shiftleft(1L, member & 63)").alias("_bit")).groupBy("id").agg(
         F.count("*").alias("alone"), *[F.expr(f"bit_xor(if(_word = {k}, _bit, 0L))").alias(f"_own_{k}") for k in range(words)])
@@ -247,6 +257,20 @@ def packed(ids: np.ndarray, bands: np.ndarray, buckets: int) -> pa.RecordBatch:
         names=["bucket", "pairs"])
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets of rows made by :func:`packed`, in their order, and pairs of each, some at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        buckets, column = batch.column(0).to_numpy(), batch.column(1)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+        pairs = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(np.int64).reshape(-1, 2)
+        ends = (offsets - offsets[0]) // 16
+        begins = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+        for a, z in zip(begins, np.append(begins[1:], len(buckets))):
+            yield buckets[a], pairs[ends[a]:ends[z]]
+
+
 class _Keys:
     """The band keys of a bucket met so far: the first id of each, and whether its row was given out."""
 
@@ -287,29 +311,58 @@ class _Keys:
 def _shared_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of packed rows in order of bucket the (id, band) whose key has another id."""
     last, waiting, n, known = None, [], 0, _Keys()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        buckets, column = batch.column(0).to_numpy(), batch.column(1)
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-        pairs = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(np.int64).reshape(-1, 2)
-        ends = (offsets - offsets[0]) // 16
-        begins = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
-        for a, z in zip(begins, np.append(begins[1:], len(buckets))):
-            if buckets[a] != last:
-                if waiting:
-                    yield known.shared(np.concatenate(waiting), False)
-                last, waiting, n, known = buckets[a], [], 0, _Keys()
-            elif n >= 2 * BUCKET:
-                # A bucket with a very frequent key: its rows go as they come, only its keys stay.
-                yield known.shared(np.concatenate(waiting), True)
-                waiting, n = [], 0
-            waiting.append(pairs[ends[a]:ends[z]])
-            n += len(waiting[-1])
+    for bucket, pairs in _unpacked(batches):
+        if bucket != last:
+            if waiting:
+                yield known.shared(np.concatenate(waiting), False)
+            last, waiting, n, known = bucket, [], 0, _Keys()
+        elif n >= 2 * BUCKET:
+            # A bucket with a very frequent key: its rows go as they come, only its keys stay.
+            yield known.shared(np.concatenate(waiting), True)
+            waiting, n = [], 0
+        waiting.append(pairs)
+        n += len(pairs)
     if waiting:
         yield known.shared(np.concatenate(waiting), False)
 
 
+def _first_and_last(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest id of each key, and its key beside each; a key of one id comes once."""
+    order = np.argsort(keys)
+    ids, keys = ids[order], keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    if not len(at):
+        return ids, keys
+    first, last, keys = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at), keys[at]
+    more = first != last
+    return np.concatenate([first, last[more]]), np.concatenate([keys, keys[more]])
+
+
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed rows in order of bucket the ids and members (the upper halves of the keys) whose key has no other id."""
+    def made() -> pa.RecordBatch:
+        ids, keys = _first_and_last(*np.concatenate(waiting).T)
+        order = np.argsort(keys)
+        ids, keys = ids[order], keys[order]
+        other = np.append(keys[1:] != keys[:-1], True)
+        other[1:] &= keys[1:] != keys[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array((keys[other] >> 32).astype(np.int32))], names=["id", "member"])
+
+    last, waiting, n = None, [], 0
+    for bucket, pairs in _unpacked(batches):
+        if bucket != last:
+            if waiting:
+                yield made()
+            last, waiting, n = bucket, [], 0
+        waiting.append(pairs)
+        n += len(pairs)
+        if n >= 4 * BUCKET:
+            # Members in very many sets: of each, two ids at most stay.
+            waiting, n = [np.stack(_first_and_last(*np.concatenate(waiting).T), axis=1)], 0
+    if waiting:
+        yield made()
+
+
 def shared_packed_bands(rows: DataFrame) -> DataFrame:
     """:func:`shared_bands` of rows made by :func:`packed`, which Spark deals and sorts by bucket only."""
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
@@ -404,8 +457,10 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, signature_length:
         if known is None:
             if open_bands.isEmpty():
                 break
-            known = outlines(sets.join(open_bands.select("id").distinct(), "id", "left_semi"), expand, words)
+            own = store(sets.select("id", "content").join(open_bands.select("id").distinct(), "id", "left_semi"), "contents")
+            known = outlines(own, expand, words)
             known = store(known.where(100 * (F.col("size") - F.col("alone")) >= percent * F.col("size")), "outlines")
+            discard(own)
             # Ranks begin anew, as items are gone.
             before, open_bands = open_bands, _open(open_bands.join(known, "id", "left_semi"), components, 1, "open")
             discard(before)

@@ -53,9 +53,20 @@ def byte_chunks(array: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, in
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values so that every bit depends on every bit."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX_A
-    x = (x ^ (x >> np.uint64(27))) * _MIX_B
-    return x ^ (x >> np.uint64(31))
+    # In place from the first step on: a long array would be made and thrown away for each.
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= _MIX_A
+    y ^= y >> np.uint64(27)
+    y *= _MIX_B
+    y ^= y >> np.uint64(31)
+    return y
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The values of ``x`` in order, each once; of a few hundred numbers much sooner than np.unique, which hashes them first."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[:len(x)]]
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
